@@ -109,8 +109,8 @@ def running_size(sized: DataFrame, sources: DataFrame, bucket_rows: int = BUCKET
     return t.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(own), F.lit(0))).drop("start", "bucket")
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document, range-sorted by first position (documents not taken last).
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, keep: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
+    """One row per document, range-sorted by first position unless not ``ordered`` (documents not taken last).
 
     doc_id, source, size, source_size, target, takes, taken, positions (one a pass), and ``keep``.
     """
@@ -124,14 +124,17 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     positions = F.array(*[F.when((F.col("size") > 0) & (mid(k) <= F.col("target")), inverse_demand(mid(k) / F.col("target"), F.col("place"))) for k in range(max_repeats)])
     t = t.withColumn("positions", F.array_compact(positions)).withColumn("takes", F.size("positions").cast("long"))
     out = t.select("doc_id", "source", "size", "source_size", "target", "takes", (F.col("takes") * F.col("size")).alias("taken"), "positions", "h", *keep)
-    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "h").drop("h")
+    return (out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "h") if ordered else out).drop("h")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
-    """The documents in training order, each as often as it is taken; the columns of ``docs``."""
+    """The documents in training order, each as often as it is taken; the columns of ``docs``.
+
+    Positions are worked out on narrow rows; the texts move twice, to their positions and into order.
+    """
     cols = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*cols)
     name = dict(zip(docs.columns, cols, strict=True))
-    plan = curriculum(renamed, name[id_col], name[text_col], name[source_col], max_repeats, keep=tuple(cols))
-    rows = plan.select(*cols, F.explode("positions").alias("__position"))
-    return rows.orderBy("__position", name[id_col]).select(*[F.col(c).alias(n) for n, c in name.items()])
+    placed = Scratch(docs.sparkSession, "mix").write(docs.toDF(*cols).withColumn("row", F.monotonically_increasing_id()), "input")
+    plan = curriculum(placed.select(name[id_col], name[text_col], name[source_col], "row"), name[id_col], name[text_col], name[source_col], max_repeats, ("row",), False)
+    rows = placed.join(plan.select("row", F.explode("positions").alias("position")), "row").orderBy("position", "row")
+    return rows.select(*[F.col(c).alias(n) for n, c in name.items()])
