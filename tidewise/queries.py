@@ -1,6 +1,563 @@
-"""Queries on the driver's tables, one or more for each operator, with their SQL."""
+"""Queries on the driver's tables, at least one for each operator, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewise.functions import geo, rain, styles
+from tidewise.operators import classify, geometry, graph, mcda, rainfall
+from tidewise.plans.scratch import Scratch
+from tidewise.sources import fixtures as fx
+from tidewise.sources import grids
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+# --- SQL of the derived tables ------------------------------------------------------------------------------------------
+
+
+def _x(n: str) -> str:
+    return f"(120.52::DOUBLE + ({n} % 40) * 0.024::DOUBLE)"
+
+
+def _y(n: str) -> str:
+    return f"(14.02::DOUBLE + (({n} // 40) % 40) * 0.024::DOUBLE)"
+
+
+_NODES = f"road_nodes AS (SELECT range AS node, range AS ord, {_x('range')} AS lon, {_y('range')} AS lat FROM range((SELECT count(*) FROM customer)))"
+_ROADS = f"""roads AS (SELECT *, (xu + xv) / 2 + 0.0003::DOUBLE AS xm, (yu + yv) / 2 AS ym FROM (
+    SELECT *, {_x('u')} AS xu, {_y('u')} AS yu, {_x('v')} AS xv, {_y('v')} AS yv FROM (
+    SELECT o_orderkey AS ord, o_custkey AS u, (o_custkey + CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 40 ELSE 280 END) % (SELECT count(*) FROM customer) AS v,
+        o_orderkey AS key, floor(o_totalprice::DOUBLE / 10 + 0.5::DOUBLE) / 100 AS length, least(substr(o_orderpriority, 1, 1)::INT - 1, 3)::DOUBLE AS risk_level FROM orders)))"""
+_FLOOD = """flood AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN 'n/a' ELSE (p_size % 4)::VARCHAR END AS var,
+    120.52::DOUBLE + ((p_partkey * 37) % 80) * 0.012::DOUBLE AS cx, 14.02::DOUBLE + ((p_partkey * 53) % 80) * 0.012::DOUBLE AS cy, p_size * 0.0004::DOUBLE AS h FROM part)"""
+_SITES = """sites AS (SELECT s_suppkey AS ord, s_name AS name, n_name AS barangay, 14.02::DOUBLE + ((s_suppkey * 29) % 78) * 0.012::DOUBLE + 0.003::DOUBLE AS lat,
+    120.52::DOUBLE + ((s_suppkey * 31) % 78) * 0.012::DOUBLE + 0.003::DOUBLE AS lng FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def _rain(snap: str) -> str:
+    return f"""rain AS (SELECT snap, r, c, v FROM (SELECT {snap} AS snap, 450 + event_id % 11 AS r, 1205 + (event_id // 11) % 11 AS c, ts, event_id,
+    (CASE WHEN event_type = 'error' THEN -value ELSE value END)::DOUBLE AS v FROM events)
+    QUALIFY row_number() OVER (PARTITION BY snap, r, c ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+_DAYS, _HALVES = _rain("date_trunc('day', ts)"), _rain("time_bucket(INTERVAL '30 minutes', ts)")
+_CLEAN = "(CASE WHEN v < 0 OR v > 500 OR isnan(v) THEN 0.0::DOUBLE ELSE v END)"
+_CELLS = f"""cells AS (SELECT r * 3600 + c AS ord, r, c, c * 0.1::DOUBLE AS min_lon, c * 0.1::DOUBLE + 0.1::DOUBLE AS max_lon,
+    (60.0::DOUBLE - r * 0.1::DOUBLE) - 0.1::DOUBLE AS min_lat, 60.0::DOUBLE - r * 0.1::DOUBLE AS max_lat, {_CLEAN} AS intensity FROM rain WHERE snap = (SELECT max(snap) FROM rain))"""
+_MID = """mid_rain AS (SELECT o.ord, coalesce(arg_min(intensity, c.ord), 0) AS rain FROM roads o LEFT JOIN cells c
+    ON o.ym BETWEEN c.min_lat AND c.max_lat AND o.xm BETWEEN c.min_lon AND c.max_lon GROUP BY o.ord)"""
+_SCEN = "scenarios AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {f})" for a, b, c, d, e, f in fx.SCENARIOS) + ") t(scenario_id, w_len, w_risk, w_rain, manual_rain, simulation))"
+_CRIT = """crit AS (SELECT scenario_id, r.ord, CASE WHEN length IS NULL OR length = 0 THEN 1 ELSE length END AS length, coalesce(risk_level, 0) AS risk,
+    CASE WHEN simulation THEN manual_rain ELSE rain END AS rainfall, w_len, w_risk, w_rain, simulation FROM roads r JOIN mid_rain m ON r.ord = m.ord CROSS JOIN scenarios)"""
+_SCORED = """ends AS (SELECT scenario_id, min(length) AS lo, max(length) AS hi, greatest(10, max(rainfall)) AS rhi,
+        CASE WHEN sum(length * length) = 0 THEN 1 ELSE sqrt(sum(length * length)) END AS nl, CASE WHEN sum(risk * risk) = 0 THEN 1 ELSE sqrt(sum(risk * risk)) END AS nr,
+        CASE WHEN sum(rainfall * rainfall) = 0 THEN 1 ELSE sqrt(sum(rainfall * rainfall)) END AS nf FROM crit GROUP BY 1),
+    norm AS (SELECT c.*, w_len * (CASE WHEN hi = lo THEN 0.5 ELSE (length - lo) / (hi - lo) END) + w_risk * (risk / 3) + w_rain * (rainfall / rhi) AS wsm,
+        w_len * length / nl AS a, w_risk * risk / nr AS b, w_rain * rainfall / nf AS f FROM crit c JOIN ends USING (scenario_id)),
+    dist AS (SELECT *, sqrt((a - min(a) OVER s) ** 2 + (b - min(b) OVER s) ** 2 + (f - min(f) OVER s) ** 2) AS dp, sqrt((a - max(a) OVER s) ** 2 + (b - max(b) OVER s) ** 2 + (f - max(f) OVER s) ** 2) AS dn
+        FROM norm WINDOW s AS (PARTITION BY scenario_id)),
+    scored AS (SELECT *, CASE WHEN dp + dn = 0 THEN 0 ELSE dn / (dp + dn) END AS closeness, length * (1 + 5 * wsm) AS cost FROM dist)"""
+_RAIN_RISK = "(CASE WHEN {0} > 30 THEN 3 WHEN {0} > 15 THEN 2 WHEN {0} > 5 THEN 1 ELSE 0 END)"
+_EDGES = "edges AS (SELECT u AS src, v AS dst, CASE WHEN length = 0 THEN 1 ELSE length END AS w FROM roads UNION ALL SELECT v, u, CASE WHEN length = 0 THEN 1 ELSE length END FROM roads)"
+
+
+def _sql(body: str, *ctes: str) -> str:
+    return f"WITH {', '.join(ctes)} {body}"
+
+
+def _edge_scores(spark: SparkSession, sf_dir: str, scenarios: DataFrame | None = None) -> DataFrame:
+    cells = rainfall.cells_of(fx.cells(spark, sf_dir))
+    return mcda.score_edges(mcda.edge_criteria(fx.roads(spark, sf_dir), cells, fx.scenarios(spark) if scenarios is None else scenarios))
+
+
+# --- scores of edges ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    _sql(
+        "SELECT ord, length, risk, round(rainfall, 6) AS rainfall, round(wsm, 6) AS wsm, round(closeness, 6) AS closeness, round(cost, 6) AS cost FROM scored",
+        _ROADS, _DAYS, _CELLS, _MID, _SCEN.replace("simulation))", "simulation) WHERE scenario_id = 5)"), _CRIT, _SCORED,
+    )
+)
+def q_edge_mcda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _edge_scores(spark, sf_dir, fx.scenarios(spark).filter("scenario_id = 5"))
+    return t.select("ord", "length", "risk", *[r6(c) for c in ("rainfall", "wsm", "closeness", "cost")])
+
+
+@query(
+    _sql(
+        """SELECT scenario_id, count(*) AS n_edges, round(avg(wsm), 6) AS mean_wsm, round(sum(cost), 3) AS total_cost, round(max(closeness), 6) AS max_closeness, round(min(closeness), 6) AS min_closeness
+        FROM scored GROUP BY 1""", _ROADS, _DAYS, _CELLS, _MID, _SCEN, _CRIT, _SCORED,
+    )
+)
+def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _edge_scores(spark, sf_dir).groupBy("scenario_id")
+    return t.agg(F.count(F.lit(1)).alias("n_edges"), r6(F.avg("wsm"), "mean_wsm"), F.round(F.sum("cost"), 3).alias("total_cost"), r6(F.max("closeness"), "max_closeness"), r6(F.min("closeness"), "min_closeness"))
+
+
+@query(
+    _sql(
+        f"""SELECT ord, round(rain, 6) AS rain, round(length * CASE greatest(risk_level, {_RAIN_RISK.format('rain')}) WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 3 WHEN 3 THEN 10 ELSE 1 END, 6) AS cost
+        FROM roads JOIN mid_rain USING (ord)""", _ROADS, _DAYS, _CELLS, _MID,
+    )
+)
+def q_live_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _edge_scores(spark, sf_dir, fx.scenarios(spark).filter("scenario_id = 5"))
+    return mcda.edge_costs(t).join(t.select("ord", "rainfall"), "ord").select("ord", r6("rainfall", "rain"), r6("cost"))
+
+
+# --- rain --------------------------------------------------------------------------------------------------------------------
+
+
+def _box(region: tuple[float, float, float, float], closed: bool = False) -> str:
+    r0, r1, c0, c1 = rainfall.region_box(region)
+    return f"r >= {r0} AND r {'<=' if closed else '<'} {r1} AND c >= {c0} AND c {'<=' if closed else '<'} {c1}"
+
+
+@query(_sql(f"SELECT strftime(snap, '%Y-%m-%d') AS day, round(max(v), 6) AS max_v FROM rain WHERE {_box(rainfall.CITY)} GROUP BY 1", _DAYS))
+def q_rain_region_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rainfall.region_max(fx.rain(spark, sf_dir), rainfall.CITY).select(F.date_format("snap", "yyyy-MM-dd").alias("day"), r6("max_v"))
+
+
+@query(_sql(f"SELECT strftime(snap, '%Y-%m-%d') AS date, '00' AS hour, round(max(v), 6) AS max_v FROM rain WHERE {_box(rainfall.CITY)} GROUP BY 1", _DAYS))
+def q_rain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rainfall.rain_report(fx.rain(spark, sf_dir)).select("date", "hour", r6("max_v"))
+
+
+@query(
+    _sql(
+        f"""SELECT strftime(snap, '%Y-%m-%d') AS day, round(20.0::DOUBLE - (r - 400) * 0.1::DOUBLE, 6) AS lat, round(118.0::DOUBLE + (c - 1180) * 0.1::DOUBLE, 6) AS lon, round(v, 6) AS v
+        FROM rain WHERE {_box(rainfall.NORTH)} AND v > 0.5 QUALIFY row_number() OVER (PARTITION BY snap ORDER BY r, c) = 1""", _DAYS,
+    )
+)
+def q_rain_first_wet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rainfall.first_wet_cell(fx.rain(spark, sf_dir), rainfall.NORTH, 0.5)
+    return t.select(F.date_format("snap", "yyyy-MM-dd").alias("day"), r6("lat"), r6("lon"), r6("v"))
+
+
+@query(
+    _sql(
+        f"""SELECT strftime(snap, '%Y-%m-%d') AS day, CASE WHEN coalesce(max(v) FILTER ({_box(rainfall.CITY)}), 0) > 0 THEN 'region' ELSE 'wider' END AS "where",
+        round(CASE WHEN coalesce(max(v) FILTER ({_box(rainfall.CITY)}), 0) > 0 THEN max(v) FILTER ({_box(rainfall.CITY)}) ELSE max(v) FILTER ({_box(rainfall.WIDER)}) END, 6) AS max_v FROM rain GROUP BY snap""", _DAYS,
+    )
+)
+def q_rain_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rainfall.region_with_fallback(fx.rain(spark, sf_dir)).select(F.date_format("snap", "yyyy-MM-dd").alias("day"), "where", r6("max_v"))
+
+
+@query(_sql(f"SELECT strftime(snap, '%Y-%m-%d') AS day, count(*) AS n_cells, round(max({_CLEAN}), 6) AS max_v, round(avg({_CLEAN}), 6) AS mean_v FROM rain WHERE {_box(rainfall.SYNC, True)} GROUP BY 1", _DAYS))
+def q_rain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rainfall.grid_stats(rainfall.window(fx.rain(spark, sf_dir), rainfall.SYNC))
+    return t.select(F.date_format("snap", "yyyy-MM-dd").alias("day"), "n_cells", r6("max_v"), r6("mean_v"))
+
+
+#: Archive searches: name, region, threshold, sampling, every, descending, days, all hits.
+SCANS = [
+    ("middle-of-last-days", rainfall.ARCHIPELAGO, 0.5, ("middle",), 1, True, 5, False),
+    ("three-a-day", rainfall.CITY, 0.5, ("first", "middle", "last"), 1, True, None, True),
+    ("middle-of-ten-days", rainfall.SCAN_V2, 1.0, ("middle",), 1, True, 10, True),
+    ("every-second", rainfall.CITY, 1.0, ("every",), 2, False, None, True),
+    ("even-hours", rainfall.CITY, 0.0, ("even_hours",), 1, False, None, True),
+    ("every-fourth-north", rainfall.NORTH, 0.5, ("every",), 4, False, 2, True),
+    ("every-fourth-south", rainfall.SOUTH, 2.0, ("every",), 4, False, 2, True),
+    ("every-sixth", rainfall.CITY, 5.0, ("every",), 6, False, None, True),
+    ("first-and-middle", rainfall.CITY, 0.3, ("first", "middle"), 1, True, None, False),
+    ("all", rainfall.CITY, 30.0, ("all",), 1, False, None, True),
+]
+_TESTS = {"all": "true", "first": "k = 0", "middle": "k = n // 2", "last": "k = n - 1", "even_hours": "substr(hhmm, 1, 2)::INT % 2 = 0"}
+_ARCHIVE = """archive AS (SELECT snap, 'now/half_hour_G' AS product, snap::DATE AS day, strftime(snap, '%H%M') AS hhmm,
+    '/now/half_hour_G/' || strftime(snap, '%Y/%m/%d') || '/gsmap_gauge_now.' || strftime(snap, '%Y%m%d') || '.' || strftime(snap, '%H%M') || '.dat.gz' AS path
+    FROM (SELECT DISTINCT time_bucket(INTERVAL '30 minutes', ts) AS snap FROM events))"""
+_PLACED = """placed AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY path) - 1 AS k, count(*) OVER (PARTITION BY day) AS n,
+    dense_rank() OVER (ORDER BY day) AS up, dense_rank() OVER (ORDER BY day DESC) AS down FROM archive)"""
+
+
+def _scan_sql(name: str, region: tuple, threshold: float, sampling: tuple, every: int, descending: bool, days: int | None, all_hits: bool) -> str:
+    rank = "down" if descending else "up"
+    keep = " OR ".join(f"k % {every} = 0" if s == "every" else _TESTS[s] for s in sampling)
+    body = f"""SELECT '{name}' AS scan, strftime(p.day, '%Y-%m-%d') AS day, hhmm, round(max(v), 6) AS max_v, {rank} AS day_rank, path FROM placed p JOIN rain USING (snap)
+        WHERE ({keep}) AND {f'{rank} <= {days}' if days else 'true'} AND {_box(region)} GROUP BY ALL HAVING max(v) > {threshold}"""
+    return f"SELECT scan, day, hhmm, max_v FROM ({body} ORDER BY day_rank, path{'' if all_hits else ' LIMIT 1'})"
+
+
+@query(_sql(" UNION ALL ".join(f"({_scan_sql(*s)})" for s in SCANS), _HALVES, _ARCHIVE, _PLACED))
+def q_rain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "scan")
+    grid, listing = scratch.write(fx.rain(spark, sf_dir, half_hours=True), "rain"), scratch.write(fx.archive(spark, sf_dir), "listing")
+    out = None
+    for name, region, threshold, sampling, every, descending, days, all_hits in SCANS:
+        hits = rainfall.scan_archive(listing, grid, region, "1900-01-01", "2999-12-31", threshold, sampling, every, descending, days, all_hits)
+        hits = hits.select(F.lit(name).alias("scan"), F.date_format("day", "yyyy-MM-dd").alias("day"), "hhmm", r6("max_v"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query(
+    _sql(
+        f"""SELECT CASE WHEN intensity > 30 THEN 'extreme' WHEN intensity > 15 THEN 'high' WHEN intensity > 5 THEN 'medium' WHEN intensity > 0.1 THEN 'low' ELSE 'none' END AS band,
+        count(*) AS n_cells, max({_RAIN_RISK.format('intensity')}) AS risk FROM cells GROUP BY 1""", _DAYS, _CELLS,
+    )
+)
+def q_rain_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rainfall.band_totals(rainfall.cells_of(fx.cells(spark, sf_dir)), rain.rain_band(F.col("intensity")))
+
+
+@query(
+    _sql(
+        """SELECT g.node, round(greatest(0, coalesce(sum(intensity * exp(-20 * sqrt((g.lat - p.lat) ** 2 + (g.lon - p.lon) ** 2))), 0)), 6) AS intensity
+        FROM road_nodes g CROSS JOIN (SELECT (min_lat + max_lat) / 2 AS lat, (min_lon + max_lon) / 2 AS lon, intensity FROM cells) p GROUP BY 1""", _NODES, _DAYS, _CELLS,
+    )
+)
+def q_decay_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rain of the last day, interpolated at the nodes of the road network."""
+    cells = rainfall.cells_of(fx.cells(spark, sf_dir)).select(((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat"), ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon"), "intensity")
+    nodes = fx.road_nodes(spark, sf_dir)
+    surface = rainfall.decay_surface(cells, nodes.select("lat", "lon").distinct(), reach=2.0)
+    return nodes.join(surface, ["lat", "lon"]).select("node", r6("intensity"))
+
+
+@query(_sql("SELECT ord, intensity FROM (SELECT ord, round(intensity, 6) AS intensity FROM cells)", _DAYS, _CELLS))
+def q_grid_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = rainfall.cells_of(fx.cells(spark, sf_dir)).select("ord", r6("intensity"))
+    return rainfall.grid_or_fallback(cells, cells.select(-F.col("ord"), F.lit(0.0)).toDF("ord", "intensity"))
+
+
+@query(_sql("SELECT ord, round(rain, 6) AS rain FROM mid_rain", _ROADS, _DAYS, _CELLS, _MID))
+def q_intensity_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rainfall.intensity_at(mcda.mid_points(fx.roads(spark, sf_dir)), rainfall.cells_of(fx.cells(spark, sf_dir)))
+    return t.select(F.col("id").alias("ord"), r6("rain"))
+
+
+# --- archive -----------------------------------------------------------------------------------------------------------------
+
+
+@query(_sql("SELECT product, strftime(day, '%Y-%m-%d') AS day, count(*) AS n_files, min(split_part(path, '/', 7)) AS first_name, greatest(count(*) - 10, 0) AS n_more FROM archive GROUP BY 1, 2", _ARCHIVE))
+def q_archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = grids.inventory(fx.archive(spark, sf_dir))
+    return t.select("product", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_files", F.get("names", F.lit(0)).alias("first_name"), "n_more")
+
+
+@query(_sql("SELECT split_part(path, '/', 7) AS name, strftime(snap, '%Y-%m-%d %H:%M') || ' UTC' AS label FROM archive", _ARCHIVE))
+def q_snapshot_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = grids.file_name(F.col("path"))
+    return fx.archive(spark, sf_dir).select(name.alias("name"), grids.snapshot_label(name).alias("label"))
+
+
+@query(_sql("SELECT max(split_part(path, '/', 7)) AS name, strftime(max(snap), '%Y-%m-%d %H:%M') AS snap FROM archive", _ARCHIVE))
+def q_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.select_snapshot(fx.archive(spark, sf_dir)).select("name", F.date_format("snap", "yyyy-MM-dd HH:mm").alias("snap"))
+
+
+# --- geometry ----------------------------------------------------------------------------------------------------------------
+
+_SEGS = "segs AS (SELECT ord, u, v, key, xu AS ax, yu AS ay, xm AS bx, ym AS by FROM roads UNION ALL SELECT ord, u, v, key, xm, ym, xv, yv FROM roads)"
+_CORNERS = [("cx - h", "cy - h"), ("cx + h", "cy - h"), ("cx + h", "cy + h"), ("cx - h", "cy + h")]
+_RING = list(zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
+
+
+def _in_ring(x: str, y: str) -> str:
+    tests = [f"(CASE WHEN ({a[1]} > {y}) != ({b[1]} > {y}) AND {x} < ({b[0]} - ({a[0]})) * ({y} - ({a[1]})) / nullif({b[1]} - ({a[1]}), 0) + ({a[0]}) THEN 1 ELSE 0 END)" for a, b in _RING]
+    return f"({' + '.join(tests)}) % 2 = 1"
+
+
+def _side(a: tuple, b: tuple, c: tuple) -> str:
+    return f"(({b[0]} - ({a[0]})) * ({c[1]} - ({a[1]})) - ({b[1]} - ({a[1]})) * ({c[0]} - ({a[0]})))"
+
+
+def _meets(c: tuple, d: tuple) -> str:
+    a, b = ("ax", "ay"), ("bx", "by")
+    apart = " OR ".join(f"greatest({a[k]}, {b[k]}) < least({c[k]}, {d[k]}) OR greatest({c[k]}, {d[k]}) < least({a[k]}, {b[k]})" for k in (0, 1))
+    return f"(NOT ({apart}) AND {_side(a, b, c)} * {_side(a, b, d)} <= 0 AND {_side(c, d, a)} * {_side(c, d, b)} <= 0)"
+
+
+_PAIRS = f"""pairs AS (SELECT DISTINCT s.ord AS line, u, v, key, f.ord AS polygon, var FROM segs s JOIN flood f
+    ON greatest(ax, bx) >= cx - h AND least(ax, bx) <= cx + h AND greatest(ay, by) >= cy - h AND least(ay, by) <= cy + h
+    WHERE {_in_ring('ax', 'ay')} OR {' OR '.join(_meets(a, b) for a, b in _RING)})"""
+
+
+@query(_sql("SELECT o.ord, p.polygon, p.var FROM roads o LEFT JOIN pairs p ON o.ord = p.line", _ROADS, _FLOOD, _SEGS, _PAIRS))
+def q_flood_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.spatial_left_join(fx.roads(spark, sf_dir), fx.flood_polygons(spark, sf_dir), ["var"]).select("ord", "polygon", "var")
+
+
+@query(
+    _sql(
+        """SELECT o.ord, coalesce(max(coalesce(try_cast(var AS DOUBLE), 0)), 0) AS risk_level FROM roads o LEFT JOIN pairs p ON o.u = p.u AND o.v = p.v AND o.key = p.key GROUP BY 1""",
+        _ROADS, _FLOOD, _SEGS, _PAIRS,
+    )
+)
+def q_edge_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads = fx.roads(spark, sf_dir)
+    joined = geometry.spatial_left_join(roads, fx.flood_polygons(spark, sf_dir), ["var"])
+    return geometry.max_risk_per_edge(roads, joined).select("ord", "risk_level")
+
+
+_BOX = "120.98 AND 121.06", "14.61 AND 14.70"
+
+
+@query(_sql(f"SELECT ord FROM roads WHERE (xu BETWEEN {_BOX[0]} AND yu BETWEEN {_BOX[1]}) OR (xm BETWEEN {_BOX[0]} AND ym BETWEEN {_BOX[1]}) OR (xv BETWEEN {_BOX[0]} AND yv BETWEEN {_BOX[1]})", _ROADS).replace("120.98", "120.98::DOUBLE").replace("121.06", "121.06::DOUBLE").replace("14.61", "14.61::DOUBLE").replace("14.70", "14.70::DOUBLE"))
+def q_bbox_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.bbox_any_vertex(fx.roads(spark, sf_dir), line_col="pts").select("ord")
+
+
+@query(_sql("SELECT ord, round(xm, 6) AS x, round(ym, 6) AS y FROM roads", _ROADS))
+def q_mid_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.roads(spark, sf_dir).withColumn("p", geo.mid_vertex(F.col("pts"))).select("ord", r6("p.x", "x"), r6("p.y", "y"))
+
+
+def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One multipolygon a group of parts: the floods with equal ord div 4, each ring opened a little by its place."""
+    f = fx.flood(spark, sf_dir).select((F.col("ord") / 4).cast("long").alias("g"), "ord", F.expr("slice(ring, 1, 5 - cast(ord % 3 as int))").alias("ring"))
+    return f.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ord", "ring"))).alias("r")).select(F.col("g").alias("ord"), F.lit("MultiPolygon").alias("geom_type"), F.transform("r", lambda x: F.array(x["ring"])).alias("geom"))
+
+
+@query(
+    _sql(
+        "SELECT ord // 4 AS ord, 5 - ord % 3 AS n_points, round(cx - h, 6) AS x FROM flood QUALIFY row_number() OVER (PARTITION BY ord // 4 ORDER BY 5 - ord % 3 DESC, ord) = 1", _FLOOD,
+    )
+)
+def q_largest_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.get(F.get("geom", F.lit(0)), F.lit(0))
+    return geometry.largest_outer_ring(_multi(spark, sf_dir)).select("ord", F.size(ring).cast("long").alias("n_points"), r6(ring[0]["x"], "x"))
+
+
+@query(_sql("SELECT ord // 4 AS ord, 'Polygon' AS geom_type, 5 - ord % 3 AS n_points, round(cx - h, 6) AS x FROM flood QUALIFY row_number() OVER (PARTITION BY ord // 4 ORDER BY ord) = 1", _FLOOD))
+def q_first_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.get(F.get("geom", F.lit(0)), F.lit(0))
+    return geometry.first_ring_polygon(_multi(spark, sf_dir)).select("ord", "geom_type", F.size(ring).cast("long").alias("n_points"), r6(ring[0]["x"], "x"))
+
+
+_SNAP = """snapped AS (SELECT s.ord, arg_min(n.node, struct_pack(d := sqrt((n.lon - s.lng) * (n.lon - s.lng) + (n.lat - s.lat) * (n.lat - s.lat)), o := n.ord)) AS node,
+    min(sqrt((n.lon - s.lng) * (n.lon - s.lng) + (n.lat - s.lat) * (n.lat - s.lat))) AS distance FROM sites s CROSS JOIN road_nodes n GROUP BY 1)"""
+
+
+@query(_sql("SELECT ord, node, round(distance, 6) AS distance FROM snapped", _NODES, _SITES, _SNAP))
+def q_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.snap(fx.sites(spark, sf_dir), fx.road_nodes(spark, sf_dir), ["ord"]).select("ord", "node", r6("distance"))
+
+
+@query(
+    _sql(
+        """SELECT node, min(seq) AS ord, round(arg_max(x, seq), 6) AS lon, round(arg_max(y, seq), 6) AS lat FROM (SELECT u AS node, ord * 2 AS seq, xu AS x, yu AS y FROM roads
+        UNION ALL SELECT v, ord * 2 + 1, xv, yv FROM roads) GROUP BY 1""", _ROADS,
+    )
+)
+def q_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_from_edges(fx.roads(spark, sf_dir)).select("node", "ord", r6("lon"), r6("lat"))
+
+
+@query(_sql("SELECT src, dst, count(*) AS n, round(sum(w), 3) AS weight FROM edges GROUP BY 1, 2", _ROADS, _EDGES))
+def q_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.undirected_edges(fx.roads(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
+
+
+def _unit_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a whole-number grid, so that neighbours share edges exactly."""
+    cells = fx.table(spark, sf_dir, "part").selectExpr("(p_partkey * 37) % 80 as i", "(p_partkey * 53) % 80 as j", "p_partkey as ord", "p_name as name").groupBy("i", "j").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"))
+    corner = lambda a, b: geo.point(F.col("i") + a, F.col("j") + b)
+    return cells.withColumn("geom", F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))))
+
+
+@query(
+    _sql(
+        """SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by::DOUBLE AS by FROM (SELECT i AS ax, j AS ay, i + 1 AS bx, j AS by FROM cells UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM cells
+        UNION ALL SELECT i, j, i, j + 1 FROM cells UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM cells) GROUP BY ALL HAVING count(*) % 2 = 1""",
+        "cells AS (SELECT DISTINCT (p_partkey * 37) % 80 AS i, (p_partkey * 53) % 80 AS j FROM part)",
+    )
+)
+def q_dissolve_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.dissolve_outline(_unit_squares(spark, sf_dir))
+
+
+def _district(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in a region: the floods of a tenth of the parts, as a region."""
+    return fx.flood_polygons(spark, sf_dir).filter(F.col("var") == "3").select("ord", "geom")
+
+
+@query()
+def q_within_500m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.road_nodes(spark, sf_dir).select(F.col("node").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return geometry.within_distance(nodes, _district(spark, sf_dir), 500.0).select(F.col("id").alias("node"))
+
+
+@query()
+def q_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = geometry.network_in_region(fx.road_nodes(spark, sf_dir), fx.roads(spark, sf_dir), _district(spark, sf_dir))
+    return edges.select("ord", "u", "v")
+
+
+#: A concave mask over the middle of the road network.
+MASK = [(120.7, 14.2), (121.3, 14.2), (121.3, 14.8), (121.0, 14.45), (120.7, 14.8), (120.7, 14.2)]
+
+
+def _mask(spark: SparkSession) -> DataFrame:
+    ring = F.array(*[geo.point(F.lit(x), F.lit(y)) for x, y in MASK])
+    return spark.range(1).select(F.col("id").alias("ord"), ring.alias("ring"), F.array(F.array(ring)).alias("geom"))
+
+
+@query()
+def q_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = geometry.clip(fx.flood(spark, sf_dir), _mask(spark))
+    return pieces.groupBy("ord").agg(r6(F.sum("area") * 1e6, "area"))
+
+
+@query()
+def q_intersecting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.intersecting(fx.flood_polygons(spark, sf_dir), _mask(spark)).select("ord", "var")
+
+
+@query()
+def q_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.simplify(fx.flood(spark, sf_dir)).select("ord", F.size("ring").alias("n_points"), r6(geometry.ring_area(F.col("ring")) * 1e6, "area"))
+
+
+@query(_sql("SELECT round(min(least(xu, xm, xv)), 6) AS min_x, round(max(greatest(xu, xm, xv)), 6) AS max_x, round(min(least(yu, ym, yv)), 6) AS min_y, round(max(greatest(yu, ym, yv)), 6) AS max_y FROM roads", _ROADS))
+def q_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.extent(fx.roads(spark, sf_dir)).select(*[r6(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+# --- classes ------------------------------------------------------------------------------------------------------------------
+
+
+@query(_sql("SELECT CASE WHEN r <= 0 THEN 'none' WHEN r = 1 THEN 'yellow' WHEN r = 2 THEN 'orange' WHEN r = 3 THEN 'red' ELSE 'grey' END AS class, count(*) AS n, 0.0::DOUBLE AS metres FROM (SELECT coalesce(try_cast(var AS DOUBLE), 0) AS r FROM flood) GROUP BY 1", _FLOOD))
+def q_flood_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.class_totals(fx.flood(spark, sf_dir), styles.flood_class(geometry.to_risk(F.col("var"))))
+
+
+_OWN = "CASE greatest(s, k) WHEN 1 THEN 'yellow' WHEN 2 THEN 'orange' WHEN 3 THEN 'red' ELSE 'grey' END"
+
+
+@query(
+    _sql(
+        f"""SELECT 'combined' AS mode, CASE WHEN k > s THEN CASE k WHEN 1 THEN 'light-blue' WHEN 2 THEN 'dark-blue' ELSE 'deep-purple' END ELSE {_OWN} END AS class, count(*) AS n, round(sum(length), 3) AS metres FROM t GROUP BY 2
+        UNION ALL SELECT 'rain', CASE k WHEN 3 THEN 'deep-purple' WHEN 2 THEN 'blue' WHEN 1 THEN 'light-blue' ELSE 'grey' END, count(*), round(sum(length), 3) FROM t GROUP BY 2
+        UNION ALL SELECT 'static', CASE s WHEN 0 THEN 'grey' WHEN 1 THEN 'yellow' WHEN 2 THEN 'orange' WHEN 3 THEN 'red' ELSE 'white' END, count(*), round(sum(length), 3) FROM t GROUP BY 2""",
+        _ROADS, _DAYS, _CELLS, _MID, f"t AS (SELECT length, risk_level AS s, {_RAIN_RISK.format('rain')} AS k FROM roads JOIN mid_rain USING (ord))",
+    )
+)
+def q_road_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads = fx.roads(spark, sf_dir)
+    at = rainfall.intensity_at(mcda.mid_points(roads), rainfall.cells_of(fx.cells(spark, sf_dir)))
+    t = roads.join(at, roads["ord"] == at["id"])
+    labels = {"combined": styles.road_class(F.col("risk_level"), F.col("rain")), "rain": styles.road_class(F.col("risk_level"), F.col("rain"), True), "static": styles.road_class_static(F.col("risk_level"))}
+    each = t.select("length", F.explode(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), v)])).alias("mode", "class"))
+    return each.groupBy("mode", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 3).alias("metres"))
+
+
+# --- routes -------------------------------------------------------------------------------------------------------------------
+
+_PAIR_SQL = "ps AS (SELECT range AS problem_id, range AS src, (range * 7 + 50) % (SELECT count(*) FROM customer) AS target FROM range(10))"
+_CHEAP = "cheap AS (SELECT src, dst, min(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2)"
+_RELAX = """reach(problem_id, node, dist) USING KEY (problem_id, node) AS (SELECT problem_id, src, 0.0::DOUBLE FROM ({start})
+    UNION (SELECT d.problem_id, e.dst, min(d.dist + e.w) FROM reach d JOIN cheap e ON d.node = e.src LEFT JOIN recurring.reach k ON k.problem_id = d.problem_id AND k.node = e.dst
+    WHERE k.dist IS NULL OR d.dist + e.w < k.dist GROUP BY 1, 2))"""
+
+
+def _recursive(body: str, *ctes: str) -> str:
+    return f"WITH RECURSIVE {', '.join(ctes)} {body}"
+
+
+@query(_recursive("SELECT p.problem_id, p.src, p.target, round(dist, 6) AS total_cost FROM ps p LEFT JOIN reach r ON p.problem_id = r.problem_id AND p.target = r.node", _ROADS, _EDGES, _CHEAP, _PAIR_SQL, _RELAX.format(start="SELECT problem_id, src FROM ps")))
+def q_sssp_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.table(spark, sf_dir, "customer").count()
+    pairs = spark.range(10).selectExpr("id as problem_id", "id as src", f"(id * 7 + 50) % {m} as target")
+    return graph.route_pairs(pairs, fx.roads(spark, sf_dir)).select("problem_id", "src", "target", r6("total_cost"))
+
+
+@query(_recursive("SELECT node, round(dist, 6) AS dist FROM reach", _ROADS, _EDGES, _CHEAP, _NODES, _SITES, _SNAP, _RELAX.format(start="SELECT DISTINCT 1 AS problem_id, node AS src FROM snapped")))
+def q_sssp_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every node from its nearest site: one relaxation from all sites at once."""
+    at = graph.snap(fx.sites(spark, sf_dir), fx.road_nodes(spark, sf_dir), ["ord"])
+    start = at.select(F.lit(1).alias("problem_id"), F.col("node").alias("src")).distinct()
+    return graph.distances(start, graph.undirected_edges(fx.roads(spark, sf_dir))).select("node", r6("dist"))
+
+
+def _routes(spark: SparkSession, sf_dir: str, scratch: Scratch, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Roads, their scores in the default scenario, and k routes of each origin under these costs."""
+    roads = fx.roads(spark, sf_dir)
+    scored = scratch.write(_edge_scores(spark, sf_dir, fx.scenarios(spark).filter("scenario_id = 1")), "scored")
+    costs = mcda.edge_costs(scored).select(F.col("ord").alias("o"), "cost")
+    edges = graph.undirected_edges(roads.join(costs, roads["ord"] == F.col("o")), F.col("cost"))
+    paths = graph.evacuation_routes(fx.origins(spark, sf_dir), fx.sites(spark, sf_dir), fx.road_nodes(spark, sf_dir), edges, k)
+    return roads, scored, scratch.write(paths, "paths")
+
+
+@query()
+def q_k_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three alternatives between the ends of each pair, in plain metres."""
+    m = fx.table(spark, sf_dir, "customer").count()
+    pairs = spark.range(6).selectExpr("id as origin_id", "id as src", f"(id * 11 + 60) % {m} as target")
+    out = graph.k_shortest_paths(pairs.select("origin_id", "src"), pairs.select("origin_id", "target"), graph.undirected_edges(fx.roads(spark, sf_dir)))
+    return out.select("origin_id", "path_id", "target", r6("total_cost"), F.array_join("nodes", "-").alias("nodes"))
+
+
+@query()
+def q_evac_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _routes(spark, sf_dir, Scratch(spark, "q"))[2]
+    return paths.select("origin_id", "path_id", "target", "site", r6("total_cost"), F.array_join("nodes", "-").alias("nodes"))
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of the routes, scores, and the routes ranked and summarised."""
+    scratch = Scratch(spark, "q")
+    roads, scored, paths = _routes(spark, sf_dir, scratch)
+    keys = ["origin_id", "path_id"]
+    edges = graph.path_edges(paths, keys)
+    metrics = mcda.path_metrics(edges, roads, rainfall.cells_of(fx.cells(spark, sf_dir)), keys)
+    full = paths.join(metrics, keys, "left")
+    ranked = mcda.rank_paths(full, fx.scenarios(spark).filter("scenario_id = 1"), ["origin_id"])
+    return edges, scored, mcda.path_summary(edges, scored, ranked, keys)
+
+
+@query()
+def q_path_topsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _summaries(spark, sf_dir)[2]
+    return t.select("origin_id", F.col("path_id").alias("cost_rank"), r6("length"), r6("risk"), r6("rainfall"), r6("closeness"), "is_optimal")
+
+
+@query()
+def q_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = mcda.computation_summary(_summaries(spark, sf_dir)[2], fx.scenarios(spark))
+    return t.select("origin_id", "path_id", "target", "site", r6("total_cost"), "km", "n_edges", r6("mean_wsm"), "used_w_len", "used_w_risk", "used_w_rain")
+
+
+@query()
+def q_decision_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = mcda.decision_ranks(_summaries(spark, sf_dir)[2], ["origin_id"])
+    return t.select("origin_id", "path_id", "wsm_rank", "topsis_rank", "decision_shift")
+
+
+@query()
+def q_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, scored, _ = _summaries(spark, sf_dir)
+    return mcda.edge_breakdown(edges, scored, ["origin_id", "path_id"])
+
+
+@query()
+def q_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roads, _, paths = _routes(spark, sf_dir, Scratch(spark, "q"))
+    t = paths.select(F.struct("origin_id", "path_id").alias("path_id"), "edge_ords")
+    pts = geometry.stitch_paths(graph.path_edges(t, ["path_id"]), roads)
+    ends = geometry.connectors(pts.withColumns({"start": F.get("pts", F.lit(0)), "target": F.get("pts", F.size("pts") - 1)}))
+    return ends.select("path_id.origin_id", "path_id.path_id", F.size("pts").alias("n_points"), r6("label_point.x", "label_x"), r6("label_point.y", "label_y"))
