@@ -66,7 +66,7 @@ def test_shortest_against_heap(spark):
 
 
 def test_exclusions_and_edge_cases(spark):
-    edges = spark.createDataFrame(both([(0, 1, 1), (1, 2, 1), (0, 2, 5), (0, 2, 4), (2, 2, 1), (7, 8, 1)]), E.replace("weight double", "weight double"))
+    edges = spark.createDataFrame(both([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0), (0, 2, 4.0), (2, 2, 1.0), (7, 8, 1.0)]), E)
     run = lambda src, target, **kw: graph.shortest_to_targets(spark.createDataFrame([(1, src)], "problem_id long, src long"), spark.createDataFrame([(1, target)], "problem_id long, target long"), edges, **kw).collect()
     assert run(0, 2)[0].nodes == [0, 1, 2] and run(0, 2)[0].cum == [0, 1, 2]
     assert run(0, 0)[0].total_cost == 0 and run(0, 0)[0].edge_ords == []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewise.operators.geometry import nearest_node
 from tidewise.operators.mcda import or_value
-from tidewise.plans.scratch import Scratch, join_checked
+from tidewise.plans.scratch import Scratch, hinted
 
 MAX_ROUNDS = 10_000
 
@@ -66,18 +66,21 @@ def shortest_to_targets(
     if edges.filter("weight < 0").limit(1).count():
         raise ValueError("negative costs")
     goals = scratch.write(targets.select("problem_id", F.col("target").alias("node")).distinct(), "targets")
-    is_goal = lambda t: join_checked(t, goals.withColumn("goal", F.lit(True)), ["problem_id", "node"], "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
+    # Sizes are looked at once, before the loop.
+    near, marked = hinted(edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")), hinted(goals.withColumn("goal", F.lit(True)))
+    no_nodes = None if excluded_nodes is None else hinted(excluded_nodes.select("problem_id", "node"))
+    no_edges = None if excluded_edges is None else hinted(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")))
+    is_goal = lambda t: t.join(marked, ["problem_id", "node"], "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
     no = F.array().cast("array<bigint>")
     start = problems.select("problem_id", F.col("src").cast("long").alias("node"))
-    if excluded_nodes is not None:
-        start = start.join(excluded_nodes.select("problem_id", "node"), ["problem_id", "node"], "left_anti")
+    if no_nodes is not None:
+        start = start.join(no_nodes, ["problem_id", "node"], "left_anti")
     first = F.struct(F.lit(0.0).alias("cost"), F.array("node").alias("nodes"), no.alias("edge_ords"), F.array(F.lit(0.0)).alias("cum"))
     state = scratch.write(is_goal(start.distinct()).select("problem_id", "node", "goal", first.alias("path"), F.lit(True).alias("new")), "state")
     for _ in range(max_rounds):
         best = state.filter("goal").groupBy("problem_id").agg(F.min("path.cost").alias("bound"))
         front = state.filter("new and not goal").join(best, "problem_id", "left").filter("bound is null or path.cost < bound")
-        e = edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")
-        step = join_checked(front.select("problem_id", "node", "path", "bound"), e, "node").filter("bound is null or path.cost + weight <= bound")
+        step = front.select("problem_id", "node", "path", "bound").join(near, "node").filter("bound is null or path.cost + weight <= bound")
         step = step.select(
             "problem_id",
             F.col("node").alias("src"),
@@ -89,10 +92,10 @@ def shortest_to_targets(
                 F.concat("path.cum", F.array(F.col("path.cost") + F.col("weight"))).alias("cum"),
             ).alias("path"),
         )
-        if excluded_edges is not None:
-            step = step.join(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")), ["problem_id", "src", "node"], "left_anti")
-        if excluded_nodes is not None:
-            step = step.join(excluded_nodes.select("problem_id", "node"), ["problem_id", "node"], "left_anti")
+        if no_edges is not None:
+            step = step.join(no_edges, ["problem_id", "src", "node"], "left_anti")
+        if no_nodes is not None:
+            step = step.join(no_nodes, ["problem_id", "node"], "left_anti")
         old = state.select("problem_id", "node", "goal", "path", F.lit(False).alias("new"))
         both = old.unionByName(is_goal(step.select("problem_id", "node", "path")).withColumn("new", F.lit(True)))
         merged = both.groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min("path").alias("path"), F.min(F.when(~F.col("new"), F.col("path"))).alias("was"))
@@ -111,10 +114,10 @@ def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = No
     As edges run both ways, one problem with all sites as sources gives every node's distance from its nearest site.
     """
     scratch = scratch or Scratch(sources.sparkSession, "distances")
-    edges = scratch.write(cheapest_parallel(edges).select(F.col("src").alias("node"), "dst", "weight"), "edges")
+    near = hinted(scratch.write(cheapest_parallel(edges).select(F.col("src").alias("node"), "dst", "weight"), "edges"))
     state = scratch.write(sources.select("problem_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")).distinct(), "state")
     while True:
-        step = join_checked(state.filter("new"), edges, "node").select("problem_id", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(True).alias("new"))
+        step = state.filter("new").join(near, "node").select("problem_id", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(step)
         merged = both.groupBy("problem_id", "node").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("was"))
         grown = scratch.write(merged.select("problem_id", "node", "dist", F.coalesce(F.col("dist") < F.col("was"), F.lit(True)).alias("new")), "state")

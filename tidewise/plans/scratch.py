@@ -59,10 +59,15 @@ def small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(max_rows + 1).count() <= max_rows
 
 
+def hinted(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it has at most ``max_rows`` rows (counted once, for use in a loop)."""
+    return F.broadcast(table) if small(table, max_rows) else table
+
+
 def join_checked(df: DataFrame, other: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a broadcast if ``other`` has at most ``max_rows`` rows, else by shuffle.
 
     ``other`` should be a written table (it is counted first).  In the shuffled form adaptive
     execution splits skewed partitions of ``df``.
     """
-    return df.join(F.broadcast(other) if small(other, max_rows) else other, on, how)
+    return df.join(hinted(other, max_rows), on, how)

@@ -271,7 +271,7 @@ def q_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- geometry ----------------------------------------------------------------------------------------------------------------
 
-_SEGS = "segs AS (SELECT ord, u, v, key, xu AS ax, yu AS ay, xm AS bx, ym AS by FROM roads UNION ALL SELECT ord, u, v, key, xm, ym, xv, yv FROM roads)"
+_SEGS = "segs AS (SELECT ord, u, v, key, xu AS ax, yu AS ay, xm AS bx, ym AS q FROM roads UNION ALL SELECT ord, u, v, key, xm, ym, xv, yv FROM roads)"
 _CORNERS = [("cx - h", "cy - h"), ("cx + h", "cy - h"), ("cx + h", "cy + h"), ("cx - h", "cy + h")]
 _RING = list(zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
 
@@ -286,13 +286,13 @@ def _side(a: tuple, b: tuple, c: tuple) -> str:
 
 
 def _meets(c: tuple, d: tuple) -> str:
-    a, b = ("ax", "ay"), ("bx", "by")
+    a, b = ("ax", "ay"), ("bx", "q")
     apart = " OR ".join(f"greatest({a[k]}, {b[k]}) < least({c[k]}, {d[k]}) OR greatest({c[k]}, {d[k]}) < least({a[k]}, {b[k]})" for k in (0, 1))
     return f"(NOT ({apart}) AND {_side(a, b, c)} * {_side(a, b, d)} <= 0 AND {_side(c, d, a)} * {_side(c, d, b)} <= 0)"
 
 
 _PAIRS = f"""pairs AS (SELECT DISTINCT s.ord AS line, u, v, key, f.ord AS polygon, var FROM segs s JOIN flood f
-    ON greatest(ax, bx) >= cx - h AND least(ax, bx) <= cx + h AND greatest(ay, by) >= cy - h AND least(ay, by) <= cy + h
+    ON greatest(ax, bx) >= cx - h AND least(ax, bx) <= cx + h AND greatest(ay, q) >= cy - h AND least(ay, q) <= cy + h
     WHERE {_in_ring('ax', 'ay')} OR {' OR '.join(_meets(a, b) for a, b in _RING)})"""
 
 
@@ -381,7 +381,7 @@ def _unit_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _sql(
-        """SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by::DOUBLE AS by FROM (SELECT i AS ax, j AS ay, i + 1 AS bx, j AS by FROM cells UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM cells
+        """SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, q::DOUBLE AS "by" FROM (SELECT i AS ax, j AS ay, i + 1 AS bx, j AS q FROM cells UNION ALL SELECT i, j + 1, i + 1, j + 1 FROM cells
         UNION ALL SELECT i, j, i, j + 1 FROM cells UNION ALL SELECT i + 1, j, i + 1, j + 1 FROM cells) GROUP BY ALL HAVING count(*) % 2 = 1""",
         "cells AS (SELECT DISTINCT (p_partkey * 37) % 80 AS i, (p_partkey * 53) % 80 AS j FROM part)",
     )
