@@ -48,7 +48,7 @@ class DigestIndex:
         return self.scratch.write(
             run.sortWithinPartitions("key"),
             f"run{tier}",
-            **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "1000000"},
+            **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"},
         )
 
     def add(self, rows: DataFrame) -> None:
