@@ -23,7 +23,7 @@ OP3 = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, {_KEY} AS k FROM documents),
 each AS (SELECT d.*, depth, k >> (60 - depth) AS prefix, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs
     FROM d, (SELECT range AS depth FROM range(0, 41)) WINDOW w AS (PARTITION BY depth, k >> (60 - depth)))
-SELECT doc_id, n_bytes, 's' || CASE WHEN depth = 0 THEN '' ELSE lpad(prefix::INT::BIT::VARCHAR[-depth:], depth::INT, '0') END AS shard_id, depth::INT AS depth,
+SELECT doc_id, n_bytes, 's' || right((prefix::BIGINT::BIT)::VARCHAR, depth::INT) AS shard_id, depth::INT AS depth,
     shard_bytes::BIGINT AS shard_bytes, shard_docs, shard_bytes > {sharding.MAX_BYTES} AS oversize
 FROM each WHERE shard_bytes <= {sharding.MAX_BYTES} OR shard_docs = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
@@ -34,10 +34,10 @@ p AS (SELECT DISTINCT conv_id, part, who AS speaker FROM t WHERE who <> 'system'
 r AS (SELECT p.conv_id, p.part, speaker, turn, who, t.text, speaker = who AS own,
     CASE WHEN speaker = who THEN '<|assistant|>' || chr(10) WHEN who = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || who || '|>' || chr(10) END AS head
     FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.part = t.part),
-o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at
+o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
     FROM r WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, who, text))
 SELECT conv_id, part::BIGINT AS part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.END}' || chr(10), '' ORDER BY n) AS rendered,
-    string_agg(at::BIGINT || ':' || (at + length(text) + 7)::BIGINT, ',' ORDER BY n) FILTER (own) AS mask
+    string_agg(pos::BIGINT || ':' || (pos + length(text) + 7)::BIGINT, ',' ORDER BY n) FILTER (own) AS mask
 FROM o GROUP BY 1, 2, 3
 """
 
