@@ -57,10 +57,20 @@ def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
     return ~apart("x") & ~apart("y") & (_side(a, b, c) * _side(a, b, d) <= 0) & (_side(c, d, a) * _side(c, d, b) <= 0)
 
 
-def segment_meets_multipolygon(a: Column, b: Column, multi: Column) -> Column:
-    """Whether a closed segment and a multipolygon have a point in common."""
-    edge = lambda ring: F.exists(segments(ring), lambda s: segments_meet(a, b, s["a"], s["b"]))
-    return in_multipolygon(multi, a["x"], a["y"]) | F.exists(multi, lambda p: F.exists(p, edge))
+def edges_of(multi: Column) -> Column:
+    """Edges of each part of a multipolygon, all its rings in one array: made once, tested often."""
+    return F.transform(multi, lambda p: F.flatten(F.transform(p, segments)))
+
+
+def in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over the edges of each part."""
+
+    def hit(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        cross = x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+        return F.when((a["y"] > y) != (b["y"] > y), cross).otherwise(F.lit(False))
+
+    return F.exists(edges, lambda part: F.size(F.filter(part, hit)) % 2 == 1)
 
 
 def segment_distance(x: Column, y: Column, s: Column) -> Column:

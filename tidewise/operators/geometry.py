@@ -52,22 +52,31 @@ def in_dissolved(points: DataFrame, parts: DataFrame, size: float = BIN) -> Data
 def point_in_polygons(points: DataFrame, polygons: DataFrame, size: float = BIN) -> DataFrame:
     """(id, x, y) and (ord, geom) -> (id, ord) for each polygon that a point lies in."""
     p = points.select("id", "x", "y", F.floor(F.col("x") / size).cast("long").alias("bx"), F.floor(F.col("y") / size).cast("long").alias("by"))
-    g = polygons.select("ord", "geom", F.inline(geo.bins(geo.bounds(_vertices()), size)))
-    return p.join(g, ["bx", "by"]).filter(geo.in_multipolygon(F.col("geom"), F.col("x"), F.col("y"))).select("id", "ord")
+    g = polygons.select("ord", geo.edges_of(F.col("geom")).alias("edges"), geo.bounds(_vertices()).alias("box")).select("ord", "edges", "box", F.inline(geo.bins(F.col("box"), size)))
+    near = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
+    return p.join(g, ["bx", "by"]).filter(near).filter(geo.in_edges(F.col("edges"), F.col("x"), F.col("y"))).select("id", "ord")
 
 
 def lines_meet_polygons(lines: DataFrame, polygons: DataFrame, size: float = BIN) -> DataFrame:
     """(ord, pts) and (ord, geom) -> distinct (line, polygon) that have a point in common.
 
-    Lines are binned segment by segment, so a long line does not fill the bins of its whole box.
+    Lines are binned segment by segment, so a long line does not fill the bins of its whole box.  A pair of boxes that
+    shares several bins is tested in one of them, the lower left bin of what they share.
     """
-    seg = lines.select(F.col("ord").alias("line"), F.explode(F.when(F.size("pts") == 1, F.array(F.struct(F.get("pts", F.lit(0)).alias("a"), F.get("pts", F.lit(0)).alias("b")))).otherwise(geo.segments(F.col("pts")))).alias("s"))
-    box = geo.bounds(F.array("s.a", "s.b"))
-    seg = seg.select("line", "s", F.inline(geo.bins(box, size)))
-    poly = polygons.select(F.col("ord").alias("polygon"), "geom", geo.bounds(_vertices()).alias("box")).select("*", F.inline(geo.bins(F.col("box"), size)))
-    pairs = seg.join(poly, ["bx", "by"])
-    near = (F.greatest("s.a.x", "s.b.x") >= F.col("box.min_x")) & (F.least("s.a.x", "s.b.x") <= F.col("box.max_x")) & (F.greatest("s.a.y", "s.b.y") >= F.col("box.min_y")) & (F.least("s.a.y", "s.b.y") <= F.col("box.max_y"))
-    return pairs.filter(near).filter(geo.segment_meets_multipolygon(F.col("s.a"), F.col("s.b"), F.col("geom"))).select("line", "polygon").distinct()
+    first = F.get("pts", F.lit(0))
+    parts = F.when(F.size("pts") == 1, F.array(F.struct(first.alias("a"), first.alias("b")))).otherwise(geo.segments(F.col("pts")))
+    seg = lines.select(F.col("ord").alias("line"), F.posexplode(parts).alias("seg", "s")).withColumn("sbox", geo.bounds(F.array("s.a", "s.b")))
+    seg = seg.select("line", "seg", "s", "sbox", F.inline(geo.bins(F.col("sbox"), size)))
+    poly = polygons.select(F.col("ord").alias("polygon"), geo.edges_of(F.col("geom")).alias("edges"), geo.bounds(_vertices()).alias("box")).select("*", F.inline(geo.bins(F.col("box"), size)))
+    lower = lambda k: F.floor(F.greatest(F.col(f"sbox.min_{k}"), F.col(f"box.min_{k}")) / size).cast("long")
+    meet = lambda k: (F.col(f"sbox.max_{k}") >= F.col(f"box.min_{k}")) & (F.col(f"sbox.min_{k}") <= F.col(f"box.max_{k}"))
+    pairs = seg.join(poly, ["bx", "by"]).filter(meet("x") & meet("y") & (F.col("bx") == lower("x")) & (F.col("by") == lower("y")))
+    # One row an edge, so that the tests are plain compiled arithmetic; they are summed up where they are made.
+    tests = pairs.select("line", "seg", "polygon", "s", F.posexplode("edges").alias("part", "ring")).select("line", "seg", "polygon", "part", "s", F.explode("ring").alias("e"))
+    a, b, c, d = F.col("s.a"), F.col("s.b"), F.col("e.a"), F.col("e.b")
+    right = F.when((c["y"] > a["y"]) != (d["y"] > a["y"]), a["x"] < (d["x"] - c["x"]) * (a["y"] - c["y"]) / (d["y"] - c["y"]) + c["x"]).otherwise(F.lit(False))
+    sums = tests.groupBy("line", "seg", "polygon", "part").agg(F.max(geo.segments_meet(a, b, c, d)).alias("touch"), F.sum(right.cast("int")).alias("crossed"))
+    return sums.filter(F.col("touch") | (F.col("crossed") % 2 == 1)).select("line", "polygon").distinct()
 
 
 def intersecting(polygons: DataFrame, mask: DataFrame, size: float = BIN) -> DataFrame:
