@@ -91,8 +91,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Byte verification: each row of a hit against the bytes of the row that stays.
     hits = scratch.write(entries.filter("n > 1").select("key", F.col("best.id").alias("best_id"), (-F.col("best.neg")).alias("best_len")), "hits")
-    members = join_checked(keyed.select("doc_id", "len", "norm", _digest(F.col("norm"), digest_bits).alias("key")), hits, "key")
-    keepers = members.filter((F.col("len") == F.col("best_len")) & F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("key").agg(F.min("norm").alias("keeper_norm"))
+    members = scratch.write(join_checked(keyed.select("doc_id", "len", "norm", _digest(F.col("norm"), digest_bits).alias("key")), hits, "key"), "members")
+    own = (F.col("len") == F.col("best_len")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+    keepers = scratch.write(members.filter(own).groupBy("key").agg(F.min("norm").alias("keeper_norm")), "keepers")
+    # Both sides are tables, so that adaptive execution can split a digest with very many rows.
     differing = scratch.write(members.select("key", "norm").join(keepers, "key").filter("norm <> keeper_norm").select("key").distinct(), "differing")
 
     sound = rows if differing.isEmpty() else rows.join(differing, "key", "left_anti")
