@@ -391,8 +391,8 @@ def q_dissolve_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes in a region: the floods of a tenth of the parts, as a region."""
-    return fx.flood_polygons(spark, sf_dir).filter(F.col("var") == "3").select("ord", "geom")
+    """A region of many parts: all floods."""
+    return fx.flood_polygons(spark, sf_dir).select("ord", "geom")
 
 
 @query()
