@@ -198,8 +198,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS, words64
     prints = scratch.write(fingerprints(docs, shingle, words64, id_col, text_col), "prints")
     classes = scratch.write(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("f0", "f1"), scratch, bits, words64, segments), scratch)
-    members = classes.withColumn("node", node(F.col("f0"), F.col("f1"))).join(roots, "node", "left").select("f0", "f1", "least", F.coalesce("root", "node").alias("root"))
-    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = scratch.write(classes.withColumn("node", node(F.col("f0"), F.col("f1"))).join(roots, "node", "left").select("f0", "f1", "least", F.coalesce("root", "node").alias("root")), "members")
+    # Both sides are tables, so that adaptive execution can split a component with very many fingerprints.
+    least = scratch.write(members.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = scratch.write(members.join(least, "root").select("f0", "f1", "component_id"), "named")
     return join_checked(prints, named, ["f0", "f1"]).select("doc_id", "f0", "f1", "component_id")
 
