@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of what they decide."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -80,3 +81,35 @@ def test_run_without_rows(spark, folder, tmp_path):
     for t in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard_groups(texts, limit=0.8):
+    """For each text the least place of its component, by all pairs of shingle sets."""
+    def shingles(text):
+        t = (text or "").encode().lower().split()
+        k = min(5, len(t))
+        return {tuple(t[i : i + k]) for i in range(len(t) - k + 1)} if t else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a == b or len(a & b) >= limit * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Copies of all degrees around the limit, a copied text with repeats, and a chain."""
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    texts = [None, "", "one", "one", "two words"]
+    for i in range(60):
+        base = [word() for _ in range(rng.choice((40, 150, 400)))]
+        texts.append(" ".join(base))
+        for changed in (0.01, 0.02, 0.025, 0.03, 0.04, 0.06):
+            texts.append(" ".join(word() if rng.random() < changed else w for w in base))
+    line = "the same line again and again "
+    texts += [line * 300 + " ".join(word() for _ in range(80)), line * 300 + " ".join(word() for _ in range(80))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = jaccard_groups(texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs.repartition(3)).collect()) == sorted(set(root))

@@ -5,17 +5,18 @@ at least one segment, up to one bit (else each of the s segments would differ in
 indexed, for every bit, under the bit's segment with that bit wiped out (a one-wildcard variant); equal variants are
 found by shuffling on them and verified on the whole fingerprint.  4 bits of 64 need 3 segments: 64 variants.
 
-For similarity 0.8 on word shingles (``keep_one``), 64 bits are too coarse: such pairs differ in 15 % of the bits.
-There, fingerprints have 128 bits in 8 segments and link at 26 bits.  The guarantee above then covers 15
-bits.  Measured on the check data, 90.5 % of pairs of similarity 0.80-0.85 are linked, 99 % of 0.85-0.90 and all above, but
-also 78 % of 0.75-0.80 and 57 % of 0.70-0.75: links are not verified on the shingles themselves.
-
 Distinct fingerprints are indexed, not documents.  A bucket (fingerprints that share a variant) gives no list
 of pairs: a task compares its fingerprints and keeps a spanning forest of the links, fewer rows than the bucket has.
 Buckets of more than ``BLOCK`` members are set aside, cut into blocks, and each pair of blocks becomes a
 task key of its own, so no task holds an unbounded bucket.  Components then grow on tables (see ``components``).
 
-Defined results: null and wordless texts have the fingerprint 0 and are linked like any other; repeated rows are
+``keep_one`` is defined on the sets of five-word shingles themselves: Jaccard similarity of at least 0.8.  Such pairs differ in 15 % of
+the bits of any SimHash, which leaves segments of 15 bits, so its candidates come from further independent fingerprints: 25
+bands of 5 minima of the set.  A pair of similarity 0.8 shares a band with probability 0.99995, one of 0.3 with 0.06.
+Candidates become links only when their whole sets have been compared.  Each bucket is first linked as two chains in random order;
+then all pairs whose ends are still in different components are compared, so copies of one another cost no square.
+
+Defined results: null and wordless texts have the fingerprint 0 (an empty set) and are linked like any other; repeated rows are
 documents of one fingerprint; null ids never name a component unless it has no other, and ``keep_one`` keeps rows
 without an id; an empty table gives an empty table; texts are hashed whole; extra columns are ignored
 (``near_duplicates``) or kept (``keep_one``).
@@ -37,8 +38,9 @@ from tidewise.plans.scratch import Scratch, join_checked
 
 SEED = 42
 BITS, SEGMENTS = 4, 3
-#: The setting of ``keep_one``: bits that may differ of 128, and segments.
-WIDE_BITS, WIDE_SEGMENTS, WIDE_SHINGLE = 26, 8, 5
+#: The setting of ``keep_one``: words a shingle, similarity as a fraction, bands, and minima a band.
+WIDE_SHINGLE, SIMILAR = 5, (4, 5)
+BANDS, ROWS = 25, 5
 BLOCK = 4096
 _DENSE = 32
 
@@ -206,13 +208,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = BITS, words64
     return join_checked(prints, named, ["f0", "f1"]).select("doc_id", "f0", "f1", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS, words64: int = 2, segments: int = WIDE_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that of the smallest id (of rows with equal ids, one); the columns of ``docs``."""
+def shingle_set(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles (a text of fewer words is one shingle)."""
+    tokens = text.lower().split() if text else []
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    k = min(shingle, len(tokens))
+    starts = [0, *ends[: len(tokens) - k].tolist()]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key a band: equal where all minima of the band are."""
+    rng = np.random.default_rng(SEED)
+    times = rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+    flip = rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[None, i : i + 1024] ^ flip) * times).min(1))
+    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _chains(index: DataFrame, salt: int) -> DataFrame:
+    """(key, node, n, root) -> (u, v): within a bucket, neighbours in a random order that have different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((4, 0), np.int64)
+        for b in batches:
+            t = np.concatenate([last, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], 1)
+            (key, x, n, root), (key2, y, n2, root2) = t[:, :-1], t[:, 1:]
+            at = (key == key2) & (root != root2) & (SIMILAR[1] * np.minimum(n, n2) >= SIMILAR[0] * np.maximum(n, n2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[at]), pa.array(np.maximum(x, y)[at])], ["u", "v"])
+            last = t[:, -1:]
+
+    order = index.select("key", "node", "n", "root", F.xxhash64("node", "key", F.lit(salt)).alias("at"))
+    # Ranges may cut a bucket; what a chain misses is left to the comparison of all pairs.
+    return order.repartitionByRange("key", "at").sortWithinPartitions("key", "at").select("key", "node", "n", "root").mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+    both = left.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    # common / (|a| + |b| - common) >= p / q
+    p, q = SIMILAR
+    return scratch.write(both.filter((p + q) * common >= p * (F.size("a") + F.size("b"))).select("u", "v"), "verified")
+
+
+def similar_links(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, text) -> (rid, doc_id, node) of every row, and (node, root) of the components of similar sets.
+
+    A node is a hash (64 bits) of a shingle set; equal sets are one node.
+    """
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], [], []]
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                h = shingle_set(t, shingle)
+                for col, x in zip(out, (xxhash.xxh3_64_intdigest(h.tobytes()), len(h), bands(h)), strict=True):
+                    col.append(x)
+            nodes = np.array(out[0], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["rid", "doc_id", "node", "n", "bands"])
+
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = scratch.write(rows.select("rid", "text", "doc_id").mapInArrow(index_rows, f"rid long, doc_id {kind}, node long, n long, bands array<long>"), "prints")
+    chosen = scratch.write(prints.groupBy("node").agg(F.min("rid").alias("rid")), "chosen")
+    keyed = prints.join(chosen.select("rid"), "rid", "left_semi").select(F.explode("bands").alias("key"), "node", "n")
+    keyed = scratch.write(keyed, "keyed")
+    shared = scratch.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    index = scratch.write(join_checked(keyed, shared, "key", "left_semi", max_rows=2_000_000).withColumn("root", F.col("node")), "index")
+    scratch.drop(keyed)
+    wanted = scratch.write(index.select("node").distinct().join(chosen, "node"), "wanted")
+    texts = join_checked(rows.select("rid", "text"), wanted, "rid", max_rows=2_000_000)
+    sets = scratch.write(texts.select("node", "text").mapInArrow(set_rows, "node long, hashes array<long>"), "sets")
+
+    found = roots = None
+    for turn in range(3):
+        if turn < 2:
+            pairs = _chains(index, turn)
+        else:
+            a, b = index.toDF("key", "u", "n", "root"), index.toDF("key", "v", "n2", "root2")
+            near = (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & (F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0])
+            pairs = a.join(b, "key").filter(near).select("u", "v").distinct()
+        new = _verified(scratch.write(pairs, "pairs"), sets, scratch)
+        found = new if found is None else found.unionByName(new)
+        roots = scratch.write(components(found, scratch), "roots")
+        if turn < 2:  # on with the buckets that hold several components
+            index = index.drop("root").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+            index = scratch.write(index, "index")
+            several = scratch.write(index.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "several")
+            index = scratch.write(join_checked(index, several, "key", "left_semi", max_rows=2_000_000), "index")
+    return prints.select("rid", "doc_id", "node"), roots
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of similar rows stays, that of the smallest id (of equal ids, one row); the columns of ``docs``."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    groups = scratch.write(near_duplicates(docs, shingle, bits, words64, segments, id_col, text_col).select("doc_id", "component_id"), "groups")
-    drop = scratch.write(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
-    out = join_checked(docs, drop, F.col(id_col) == F.col("__drop"), "left_anti", max_rows=2_000_000)
-    repeated = not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if repeated:
-        out = out.filter(F.col(id_col).isNull()).unionByName(out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return out
+    # Rows are numbered in a table, so that a number means the same row whenever it is read.
+    rows = scratch.write(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    prints, roots = similar_links(rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, scratch)
+    groups = scratch.write(join_checked(prints, roots, "node", "left", max_rows=2_000_000).select("rid", "doc_id", F.coalesce("root", "node").alias("root")).filter("doc_id is not null"), "groups")
+    best = scratch.write(groups.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best")).select("best.rid"), "best")
+    drop = scratch.write(groups.select("rid").join(best, "rid", "left_anti").select(F.col("rid").alias("__rid")), "drop")
+    return join_checked(rows, drop, "__rid", "left_anti", max_rows=2_000_000).select(*docs.columns)
