@@ -35,3 +35,23 @@ def test_rotation(spark, sf):
         for _, _, text, mask in got.values():
             assert all(text[int(a) : int(b)].endswith("<|end|>") for a, b in (s.split(":") for s in mask.split(",")))
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_every_participant_gets_every_part(spark):
+    """A speaker who is silent in a part still gets it, and turns without or with equal numbers are cut as well."""
+    rows = [(1, i, "late" if i == 19 else "early", f"t{i}") for i in range(20)]
+    rows += [(2, None, "a", f"n{i:02}") for i in range(20)] + [(3, 4, "b", "same")] * 20 + [(None, i, "c", f"x{i}") for i in range(20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.part, r.speaker): r for r in chat.rotate(turns.repartition(5), 8).collect()}
+    who = {1: ("early", "late"), 2: ("a",), 3: ("b",), None: ("c",)}
+    assert set(got) == {(c, p, s) for c, names in who.items() for s in names for p in range(3)}
+    assert all(r.n_turns == (8, 8, 4)[p] for (_, p, _), r in got.items())
+    whole = {(c, s): v[2] for (c, _, s), v in brute(rows, 10**6).items()}
+    masks = {(c, s): v[3] for (c, _, s), v in brute(rows, 10**6).items()}
+    for c, s in whole:
+        parts, spans, at = [got[c, p, s] for p in range(3)], [], 0
+        assert "".join(r.rendered for r in parts) == whole[c, s]
+        for r in parts:
+            spans += [f"{int(a) + at}:{int(b) + at}" for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
+            at += len(r.rendered)
+        assert ",".join(spans) == masks[c, s]

@@ -4,39 +4,53 @@ For every participant of a conversation the dialogue is rendered with that speak
 the other speakers as named users, and system turns as they are; the mask lists the spans (code points,
 end exclusive) of the assistant's words and end marks, on which a model would be trained.
 
-A conversation is rendered in windows of ``max_turns`` turn numbers, so no task gathers an unbounded dialogue;
-a participant gets a rendering of each window in which they speak.
+A conversation is rendered in parts of ``max_turns`` turns by a running number, so no task gathers an unbounded dialogue. Every
+participant of the whole conversation gets every part; the parts of a speaker, joined in order, are the whole dialogue.
+Spans count from the start of their part: a part's place in the whole is the length of the parts before it.
 
-Defined results: a null role is the speaker "unknown"; a null text is empty; a null turn stands in the window of
-turn 0, before it; equal turns are ordered by speaker, then text; conversations of system turns alone give no rows; repeated
-rows are turns of their own; a null conversation id is a conversation; "<|" in a text is written "< |", so a text
-cannot forge a mark; extra columns are ignored.
+Defined results: a null role is the speaker "unknown"; a null text is empty; null turns come first; equal turns are ordered by
+speaker, then text; conversations of system turns alone give no rows; repeated rows are turns of their own; a null conversation
+id is a conversation; "<|" in a text is written "< |", so a text cannot forge a mark; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewise.plans.scratch import Scratch
+
 MAX_TURNS = 512
 END = "<|end|>"
 
 
+def _numbered(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``at``, the running number of a turn in its conversation: places within sorted ranges, and the ranges' sizes before."""
+    # A last key splits ranges of equal turns; equal rows may change places.
+    ranged = base.repartitionByRange("conv_id", "t", F.rand(42)).sortWithinPartitions("conv_id", "t")
+    laid = scratch.write(ranged.withColumns({"range": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "turns")
+    sizes = laid.groupBy("conv_id", "range").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("conv_id").alias("conv"), F.col("range").alias("of"), (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    found = laid.join(shift, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("range") == F.col("of")))
+    return found.select("conv_id", "t", (F.col("row") + F.col("shift")).alias("at"))
+
+
 def rotate(turns: DataFrame, max_turns: int = MAX_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation, window and participant: conv_id, part, speaker, n_turns, n_own, rendered, mask."""
+    """One row per conversation, part and participant: conv_id, part, speaker, n_turns, n_own, rendered, mask."""
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     base = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / max_turns).cast("long").alias("part"),
         F.struct(
             F.col(turn_col).alias("turn"),
             clean(F.coalesce(F.col(role_col), F.lit("unknown"))).alias("speaker"),
             clean(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
         ).alias("t"),
     )
-    dialogue = base.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    speakers = F.array_distinct(F.transform("turns", lambda t: t["speaker"]))
-    each = dialogue.select("conv_id", "part", "turns", F.explode(F.filter(speakers, lambda s: s != "system")).alias("speaker"))
+    numbered = _numbered(base, Scratch(turns.sparkSession, "chat")).withColumn("part", F.floor(F.col("at") / max_turns).cast("long"))
+    dialogue = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    speakers = numbered.select(F.col("conv_id").alias("conv"), F.col("t.speaker").alias("speaker")).filter("speaker <> 'system'").distinct()
+    each = dialogue.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "part", "turns", "speaker")
 
     me = F.col("speaker")
     head = lambda t: (
