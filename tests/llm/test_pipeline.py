@@ -113,3 +113,11 @@ def test_near_dedup_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     root = jaccard_groups(texts)
     assert sorted(r.doc_id for r in simhash.keep_one(docs.repartition(3)).collect()) == sorted(set(root))
+
+
+def test_near_dedup_keeps_rows_of_equal_ids(spark):
+    """A row goes for its own text, not for its id."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (2, three), (None, one)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([rows[0], *rows[2:]], "doc_id long, text string").collect())
