@@ -10,11 +10,15 @@ of pairs: a task compares its fingerprints and keeps a spanning forest of the li
 Buckets of more than ``BLOCK`` members are set aside, cut into blocks, and each pair of blocks becomes a
 task key of its own, so no task holds an unbounded bucket.  Components then grow on tables (see ``components``).
 
-``keep_one`` is defined on the sets of five-word shingles themselves: Jaccard similarity of at least 0.8.  Such pairs differ in 15 % of
-the bits of any SimHash, which leaves segments of 15 bits, so its candidates come from further independent fingerprints: 25
-bands of 5 minima of the set.  A pair of similarity 0.8 shares a band with probability 0.99995, one of 0.3 with 0.06.
-Candidates become links only when their whole sets have been compared.  Each bucket is first linked as two chains in random order;
-then all pairs whose ends are still in different components are compared, so copies of one another cost no square.
+``keep_one`` is defined on the sets of five-word shingles themselves: Jaccard similarity of at least 0.8.  Its candidates come from
+the same index over fingerprints of 256 bits of the set: such pairs differ in 15 % of the bits, so 16 segments of 16 bits are cut, each
+with its 16 wildcards, and a pair of similarity 0.8 shares a variant with probability 0.995 (0.85: 0.999, 0.5: 0.22).  An entry
+carries a word of the fingerprint that its segment is not part of; pairs of a bucket that differ in at most ``FAR`` bits of it
+are candidates, and become links when all bits and then their whole sets have been compared.  So that copies of one
+another cost no square, a bucket gives a spanning forest of what differs in at most ``NEAR`` bits, and beside it only pairs of different
+trees.  Where a pair of the forest turns out not to be similar, the fingerprints of its trees are indexed once more,
+and all their pairs that are not joined by then are compared.  Segments of 16 bits suit some ten million texts a run; buckets
+grow with the corpus, so a larger one wants longer segments of more words (``words64``, ``segments``).
 
 Defined results: null and wordless texts have the fingerprint 0 (an empty set) and are linked like any other; repeated rows are
 documents of one fingerprint; null ids never name a component unless it has no other, and ``keep_one`` keeps rows
@@ -24,7 +28,9 @@ without an id; an empty table gives an empty table; texts are hashed whole; extr
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,9 +44,12 @@ from tidewise.plans.scratch import Scratch, join_checked
 
 SEED = 42
 BITS, SEGMENTS = 4, 3
-#: The setting of ``keep_one``: words a shingle, similarity as a fraction, bands, and minima a band.
+#: The setting of ``keep_one``: words a shingle, similarity as a fraction, 64-bit words and segments of a fingerprint.
 WIDE_SHINGLE, SIMILAR = 5, (4, 5)
-BANDS, ROWS = 25, 5
+WIDE_WORDS, WIDE_SEGMENTS = 4, 16
+#: Differing bits of a word up to which pairs are candidates, and up to which they are taken to be similar until compared; and
+#: the share of all bits up to which sets are compared (similar pairs differ in 15 %, with a deviation of 2 %).
+FAR, NEAR, ALL_BITS = 18, 9, 0.25
 BLOCK = 4096
 _DENSE = 32
 
@@ -79,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1, id_col: st
 
 
 def variants(fps: DataFrame, words64: int = 1, segments: int = SEGMENTS) -> DataFrame:
-    """(f0, f1) -> (key, f0, f1): a row a bit; the key is the bit's number and its segment without the bit.
+    """(f0, ...) -> (key, f0, ...): a row a bit; the key is the bit's number and its segment without the bit.
 
     Segments lie within one 64-bit word.
     """
@@ -91,7 +100,7 @@ def variants(fps: DataFrame, words64: int = 1, segments: int = SEGMENTS) -> Data
                 mask = ((1 << (hi - lo)) - 1) & ~(1 << (p - lo))
                 rest = F.shiftrightunsigned(F.col(f"f{word}"), lo).bitwiseAND(F.lit(mask).cast("long"))
                 keys.append(rest.bitwiseOR(F.lit((word * 64 + p) << 48).cast("long")))
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns)
 
 
 def node(f0: Column, f1: Column) -> Column:
@@ -220,95 +229,228 @@ def shingle_set(text: bytes | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key a band: equal where all minima of the band are."""
-    rng = np.random.default_rng(SEED)
-    times = rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-    flip = rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[None, i : i + 1024] ^ flip) * times).min(1))
-    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def set_print(hashes: np.ndarray, words64: int = WIDE_WORDS) -> np.ndarray:
+    """SimHash of a set: each 64-bit word takes the majority of a mixing of the hashes of its own."""
+    out = np.zeros(words64, np.int64)
+    for i in range(words64 if len(hashes) else 0):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 4096):
+            x = (hashes[at : at + 4096] ^ np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(29)
+            counts += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), 8), axis=1).sum(0, dtype=np.int64)
+        out[i] = int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+    return out
+
+
+def wide_node(f: np.ndarray) -> np.ndarray:
+    """One number for each fingerprint of several words (shape (words, n))."""
+    out = np.zeros(f.shape[1], np.uint64)
+    for word in f.view(np.uint64):
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _chains(index: DataFrame, salt: int) -> DataFrame:
-    """(key, node, n, root) -> (u, v): within a bucket, neighbours in a random order that have different roots."""
+def bucket_pairs(word: np.ndarray, root: np.ndarray | None, first: int | None = None) -> np.ndarray:
+    """Candidates (i, j, kind) of one bucket, or between its first ``first`` rows and the others.
+
+    Kind 0 is the forest of near words, kind 1 are the pairs of different trees; with ``root`` there is no forest, and
+    pairs of equal roots are left out.
+    """
+    n, out = len(word), []
+    label = np.arange(n) if root is None else root
+    for i in range(1 if first is None else first, n):
+        bits = _differ(word[: i if first is None else first], word[i])
+        at = np.flatnonzero(bits <= FAR)
+        if not len(at):
+            continue
+        if root is None:
+            near = at[bits[at] <= NEAR]
+            trees, where = np.unique(label[near], return_index=True)
+            out += [(int(j), i, 0) for j in near[where]]
+            label[np.isin(label, trees)] = label[i]
+        out += [(int(j), i, 1) for j in at[label[at] != label[i]]]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _small_pairs(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, size: np.ndarray) -> np.ndarray:
+    """The same for all small buckets of sorted rows at once; size: that of each row's bucket."""
+    up, found = np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
+    for shift in range(1, min(int(size.max(initial=1)), _DENSE)):
+        i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (size[:-shift] <= _DENSE))
+        if root is not None:
+            i = i[root[i] != root[i + shift]]
+        bits = _differ(word[i], word[i + shift])
+        i, bits = i[bits <= FAR], bits[bits <= FAR]
+        found.append(np.stack([i, i + shift]))
+        if root is None:  # a tree's row hangs on the nearest row before it
+            new = i[(bits <= NEAR) & (up[i + shift] == i + shift)]
+            up[new + shift] = new
+    pairs, tree = np.concatenate(found, 1), up
+    while (tree[tree] != tree).any():
+        tree = tree[tree]
+    other = pairs if root is not None else pairs[:, tree[pairs[0]] != tree[pairs[1]]]
+    own = np.flatnonzero(up != np.arange(len(up)))
+    return np.concatenate([np.stack([up[own], own, np.zeros_like(own)], 1), np.stack([*other, np.ones_like(other[0])], 1)])
+
+
+def _candidate_rows(nodes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Places (i, j, kind) -> distinct (u, v, kind), one column each."""
+    a, b = nodes[p[:, 0]], nodes[p[:, 1]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), p[:, 2]], 1), axis=0).T
+
+
+def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidates (u, v, kind) of sorted rows (key, node, word, root or not) in whole buckets of at most BLOCK rows."""
+    keys, nodes, word, root = t[0], t[1], t[2], t[3] if len(t) > 3 else None
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    size = np.diff(edge)
+    parts = [_small_pairs(keys, word, root, np.repeat(size, size))]
+    for g in np.flatnonzero(size > _DENSE):
+        a, b = edge[g], edge[g + 1]
+        p = bucket_pairs(word[a:b], None if root is None else root[a:b])
+        parts.append(p + np.array([a, a, 0]))
+        if sum(map(len, parts)) > 100_000:
+            yield _candidate_rows(nodes, np.concatenate(parts))
+            parts = []
+    if parts:
+        yield _candidate_rows(nodes, np.concatenate(parts))
+
+
+def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int) -> DataFrame:
+    """(node, f0, ..., and root or not), one row a node -> (u, v, kind): candidate pairs of nodes; for kind see ``bucket_pairs``."""
+    columns = ["key", "node", "word", *(["root"] if "root" in prints.columns else [])]
+    names = ["key", "kind", "a", "b", "c"]
+
+    def batch(kind: np.ndarray, cols: list[np.ndarray], key: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(kind), pa.int64())
+        long = lambda c: pa.array(np.ascontiguousarray(c))
+        return pa.RecordBatch.from_arrays([none if key is None else long(key), long(kind), *map(long, cols), *[none] * (3 - len(cols))], names)
+
+    def aside(t: np.ndarray) -> pa.RecordBatch:
+        return batch(np.full(t.shape[1], 2), list(t[1:]), t[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((4, 0), np.int64)
+        left, large = np.zeros((len(columns), 0), np.int64), None
         for b in batches:
-            t = np.concatenate([last, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], 1)
-            (key, x, n, root), (key2, y, n2, root2) = t[:, :-1], t[:, 1:]
-            at = (key == key2) & (root != root2) & (SIMILAR[1] * np.minimum(n, n2) >= SIMILAR[0] * np.maximum(n, n2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[at]), pa.array(np.maximum(x, y)[at])], ["u", "v"])
-            last = t[:, -1:]
+            t = np.concatenate([left, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])], 1)
+            if large is not None:  # goes on with a bucket that is set aside
+                n = int(np.searchsorted(t[0], large, side="right"))
+                yield aside(t[:, :n])
+                t = t[:, n:]
+                large = None if t.shape[1] else large
+            starts = np.flatnonzero(np.concatenate([[True], t[0, 1:] != t[0, :-1]])) if t.shape[1] else np.zeros(0, np.int64)
+            ends = np.concatenate([starts[1:], [t.shape[1]]]) if len(starts) else starts
+            cut = int(starts[-1]) if len(starts) else 0
+            wide = np.repeat(ends - starts > BLOCK, ends - starts)
+            if wide.any():
+                yield aside(t[:, wide])
+                if wide[-1]:
+                    large, cut = int(t[0, -1]), t.shape[1]
+            whole = t[:, :cut][:, ~wide[:cut]]
+            if whole.shape[1]:
+                for u, v, kind in _bucket_rows(whole):
+                    yield batch(kind, [u, v])
+            left = t[:, cut:]
+        if left.shape[1]:
+            for u, v, kind in _bucket_rows(left):
+                yield batch(kind, [u, v])
+
+    index = variants(prints, words64, segments)
+    # A segment is compared on the word after its own.
+    of = F.floor(F.shiftright("key", 48) / 64).cast("int")
+    index = index.withColumn("word", F.get(F.array(*[F.col(f"f{(i + 1) % words64}") for i in range(words64)]), of)).select(*columns)
+    found = scratch.write(index.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "candidates")
+    out = found.filter("kind < 2").select(F.col("a").alias("u"), F.col("b").alias("v"), "kind")
+    large = found.filter("kind = 2").select("key", *[F.col(x).alias(c) for x, c in zip("abc", columns[1:], strict=False)])
+    if not large.isEmpty():
+        counts = scratch.write(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+        cut = join_checked(large, counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("block")
+            block, i, j = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+            root = pdf["root"].to_numpy() if "root" in columns else None
+            p = bucket_pairs(pdf["word"].to_numpy(), root, None if i == j else int((block == i).sum()))
+            return pd.DataFrame(dict(zip("uvk", _candidate_rows(pdf["node"].to_numpy(), p), strict=True)))
+
+        out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, k long").withColumnRenamed("k", "kind"))
+    pairs = scratch.write(out.groupBy("u", "v").agg(F.min("kind").alias("kind")), "near")
+    # All bits of both ends.
+    words = [f"f{i}" for i in range(words64)]
+    left = pairs.join(prints.select(F.col("node").alias("u"), *[F.col(w).alias(f"a_{w}") for w in words]), "u")
+    both = left.join(prints.select(F.col("node").alias("v"), *words), "v")
+    bits = reduce(operator.add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words])
+    return scratch.write(both.select("u", "v", F.when(bits <= int(ALL_BITS * 64 * words64), F.col("kind")).otherwise(F.col("kind") + 2).alias("kind")), "pairs")
 
-    order = index.select("key", "node", "n", "root", F.xxhash64("node", "key", F.lit(salt)).alias("at"))
-    # Ranges may cut a bucket; what a chain misses is left to the comparison of all pairs.
-    return order.repartitionByRange("key", "at").sortWithinPartitions("key", "at").select("key", "node", "n", "root").mapInArrow(run, "u long, v long").distinct()
 
+def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough; places: (id, rid) of one row of each set."""
 
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
+
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    wanted = scratch.write(places.join(wanted, "id"), "wanted")
+    texts = join_checked(rows.select("rid", "text"), wanted, "rid", max_rows=2_000_000)
+    sets = scratch.write(texts.select("id", "text").mapInArrow(set_rows, "id long, hashes array<long>"), "sets")
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
+    both = left.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     # common / (|a| + |b| - common) >= p / q
     p, q = SIMILAR
     return scratch.write(both.filter((p + q) * common >= p * (F.size("a") + F.size("b"))).select("u", "v"), "verified")
 
 
-def similar_links(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id, text) -> (rid, doc_id, node) of every row, and (node, root) of the components of similar sets.
+def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int = WIDE_WORDS, segments: int = WIDE_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, text) -> (rid, doc_id, id) of every row, and (id, root) of the components of similar sets.
 
-    A node is a hash (64 bits) of a shingle set; equal sets are one node.
+    Equal sets have one id: the node of their fingerprint, or, where sets that differ share a fingerprint, a hash of the set for all but
+    the first of them.
     """
+    words = [f"f{i}" for i in range(words64)]
 
-    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], []]
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                h = shingle_set(t, shingle)
-                for col, x in zip(out, (xxhash.xxh3_64_intdigest(h.tobytes()), len(h), bands(h)), strict=True):
-                    col.append(x)
-            nodes = np.array(out[0], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["rid", "doc_id", "node", "n", "bands"])
-
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
+            sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            f = np.array([set_print(h, words64) for h in sets], np.int64).reshape(-1, words64).T.copy()
+            own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own), pa.array(wide_node(f)), *map(pa.array, f)], ["rid", "doc_id", "own", "node", *words])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = scratch.write(rows.select("rid", "text", "doc_id").mapInArrow(index_rows, f"rid long, doc_id {kind}, node long, n long, bands array<long>"), "prints")
-    chosen = scratch.write(prints.groupBy("node").agg(F.min("rid").alias("rid")), "chosen")
-    keyed = prints.join(chosen.select("rid"), "rid", "left_semi").select(F.explode("bands").alias("key"), "node", "n")
-    keyed = scratch.write(keyed, "keyed")
-    shared = scratch.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
-    index = scratch.write(join_checked(keyed, shared, "key", "left_semi", max_rows=2_000_000).withColumn("root", F.col("node")), "index")
-    scratch.drop(keyed)
-    wanted = scratch.write(index.select("node").distinct().join(chosen, "node"), "wanted")
-    texts = join_checked(rows.select("rid", "text"), wanted, "rid", max_rows=2_000_000)
-    sets = scratch.write(texts.select("node", "text").mapInArrow(set_rows, "node long, hashes array<long>"), "sets")
-
-    found = roots = None
-    for turn in range(3):
-        if turn < 2:
-            pairs = _chains(index, turn)
-        else:
-            a, b = index.toDF("key", "u", "n", "root"), index.toDF("key", "v", "n2", "root2")
-            near = (F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & (F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0])
-            pairs = a.join(b, "key").filter(near).select("u", "v").distinct()
-        new = _verified(scratch.write(pairs, "pairs"), sets, scratch)
-        found = new if found is None else found.unionByName(new)
-        roots = scratch.write(components(found, scratch), "roots")
-        if turn < 2:  # on with the buckets that hold several components
-            index = index.drop("root").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-            index = scratch.write(index, "index")
-            several = scratch.write(index.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "several")
-            index = scratch.write(join_checked(index, several, "key", "left_semi", max_rows=2_000_000), "index")
-    return prints.select("rid", "doc_id", "node"), roots
+    prints = rows.select("rid", "text", "doc_id").mapInArrow(print_rows, f"rid long, doc_id {kind}, own long, node long, " + ", ".join(f"{c} long" for c in words))
+    prints = scratch.write(prints, "prints")
+    sets = scratch.write(prints.groupBy("node", "own").agg(F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in words]), "sets")
+    first = scratch.write(sets.groupBy("node").agg(F.min(F.struct("rid", "own", *words)).alias("s")).select("node", "s.*"), "first")
+    # Sets that differ and share a fingerprint are candidates as they are.
+    mates = scratch.write(sets.select("node", "own", "rid").join(first.select("node", F.col("own").alias("of")), "node").filter("own <> of").select("node", "own", "rid"), "mates")
+    places = first.select(F.col("node").alias("id"), "rid").unionByName(mates.select(F.col("own").alias("id"), "rid"))
+    pairs = candidates(first.select("node", *words), scratch, words64, segments)
+    tested = scratch.write(pairs.filter("kind < 2").unionByName(mates.select(F.col("node").alias("u"), F.col("own").alias("v"), F.lit(1).cast("long").alias("kind"))), "tested")
+    found = _verified(tested.select("u", "v"), places, rows, shingle, scratch)
+    roots = components(found, scratch)
+
+    forest_pairs = pairs.filter("kind in (0, 2)").select("u", "v")
+    failed = scratch.write(forest_pairs.join(found, ["u", "v"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        trees = scratch.write(components(forest_pairs, scratch), "trees")
+        broken = trees.join(failed.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+        again = trees.join(broken, "root", "left_semi").select("node")
+        again = first.join(again, "node", "left_semi").join(roots, "node", "left").select("node", *words, F.coalesce("root", "node").alias("root"))
+        more = candidates(scratch.write(again, "again"), scratch, words64, segments).filter("kind < 2").join(tested, ["u", "v"], "left_anti")
+        found = found.unionByName(_verified(scratch.write(more, "more").select("u", "v"), places, rows, shingle, scratch))
+        roots = components(found, scratch)
+    ids = join_checked(prints, mates.select("own", F.lit(True).alias("mate")), "own", "left").select("rid", "doc_id", F.when(F.col("mate"), F.col("own")).otherwise(F.col("node")).alias("id"))
+    return ids, scratch.write(roots.select(F.col("node").alias("id"), "root"), "roots")
 
 
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,8 +458,8 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id
     scratch = Scratch(docs.sparkSession, "simhash")
     # Rows are numbered in a table, so that a number means the same row whenever it is read.
     rows = scratch.write(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    prints, roots = similar_links(rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, scratch)
-    groups = scratch.write(join_checked(prints, roots, "node", "left", max_rows=2_000_000).select("rid", "doc_id", F.coalesce("root", "node").alias("root")).filter("doc_id is not null"), "groups")
+    ids, roots = similar_links(rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, scratch)
+    groups = scratch.write(join_checked(ids, roots, "id", "left", max_rows=2_000_000).select("rid", "doc_id", F.coalesce("root", "id").alias("root")).filter("doc_id is not null"), "groups")
     best = scratch.write(groups.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best")).select("best.rid"), "best")
     drop = scratch.write(groups.select("rid").join(best, "rid", "left_anti").select(F.col("rid").alias("__rid")), "drop")
     return join_checked(rows, drop, "__rid", "left_anti", max_rows=2_000_000).select(*docs.columns)
