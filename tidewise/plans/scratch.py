@@ -7,25 +7,27 @@ any executor.
 
 from __future__ import annotations
 
+import operator
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table counts as small enough to broadcast, unless a caller knows better.
+#: Rows and bytes (unpacked) up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is made only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not base:
+    """The shared folder of the session; where none is set, the warehouse, and only on a single machine a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         base = "file://" + tempfile.mkdtemp(prefix="tidewise-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return (base or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
 class Scratch:
@@ -54,20 +56,33 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than it must."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def _width(kind: T.DataType, c: Column) -> Column:
+    """About how many bytes a value takes unpacked."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(operator.add, [_width(f.dataType, c[f.name]) for f in kind], F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _width(kind.elementType, x)), F.lit(16))
+    return F.lit(16)
+
+
+def small(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> bool:
+    """Whether a table has at most ``max_rows`` rows and ``max_bytes`` bytes; reads no more rows than it must."""
+    widths = table.select(_width(table.schema, F.struct(*[F.col(f"`{c}`") for c in table.columns])).alias("w")).limit(max_rows + 1)
+    rows, size = widths.agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return rows <= max_rows and size <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def hinted(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it has at most ``max_rows`` rows (counted once, for use in a loop)."""
+    """The table, marked for broadcast if it is small (looked at once, for use in a loop)."""
     return F.broadcast(table) if small(table, max_rows) else table
 
 
 def join_checked(df: DataFrame, other: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast if ``other`` has at most ``max_rows`` rows, else by shuffle.
+    """Join with a broadcast if ``other`` is small in rows and bytes, else by shuffle.
 
-    ``other`` should be a written table (it is counted first).  In the shuffled form adaptive
+    ``other`` should be a written table (it is measured first).  In the shuffled form adaptive
     execution splits skewed partitions of ``df``.
     """
     return df.join(hinted(other, max_rows), on, how)
