@@ -8,8 +8,9 @@ places, and the windows that share an anchor are neighbours; these *runs* (first
 they cover) are the entries of the arrays, one in about 120 bytes.  An array is kept in the order of a 128-bit
 digest of the entry's bytes, not of the bytes themselves: all that is asked of it is which entries are equal.
 
-*Index family.*  Documents come in batches.  A batch's array is flushed to a table; arrays of equal level are merged and
-summed, so levels grow geometrically.  An entry that occurs more than once is a match of all its windows.
+*Index family.*  Documents come in ``BATCHES`` batches.  A batch's array is sorted, scanned against each existing level for entries that are
+there too, and flushed as a level of what is new; levels of equal size merge into one of twice the size.  An entry
+that a level has as well, or that its batch has twice, is a match of all its windows.
 
 *Refinement.*  Runs that are equal only in part have the same anchor gram but different digests.  For anchors that have
 several different runs, one run of each digest is cut into gaps of at most GAP windows at fixed distances from the anchor.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 from tidewise.plans.scratch import Scratch, join_checked
 
 MATCH, GRAM, GAP = 400, 160, 16
-BATCHES = 2
+BATCHES = 4
 _PIECE = 1 << 22
+#: Rows an Arrow batch of entries, gaps or windows goes out with.
+_ROWS = 200_000
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
 _BYTES = np.random.default_rng(1).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +120,7 @@ def suffix_entries(texts: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
             for t0, t1, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 v = memoryview(raw)
                 out += [(t0, t1, a, z, x, *_digest(v[a : z + match]), _gram(v[x : x + gram])) for a, z, x in runs(raw, match, gram)]
-                if len(out) > 200_000:
+                if len(out) > _ROWS:
                     yield _longs(out, names)
                     out = []
             yield _longs(out, names)
@@ -125,32 +129,30 @@ def suffix_entries(texts: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
 
 
 class SuffixLevels:
-    """Levels of (u0, u1, n), each in the order of its digests; two of a level merge into one of the next."""
+    """Levels of distinct entry digests (u0, u1), each in their order, no digest in two; two of a size merge into the next."""
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels = scratch, {}
-
-    @staticmethod
-    def _merge(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*U).agg(F.sum("n").alias("n"))
+        self.scratch, self.levels, self.matches = scratch, {}, []
 
     def add(self, entries: DataFrame) -> None:
-        """Flush the array of a batch of entries, and merge levels of equal size."""
-        array, level = self.scratch.write(self._merge(entries.select(*U, F.lit(1).cast("long").alias("n"))).sortWithinPartitions(*U), "array"), 0
-        while (other := self.levels.pop(level, None)) is not None:
-            merged = self.scratch.write(self._merge(array.unionByName(other)).sortWithinPartitions(*U), "array")
-            self.scratch.drop(array)
+        """Scan the array of a batch of entries against the levels, and flush what is new as a level."""
+        array = self.scratch.write(entries.groupBy(*U).agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions(*U), "array")
+        found = [array.filter("n > 1").select(*U)]
+        for level in self.levels.values():
+            found.append(self.scratch.write(join_checked(level, array.select(*U), U, "left_semi", 1_000_000), "known"))
+        self.matches += found
+        known = reduce(DataFrame.unionByName, found[1:]) if self.levels else array.select(*U).limit(0)
+        new, size = self.scratch.write(join_checked(array.select(*U), known, U, "left_anti", 1_000_000).sortWithinPartitions(*U), "level"), 0
+        while (other := self.levels.pop(size, None)) is not None:
+            merged = self.scratch.write(new.unionByName(other).repartition(*U).sortWithinPartitions(*U), "level")
+            self.scratch.drop(new)
             self.scratch.drop(other)
-            array, level = merged, level + 1
-        self.levels[level] = array
+            new, size = merged, size + 1
+        self.levels[size] = new
 
     def repeated(self) -> DataFrame:
-        """Digests of entries that occur more than once, over all levels."""
-        tables = list(self.levels.values())
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return (out if len(tables) == 1 else self._merge(out)).filter("n > 1").select(*U)
+        """Digests of entries that occur more than once."""
+        return reduce(DataFrame.unionByName, self.matches).distinct()
 
 
 def _several(table: DataFrame, key: str) -> DataFrame:
@@ -172,6 +174,9 @@ def _gaps(involved: DataFrame, match: int, gap: int) -> DataFrame:
                     for k in range((x - z) // gap, (x - a) // gap + 1):
                         lo, hi = max(a, x - gap * k - gap + 1), min(z, x - gap * k)
                         out.append((t0, t1, lo, hi, *_digest(v[lo : hi + match]), _gram(v[x - gap * k : x - gap * k - gap + 1 + match], k + 1)))
+                    if len(out) > _ROWS:
+                        yield _longs(out, names)
+                        out = []
             yield _longs(out, names)
 
     return involved.select(*T, "text", "parts").mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -186,7 +191,11 @@ def _windows(involved: DataFrame, match: int) -> DataFrame:
             out = []
             for t0, t1, raw, parts in zip(*(b.column(i).to_pylist() for i in (0, 1)), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 v = memoryview(raw)
-                out += [(t0, t1, p, p, *_digest(v[p : p + match])) for g in parts or () for p in range(g["lo"], g["hi"] + 1)]
+                for g in parts or ():
+                    out += [(t0, t1, p, p, *_digest(v[p : p + match])) for p in range(g["lo"], g["hi"] + 1)]
+                    if len(out) > _ROWS:
+                        yield _longs(out, names)
+                        out = []
             yield _longs(out, names)
 
     return involved.select(*T, "text", "parts").mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -230,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = [join_checked(gaps, scratch.write(twice(gaps), "gaps2"), U, "left_semi", 1_000_000).select(*T, "lo", "hi")]
     open_gaps = join_checked(gaps, scratch.write(_several(gaps, "c"), "cores"), "c", "left_semi", 2_000_000).select(*T, "lo", "hi", *U).dropDuplicates(U)
     open_lists = scratch.write(open_gaps.groupBy(*T).agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "open")
-    windows = scratch.write(_windows(join_checked(involved.select(*T, "text"), open_lists, T, "inner", 100_000), match), "windows")
+    windows = scratch.write(_windows(join_checked(involved.select(*T, "text"), open_lists, T), match), "windows")
     more.append(join_checked(windows, scratch.write(twice(windows), "windows2"), U, "left_semi", 1_000_000).select(*T, "lo", "hi"))
 
     spans = marks.unionByName(more[0]).unionByName(more[1]).groupBy(*T).agg(F.collect_set(F.struct("lo", (F.col("hi") + match).alias("hi"))).alias("parts"))
@@ -245,9 +254,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], [*T, "removed", "spans", "sha", "kept"])
 
-    done = join_checked(involved.select(*T, "text"), spans, T, "inner", 200_000).select(*T, "text", "parts")
+    done = join_checked(involved.select(*T, "text"), spans, T).select(*T, "text", "parts")
     done = scratch.write(done.mapInArrow(run, "t0 long, t1 long, removed long, spans long, sha string, kept binary"), "done")
     rows = src.select("doc_id", *T, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text")] if keep_text else []))
-    out = join_checked(rows, done if keep_text else done.drop("kept"), T, "left", 200_000)
+    out = join_checked(rows, done if keep_text else done.drop("kept"), T, "left")
     cols = ["doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")]
     return out.select(*cols, *([F.coalesce("kept", F.col("text").cast("binary")).alias("kept")] if keep_text else []))
