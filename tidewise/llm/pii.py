@@ -1,23 +1,25 @@
 """Personal data: patterns, and information-theoretic sanitisation (DataFrame functions only).
 
 Base spans are found by four patterns (email, ip, card, phone), each from left to right without overlap.
-Beyond these, words can give an entity away.  Corpus counts of documents estimate how strongly a term t reveals a kind of
-entity k: disclosure = PMI(t; k) / IC(k), with PMI = log2(p(t,k) / (p(t) p(k))) and IC = -log2 p(k); it is 1 for a term
-that only stands in documents with such an entity.  In documents with an entity of kind k, terms of at least ``MIN_DOCS``
-joint documents are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on.  Documents without base
-spans are left as they are.
+Beyond these, words can give an entity away.  Protected entities are the four kinds, and every single value (an address, a number) that
+at least ``MIN_DOCS`` documents hold; a value of fewer documents cannot reach the joint minimum with any term.  Corpus counts
+of documents estimate how strongly a term t reveals an entity e: disclosure = PMI(t; e) / IC(e), with PMI = log2(p(t,e) / (p(t) p(e)))
+and IC = -log2 p(e); it is 1 for a term that only stands in documents with e.  Terms with at least ``MIN_DOCS``
+joint documents are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand: also in documents without the
+entity, as they give it away there too.
 
-The counts cover all documents.  Terms are counted by kind in documents with entities first; only terms that
-reach the joint minimum are then counted in the whole corpus (a broadcast of checked size, else a shuffled join).
+The counts cover all documents and all words (a letter, then letters and digits).  Terms are counted in documents with
+entities first; only terms that reach the joint minimum are then counted in the whole corpus (a broadcast of checked size, else a
+shuffled join).
 
 Defined results: null texts are empty; texts are searched whole; repeated rows get equal spans; null ids are rows like any
-other; an empty table gives an empty table; extra columns are ignored; where every document has a kind, its IC is 0 and
-reveals nothing.
+other; an empty table gives an empty table; extra columns are ignored; where every document has an entity, its IC is 0 and nothing
+reveals it; spans that overlap are replaced as one, by what the first of them is replaced with.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}[\p{L}\p{N}]{2,39}+(?![\p{L}\p{N}])"
-TERM_START = r"(?<![\p{L}\p{N}])"
+TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 MIN_DOCS = 5
 GENERALISE, REMOVE = 0.8, 0.95
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -50,18 +51,18 @@ _VALID = {
 _EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
-def _lay_out(text: Column, pattern: Column, matches: Column) -> Column:
-    """Spans (start, end, value) of the matches: their places follow from the lengths of what stands between them."""
-    zipped = F.arrays_zip(matches.alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("spans"))
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative function over an array, by doubling shifts: n log n steps, however long it is."""
+    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1.0)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(shifts, values, lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, join(F.get(acc, i - d), v)).otherwise(v)))
 
-    def step(acc, x):
-        begin = acc["at"] + x["p"]
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_EMPTY))
+def _lay_out(text: Column, pattern: Column, matches: Column) -> Column:
+    """Spans (start, end, value) of the matches: their places follow from the lengths of what stands between them."""
+    lengths = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.coalesce(F.length(m), F.lit(0)) + F.length(p))
+    ends = _running(F.slice(lengths, F.lit(1), F.size(matches)), lambda a, b: a + b)
+    spans = F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(_EMPTY))
 
 
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
@@ -75,28 +76,79 @@ def _written(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
+def _words(text: Column) -> Column:
+    """Distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def _terms(text: Column) -> Column:
-    """Distinct terms of a text, lower-cased, outside of what looks like base entities."""
-    masked = reduce(lambda t, k: F.regexp_replace(t, PATTERNS[k], " "), KINDS, text)
-    return F.array_distinct(F.regexp_extract_all(F.lower(masked), F.lit(TERM_START + TERM), F.lit(0)))
+    """Distinct terms outside of what looks like base entities."""
+    return _words(reduce(lambda t, k: F.regexp_replace(t, PATTERNS[k], " "), KINDS, text))
+
 
+def disclosure(entities: DataFrame, docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(term, level, disclosure) of the terms whose disclosure of any entity reaches a threshold; level is 'general' or 'removed'.
 
-def disclosure(entities: DataFrame, docs: DataFrame, text_col: str, scratch: Scratch, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(term, kind, level) of the terms whose disclosure reaches a threshold; level is 'general' or 'removed'."""
+    ``entities``: documents with base spans (rid, text, and spans by kind); ``docs``: all (rid, text).
+    """
     n = docs.count()
-    per_kind = entities.agg(*[F.count_if(F.size(k) > 0).alias(k) for k in KINDS]).first().asDict()
-    ic = {k: -math.log2(c / n) if c else 0.0 for k, c in per_kind.items()}
-    flags = [F.count_if(F.col(f"has_{k}")).alias(k) for k in KINDS]
-    rows = entities.select(*[(F.size(k) > 0).alias(f"has_{k}") for k in KINDS], F.explode(_terms(F.col("text"))).alias("term"))
-    joint = rows.groupBy("term").agg(*flags).filter(F.greatest(*KINDS) >= min_docs)
-    joint = scratch.write(joint, "joint")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM_START + TERM), F.lit(0)))).alias("term"))
-    total = join_checked(words, joint.select("term"), "term", "left_semi", max_rows=500_000).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = joint.join(total, "term").select("term", "df", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("joint"), F.lit(ic[k]).alias("ic"), F.lit(float(per_kind[k])).alias("dk")) for k in KINDS])).alias("x")).select("term", "df", "x.*")
-    each = each.filter((F.col("joint") >= min_docs) & (F.col("ic") > 0) & (F.col("dk") > 0))
-    ratio = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("df") * F.col("dk"))) / F.col("ic")
-    each = each.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE)
-    return scratch.write(each.select("term", "kind", F.when(F.col("disclosure") >= REMOVE, F.lit("removed")).otherwise(F.lit("general")).alias("level")), "disclosing")
+    kinds = F.concat(*[F.when(F.size(k) > 0, F.array(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in KINDS])
+    values = F.array_distinct(F.concat(*[F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS]))
+    held = scratch.write(entities.select("rid", F.explode(values).alias("entity")), "values")
+    often = scratch.write(held.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).filter(F.col("de") >= min_docs), "often")
+    terms = scratch.write(entities.select("rid", kinds.alias("kinds"), F.explode(_terms(F.col("text"))).alias("term")), "terms")
+
+    by_kind = terms.groupBy("term").agg(*[F.count_if(F.array_contains("kinds", k)).alias(k) for k in KINDS])
+    by_kind = by_kind.select("term", F.inline(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).alias("joint")) for k in KINDS])))
+    valued = join_checked(held, often.select("entity"), "entity", "left_semi")
+    by_value = terms.select("rid", "term").join(valued, "rid").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("joint"))
+    joint = scratch.write(by_kind.unionByName(by_value.select("term", "entity", "joint")).filter(F.col("joint") >= min_docs), "joint")
+    sizes = entities.agg(*[F.count_if(F.size(k) > 0).alias(k) for k in KINDS]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).alias("de")) for k in KINDS])))
+
+    asked = scratch.write(joint.select("term").distinct(), "asked")
+    total = join_checked(docs.select(F.explode(_words(F.col("text"))).alias("term")), asked, "term", "left_semi", max_rows=500_000).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = joint.join(total, "term").join(sizes.unionByName(often), "entity").filter(F.col("de") < n)
+    ratio = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("df") * F.col("de").cast("double"))) / -F.log2(F.col("de") / F.lit(float(n)))
+    most = each.groupBy("term").agg(F.max(ratio).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return scratch.write(most.select("term", F.when(F.col("disclosure") >= REMOVE, F.lit("removed")).otherwise(F.lit("general")).alias("level"), "disclosure"), "disclosing")
+
+
+def _term_spans(name: str) -> Column:
+    """Spans of the terms of an array column in the text."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(name), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    found = _lay_out(F.col("text"), pattern, F.regexp_extract_all("text", pattern, F.lit(0)))
+    return F.when(F.size(name) > 0, found).otherwise(F.array().cast(_EMPTY))
+
+
+def _outside(spans: str, others: Column) -> Column:
+    """Spans that overlap none of the others: no other begins before and ends inside or after, none begins inside."""
+    mark = lambda c, own: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["value"].alias("value")))
+    every = F.array_sort(F.concat(mark(others, False), mark(F.col(spans), True)))
+    before = _running(F.transform(every, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"])), F.greatest)
+    after = F.reverse(_running(F.reverse(F.transform(every, lambda s: F.when(s["own"], F.lit(2**31 - 1)).otherwise(s["start"]))), F.least))
+    tested = F.zip_with(F.zip_with(every, before, lambda s, b: F.struct(s.alias("s"), b.alias("b"))), after, lambda x, a: F.struct(x["s"].alias("s"), x["b"].alias("b"), a.alias("a")))
+    free = F.filter(tested, lambda x: x["s"]["own"] & (x["b"] <= x["s"]["start"]) & (x["a"] >= x["s"]["end"]))
+    plain = F.transform(free, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value")))
+    return F.when(F.size(spans) > 0, plain).otherwise(F.array().cast(_EMPTY))
+
+
+#: What spans are replaced with.
+TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
+
+
+def _replaced(text: Column) -> Column:
+    """The text with its spans replaced; spans that overlap are one, with the tag of the first."""
+    every = F.array_sort(F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(tag).alias("tag"))) for k, tag in TAGS.items()]))
+    upto = _running(F.transform(every, lambda s: s["end"]), F.greatest)
+    prior = F.slice(F.concat(F.array(F.lit(0)), upto), F.lit(1), F.size(every))
+    laid = F.zip_with(every, prior, lambda s, b: F.struct(s["start"].alias("start"), s["tag"].alias("tag"), b.alias("before")))
+    heads = F.filter(laid, lambda x: (x["before"] <= x["start"]))
+    # A head ends what stands before it: the text between the last end and its start, then its tag.
+    chars = F.split(text, "")
+    pieces = F.transform(heads, lambda x: F.struct(x["before"].alias("a"), x["start"].alias("z"), x["tag"].alias("tag")))
+    rest = F.array(F.struct(F.array_max(upto).alias("a"), F.lit(2**31 - 1).alias("z"), F.lit("").alias("tag")))
+    built = F.transform(F.array(chars), lambda c: F.array_join(F.transform(F.concat(pieces, rest), lambda x: F.concat(F.array_join(F.slice(c, x["a"] + 1, F.least(x["z"], F.size(c)) - x["a"]), ""), x["tag"])), ""))
+    return F.when(F.size(every) > 0, built[0])
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -107,43 +159,23 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     scratch = Scratch(docs.sparkSession, "pii")
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = base_spans(src, "text").withColumn("any", F.greatest(*[F.size(k) for k in KINDS]) > 0)
-    base = scratch.write(found.select("doc_id", "any", F.when(F.col("any"), F.col("text")).alias("text"), *KINDS, F.monotonically_increasing_id().alias("rid")), "base")
-    entities = base.filter("any")
-    terms = disclosure(entities, src, "text", scratch, min_docs)
-
-    has = F.array_compact(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in KINDS]))
-    own = entities.select("rid", has.alias("kinds"), F.explode(_terms(F.col("text"))).alias("term"))
-    flagged = join_checked(own, terms, "term", max_rows=500_000).filter(F.array_contains("kinds", F.col("kind")))
-    of_doc = flagged.groupBy("rid").agg(F.collect_set(F.when(F.col("level") == "general", F.col("term"))).alias("general"), F.collect_set(F.when(F.col("level") == "removed", F.col("term"))).alias("removed"))
-    marked = entities.join(of_doc, "rid", "left")
-
-    def term_spans(name: str) -> Column:
-        pattern = F.concat(F.lit("(?iu)" + TERM_START + "(?:"), F.array_join(F.sort_array(name), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        matches = F.regexp_extract_all("text", pattern, F.lit(0))
-        return F.when(F.coalesce(F.size(name), F.lit(0)) > 0, _lay_out(F.col("text"), pattern, matches)).otherwise(F.array().cast(_EMPTY))
-
-    marked = marked.withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).withColumn("general", F.array_except(F.coalesce("general", F.array().cast("array<string>")), F.col("removed")))
-    marked = marked.withColumns({f"s_{x}": term_spans(x) for x in ("general", "removed")})
-    free = lambda spans: F.filter(spans, lambda s: ~F.exists(F.col("base_all"), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    marked = marked.withColumn("base_all", F.concat(*KINDS)).withColumns({x: free(F.col(f"s_{x}")) for x in ("general", "removed")})
-
-    # Outermost first: what begins inside a span that is already replaced is skipped.
-    tags = [("[EMAIL]", "email"), ("[IP]", "ip"), ("[CARD]", "card"), ("[PHONE]", "phone"), ("[TERM]", "general"), ("", "removed")]
-    with_tag = lambda c, tag: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(tag).alias("tag")))
-    tagged = F.array_sort(F.concat(*[with_tag(c, tag) for tag, c in tags]))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def replace(acc, s):
-        taken = s["start"] < acc["at"]
-        piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.when(taken, acc["at"]).otherwise(s["end"]).alias("at"), F.when(taken, acc["out"]).otherwise(F.concat(acc["out"], piece, s["tag"])).alias("out"))
-
-    clean = F.aggregate(tagged, begin, replace, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    # Rows are numbered in a table, so that a number means the same row whenever it is read.
+    base = scratch.write(base_spans(src, "text").withColumn("rid", F.monotonically_increasing_id()), "base")
+    terms = disclosure(base.filter(F.greatest(*[F.size(k) for k in KINDS]) > 0), base.select("rid", "text"), scratch, min_docs)
+
+    flagged = join_checked(base.select("rid", F.explode(_words(F.col("text"))).alias("term")), terms.select("term", "level"), "term", max_rows=500_000)
+    of_doc = flagged.groupBy("rid").agg(F.collect_set(F.when(F.col("level") == "general", F.col("term"))).alias("t_general"), F.collect_set(F.when(F.col("level") == "removed", F.col("term"))).alias("t_removed"))
+    marked = join_checked(base, scratch.write(of_doc, "of-doc"), "rid", "left")
+    marked = marked.withColumns({f"t_{x}": F.coalesce(f"t_{x}", F.array().cast("array<string>")) for x in ("general", "removed")})
+    marked = marked.withColumns({f"s_{x}": _term_spans(f"t_{x}") for x in ("general", "removed")})
+    marked = marked.withColumns({x: _outside(f"s_{x}", F.concat(*KINDS)) for x in ("general", "removed")})
+
     written = F.concat(*[_written(k, F.col(k)) for k in KINDS])
     extra = F.concat(*[_written(k, F.col(k)) for k in ("general", "removed")])
-    sha = F.sha2(F.array_join(written, ","), 256).alias("base_sha256")
-    with_any = marked.select("doc_id", *counts, sha, F.array_join(F.concat(written, extra), ",").alias("spans"), clean.alias("sanitised"))
-    without = base.filter("not any").select("doc_id", *counts, sha, F.lit("").alias("spans"), F.lit(None).cast("string").alias("sanitised"))
-    return with_any.unionByName(without)
+    return marked.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.array_join(written, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(written, extra), ",").alias("spans"),
+        _replaced(F.col("text")).alias("sanitised"),
+    )
