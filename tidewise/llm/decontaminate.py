@@ -1,10 +1,12 @@
 """Benchmark decontamination by a broadcast set of test n-grams.
 
 Words of the benchmark get numbers; a window is ``n`` consecutive word numbers of an item (an item
-of fewer words, but not none, is one window).  Items are broadcast, and hashed where they are used, in blocks of
-at most ``block_items`` items; a larger benchmark is scanned block after block in the same
-pass, so no single broadcast grows with the benchmark.  Tasks scan the windows of each whole text, verify each
-hash hit on the word numbers, and mark the words inside it.
+of fewer words, but not none, is one window).  Items are measured before anything is broadcast: a benchmark of at most
+``BLOCK_BYTES`` is one broadcast set and one pass.  A larger one is dealt into blocks of that size, and each block is a pass
+of its own over the documents; hits of all passes are then united by document, so that no task and not the
+driver ever holds more than one block.  Tasks scan the windows of each whole text, verify each hash hit on the word numbers, and
+mark the words inside it.  Documents are reported (``scan``), dropped (``remove_contaminated``) or relieved of the marked
+spans (``remove_spans``).
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no
 windows; items are counted by distinct item id (a null id counts as the empty string); long texts are
@@ -14,15 +16,19 @@ scanned whole; repeated rows get equal results; extra columns are ignored by ``s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewise.plans.scratch import Scratch
+
 N_WORDS = 10
+#: Bytes of items that are broadcast at once.
+BLOCK_BYTES = 32 << 20
 #: Bytes that are no word bytes become blanks; A-Z are lower-cased first.
 _TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -75,67 +81,114 @@ class WindowSet:
                     found |= of
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = 20_000, id_col: str = "item_id", text_col: str = "text"):
-    """Yield lists of at most ``block_items`` (id, text) items; the driver holds one block at a time."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    block: list[tuple[str, bytes]] = []
-    for r in rows.toLocalIterator():
-        block.append((r["i"], r["t"].encode()))
-        if len(block) == block_items:
-            yield block
-            block = []
-    yield block
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).filter("text is not null")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted ids), spans (word start and end pairs), and the columns of ``keep``."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    """Blocks that the items are dealt into, none of them over ``block_bytes`` in the mean."""
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
+    return max(1, -(-size // block_bytes))
+
+
+def _block(items: DataFrame, i: int, n: int) -> list[tuple[str, bytes]]:
+    return sorted((r["item"], r["text"].encode()) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect())
+
+
+def _hits(docs: DataFrame, block: list[tuple[str, bytes]], n: int, keep: list[str], text: str) -> DataFrame:
+    """(keep, ..., n_words, items, spans) of every document for one block: spans are pairs of a first word and the word after the last."""
+    shared, n_kept = docs.sparkSession.sparkContext.broadcast(block), len(keep)
+    src = docs.select(*keep, *([] if text in keep else [text]))
+    at = src.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [WindowSet(block.value, n) for block in blocks]
+        known = WindowSet(shared.value, n)
         for b in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
-                tokens = words(text) if text else []
+            n_words, items, spans = [], [], []
+            for raw in b.column(at).cast(pa.binary()).to_pylist():
+                tokens = words(raw) if raw else []
                 hit, found = np.zeros(len(tokens), bool), set()
-                for s in sets:
-                    s.scan(tokens, hit, found)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))) if found else np.zeros(0, np.int64)
+                known.scan(tokens, hit, found)
                 n_words.append(len(tokens))
-                n_hit.append(int(hit.sum()))
                 items.append(sorted(found))
-                spans.append(edges.tolist())
-            cols = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
-            kept = [b.column(i) for i in range(2, b.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols + kept, ["doc_id", "n_words", "n_hit", "items", "spans", *b.schema.names[2:]])
+                spans.append(np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist() if found else [])
+            cols = [pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_kept)), *cols], [*keep, "n_words", "items", "spans"])
+
+    kept = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
+    return src.mapInArrow(run, f"{kept}n_words long, items array<string>, spans array<long>")
 
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<long>" + "".join(f", `__keep_{c}` {src.schema[f'__keep_{c}'].dataType.simpleString()}" for c in keep)
-    out = src.mapInArrow(run, schema)
-    return out.select("doc_id", "n_words", "n_hit", "items", "spans", *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
+def _united(spans: Column) -> Column:
+    """Pairs in one flat array, from several passes, as sorted pairs that do not touch."""
+    places = F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1)
+    pairs = F.array_sort(F.transform(places, lambda i: F.struct(F.get(spans, 2 * i).alias("a"), F.get(spans, 2 * i + 1).alias("z"))))
+    none = F.array().cast("array<bigint>")
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    def step(out: Column, p: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.greatest(last, p["z"])))
+        return F.when((F.size(out) > 0) & (F.get(out, F.size(out) - 1) >= p["a"]), longer).otherwise(F.concat(out, F.array(p["a"], p["z"])))
 
+    return F.when(F.size(spans) > 2, F.aggregate(pairs, none, step)).otherwise(spans)
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text_col: str = "text", max_hit_share: float = 0.0) -> DataFrame:
+
+def scan(
+    docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items (sorted ids), spans (word start and end pairs), and the columns of ``keep``."""
+    text = f"__keep_{text_col}" if text_col in keep else "__text"
+    src = docs.select(F.col(id_col).alias("doc_id"), *([] if text_col in keep else [F.col(text_col).alias(text)]), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    items = _items(benchmark, item_col, item_text_col)
+    n_blocks, kept = _blocks(items, block_bytes), ["doc_id", *[f"__keep_{c}" for c in keep]]
+    if n_blocks == 1:
+        found = _hits(src, _block(items, 0, 1), n, kept, text)
+    else:
+        scratch = Scratch(docs.sparkSession, "decontaminate")
+        rows = scratch.write(src.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        every, hits = None, []
+        for i in range(n_blocks):
+            part = _hits(rows, _block(items, i, n_blocks), n, ["__row"] if i else ["__row", *kept], text)
+            part = scratch.write(part.filter(F.size("items") > 0) if i else part, "hits")
+            every = part if every is None else every
+            hits.append(part.filter(F.size("items") > 0).select("__row", "items", "spans"))
+        of_row = reduce(DataFrame.unionByName, hits).groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        joined = every.drop("items", "spans").join(of_row, "__row", "left")
+        found = joined.select(*kept, "n_words", F.coalesce("items", none("string")).alias("items"), F.coalesce(_united(F.col("spans")), none("bigint")).alias("spans"))
+    n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", *[F.col(f"__keep_{c}").alias(c) for c in keep])
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text_col: str = "text", max_hit_share: float = 0.0, **kw) -> DataFrame:
     """Documents whose share of hit words is at most ``max_hit_share``; the columns are those of ``docs``."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
-    at = docs.columns.index(text_col)
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*cols)
+    found = scan(named, benchmark, n, cols[0], cols[docs.columns.index(text_col)], tuple(cols), **kw)
+    return found.filter(F.col("n_hit") <= F.lit(max_hit_share) * F.col("n_words")).select(*[F.col(c).alias(name) for c, name in zip(cols, docs.columns, strict=True)])
+
+
+def cut_words(raw: bytes, spans: list[int]) -> bytes:
+    """A text without the words of the spans, and without what stands between them."""
+    at = np.frombuffer(raw.lower().translate(_TO_WORDS), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], at, [False]]).astype(np.int8)))
+    kept, done = [], 0
+    for a, z in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(raw[done : edges[2 * a]])
+        done = int(edges[2 * z - 1])
+    return b"".join([*kept, raw[done:]])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text_col: str = "text", **kw) -> DataFrame:
+    """All documents, with the text of hit words cut out (a null text stays null); the columns are those of ``docs``."""
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text_col)
+    found = scan(docs.toDF(*cols), benchmark, n, cols[0], cols[place], tuple(cols), **kw).select(*cols, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [WindowSet(block.value, n) for block in blocks]
         for b in batches:
-            keep = []
-            for text in b.column(at).cast(pa.binary()).to_pylist():
-                tokens = words(text) if text else []
-                hit = np.zeros(len(tokens), bool)
-                for s in sets:
-                    s.scan(tokens, hit, set())
-                keep.append(bool(hit.sum() <= max_hit_share * len(tokens)))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = [t if t is None or not spans else cut_words(t, spans).decode() for t, spans in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(len(cols)).to_pylist(), strict=True)]
+            texts = [t.decode() if isinstance(t, bytes) else t for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else b.column(i) for i in range(len(cols))], cols)
+
+    return found.mapInArrow(run, docs.toDF(*cols).schema).toDF(*docs.columns)
