@@ -6,7 +6,7 @@ tree on one feature at a time, each adding its leaf values to that feature's loo
 of features with the strongest left-over signal get two-dimensional tables in the same way.  A
 score is the logistic function of a sum of table entries, one look-up a feature and a pair.
 
-The model is fitted on a bounded sample of labelled rows (``max_train_rows``, chosen by a hash of the id)
+The model is fitted on a bounded sample of labelled rows (about ``max_train_rows``, chosen by a hash of the id)
 whose crc32(id as text) mod 5 is not 0; the features of all rows are computed in one pass by Spark tasks.
 
 Defined results: null and empty texts have all features 0 and are scored like any text; null ids count as
@@ -195,12 +195,16 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def train(table: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, label_col: str = "quality") -> Gam:
-    """Fit on at most ``max_train_rows`` labelled rows that are not held out (those of least hash)."""
+    """Fit on about ``max_train_rows`` labelled rows that are not held out (all, if there are fewer), chosen by a hash of the id."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
-    rows = table.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "features", "y")
-    sample = rows.orderBy("h", "doc_id", "features").limit(max_train_rows).toPandas()
-    x = np.array(sample["features"].tolist(), float).reshape(len(sample), len(FEATURES))
-    return fit(x, sample["y"].to_numpy(float))
+    marks = marks.filter(~held_out(F.col("doc_id")))
+    # The share is taken before the join, so that no more than the sample moves.
+    share = min(1.0, max_train_rows / max(1, marks.count()))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    sample = table.join(marks.filter(place < share), "doc_id").select("features", "y").toPandas()
+    x, y = np.array(sample["features"].tolist(), float).reshape(len(sample), len(FEATURES)), sample["y"].to_numpy(float)
+    order = np.lexsort([y, *x.T])  # the order of rows is part of the sums
+    return fit(x[order], y[order])
 
 
 def apply(table: DataFrame, model: Gam, columns: tuple[str, ...] = ()) -> DataFrame:
