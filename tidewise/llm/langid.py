@@ -5,8 +5,9 @@ one padded).  Filters of several widths slide over a window; as inputs are bytes
 table of values by place and byte.  The maximum of each filter over the window goes through a softmax layer.
 A document's probabilities are the mean over its windows, weighted by their bytes.
 
-The network is fitted on a bounded sample: about ``docs_per_lang`` documents a language (chosen by a hash of
-the id, crc32(id as text) mod 5 not 0), ``windows_per_doc`` windows of each, spaced over the whole text.
+The network is fitted on a bounded sample: about ``docs_per_lang`` documents a language, fewer where there are so many languages
+that these would be over ``MAX_TRAIN_DOCS`` (chosen by a hash of the id, crc32(id as text) mod 5 not 0), and
+``WINDOWS_PER_DOC`` windows of each, spaced over the whole text.  Every language of the sample is learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null langs teach nothing;
 without any labelled document everything is ``und``; null ids are held out; repeated rows get equal results;
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.llm.quality import held_out
+from tidewise.plans.scratch import Scratch, join_checked
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 DOCS_PER_LANG = 600
 WINDOWS_PER_DOC = 4
-#: Languages learned at most (the most frequent ones).
-MAX_LANGS = 256
+#: Documents of the sample at most, shared by all languages.
+MAX_TRAIN_DOCS = 20_000
 _CHUNK = 128
 
 
@@ -111,10 +113,12 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, d
     """Windows and langs of the bounded training sample."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     rows = rows.filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    counts = rows.groupBy("lang").count()
+    docs_per_lang = min(docs_per_lang, max(1, MAX_TRAIN_DOCS // max(1, counts.count())))
     shares = counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")).alias("share"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(2**31)) / F.lit(float(2**31))
-    picked = rows.join(F.broadcast(shares), F.col("lang") == F.col("l")).filter(place < F.col("share")).select("lang", "text")
+    shares = Scratch(docs.sparkSession, "langid").write(shares, "shares")
+    picked = join_checked(rows, shares, F.col("lang") == F.col("l")).filter(place < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
