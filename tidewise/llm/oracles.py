@@ -29,15 +29,17 @@ FROM each WHERE shard_bytes <= {sharding.MAX_BYTES} OR shard_docs = 1 QUALIFY ro
 """
 
 OP6 = f"""
-WITH t AS (SELECT conv_id, coalesce(turn, 0) // {chat.MAX_TURNS} AS part, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, part, who AS speaker FROM t WHERE who <> 'system'),
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, text) - 1) // {chat.MAX_TURNS} AS part FROM c),
+s AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+p AS (SELECT DISTINCT s.conv_id, part, speaker FROM s JOIN t ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
 r AS (SELECT p.conv_id, p.part, speaker, turn, who, t.text, speaker = who AS own,
     CASE WHEN speaker = who THEN '<|assistant|>' || chr(10) WHEN who = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || who || '|>' || chr(10) END AS head
     FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.part = t.part),
 o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
     FROM r WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, who, text))
 SELECT conv_id, part::BIGINT AS part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.END}' || chr(10), '' ORDER BY n) AS rendered,
-    string_agg(pos::BIGINT || ':' || (pos + length(text) + 7)::BIGINT, ',' ORDER BY n) FILTER (own) AS mask
+    coalesce(string_agg(pos::BIGINT || ':' || (pos + length(text) + 7)::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
 FROM o GROUP BY 1, 2, 3
 """
 
@@ -51,7 +53,7 @@ OP10 = """
 WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(lower_az, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
     FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
 bw AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
-win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, list_slice(w, i, i + least(10, len(w)) - 1) AS words FROM bw, (SELECT unnest(range(1, 1000)) AS i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, list_slice(w, i, i + least(10, len(w)) - 1) AS words FROM bw, (SELECT unnest(range(1, (SELECT coalesce(max(len(w)), 0) + 1 FROM bw))) AS i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
 pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw),
 hits AS (SELECT doc_id, p, win.k, item_id FROM (SELECT doc_id, p, ks.k, list_slice(w, p, p + ks.k - 1) AS words FROM pos, (SELECT DISTINCT k FROM win) ks WHERE p + ks.k - 1 <= len(w)) x JOIN win ON x.k = win.k AND x.words = win.words),
 n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY 1),
