@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars, all on tables.
 
 Every round rewires each node's neighbours to the least node around; the edge table is written
-after each round, and the rounds end when it no longer changes.  Only a count and a checksum reach the driver.
+after each round, and the rounds end when it no longer changes (an error, if that takes too many).  Only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rewired.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """(u, v) -> (node, root): the least node of the component, for every node that has an edge to another."""
     table = scratch.write(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
@@ -37,4 +37,6 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         if tuple(state) == seen:
             break
         seen = tuple(state)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return table.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(table.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -361,7 +361,8 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
             for u, v, kind in _bucket_rows(left):
                 yield batch(kind, [u, v])
 
-    index = variants(prints, words64, segments)
+    # The rows are few and the index is large: they are spread before it is made.
+    index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), words64, segments)
     # A segment is compared on the word after its own.
     of = F.floor(F.shiftright("key", 48) / 64).cast("int")
     index = index.withColumn("word", F.get(F.array(*[F.col(f"f{(i + 1) % words64}") for i in range(words64)]), of)).select(*columns)
