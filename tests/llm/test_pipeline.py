@@ -111,46 +111,46 @@ def test_near_dedup_against_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs.repartition(3)).collect()) == sorted(set(root))
 
 
-def test_bucket_pairs_leave_nothing_out():
-    """Every pair within the limit is a candidate, or its ends are in one tree of the forest."""
+def test_buckets_leave_nothing_out():
+    """The ends of every pair within the limit are in one tree of the forest, or both are listed; with roots all pairs are."""
     rng = np.random.default_rng(4)
     centres = rng.integers(-(2**63), 2**63 - 1, 9, np.int64)
-    flips = np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 14), replace=False)) for _ in range(300)], np.int64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 12), replace=False)) for _ in range(300)], np.int64)
     word = rng.choice(centres, 300) ^ flips
     bits = np.bitwise_count((word[:, None] ^ word[None]).view(np.uint64))
+    buckets, root = np.sort(np.repeat(np.arange(30), 10)), np.arange(300) % 7
+    within = lambda i, j: bits[i, j] <= simhash.FAR
 
-    def missing(rows, p, buckets, root=None):
-        up = list(range(rows))
+    def check(found, near):
+        (trees, free), up = found, list(range(300))
 
         def top(i):
             while up[i] != i:
                 i = up[i]
             return i
 
-        for i, j in p[p[:, 2] == 0][:, :2]:
+        for i, j in trees:
             assert top(i) != top(j) and bits[i, j] <= simhash.NEAR
             up[top(i)] = top(j)
-        emitted = {tuple(sorted(x)) for x in p[:, :2].tolist()}
-        near = [(i, j) for j in range(rows) for i in range(j) if buckets[i] == buckets[j] and bits[i, j] <= simhash.FAR and (root is None or root[i] != root[j])]
-        assert root is None or emitted == set(near)
-        return [x for x in near if x not in emitted and top(x[0]) != top(x[1])]
-
-    one = np.zeros(300, np.int64)
-    assert not missing(300, simhash.bucket_pairs(word, None), one)
-    sizes = np.sort(np.repeat(np.arange(30), 10))
-    assert not missing(300, simhash._small_pairs(sizes, word, None, np.full(300, 10)), sizes)
-    root = np.arange(300) % 7
-    assert not missing(300, simhash.bucket_pairs(word, root), one, root)
-    assert not missing(300, simhash._small_pairs(sizes, word, root, np.full(300, 10)), sizes, root)
+        apart = [(i, j) for i, j in near if top(i) != top(j)]
+        assert apart and {x for p in apart for x in p} <= set(free.tolist())
+
+    pairs = [(i, j) for j in range(300) for i in range(j) if within(i, j)]
+    check(simhash.bucket_forest(word), pairs)
+    same = [(i, j) for i, j in pairs if buckets[i] == buckets[j]]
+    check(simhash._small_buckets(buckets, word, None, np.full(300, 10)), same)
+    assert {tuple(p) for p in simhash.bucket_pairs(word, root)} == {(i, j) for i, j in pairs if root[i] != root[j]}
+    assert {tuple(p) for p in simhash._small_buckets(buckets, word, root, np.full(300, 10))[0]} == {(i, j) for i, j in same if root[i] != root[j]}
     halves = np.concatenate([np.arange(0, 300, 2), np.arange(1, 300, 2)])
-    across = simhash.bucket_pairs(word[halves], root[halves], 150)
-    want = {(i, j) for i in range(150) for j in range(150, 300) if bits[halves[i], halves[j]] <= simhash.FAR and root[halves[i]] != root[halves[j]]}
-    assert {tuple(x) for x in across[:, :2].tolist()} == want
+    across = [(i, j) for i in range(150) for j in range(150, 300) if within(halves[i], halves[j])]
+    assert {tuple(p) for p in simhash.bucket_pairs(word[halves], root[halves], 150)} == {(i, j) for i, j in across if root[halves[i]] != root[halves[j]]}
+    trees, free = simhash.bucket_forest(word[halves], 150)
+    assert all((i < 150) != (j < 150) for i, j in trees) and len(free)
 
 
 def test_near_dedup_in_blocks_and_again(spark, monkeypatch):
     """Buckets cut into blocks, and a forest of which many pairs are not similar."""
-    for name, value in (("BLOCK", 12), ("_DENSE", 4), ("NEAR", 18)):
+    for name, value in (("BLOCK", 12), ("_DENSE", 4), ("NEAR", 14)):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(8)
     word = lambda: "w" + str(rng.randrange(10**6))

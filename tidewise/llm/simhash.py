@@ -14,10 +14,11 @@ task key of its own, so no task holds an unbounded bucket.  Components then grow
 the same index over fingerprints of 256 bits of the set: such pairs differ in 15 % of the bits, so 16 segments of 16 bits are cut, each
 with its 16 wildcards, and a pair of similarity 0.8 shares a variant with probability 0.995 (0.85: 0.999, 0.5: 0.22).  An entry
 carries a word of the fingerprint that its segment is not part of; pairs of a bucket that differ in at most ``FAR`` bits of it
-are candidates, and become links when all bits and then their whole sets have been compared.  So that copies of one
-another cost no square, a bucket gives a spanning forest of what differs in at most ``NEAR`` bits, and beside it only pairs of different
-trees.  Where a pair of the forest turns out not to be similar, the fingerprints of its trees are indexed once more,
-and all their pairs that are not joined by then are compared.  Segments of 16 bits suit some ten million texts a run; buckets
+are candidates, and become links when all bits and then their whole sets have been compared.  Copies of one
+another must cost no square, so this goes in two passes.  In the first a bucket gives a spanning forest of what differs in at most
+``NEAR`` bits, and the fingerprints that have a candidate outside of their tree.  When the forest has been verified, these fingerprints and
+those of trees with a pair that is not similar are indexed once more, and all candidates that are not joined by then are
+compared.  Segments of 16 bits suit some ten million texts a run; buckets
 grow with the corpus, so a larger one wants longer segments of more words (``words64``, ``segments``).
 
 Defined results: null and wordless texts have the fingerprint 0 (an empty set) and are linked like any other; repeated rows are
@@ -49,7 +50,7 @@ WIDE_SHINGLE, SIMILAR = 5, (4, 5)
 WIDE_WORDS, WIDE_SEGMENTS = 4, 16
 #: Differing bits of a word up to which pairs are candidates, and up to which they are taken to be similar until compared; and
 #: the share of all bits up to which sets are compared (similar pairs differ in 15 %, with a deviation of 2 %).
-FAR, NEAR, ALL_BITS = 18, 9, 0.25
+FAR, NEAR, ALL_BITS = 14, 9, 0.21
 BLOCK = 4096
 _DENSE = 32
 
@@ -256,30 +257,38 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def bucket_pairs(word: np.ndarray, root: np.ndarray | None, first: int | None = None) -> np.ndarray:
-    """Candidates (i, j, kind) of one bucket, or between its first ``first`` rows and the others.
-
-    Kind 0 is the forest of near words, kind 1 are the pairs of different trees; with ``root`` there is no forest, and
-    pairs of equal roots are left out.
-    """
+def bucket_forest(word: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket, or of pairs between its first ``first`` rows and the others: a forest (i, j) of near words, and the rows that
+    have a candidate in another tree."""
     n, out = len(word), []
-    label = np.arange(n) if root is None else root
+    label, free = np.arange(n), np.zeros(n, bool)
     for i in range(1 if first is None else first, n):
         bits = _differ(word[: i if first is None else first], word[i])
         at = np.flatnonzero(bits <= FAR)
         if not len(at):
             continue
-        if root is None:
-            near = at[bits[at] <= NEAR]
-            trees, where = np.unique(label[near], return_index=True)
-            out += [(int(j), i, 0) for j in near[where]]
-            label[np.isin(label, trees)] = label[i]
-        out += [(int(j), i, 1) for j in at[label[at] != label[i]]]
-    return np.array(out, np.int64).reshape(-1, 3)
-
-
-def _small_pairs(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, size: np.ndarray) -> np.ndarray:
-    """The same for all small buckets of sorted rows at once; size: that of each row's bucket."""
+        near = at[bits[at] <= NEAR][::-1]  # the last row of each tree, so that trees grow long rather than wide
+        trees, where = np.unique(label[near], return_index=True)
+        out += [(int(j), i) for j in near[where]]
+        label[np.isin(label, trees)] = label[i]
+        other = at[label[at] != label[i]]
+        free[other] = True
+        free[i] |= len(other) > 0
+    return np.array(out, np.int64).reshape(-1, 2), np.flatnonzero(free)
+
+
+def bucket_pairs(word: np.ndarray, root: np.ndarray, first: int | None = None) -> np.ndarray:
+    """The candidates (i, j) of different roots of one bucket, or between its first ``first`` rows and the others."""
+    out = []
+    for i in range(1 if first is None else first, len(word)):
+        upto = i if first is None else first
+        at = np.flatnonzero((_differ(word[:upto], word[i]) <= FAR) & (root[:upto] != root[i]))
+        out.append(np.stack([at, np.full(len(at), i)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _small_buckets(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest and rows with other candidates (or, with roots, pairs and no rows) of all small buckets of sorted rows at once."""
     up, found = np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
     for shift in range(1, min(int(size.max(initial=1)), _DENSE)):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (size[:-shift] <= _DENSE))
@@ -292,48 +301,54 @@ def _small_pairs(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, si
             new = i[(bits <= NEAR) & (up[i + shift] == i + shift)]
             up[new + shift] = new
     pairs, tree = np.concatenate(found, 1), up
+    if root is not None:
+        return pairs.T, np.zeros(0, np.int64)
     while (tree[tree] != tree).any():
         tree = tree[tree]
-    other = pairs if root is not None else pairs[:, tree[pairs[0]] != tree[pairs[1]]]
     own = np.flatnonzero(up != np.arange(len(up)))
-    return np.concatenate([np.stack([up[own], own, np.zeros_like(own)], 1), np.stack([*other, np.ones_like(other[0])], 1)])
+    return np.stack([up[own], own], 1), np.unique(pairs[:, tree[pairs[0]] != tree[pairs[1]]])
 
 
-def _candidate_rows(nodes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Places (i, j, kind) -> distinct (u, v, kind), one column each."""
-    a, b = nodes[p[:, 0]], nodes[p[:, 1]]
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), p[:, 2]], 1), axis=0).T
+def _named(nodes: np.ndarray, pairs: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """Distinct (u, v) of pairs and (u, u) of single rows, as two columns."""
+    p = np.concatenate([np.zeros((0, 2), np.int64), *pairs, *[np.stack([r, r], 1) for r in rows]])
+    return np.unique(np.sort(nodes[p], axis=1), axis=0).T
 
 
 def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates (u, v, kind) of sorted rows (key, node, word, root or not) in whole buckets of at most BLOCK rows."""
+    """Candidates (u, v) of sorted rows (key, node, word, root or not) in whole buckets of at most BLOCK rows."""
     keys, nodes, word, root = t[0], t[1], t[2], t[3] if len(t) > 3 else None
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.diff(edge)
-    parts = [_small_pairs(keys, word, root, np.repeat(size, size))]
+    few, rows = _small_buckets(keys, word, root, np.repeat(size, size))
+    pairs, rows = [few], [rows]
     for g in np.flatnonzero(size > _DENSE):
         a, b = edge[g], edge[g + 1]
-        p = bucket_pairs(word[a:b], None if root is None else root[a:b])
-        parts.append(p + np.array([a, a, 0]))
-        if sum(map(len, parts)) > 100_000:
-            yield _candidate_rows(nodes, np.concatenate(parts))
-            parts = []
-    if parts:
-        yield _candidate_rows(nodes, np.concatenate(parts))
-
-
-def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int) -> DataFrame:
-    """(node, f0, ..., and root or not), one row a node -> (u, v, kind): candidate pairs of nodes; for kind see ``bucket_pairs``."""
+        if root is None:
+            p, r = bucket_forest(word[a:b])
+            rows.append(r + a)
+        else:
+            p = bucket_pairs(word[a:b], root[a:b])
+        pairs.append(p + a)
+        if sum(map(len, pairs)) + sum(map(len, rows)) > 100_000:
+            yield _named(nodes, pairs, rows)
+            pairs, rows = [], []
+    yield _named(nodes, pairs, rows)
+
+
+def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """(node, f0, ..., and root or not), one row a node -> (u, v, far): candidate pairs of nodes, far if all bits rule them out; and (node)
+    with candidates that are not listed.
+
+    Without roots the pairs are a forest in every bucket; with roots they are all candidates of different roots.
+    """
     columns = ["key", "node", "word", *(["root"] if "root" in prints.columns else [])]
-    names = ["key", "kind", "a", "b", "c"]
+    names = ["key", "a", "b", "c"]
 
-    def batch(kind: np.ndarray, cols: list[np.ndarray], key: np.ndarray | None = None) -> pa.RecordBatch:
-        none = pa.nulls(len(kind), pa.int64())
+    def batch(cols: list[np.ndarray], key: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(cols[0]), pa.int64())
         long = lambda c: pa.array(np.ascontiguousarray(c))
-        return pa.RecordBatch.from_arrays([none if key is None else long(key), long(kind), *map(long, cols), *[none] * (3 - len(cols))], names)
-
-    def aside(t: np.ndarray) -> pa.RecordBatch:
-        return batch(np.full(t.shape[1], 2), list(t[1:]), t[0])
+        return pa.RecordBatch.from_arrays([none if key is None else long(key), *map(long, cols), *[none] * (3 - len(cols))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, large = np.zeros((len(columns), 0), np.int64), None
@@ -341,7 +356,7 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
             t = np.concatenate([left, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])], 1)
             if large is not None:  # goes on with a bucket that is set aside
                 n = int(np.searchsorted(t[0], large, side="right"))
-                yield aside(t[:, :n])
+                yield batch(list(t[1:, :n]), t[0, :n])
                 t = t[:, n:]
                 large = None if t.shape[1] else large
             starts = np.flatnonzero(np.concatenate([[True], t[0, 1:] != t[0, :-1]])) if t.shape[1] else np.zeros(0, np.int64)
@@ -349,17 +364,15 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
             cut = int(starts[-1]) if len(starts) else 0
             wide = np.repeat(ends - starts > BLOCK, ends - starts)
             if wide.any():
-                yield aside(t[:, wide])
+                yield batch(list(t[1:, wide]), t[0, wide])
                 if wide[-1]:
                     large, cut = int(t[0, -1]), t.shape[1]
             whole = t[:, :cut][:, ~wide[:cut]]
             if whole.shape[1]:
-                for u, v, kind in _bucket_rows(whole):
-                    yield batch(kind, [u, v])
+                yield from (batch(list(p)) for p in _bucket_rows(whole))
             left = t[:, cut:]
         if left.shape[1]:
-            for u, v, kind in _bucket_rows(left):
-                yield batch(kind, [u, v])
+            yield from (batch(list(p)) for p in _bucket_rows(left))
 
     # The rows are few and the index is large: they are spread before it is made.
     index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), words64, segments)
@@ -367,8 +380,8 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
     of = F.floor(F.shiftright("key", 48) / 64).cast("int")
     index = index.withColumn("word", F.get(F.array(*[F.col(f"f{(i + 1) % words64}") for i in range(words64)]), of)).select(*columns)
     found = scratch.write(index.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "candidates")
-    out = found.filter("kind < 2").select(F.col("a").alias("u"), F.col("b").alias("v"), "kind")
-    large = found.filter("kind = 2").select("key", *[F.col(x).alias(c) for x, c in zip("abc", columns[1:], strict=False)])
+    out = found.filter("key is null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    large = found.filter("key is not null").select("key", *[F.col(x).alias(c) for x, c in zip("abc", columns[1:], strict=False)])
     if not large.isEmpty():
         counts = scratch.write(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
         cut = join_checked(large, counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -377,19 +390,19 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("block")
-            block, i, j = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-            root = pdf["root"].to_numpy() if "root" in columns else None
-            p = bucket_pairs(pdf["word"].to_numpy(), root, None if i == j else int((block == i).sum()))
-            return pd.DataFrame(dict(zip("uvk", _candidate_rows(pdf["node"].to_numpy(), p), strict=True)))
+            block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["word"].to_numpy()
+            first = None if i == j else int((block == i).sum())
+            p, rows = (bucket_pairs(word, pdf["root"].to_numpy(), first), np.zeros(0, np.int64)) if "root" in columns else bucket_forest(word, first)
+            return pd.DataFrame(dict(zip("uv", _named(pdf["node"].to_numpy(), [p], [rows]), strict=True)))
 
-        out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, k long").withColumnRenamed("k", "kind"))
-    pairs = scratch.write(out.groupBy("u", "v").agg(F.min("kind").alias("kind")), "near")
+        out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long"))
+    out = scratch.write(out.distinct(), "near")
     # All bits of both ends.
     words = [f"f{i}" for i in range(words64)]
-    left = pairs.join(prints.select(F.col("node").alias("u"), *[F.col(w).alias(f"a_{w}") for w in words]), "u")
+    left = out.filter("u <> v").join(prints.select(F.col("node").alias("u"), *[F.col(w).alias(f"a_{w}") for w in words]), "u")
     both = left.join(prints.select(F.col("node").alias("v"), *words), "v")
     bits = reduce(operator.add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words])
-    return scratch.write(both.select("u", "v", F.when(bits <= int(ALL_BITS * 64 * words64), F.col("kind")).otherwise(F.col("kind") + 2).alias("kind")), "pairs")
+    return scratch.write(both.select("u", "v", (bits > int(ALL_BITS * 64 * words64)).alias("far")), "pairs"), out.filter("u = v").select(F.col("u").alias("node"))
 
 
 def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
@@ -435,20 +448,21 @@ def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int
     # Sets that differ and share a fingerprint are candidates as they are.
     mates = scratch.write(sets.select("node", "own", "rid").join(first.select("node", F.col("own").alias("of")), "node").filter("own <> of").select("node", "own", "rid"), "mates")
     places = first.select(F.col("node").alias("id"), "rid").unionByName(mates.select(F.col("own").alias("id"), "rid"))
-    pairs = candidates(first.select("node", *words), scratch, words64, segments)
-    tested = scratch.write(pairs.filter("kind < 2").unionByName(mates.select(F.col("node").alias("u"), F.col("own").alias("v"), F.lit(1).cast("long").alias("kind"))), "tested")
-    found = _verified(tested.select("u", "v"), places, rows, shingle, scratch)
+    forest_, free = candidates(first.select("node", *words), scratch, words64, segments)
+    tested = scratch.write(forest_.filter("not far").select("u", "v").unionByName(mates.select(F.col("node").alias("u"), F.col("own").alias("v"))), "tested")
+    found = _verified(tested, places, rows, shingle, scratch)
     roots = components(found, scratch)
 
-    forest_pairs = pairs.filter("kind in (0, 2)").select("u", "v")
-    failed = scratch.write(forest_pairs.join(found, ["u", "v"], "left_anti"), "failed")
+    failed = scratch.write(forest_.select("u", "v").join(found, ["u", "v"], "left_anti"), "failed")
     if not failed.isEmpty():
-        trees = scratch.write(components(forest_pairs, scratch), "trees")
+        trees = scratch.write(components(forest_, scratch), "trees")
         broken = trees.join(failed.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
-        again = trees.join(broken, "root", "left_semi").select("node")
-        again = first.join(again, "node", "left_semi").join(roots, "node", "left").select("node", *words, F.coalesce("root", "node").alias("root"))
-        more = candidates(scratch.write(again, "again"), scratch, words64, segments).filter("kind < 2").join(tested, ["u", "v"], "left_anti")
-        found = found.unionByName(_verified(scratch.write(more, "more").select("u", "v"), places, rows, shingle, scratch))
+        free = free.unionByName(trees.join(broken, "root", "left_semi").select("node"))
+    free = scratch.write(free.distinct(), "free")
+    if not free.isEmpty():
+        again = first.join(free, "node", "left_semi").join(roots, "node", "left").select("node", *words, F.coalesce("root", "node").alias("root"))
+        more = candidates(scratch.write(again, "again"), scratch, words64, segments)[0].filter("not far").select("u", "v").join(tested, ["u", "v"], "left_anti")
+        found = found.unionByName(_verified(scratch.write(more, "more"), places, rows, shingle, scratch))
         roots = components(found, scratch)
     ids = join_checked(prints, mates.select("own", F.lit(True).alias("mate")), "own", "left").select("rid", "doc_id", F.when(F.col("mate"), F.col("own")).otherwise(F.col("node")).alias("id"))
     return ids, scratch.write(roots.select(F.col("node").alias("id"), "root"), "roots")
