@@ -6,7 +6,7 @@ polygons.  All expressions stay in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
@@ -113,6 +113,21 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
     return point(F.lit(_E0) + F.lit(_K0 * _RADIUS) * x, F.when(lat < 0, F.lit(_N_SOUTH)).otherwise(F.lit(0.0)) + F.lit(_K0 * _RADIUS) * y)
 
 
+def project(table: DataFrame, lon: str, lat: str, zone: int, name: str) -> DataFrame:
+    """Adds UTM metres as columns ``<name>x`` and ``<name>y``, with each step of the series a column that is computed once."""
+    e, lam = 2 * _N**0.5 / (1 + _N), F.radians(F.col(lon) - (zone * 6 - 183))
+    t = table.withColumn("__s", F.sin(F.radians(F.col(lat))))
+    t = t.withColumn("__t", F.sinh(F.atanh(F.col("__s")) - F.lit(e) * F.atanh(F.lit(e) * F.col("__s"))))
+    t = t.withColumns({"__xi": F.atan2(F.col("__t"), F.cos(lam)), "__eta": F.atanh(F.sin(lam) / F.sqrt(1 + F.col("__t") * F.col("__t")))})
+    x, y = F.col("__eta"), F.col("__xi")
+    for j, a in enumerate(_ALPHA, 1):
+        x = x + F.lit(a) * F.cos(2 * j * F.col("__xi")) * F.sinh(2 * j * F.col("__eta"))
+        y = y + F.lit(a) * F.sin(2 * j * F.col("__xi")) * F.cosh(2 * j * F.col("__eta"))
+    north = F.when(F.col(lat) < 0, F.lit(_N_SOUTH)).otherwise(F.lit(0.0))
+    t = t.withColumns({f"{name}x": F.lit(_E0) + F.lit(_K0 * _RADIUS) * x, f"{name}y": north + F.lit(_K0 * _RADIUS) * y})
+    return t.drop("__s", "__t", "__xi", "__eta")
+
+
 def from_utm(x: Column, y: Column, zone: Column, south: bool = False) -> Column:
     """(lon, lat) as a point, the inverse of ``to_utm``."""
     xi, eta = (y - F.lit(_N_SOUTH if south else 0.0)) / F.lit(_K0 * _RADIUS), (x - F.lit(_E0)) / F.lit(_K0 * _RADIUS)

@@ -1,8 +1,8 @@
 """Geometry and spatial operators: bins and equi-joins instead of nested loops.
 
-Geometries are multipolygons (``geom``) or arrays of points (``pts``), see ``functions.geo``.  Spatial joins explode both
-sides into the grid bins that they touch, join on the bin, test exactly, and drop the repeats of pairs that share
-several bins.
+Geometries are multipolygons (``geom``) or arrays of points (``pts``), see ``functions.geo``.  Lines meet polygons where one of their
+segments meets an edge, or where they lie inside: segments and edges are rows of plain numbers, dealt into the grid bins that they pass
+through, joined on the bin and tested exactly; whether a line lies inside is asked of its first point.
 """
 
 from __future__ import annotations
@@ -57,26 +57,32 @@ def point_in_polygons(points: DataFrame, polygons: DataFrame, size: float = BIN)
     return p.join(g, ["bx", "by"]).filter(near).filter(geo.in_edges(F.col("edges"), F.col("x"), F.col("y"))).select("id", "ord")
 
 
-def lines_meet_polygons(lines: DataFrame, polygons: DataFrame, size: float = BIN) -> DataFrame:
-    """(ord, pts) and (ord, geom) -> distinct (line, polygon) that have a point in common.
+def _pieces(rows: DataFrame, ident: str, parts: Column, size: float) -> DataFrame:
+    """(ident, ax, ay, bx, by, gx, gy): pieces of lines in the bins that they pass through."""
+    t = rows.select(ident, F.explode(parts).alias("s")).select(ident, *[F.col(f"s.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"])
+    cell = lambda c: F.floor(c / size).cast("long")
+    span = lambda k: F.explode(F.sequence(cell(F.least(f"a{k}", f"b{k}")), cell(F.greatest(f"a{k}", f"b{k}"))))
+    t = t.withColumn("gx", span("x")).withColumn("gy", span("y"))
+    # A long piece passes a bin unless all corners lie on one side of it.
+    side = lambda i, j: (F.col("bx") - F.col("ax")) * ((F.col("gy") + j) * size - F.col("ay")) - (F.col("by") - F.col("ay")) * ((F.col("gx") + i) * size - F.col("ax"))
+    corners = [side(i, j) for i in (0, 1) for j in (0, 1)]
+    slack = F.lit(1e-9) * (F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay")) + 1e-3)
+    return t.filter((F.least(*corners) <= slack) & (F.greatest(*corners) >= -slack))
 
-    Lines are binned segment by segment, so a long line does not fill the bins of its whole box.  A pair of boxes that
-    shares several bins is tested in one of them, the lower left bin of what they share.
-    """
+
+def lines_meet_polygons(lines: DataFrame, polygons: DataFrame, size: float = BIN) -> DataFrame:
+    """(ord, pts) and (ord, geom) -> distinct (line, polygon) that have a point in common."""
     first = F.get("pts", F.lit(0))
     parts = F.when(F.size("pts") == 1, F.array(F.struct(first.alias("a"), first.alias("b")))).otherwise(geo.segments(F.col("pts")))
-    seg = lines.select(F.col("ord").alias("line"), F.posexplode(parts).alias("seg", "s")).withColumn("sbox", geo.bounds(F.array("s.a", "s.b")))
-    seg = seg.select("line", "seg", "s", "sbox", F.inline(geo.bins(F.col("sbox"), size)))
-    poly = polygons.select(F.col("ord").alias("polygon"), geo.edges_of(F.col("geom")).alias("edges"), geo.bounds(_vertices()).alias("box")).select("*", F.inline(geo.bins(F.col("box"), size)))
-    lower = lambda k: F.floor(F.greatest(F.col(f"sbox.min_{k}"), F.col(f"box.min_{k}")) / size).cast("long")
-    meet = lambda k: (F.col(f"sbox.max_{k}") >= F.col(f"box.min_{k}")) & (F.col(f"sbox.min_{k}") <= F.col(f"box.max_{k}"))
-    pairs = seg.join(poly, ["bx", "by"]).filter(meet("x") & meet("y") & (F.col("bx") == lower("x")) & (F.col("by") == lower("y")))
-    # One row an edge, so that the tests are plain compiled arithmetic; they are summed up where they are made.
-    tests = pairs.select("line", "seg", "polygon", "s", F.posexplode("edges").alias("part", "ring")).select("line", "seg", "polygon", "part", "s", F.explode("ring").alias("e"))
-    a, b, c, d = F.col("s.a"), F.col("s.b"), F.col("e.a"), F.col("e.b")
-    right = F.when((c["y"] > a["y"]) != (d["y"] > a["y"]), a["x"] < (d["x"] - c["x"]) * (a["y"] - c["y"]) / (d["y"] - c["y"]) + c["x"]).otherwise(F.lit(False))
-    sums = tests.groupBy("line", "seg", "polygon", "part").agg(F.max(geo.segments_meet(a, b, c, d)).alias("touch"), F.sum(right.cast("int")).alias("crossed"))
-    return sums.filter(F.col("touch") | (F.col("crossed") % 2 == 1)).select("line", "polygon").distinct()
+    scratch = Scratch(lines.sparkSession, "spatial")
+    own = _pieces(lines.withColumnRenamed("ord", "line"), "line", parts, size)
+    edges = _pieces(polygons.withColumnRenamed("ord", "polygon"), "polygon", F.flatten(geo.edges_of(F.col("geom"))), size)
+    edges = scratch.write(edges.select("polygon", "gx", "gy", *[F.col(c).alias(n) for c, n in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)]), "edges")
+    p = lambda x, y: {"x": F.col(x), "y": F.col(y)}
+    touch = join_checked(own, edges, ["gx", "gy"], max_rows=1_000_000).filter(geo.segments_meet(p("ax", "ay"), p("bx", "by"), p("cx", "cy"), p("dx", "dy")))
+    starts = lines.filter(F.size("pts") > 0).select(F.col("ord").alias("id"), first["x"].alias("x"), first["y"].alias("y"))
+    inside = point_in_polygons(starts, polygons, size).select(F.col("id").alias("line"), F.col("ord").alias("polygon"))
+    return touch.select("line", "polygon").unionByName(inside).distinct()
 
 
 def intersecting(polygons: DataFrame, mask: DataFrame, size: float = BIN) -> DataFrame:
@@ -112,19 +118,28 @@ def max_risk_per_edge(roads: DataFrame, joined: DataFrame, var_col: str = "var")
 
 
 def within_distance(points: DataFrame, region: DataFrame, metres: float = 500.0, bin_metres: float = 2000.0) -> DataFrame:
-    """Points (id, x = lon, y = lat) in a region (ord, geom) or at most ``metres`` from its border, measured in the region's UTM zone."""
-    zone = region.select(geo.utm_zone((geo.bounds(_vertices())["min_x"] + geo.bounds(_vertices())["max_x"]) / 2).alias("z")).agg(F.min("z")).first()[0]
+    """Points (id, x = lon, y = lat) in a region (ord, geom) or at most ``metres`` from its border, measured in the region's UTM zone.
+
+    Each place and each edge is projected once, and only places outside of the region are measured.
+    """
+    box = geo.bounds(_vertices())
+    zone = region.select(geo.utm_zone((box["min_x"] + box["max_x"]) / 2).alias("z")).agg(F.min("z")).first()[0]
     if zone is None:
         return points.limit(0)
-    inside = point_in_polygons(points, region).select("id")
-    flat = points.select("id", geo.to_utm(F.col("x"), F.col("y"), F.lit(zone)).alias("p"))
-    edges = region.select(F.explode(F.flatten("geom")).alias("ring")).select(F.explode(geo.segments(geo.line_to_utm(F.col("ring"), F.lit(zone)))).alias("s"))
-    box = geo.bounds(F.array("s.a", "s.b"))
-    wide = F.struct((box["min_x"] - metres).alias("min_x"), (box["max_x"] + metres).alias("max_x"), (box["min_y"] - metres).alias("min_y"), (box["max_y"] + metres).alias("max_y"))
-    edges = edges.select("s", F.inline(geo.bins(wide, bin_metres)))
-    near = flat.select("id", "p", F.floor(F.col("p.x") / bin_metres).cast("long").alias("bx"), F.floor(F.col("p.y") / bin_metres).cast("long").alias("by")).join(edges, ["bx", "by"])
-    near = near.filter(geo.segment_distance(F.col("p.x"), F.col("p.y"), F.col("s")) <= metres).select("id")
-    return points.join(inside.unionByName(near).distinct(), "id", "left_semi")
+    scratch, places = Scratch(points.sparkSession, "within"), points.select("x", "y").distinct()
+    places = scratch.write(places.select("x", "y", F.struct("x", "y").alias("id")), "places")
+    inside = scratch.write(point_in_polygons(places, region).select("id.x", "id.y").distinct(), "inside")
+    flat = geo.project(places.join(inside, ["x", "y"], "left_anti").select("x", "y"), "x", "y", zone, "p")
+    ends = region.select(F.explode(F.flatten("geom")).alias("ring")).select(F.explode(geo.segments(F.col("ring"))).alias("s"))
+    ends = ends.select("s.a.x", "s.a.y", F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2")).distinct()
+    edges = geo.project(geo.project(ends, "x", "y", zone, "a"), "x2", "y2", zone, "b").select("ax", "ay", "bx", "by")
+    cell = lambda c: F.floor(c / bin_metres).cast("long")
+    span = lambda k: F.explode(F.sequence(cell(F.least(f"a{k}", f"b{k}") - metres), cell(F.greatest(f"a{k}", f"b{k}") + metres)))
+    edges = scratch.write(edges.withColumn("gx", span("x")).withColumn("gy", span("y")), "edges")
+    near = join_checked(flat.withColumns({"gx": cell(F.col("px")), "gy": cell(F.col("py"))}), edges, ["gx", "gy"], max_rows=1_000_000)
+    s = {"a": {"x": F.col("ax"), "y": F.col("ay")}, "b": {"x": F.col("bx"), "y": F.col("by")}}
+    near = near.filter(geo.segment_distance(F.col("px"), F.col("py"), s) <= metres).select("x", "y")
+    return points.join(inside.unionByName(near).distinct(), ["x", "y"], "left_semi").select(*points.columns)
 
 
 def network_in_region(nodes: DataFrame, edges: DataFrame, region: DataFrame, metres: float = 500.0) -> tuple[DataFrame, DataFrame]:

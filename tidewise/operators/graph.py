@@ -1,9 +1,10 @@
 """Road graphs and routing: whole tables of origins are solved at once by batched relaxation.
 
-A problem is an origin with its targets and exclusions.  The state holds, for each problem and node reached, the
-cheapest known path (cost, node sequence, edges).  Each round joins the nodes that just improved to the edges and keeps
-the cheaper paths; rounds end when nothing improves.  Nodes not cheaper than a problem's best target are not
-followed.  The state is a written table, so plans stay short and executors may be lost.
+A problem is an origin with its targets and exclusions; targets are one set shared by all problems, or a set a problem.  The state
+holds, for each problem and node reached, the cheapest known path (cost, node sequence, edges).  A step joins the nodes
+that just improved to the edges and keeps the cheaper paths; a round is several steps in one plan, after which the state
+is written, so that plans stay short and executors may be lost.  Rounds end when nothing improves.  Nodes not cheaper than
+a problem's best target are not followed.
 
 Ties are settled by cost, then the node sequence.  Costs must not be negative.
 """
@@ -18,6 +19,8 @@ from tidewise.operators.mcda import or_value
 from tidewise.plans.scratch import Scratch, hinted
 
 MAX_ROUNDS = 10_000
+#: Relaxation steps a round, between two written states.
+STEPS = 2
 
 
 def nodes_from_edges(roads: DataFrame) -> DataFrame:
@@ -54,8 +57,9 @@ def shortest_to_targets(
     excluded_edges: DataFrame | None = None,
     scratch: Scratch | None = None,
     max_rounds: int = MAX_ROUNDS,
+    steps: int = STEPS,
 ) -> DataFrame:
-    """(problem_id, src), (problem_id, target), edges -> (problem_id, target, total_cost, nodes, edge_ords, cum).
+    """(problem_id, src), (target) or (problem_id, target), edges -> (problem_id, target, total_cost, nodes, edge_ords, cum).
 
     The cheapest target of each problem; problems without a path have no row.  Exclusions are (problem_id, node)
     and (problem_id, src, dst), the latter for all parallels.  A source that is excluded has no path; one that is a
@@ -65,22 +69,23 @@ def shortest_to_targets(
     edges = scratch.write(cheapest_parallel(edges), "edges")
     if edges.filter("weight < 0").limit(1).count():
         raise ValueError("negative costs")
-    goals = scratch.write(targets.select("problem_id", F.col("target").alias("node")).distinct(), "targets")
+    of = ["problem_id", "node"] if "problem_id" in targets.columns else ["node"]
+    goals = scratch.write(targets.withColumnRenamed("target", "node").select(*of).distinct(), "targets")
     # Sizes are looked at once, before the loop.
     near, marked = hinted(edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")), hinted(goals.withColumn("goal", F.lit(True)))
     no_nodes = None if excluded_nodes is None else hinted(excluded_nodes.select("problem_id", "node"))
     no_edges = None if excluded_edges is None else hinted(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")))
-    is_goal = lambda t: t.join(marked, ["problem_id", "node"], "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
+    is_goal = lambda t: t.join(marked, of, "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
     no = F.array().cast("array<bigint>")
     start = problems.select("problem_id", F.col("src").cast("long").alias("node"))
     if no_nodes is not None:
         start = start.join(no_nodes, ["problem_id", "node"], "left_anti")
     first = F.struct(F.lit(0.0).alias("cost"), F.array("node").alias("nodes"), no.alias("edge_ords"), F.array(F.lit(0.0)).alias("cum"))
     state = scratch.write(is_goal(start.distinct()).select("problem_id", "node", "goal", first.alias("path"), F.lit(True).alias("new")), "state")
-    for _ in range(max_rounds):
-        best = state.filter("goal").groupBy("problem_id").agg(F.min("path.cost").alias("bound"))
+
+    def relaxed(state: DataFrame, best: DataFrame) -> DataFrame:
         front = state.filter("new and not goal").join(best, "problem_id", "left").filter("bound is null or path.cost < bound")
-        step = front.select("problem_id", "node", "path", "bound").join(near, "node").filter("bound is null or path.cost + weight <= bound")
+        step = front.select("problem_id", "node", "path", "bound").join(near, "node").filter("bound is null or path.cost + weight <= bound").filter("not array_contains(path.nodes, dst)")
         step = step.select(
             "problem_id",
             F.col("node").alias("src"),
@@ -96,19 +101,28 @@ def shortest_to_targets(
             step = step.join(no_edges, ["problem_id", "src", "node"], "left_anti")
         if no_nodes is not None:
             step = step.join(no_nodes, ["problem_id", "node"], "left_anti")
-        old = state.select("problem_id", "node", "goal", "path", F.lit(False).alias("new"))
-        both = old.unionByName(is_goal(step.select("problem_id", "node", "path")).withColumn("new", F.lit(True)))
-        merged = both.groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min("path").alias("path"), F.min(F.when(~F.col("new"), F.col("path"))).alias("was"))
-        grown = scratch.write(merged.select("problem_id", "node", "goal", "path", F.coalesce(F.col("path") < F.col("was"), F.lit(True)).alias("new")), "state")
+        old = state.select("problem_id", "node", "goal", "path", F.col("path").alias("was"))
+        both = old.unionByName(is_goal(step.select("problem_id", "node", "path")).withColumn("was", F.lit(None).cast(old.schema["was"].dataType)))
+        merged = both.groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min("path").alias("path"), F.min("was").alias("was"))
+        return merged.select("problem_id", "node", "goal", "path", F.coalesce(F.col("path") < F.col("was"), F.lit(True)).alias("new"))
+
+    for _ in range(max_rounds):
+        best = state.filter("goal").groupBy("problem_id").agg(F.min("path.cost").alias("bound"))
+        grown = state
+        for _ in range(steps):
+            grown = relaxed(grown, best)
+        grown = scratch.write(grown, "state")
         scratch.drop(state)
         state = grown
         if state.filter("new and not goal").isEmpty():
             break
+    else:
+        raise RuntimeError(f"paths still improve after {max_rounds} rounds")
     found = state.filter("goal").groupBy("problem_id").agg(F.min(F.struct("path.cost", F.col("node").alias("target"), "path")).alias("b"))
     return found.select("problem_id", "b.target", F.col("b.cost").alias("total_cost"), "b.path.nodes", "b.path.edge_ords", "b.path.cum")
 
 
-def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = None, steps: int = 2 * STEPS) -> DataFrame:
     """(problem_id, src) -> (problem_id, node, dist) for every node reached.
 
     As edges run both ways, one problem with all sites as sources gives every node's distance from its nearest site.
@@ -116,11 +130,18 @@ def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = No
     scratch = scratch or Scratch(sources.sparkSession, "distances")
     near = hinted(scratch.write(cheapest_parallel(edges).select(F.col("src").alias("node"), "dst", "weight"), "edges"))
     state = scratch.write(sources.select("problem_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")).distinct(), "state")
+
+    def relaxed(state: DataFrame) -> DataFrame:
+        step = state.filter("new").join(near, "node").select("problem_id", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(None).cast("double").alias("was"))
+        both = state.select("problem_id", "node", "dist", F.col("dist").alias("was")).unionByName(step)
+        merged = both.groupBy("problem_id", "node").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
+        return merged.select("problem_id", "node", "dist", F.coalesce(F.col("dist") < F.col("was"), F.lit(True)).alias("new"))
+
     while True:
-        step = state.filter("new").join(near, "node").select("problem_id", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(True).alias("new"))
-        both = state.withColumn("new", F.lit(False)).unionByName(step)
-        merged = both.groupBy("problem_id", "node").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("was"))
-        grown = scratch.write(merged.select("problem_id", "node", "dist", F.coalesce(F.col("dist") < F.col("was"), F.lit(True)).alias("new")), "state")
+        grown = state
+        for _ in range(steps):
+            grown = relaxed(grown)
+        grown = scratch.write(grown, "state")
         scratch.drop(state)
         state = grown
         if state.filter("new").isEmpty():
@@ -139,16 +160,17 @@ def path_edges(paths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
-    """(origin_id, src) and (origin_id, target) -> up to k loopless paths an origin: origin_id, path_id, target, total_cost, nodes, edge_ords.
+    """(origin_id, src), and (target) or (origin_id, target) -> up to k loopless paths an origin: origin_id, path_id, target, total_cost, nodes, edge_ords.
 
     Yen's method, with the spurs of all origins of a round solved in one relaxation: from each node of the last
     accepted path, next hops of accepted paths with the same root are excluded in both directions, and so are the root's nodes.
     """
     scratch = Scratch(origins.sparkSession, "yen")
     edges = scratch.write(cheapest_parallel(edges), "edges")
-    goals = scratch.write(targets.select("origin_id", "target").distinct(), "targets")
+    shared = "origin_id" not in targets.columns
+    goals = scratch.write(targets.select("target" if shared else F.struct("origin_id", "target").alias("t")).distinct().select("target" if shared else "t.*"), "targets")
     cols = ["origin_id", "target", "total_cost", "nodes", "edge_ords", "cum"]
-    first = shortest_to_targets(origins.select(F.col("origin_id").alias("problem_id"), "src"), goals.select(F.col("origin_id").alias("problem_id"), "target"), edges, scratch=scratch)
+    first = shortest_to_targets(origins.select(F.col("origin_id").alias("problem_id"), "src"), goals.withColumnRenamed("origin_id", "problem_id"), edges, scratch=scratch)
     accepted = scratch.write(first.withColumnRenamed("problem_id", "origin_id").select(*cols, F.lit(1).alias("path_id")), "accepted")
     pool = scratch.write(accepted.select(*cols).limit(0), "pool")
     for round_ in range(2, k + 1):
@@ -161,13 +183,12 @@ def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k
         spurs = scratch.write(spurs, "spurs")
         if spurs.isEmpty():
             break
-        shared = spurs.select("origin_id", "problem_id", "i", "root").join(accepted.select("origin_id", "nodes"), "origin_id").filter(F.expr("slice(nodes, 1, i + 1) = root and size(nodes) > i + 1"))
-        hops = shared.select("problem_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("dst"))
+        same_root = spurs.select("origin_id", "problem_id", "i", "root").join(accepted.select("origin_id", "nodes"), "origin_id").filter(F.expr("slice(nodes, 1, i + 1) = root and size(nodes) > i + 1"))
+        hops = same_root.select("problem_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("dst"))
         no_edges = scratch.write(hops.unionByName(hops.select("problem_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "no_edges")
         no_nodes = scratch.write(spurs.filter("i > 0").select("problem_id", F.explode(F.expr("slice(root, 1, i)")).alias("node")), "no_nodes")
-        found = shortest_to_targets(
-            spurs.select("problem_id", "src"), spurs.select("origin_id", "problem_id").join(goals, "origin_id").select("problem_id", "target"), edges, no_nodes, no_edges, scratch
-        )
+        asked = goals if shared else spurs.select("origin_id", "problem_id").join(goals, "origin_id").select("problem_id", "target")
+        found = shortest_to_targets(spurs.select("problem_id", "src"), asked, edges, no_nodes, no_edges, scratch)
         base = F.element_at("root_cum", -1)
         new = found.join(spurs.select("origin_id", "problem_id", "root", "root_edges", "root_cum"), "problem_id").select(
             "origin_id", "target", (base + F.col("total_cost")).alias("total_cost"), F.concat("root", F.expr("slice(nodes, 2, size(nodes))")).alias("nodes"), F.concat("root_edges", "edge_ords").alias("edge_ords"),
@@ -196,6 +217,6 @@ def evacuation_routes(origins: DataFrame, sites: DataFrame, nodes: DataFrame, ed
     at = Scratch(origins.sparkSession, "sites").write(at, "sites")
     start = snap(origins.select("origin_id", "lat", "lng"), nodes, ["origin_id"]).filter("node is not null").select("origin_id", F.col("node").alias("src"))
     start = Scratch(origins.sparkSession, "origins").write(start, "origins")
-    goals = start.select("origin_id").join(at.select(F.col("node").alias("target")), F.lit(True))
-    paths = k_shortest_paths(start, goals, edges, k)
+    # All sites are targets of every origin: one set, shared.
+    paths = k_shortest_paths(start, at.select(F.col("node").alias("target")), edges, k)
     return paths.join(at, paths["target"] == at["node"], "left").select("origin_id", "path_id", "target", F.coalesce("site", F.lit("Evacuation Site")).alias("site"), "total_cost", "nodes", "edge_ords")

@@ -1,6 +1,6 @@
 """Multi-criteria scores of edges and paths: weighted sums and TOPSIS, for many scenarios at once.
 
-Scenario tables are typed in by people (one row a setting of the sliders); they, and sums by scenario, are broadcast.
+Scenario tables (one row a setting of the sliders), and sums by scenario, are broadcast if they are small, as they are measured.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewise.functions import geo
 from tidewise.operators.rainfall import intensity_at
+from tidewise.plans.scratch import Scratch, join_checked
 
 CRITERIA = ("length", "risk", "rainfall")
 WEIGHT = {"length": "w_len", "risk": "w_risk", "rainfall": "w_rain"}
@@ -34,7 +35,7 @@ def edge_criteria(roads: DataFrame, cells: DataFrame, scenarios: DataFrame) -> D
     """
     base = roads.select("ord", or_value(F.col("length"), 1.0).alias("length"), or_value(F.col("risk_level"), 0.0).alias("risk"))
     base = base.join(intensity_at(mid_points(roads), cells), base["ord"] == F.col("id")).drop("id")
-    return base.join(F.broadcast(scenarios), F.lit(True)).select(
+    return join_checked(base, scenarios, F.lit(True)).select(
         "scenario_id", "ord", "length", "risk", F.when(F.col("simulation"), F.col("manual_rain")).otherwise(F.col("rain")).alias("rainfall"), *WEIGHT.values(), "simulation"
     )
 
@@ -45,30 +46,43 @@ def minmax(x: Column, lo: Column, hi: Column, cost: bool = True) -> Column:
     return F.when(hi == lo, F.lit(0.5)).otherwise(n if cost else 1 - n)
 
 
-def topsis(rows: DataFrame, keys: list[str], zero_norm: float) -> DataFrame:
-    """Adds ``closeness`` within the groups of ``keys``; all criteria are costs."""
-    norms = rows.groupBy(*keys).agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{c}") for c in CRITERIA])
-    norms = norms.withColumns({f"norm_{c}": F.when(F.col(f"norm_{c}") == 0, F.lit(zero_norm)).otherwise(F.col(f"norm_{c}")) for c in CRITERIA})
+def _extremes(keys: list[str], rows: DataFrame, zero_norm: float, *more: Column) -> DataFrame:
+    """Norms, and extremes of the weighted criteria, by ``keys``: one aggregate."""
+    sums = [F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{c}") for c in CRITERIA]
     # All criteria are divided by one positive norm and weighted, so ideal points follow from the extremes.
-    ends = rows.groupBy(*keys).agg(*[f(F.col(c) * F.col(WEIGHT[c])).alias(f"{name}_{c}") for c in CRITERIA for f, name in ((F.min, "lo"), (F.max, "hi"))])
-    t = rows.join(F.broadcast(norms.join(ends, keys)) if keys == ["scenario_id"] else norms.join(ends, keys), keys)
+    ends = [f(F.col(c) * F.col(WEIGHT[c])).alias(f"{name}_{c}") for c in CRITERIA for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    t = rows.groupBy(*keys).agg(*sums, *ends, *more)
+    return t.withColumns({f"norm_{c}": F.when(F.col(f"norm_{c}") == 0, F.lit(zero_norm)).otherwise(F.col(f"norm_{c}")) for c in CRITERIA})
+
+
+def _with_closeness(t: DataFrame) -> DataFrame:
     square = lambda end: sum(((F.col(c) * F.col(WEIGHT[c]) - F.col(f"{end}_{c}")) / F.col(f"norm_{c}")) ** 2 for c in CRITERIA)
     best, worst = F.sqrt(square("lo")), F.sqrt(square("hi"))
     close = F.when(best + worst == 0, F.lit(0.0)).otherwise(worst / (best + worst))
     return t.withColumn("closeness", close).drop(*[f"{p}_{c}" for p in ("norm", "lo", "hi") for c in CRITERIA])
 
 
+def topsis(rows: DataFrame, keys: list[str], zero_norm: float) -> DataFrame:
+    """Adds ``closeness`` within the groups of ``keys``; all criteria are costs."""
+    return _with_closeness(rows.join(_extremes(keys, rows, zero_norm), keys))
+
+
 def score_edges(criteria: DataFrame) -> DataFrame:
-    """Adds wsm, closeness and cost to edge criteria: bounds of length from the data, of risk 0..3, of rain 0..max(10, data)."""
-    ends = criteria.groupBy("scenario_id").agg(F.min("length").alias("len_lo"), F.max("length").alias("len_hi"), F.greatest(F.lit(10.0), F.max("rainfall")).alias("rain_hi"))
-    t = criteria.join(F.broadcast(ends), "scenario_id")
+    """Adds wsm, closeness and cost to edge criteria: bounds of length from the data, of risk 0..3, of rain 0..max(10, data).
+
+    The criteria are written once and summed in one pass.
+    """
+    scratch = Scratch(criteria.sparkSession, "scores")
+    rows = scratch.write(criteria, "criteria")
+    bounds = [F.min("length").alias("len_lo"), F.max("length").alias("len_hi"), F.greatest(F.lit(10.0), F.max("rainfall")).alias("rain_hi")]
+    t = join_checked(rows, scratch.write(_extremes(["scenario_id"], rows, 1.0, *bounds), "sums"), "scenario_id")
     wsm = (
         F.col("w_len") * minmax(F.col("length"), F.col("len_lo"), F.col("len_hi"))
         + F.col("w_risk") * minmax(F.col("risk"), F.lit(0.0), F.lit(3.0))
         + F.col("w_rain") * minmax(F.col("rainfall"), F.lit(0.0), F.col("rain_hi"))
     )
     t = t.withColumn("wsm", wsm).drop("len_lo", "len_hi", "rain_hi")
-    return topsis(t, ["scenario_id"], 1.0).withColumn("cost", F.col("length") * (1 + 5 * F.col("wsm")))
+    return _with_closeness(t).withColumn("cost", F.col("length") * (1 + 5 * F.col("wsm")))
 
 
 def live_cost(length: Column, static: Column, rain: Column) -> Column:
@@ -80,8 +94,8 @@ def live_cost(length: Column, static: Column, rain: Column) -> Column:
 
 
 def edge_costs(scored: DataFrame) -> DataFrame:
-    """(scenario_id, ord, cost): the multi-criteria cost in simulation, else the live one."""
-    return scored.select("scenario_id", "ord", F.when(F.col("simulation"), F.col("cost")).otherwise(live_cost(F.col("length"), F.col("risk"), F.col("rainfall"))).alias("cost"))
+    """(scenario_id, ord, rainfall, cost): the multi-criteria cost in simulation, else the live one."""
+    return scored.select("scenario_id", "ord", "rainfall", F.when(F.col("simulation"), F.col("cost")).otherwise(live_cost(F.col("length"), F.col("risk"), F.col("rainfall"))).alias("cost"))
 
 
 # --- paths ------------------------------------------------------------------------------------------------------------
@@ -100,7 +114,8 @@ def rank_paths(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFra
 
     A path alone in its set has closeness 1; otherwise the highest closeness wins, the first path of equals.
     """
-    t = paths.na.fill(0.0, list(CRITERIA)).join(F.broadcast(weights), F.lit(True))
+    t = paths.na.fill(0.0, list(CRITERIA))
+    t = join_checked(t, weights, F.lit(True))
     keys = [*keys, "scenario_id"]
     t = topsis(t, keys, 0.0001)
     w = W.partitionBy(*keys)
@@ -112,7 +127,7 @@ def path_summary(path_edges: DataFrame, scored: DataFrame, paths: DataFrame, key
     """Per path: mean edge wsm (null without edges), and display kilometres (physical, or total cost if 0)."""
     mean = path_edges.join(scored.select(F.col("ord").alias("edge_ord"), "wsm"), "edge_ord").groupBy(*keys).agg(F.avg("wsm").alias("mean_wsm"), F.count(F.lit(1)).alias("n_edges"))
     km = F.when(F.coalesce(F.col("length"), F.lit(0.0)) == 0, F.col("total_cost")).otherwise(F.col("length")) / 1000
-    return paths.join(mean, keys, "left").withColumn("km", F.round(km, 2))
+    return paths.join(mean, keys, "left").withColumn("km", F.round(F.round(km, 6), 2))
 
 
 def decision_ranks(summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,4 +152,4 @@ def edge_breakdown(path_edges: DataFrame, scored: DataFrame, keys: list[str], pa
 
 def computation_summary(summary: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Per path: cost, kilometres, number of edges, target and the weights used."""
-    return summary.join(F.broadcast(scenarios).select("scenario_id", *[F.col(w).alias(f"used_{w}") for w in WEIGHT.values()]), "scenario_id")
+    return join_checked(summary, scenarios.select("scenario_id", *[F.col(w).alias(f"used_{w}") for w in WEIGHT.values()]), "scenario_id")

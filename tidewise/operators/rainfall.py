@@ -187,14 +187,19 @@ def cells_of(grid: DataFrame, strict_compat: bool = False) -> DataFrame:
 def intensity_at(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(id, lat, lon) -> (id, rain): intensity of the first cell whose closed bounds hold the point, else 0.
 
-    A point can lie in cells next to its own only by rounding, so nine candidates are joined by (r, c).
+    A point is looked up in its own cell, and in a cell beside it only if it lies on their border up to rounding.
     """
-    r, c = F.floor((F.lit(60.0) - F.col("lat")) / F.lit(0.1)).cast("int"), F.floor(F.col("lon") / F.lit(0.1)).cast("int")
-    near = F.array(*[F.struct((r + i).alias("r"), (c + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    cand = points.select("id", "lat", "lon", F.inline(near))
-    hit = join_checked(cand, cells, ["r", "c"]).filter(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon")))
-    best = hit.groupBy("id").agg(F.min_by("intensity", "ord").alias("rain"))
-    return points.select("id").join(best, "id", "left").select("id", F.coalesce("rain", F.lit(0.0)).alias("rain"))
+    place = {"r": (F.lit(60.0) - F.col("lat")) / F.lit(0.1), "c": F.col("lon") / F.lit(0.1)}
+
+    def around(x: Column) -> Column:
+        near = lambda d: F.when(F.floor(x + F.lit(d)) != F.floor(x), F.floor(x + F.lit(d)).cast("int"))
+        return F.array_compact(F.array(F.floor(x).cast("int"), near(-1e-6), near(1e-6)))
+
+    cand = points.select("id", "lat", "lon", F.explode_outer(around(place["r"])).alias("r")).select("id", "lat", "lon", "r", F.explode_outer(around(place["c"])).alias("c"))
+    held = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
+    hit = join_checked(cand, cells.select("r", "c", "ord", "min_lat", "max_lat", "min_lon", "max_lon", "intensity"), ["r", "c"], "left")
+    best = hit.groupBy("id").agg(F.min(F.when(held, F.struct("ord", "intensity"))).alias("b"))
+    return best.select("id", F.coalesce("b.intensity", F.lit(0.0)).alias("rain"))
 
 
 def band_totals(cells: DataFrame, band: Column) -> DataFrame:

@@ -124,7 +124,7 @@ def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_live_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _edge_scores(spark, sf_dir, fx.scenarios(spark).filter("scenario_id = 5"))
-    return mcda.edge_costs(t).join(t.select("ord", "rainfall"), "ord").select("ord", r6("rainfall", "rain"), r6("cost"))
+    return mcda.edge_costs(t).select("ord", r6("rainfall", "rain"), r6("cost"))
 
 
 # --- rain --------------------------------------------------------------------------------------------------------------------
@@ -395,18 +395,53 @@ def _district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.flood_polygons(spark, sf_dir).select("ord", "geom")
 
 
-@query()
+def _utm_sql(name: str, source: str, lon: str, lat: str) -> str:
+    """CTEs that add UTM metres (px, py) of zone 51 to a table, step by step."""
+    e = 2 * geo._N**0.5 / (1 + geo._N)
+    d = lambda v: f"{v!r}::DOUBLE"
+    x = " + ".join(["eta", *[f"{d(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1)]])
+    y = " + ".join(["xi", *[f"{d(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1)]])
+    k = d(geo._K0 * geo._RADIUS)
+    return f"""{name}_1 AS (SELECT *, sin(radians({lat})) AS s_, radians({lon} - 123) AS lam_ FROM {source}),
+    {name}_2 AS (SELECT *, sinh(atanh(s_) - {d(e)} * atanh({d(e)} * s_)) AS t_ FROM {name}_1),
+    {name}_3 AS (SELECT *, atan2(t_, cos(lam_)) AS xi, atanh(sin(lam_) / sqrt(1 + t_ * t_)) AS eta FROM {name}_2),
+    {name} AS (SELECT * EXCLUDE (s_, lam_, t_, xi, eta), 500000 + {k} * ({x}) AS px, {k} * ({y}) AS py FROM {name}_3)"""
+
+
+_SIDES = """sides_0 AS (SELECT ord, unnest([[cx - h, cy - h, cx + h, cy - h], [cx + h, cy - h, cx + h, cy + h], [cx + h, cy + h, cx - h, cy + h], [cx - h, cy + h, cx - h, cy - h]]) AS e FROM flood),
+    ends_0 AS (SELECT ord, e, e[1] AS x, e[2] AS y FROM sides_0), """ + _utm_sql("ends_a", "ends_0", "x", "y") + """,
+    ends_b0 AS (SELECT ord, e, px AS ax, py AS ay, e[3] AS x, e[4] AS y FROM ends_a), """ + _utm_sql("ends_b", "ends_b0", "x", "y") + """,
+    sides AS (SELECT ord, ax, ay, px AS bx, py AS q, (px - ax) AS dx, (py - ay) AS dy FROM ends_b)"""
+_NEAR = f"""{_utm_sql('flat', 'road_nodes', 'lon', 'lat')},
+    near AS (SELECT n.node FROM flat n JOIN flood f ON n.lon BETWEEN cx - h - 0.01 AND cx + h + 0.01 AND n.lat BETWEEN cy - h - 0.01 AND cy + h + 0.01 JOIN sides s ON s.ord = f.ord
+        GROUP BY n.node HAVING bool_or({_in_ring('n.lon', 'n.lat')}) OR min(sqrt((n.px - (ax + greatest(0, least(1, ((n.px - ax) * dx + (n.py - ay) * dy) / (dx * dx + dy * dy))) * dx)) ** 2
+            + (n.py - (ay + greatest(0, least(1, ((n.px - ax) * dx + (n.py - ay) * dy) / (dx * dx + dy * dy))) * dy)) ** 2)) <= 500)"""
+
+
+@query(_sql("SELECT node FROM near", _NODES, _FLOOD, _SIDES, _NEAR))
 def q_within_500m(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = fx.road_nodes(spark, sf_dir).select(F.col("node").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     return geometry.within_distance(nodes, _district(spark, sf_dir), 500.0).select(F.col("id").alias("node"))
 
 
-@query()
+@query(_sql("SELECT ord, u, v FROM roads WHERE u IN (SELECT node FROM near) AND v IN (SELECT node FROM near)", _ROADS, _NODES, _FLOOD, _SIDES, _NEAR))
 def q_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = geometry.network_in_region(fx.road_nodes(spark, sf_dir), fx.roads(spark, sf_dir), _district(spark, sf_dir))
     return edges.select("ord", "u", "v")
 
 
+@query(
+    _sql(
+        "SELECT node, round(px, 4) AS x, round(py, 4) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM flat", _NODES, _utm_sql("flat", "road_nodes", "lon", "lat"),
+    )
+)
+def q_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in metres, and back."""
+    t = fx.road_nodes(spark, sf_dir).select("node", geo.to_utm(F.col("lon"), F.col("lat"), geo.utm_zone(F.col("lon"))).alias("p"), geo.utm_zone(F.col("lon")).alias("zone"))
+    t = t.withColumn("back", geo.from_utm(F.col("p.x"), F.col("p.y"), F.col("zone")))
+    return t.select("node", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), r6("back.x", "lon"), r6("back.y", "lat"))
+
+
 #: A concave mask over the middle of the road network.
 MASK = [(120.7, 14.2), (121.3, 14.2), (121.3, 14.8), (121.0, 14.45), (120.7, 14.8), (120.7, 14.2)]
 
@@ -416,20 +451,45 @@ def _mask(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("ord"), ring.alias("ring"), F.array(F.array(ring)).alias("geom"))
 
 
-@query()
+_MASK_PTS = "mask AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(MASK[:-1], 1)) + ") t(i, x, y))"
+
+
+def _clip_sql() -> str:
+    """Shoelace areas of the mask cut at the four sides of each square; cut lines ride along as columns."""
+    steps = ["cut_0 AS (SELECT ord, i, x, y, cx - h AS l, cx + h AS r, cy - h AS b, cy + h AS t FROM flood CROSS JOIN mask)"]
+    for k, (axis, keep, line) in enumerate((("x", ">=", "l"), ("x", "<=", "r"), ("y", ">=", "b"), ("y", "<=", "t")), 1):
+        cross = f"{line} AS x, y + ({line} - x) / (nx - x) * (ny - y) AS y" if axis == "x" else f"x + ({line} - y) / (ny - y) * (nx - x) AS x, {line} AS y"
+        steps.append(
+            f"""next_{k} AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER a) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER a) AS ny FROM cut_{k - 1} WINDOW w AS (PARTITION BY ord ORDER BY i), a AS (PARTITION BY ord ORDER BY i)),
+            both_{k} AS (SELECT ord, i, 0 AS j, x, y, l, r, b, t FROM next_{k} WHERE {axis} {keep} {line} UNION ALL SELECT ord, i, 1, {cross}, l, r, b, t FROM next_{k} WHERE ({axis} {keep} {line}) != (n{axis} {keep} {line})),
+            cut_{k} AS (SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY i, j) AS i, x, y, l, r, b, t FROM both_{k})"""
+        )
+    steps.append("ring AS (SELECT ord, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM cut_4 WINDOW w AS (PARTITION BY ord ORDER BY i))")
+    return ", ".join(steps)
+
+
+@query(_sql("SELECT ord, round(abs(sum((x - 120) * (ny - 14) - (nx - 120) * (y - 14))) / 2 * 1e6, 3) AS area FROM ring GROUP BY 1 HAVING round(abs(sum((x - 120) * (ny - 14) - (nx - 120) * (y - 14))) / 2 * 1e6, 3) > 0", _FLOOD, _MASK_PTS, _clip_sql()))
 def q_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = geometry.clip(fx.flood(spark, sf_dir), _mask(spark))
-    return pieces.groupBy("ord").agg(r6(F.sum("area") * 1e6, "area"))
+    return pieces.groupBy("ord").agg(F.round(F.sum("area") * 1e6, 3).alias("area")).filter("area > 0")
+
 
+_MASK_SIDES = "mask_sides AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(MASK, MASK[1:], strict=False)) + ") t(ax, ay, bx, q))"
+_IN_MASK = "(SELECT count(*) FROM mask_sides WHERE (ay > {1}) != (q > {1}) AND {0} < (bx - ax) * ({1} - ay) / nullif(q - ay, 0) + ax) % 2 = 1"
+_MASKED = f"""masked AS (SELECT ord, var, cx, cy, h FROM flood WHERE EXISTS (SELECT 1 FROM mask_sides WHERE {' OR '.join(_meets(a, b) for a, b in _RING)})
+    OR {_in_ring('120.7::DOUBLE', '14.2::DOUBLE')} OR {_IN_MASK.format('(cx - h)', '(cy - h)')})"""
 
-@query()
+
+@query(_sql("SELECT ord, var FROM masked", _FLOOD, _MASK_SIDES, _MASKED))
 def q_intersecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.intersecting(fx.flood_polygons(spark, sf_dir), _mask(spark)).select("ord", "var")
 
 
-@query()
+@query(_sql("SELECT ord, 7 AS n_points, round((4 * h * h + 2 * h * 0.0003::DOUBLE) * 1e6, 3) AS area FROM flood", _FLOOD))
 def q_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.simplify(fx.flood(spark, sf_dir)).select("ord", F.size("ring").alias("n_points"), r6(geometry.ring_area(F.col("ring")) * 1e6, "area"))
+    """Of four pushed-out vertices a ring, the two beyond the tolerance stay."""
+    t = geometry.simplify(fx.jagged(spark, sf_dir))
+    return t.select("ord", F.size("ring").alias("n_points"), F.round(geometry.ring_area(F.transform("ring", lambda p: geo.point(p["x"] - 120, p["y"] - 14))) * 1e6, 3).alias("area"))
 
 
 @query(_sql("SELECT round(min(least(xu, xm, xv)), 6) AS min_x, round(max(greatest(xu, xm, xv)), 6) AS max_x, round(min(least(yu, ym, yv)), 6) AS min_y, round(max(greatest(yu, ym, yv)), 6) AS max_y FROM roads", _ROADS))
@@ -467,7 +527,7 @@ def q_road_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- routes -------------------------------------------------------------------------------------------------------------------
 
-_PAIR_SQL = "ps AS (SELECT range AS problem_id, range AS src, (range * 7 + 50) % (SELECT count(*) FROM customer) AS target FROM range(10))"
+_PAIR_SQL = "ps AS (SELECT s_suppkey AS problem_id, (s_suppkey * 13) % (SELECT count(*) FROM customer) AS src, (s_suppkey * 13 + 49) % (SELECT count(*) FROM customer) AS target FROM supplier)"
 _CHEAP = "cheap AS (SELECT src, dst, min(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2)"
 _RELAX = """reach(problem_id, node, dist) USING KEY (problem_id, node) AS (SELECT problem_id, src, 0.0::DOUBLE FROM ({start})
     UNION (SELECT d.problem_id, e.dst, min(d.dist + e.w) FROM reach d JOIN cheap e ON d.node = e.src LEFT JOIN recurring.reach k ON k.problem_id = d.problem_id AND k.node = e.dst
@@ -480,8 +540,7 @@ def _recursive(body: str, *ctes: str) -> str:
 
 @query(_recursive("SELECT p.problem_id, p.src, p.target, round(dist, 6) AS total_cost FROM ps p LEFT JOIN reach r ON p.problem_id = r.problem_id AND p.target = r.node", _ROADS, _EDGES, _CHEAP, _PAIR_SQL, _RELAX.format(start="SELECT problem_id, src FROM ps")))
 def q_sssp_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.table(spark, sf_dir, "customer").count()
-    pairs = spark.range(10).selectExpr("id as problem_id", "id as src", f"(id * 7 + 50) % {m} as target")
+    pairs = fx.pairs(spark, sf_dir).withColumnRenamed("origin_id", "problem_id")
     return graph.route_pairs(pairs, fx.roads(spark, sf_dir)).select("problem_id", "src", "target", r6("total_cost"))
 
 
@@ -503,16 +562,69 @@ def _routes(spark: SparkSession, sf_dir: str, scratch: Scratch, k: int = 3) -> t
     return roads, scored, scratch.write(paths, "paths")
 
 
-@query()
+#: Loopless paths up to the third cheapest, found by listing all that a lower bound of the rest of the way lets through. ``h``: that bound by
+#: problem and node; ``bound``: a cost that three paths of the problem do not exceed.
+_LISTED = """listed(problem_id, node, cost, nodes, ords) AS (SELECT problem_id, src, 0.0::DOUBLE, [src], []::BIGINT[] FROM starts
+    UNION ALL SELECT l.problem_id, e.dst, l.cost + e.w, list_append(nodes, e.dst), list_append(ords, e.ord) FROM listed l JOIN bound b ON b.problem_id = l.problem_id
+        JOIN cheap e ON e.src = l.node JOIN h ON h.node = e.dst AND h.problem_id {match}
+        WHERE NOT list_contains(nodes, e.dst) AND NOT {ended} AND l.cost + e.w + h.dist <= b.most + 1e-7),
+    ranked AS (SELECT problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY cost, node, nodes) AS path_id, node AS target, cost, nodes, ords FROM listed l WHERE {ended} QUALIFY path_id <= 3)"""
+_CHEAP_ORD = "cheap AS (SELECT src, dst, min(w) AS w, arg_min(ord, struct_pack(w := w, o := ord)) AS ord FROM es WHERE src <> dst GROUP BY 1, 2)"
+_K_SQL = _recursive(
+    "SELECT problem_id AS origin_id, path_id::INT AS path_id, target, round(cost, 6) AS total_cost, array_to_string(nodes, '-') AS nodes FROM ranked",
+    _ROADS, "es AS (SELECT u AS src, v AS dst, round(length * 100) AS w, ord FROM roads UNION ALL SELECT v, u, round(length * 100), ord FROM roads)", _CHEAP_ORD, _PAIR_SQL, "starts AS (SELECT problem_id, src FROM ps)",
+    # Ways to the target that avoid the source.
+    """h(problem_id, node, dist) USING KEY (problem_id, node) AS (SELECT problem_id, target, 0.0::DOUBLE FROM ps
+    UNION (SELECT d.problem_id, e.dst, min(d.dist + e.w) FROM h d JOIN cheap e ON d.node = e.src JOIN ps ON ps.problem_id = d.problem_id AND ps.src <> e.dst
+        LEFT JOIN recurring.h k ON k.problem_id = d.problem_id AND k.node = e.dst WHERE k.dist IS NULL OR d.dist + e.w < k.dist GROUP BY 1, 2))""",
+    """bound AS (SELECT problem_id, max(cost) AS most FROM (SELECT ps.problem_id, e.w + h.dist AS cost FROM ps JOIN cheap e ON e.src = ps.src JOIN h ON h.problem_id = ps.problem_id AND h.node = e.dst
+        QUALIFY row_number() OVER (PARTITION BY ps.problem_id ORDER BY cost) <= 3) GROUP BY 1)""",
+    _LISTED.format(match="= l.problem_id", ended="EXISTS (SELECT 1 FROM ps WHERE ps.problem_id = l.problem_id AND ps.target = l.node)"),
+)
+
+
+@query(_K_SQL)
 def q_k_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three alternatives between the ends of each pair, in plain metres."""
-    m = fx.table(spark, sf_dir, "customer").count()
-    pairs = spark.range(6).selectExpr("id as origin_id", "id as src", f"(id * 11 + 60) % {m} as target")
-    out = graph.k_shortest_paths(pairs.select("origin_id", "src"), pairs.select("origin_id", "target"), graph.undirected_edges(fx.roads(spark, sf_dir)))
+    """Three alternatives between the ends of each trip, in whole centimetres."""
+    pairs = fx.pairs(spark, sf_dir)
+    edges = graph.undirected_edges(fx.roads(spark, sf_dir), F.round(F.col("length") * 100))
+    out = graph.k_shortest_paths(pairs.select("origin_id", "src"), pairs.select("origin_id", "target"), edges)
     return out.select("origin_id", "path_id", "target", r6("total_cost"), F.array_join("nodes", "-").alias("nodes"))
 
 
-@query()
+_ONE = _SCEN.replace("simulation))", "simulation) WHERE scenario_id = 1)")
+_SNAP_ORIGINS = """starts AS (SELECT o.node AS problem_id, arg_min(n.node, struct_pack(d := sqrt((n.lon - o.x) * (n.lon - o.x) + (n.lat - o.y) * (n.lat - o.y)), o := n.ord)) AS src
+    FROM (SELECT node, lon - 0.002::DOUBLE AS x, lat + 0.001::DOUBLE AS y FROM road_nodes) o JOIN road_nodes n ON n.lon BETWEEN o.x - 0.05 AND o.x + 0.05 AND n.lat BETWEEN o.y - 0.05 AND o.y + 0.05 GROUP BY 1)"""
+_ROUTE_CTES = (
+    _ROADS, _DAYS, _CELLS, _MID, _ONE, _CRIT, _SCORED, _NODES, _SITES, _SNAP, _SNAP_ORIGINS, "es AS (SELECT u AS src, v AS dst, cost AS w, ord FROM roads JOIN scored USING (ord) UNION ALL SELECT v, u, cost, ord FROM roads JOIN scored USING (ord))", _CHEAP_ORD,
+    "places AS (SELECT node, arg_min(s.name, s.ord) AS site, arg_min(s.lng, s.ord) AS lng, arg_min(s.lat, s.ord) AS lat FROM snapped JOIN sites s USING (ord) GROUP BY 1)",
+    # The way from each node to its nearest site; beside it an origin has every loopless path that leaves it once and takes another node's way.
+    """h(problem_id, node, dist, way) USING KEY (problem_id, node) AS (SELECT DISTINCT 0, node, 0.0::DOUBLE, [node] FROM places
+    UNION (SELECT d.problem_id, e.dst, min(d.dist + e.w), arg_min(list_prepend(e.dst, d.way), d.dist + e.w) FROM h d JOIN cheap e ON d.node = e.src LEFT JOIN recurring.h k ON k.node = e.dst
+        WHERE k.dist IS NULL OR d.dist + e.w < k.dist GROUP BY 1, 2))""",
+    """turns AS (SELECT problem_id, src, dist AS whole, way, unnest(range(1, len(way))) AS i FROM (SELECT starts.problem_id, src, dist, way FROM starts JOIN h ON h.node = src)),
+    bound AS (SELECT problem_id, max(cost) AS most FROM (SELECT problem_id, cost FROM (SELECT starts.problem_id, h.dist AS cost FROM starts JOIN h ON h.node = src
+        UNION ALL SELECT t.problem_id, t.whole - a.dist + e.w + b.dist FROM turns t JOIN h a ON a.node = t.way[i] JOIN cheap e ON e.src = t.way[i] AND e.dst <> t.way[i + 1] JOIN h b ON b.node = e.dst WHERE NOT list_has_any(b.way, t.way[1:i]))
+        QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY cost) <= 3) GROUP BY 1)""",
+    _LISTED.format(match="= 0", ended="(l.node IN (SELECT node FROM places))"),
+)
+_STEPS_SQL = "steps AS (SELECT problem_id AS origin_id, path_id, unnest(range(len(ords))) AS seq, unnest(ords) AS ord FROM ranked)"
+_PATHS_SQL = """sums AS (SELECT origin_id, path_id, sum(r.length) AS length, sum(r.risk_level) AS risk, sum(rain) AS rainfall, avg(wsm) AS mean_wsm, count(*) AS n_edges FROM steps JOIN roads r USING (ord) JOIN mid_rain USING (ord) JOIN scored USING (ord) GROUP BY 1, 2),
+    full_ AS (SELECT problem_id AS origin_id, r.path_id::INT AS path_id, target, cost AS total_cost, coalesce(length, 0) AS length, coalesce(risk, 0) AS risk, coalesce(rainfall, 0) AS rainfall, mean_wsm, n_edges
+        FROM ranked r LEFT JOIN sums s ON s.origin_id = r.problem_id AND s.path_id = r.path_id),
+    n_ AS (SELECT origin_id, {norms} FROM full_ GROUP BY 1),
+    v_ AS (SELECT f.*, 0.2::DOUBLE * length / n1 AS a, 0.5::DOUBLE * risk / n2 AS b, 0.3::DOUBLE * rainfall / n3 AS c FROM full_ f JOIN n_ USING (origin_id)),
+    d_ AS (SELECT *, count(*) OVER o AS n, sqrt((a - min(a) OVER o) ** 2 + (b - min(b) OVER o) ** 2 + (c - min(c) OVER o) ** 2) AS dp, sqrt((a - max(a) OVER o) ** 2 + (b - max(b) OVER o) ** 2 + (c - max(c) OVER o) ** 2) AS dn FROM v_ WINDOW o AS (PARTITION BY origin_id)),
+    paths AS (SELECT *, CASE WHEN n = 1 THEN 1 WHEN dp + dn = 0 THEN 0 ELSE dn / (dp + dn) END AS closeness FROM d_)""".replace(
+    "{norms}", ", ".join(f"CASE WHEN sum({c} * {c}) = 0 THEN 0.0001::DOUBLE ELSE sqrt(sum({c} * {c})) END AS n{i}" for i, c in enumerate(("length", "risk", "rainfall"), 1))
+)
+
+
+def _route_sql(body: str, *more: str) -> str:
+    return _recursive(body, *_ROUTE_CTES, *more)
+
+
+@query(_route_sql("SELECT problem_id AS origin_id, path_id::INT AS path_id, target, site, round(cost, 6) AS total_cost, array_to_string(nodes, '-') AS nodes FROM ranked JOIN places ON places.node = target"))
 def q_evac_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _routes(spark, sf_dir, Scratch(spark, "q"))[2]
     return paths.select("origin_id", "path_id", "target", "site", r6("total_cost"), F.array_join("nodes", "-").alias("nodes"))
@@ -530,34 +642,72 @@ def _summaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return edges, scored, mcda.path_summary(edges, scored, ranked, keys)
 
 
-@query()
+@query(
+    _route_sql(
+        """SELECT origin_id, path_id AS cost_rank, round(length, 6) AS length, round(risk, 6) AS risk, round(rainfall, 6) AS rainfall, round(closeness, 6) AS closeness,
+        row_number() OVER (PARTITION BY origin_id ORDER BY round(closeness, 9) DESC, path_id) = 1 AS is_optimal FROM paths""", _STEPS_SQL, _PATHS_SQL,
+    )
+)
 def q_path_topsis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _summaries(spark, sf_dir)[2]
     return t.select("origin_id", F.col("path_id").alias("cost_rank"), r6("length"), r6("risk"), r6("rainfall"), r6("closeness"), "is_optimal")
 
 
-@query()
+@query(
+    _route_sql(
+        """SELECT origin_id, path_id, target, site, round(total_cost, 6) AS total_cost, round(round(CASE WHEN length = 0 THEN total_cost ELSE length END, 3)::DECIMAL(18, 3) / 1000, 2)::DOUBLE AS km, n_edges, round(mean_wsm, 6) AS mean_wsm,
+        0.2::DOUBLE AS used_w_len, 0.5::DOUBLE AS used_w_risk, 0.3::DOUBLE AS used_w_rain FROM paths JOIN places ON places.node = target""", _STEPS_SQL, _PATHS_SQL,
+    )
+)
 def q_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = mcda.computation_summary(_summaries(spark, sf_dir)[2], fx.scenarios(spark))
     return t.select("origin_id", "path_id", "target", "site", r6("total_cost"), "km", "n_edges", r6("mean_wsm"), "used_w_len", "used_w_risk", "used_w_rain")
 
 
-@query()
+@query(
+    _route_sql(
+        """SELECT origin_id, path_id, wsm_rank::INT AS wsm_rank, topsis_rank::INT AS topsis_rank, first_value(path_id) OVER (PARTITION BY origin_id ORDER BY wsm_rank) != first_value(path_id) OVER (PARTITION BY origin_id ORDER BY topsis_rank) AS decision_shift
+        FROM (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY round(mean_wsm, 9) NULLS FIRST, path_id) AS wsm_rank, row_number() OVER (PARTITION BY origin_id ORDER BY round(closeness, 9) DESC, path_id) AS topsis_rank FROM paths)""", _STEPS_SQL, _PATHS_SQL,
+    )
+)
 def q_decision_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = mcda.decision_ranks(_summaries(spark, sf_dir)[2], ["origin_id"])
     return t.select("origin_id", "path_id", "wsm_rank", "topsis_rank", "decision_shift")
 
 
-@query()
+@query(
+    _route_sql(
+        """SELECT origin_id, path_id::INT AS path_id, (seq + 1)::INT AS step, (seq // 8 + 1)::INT AS page, ord AS edge_ord, length, risk, round(rainfall, 6) AS rainfall, round(wsm, 4) AS wsm, round(closeness, 4) AS closeness,
+        CASE WHEN wsm = 0 THEN 'N/A' ELSE printf('%.4f', wsm) END AS wsm_text, CASE WHEN closeness = 0 THEN 'N/A' ELSE printf('%.4f', closeness) END AS closeness_text FROM steps JOIN scored USING (ord)""", _STEPS_SQL,
+    )
+)
 def q_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, scored, _ = _summaries(spark, sf_dir)
-    return mcda.edge_breakdown(edges, scored, ["origin_id", "path_id"])
+    return mcda.edge_breakdown(edges, scored, ["origin_id", "path_id"]).withColumn("rainfall", r6("rainfall"))
+
 
+_FAR = "sqrt((({p})['x'] - acc[-1]['x']) ** 2 + (({p})['y'] - acc[-1]['y']) ** 2)"
+_STITCH_SQL = f"""parts AS (SELECT origin_id, path_id, seq, [struct_pack(x := xu, y := yu), struct_pack(x := xm, y := ym), struct_pack(x := xv, y := yv)] AS pts FROM steps JOIN roads USING (ord)),
+    fold(origin_id, path_id, seq, acc) AS (SELECT origin_id, path_id, seq, pts FROM parts WHERE seq = 0 UNION ALL
+        SELECT f.origin_id, f.path_id, p.seq, list_concat(acc, list_filter(CASE WHEN {_FAR.format(p='pts[3]')} < {_FAR.format(p='pts[1]')} THEN list_reverse(pts) ELSE pts END, lambda q, i: i > 1 OR q['x'] != acc[-1]['x'] OR q['y'] != acc[-1]['y']))
+        FROM fold f JOIN parts p ON p.origin_id = f.origin_id AND p.path_id = f.path_id AND p.seq = f.seq + 1),
+    whole AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY origin_id, path_id ORDER BY seq DESC) = 1)"""
 
-@query()
+
+@query(
+    _route_sql(
+        """SELECT w.origin_id, w.path_id::INT AS path_id, len(acc)::INT AS n_points, round(acc[len(acc) // 2 + 1]['x'], 6) AS label_x, round(acc[len(acc) // 2 + 1]['y'], 6) AS label_y,
+        round(sqrt((acc[1]['x'] - (n.lon - 0.002::DOUBLE)) ** 2 + (acc[1]['y'] - (n.lat + 0.001::DOUBLE)) ** 2), 6) AS start_gap, round(sqrt((acc[-1]['x'] - places.lng) ** 2 + (acc[-1]['y'] - places.lat) ** 2), 6) AS target_gap
+        FROM whole w JOIN ranked r ON r.problem_id = w.origin_id AND r.path_id = w.path_id JOIN road_nodes n ON n.node = w.origin_id JOIN places ON places.node = r.target""", _STEPS_SQL, _STITCH_SQL,
+    )
+)
 def q_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as lines, with connectors from the origin's place and to that of the site."""
     roads, _, paths = _routes(spark, sf_dir, Scratch(spark, "q"))
     t = paths.select(F.struct("origin_id", "path_id").alias("path_id"), "edge_ords")
-    pts = geometry.stitch_paths(graph.path_edges(t, ["path_id"]), roads)
-    ends = geometry.connectors(pts.withColumns({"start": F.get("pts", F.lit(0)), "target": F.get("pts", F.size("pts") - 1)}))
-    return ends.select("path_id.origin_id", "path_id.path_id", F.size("pts").alias("n_points"), r6("label_point.x", "label_x"), r6("label_point.y", "label_y"))
+    pts = geometry.stitch_paths(graph.path_edges(t, ["path_id"]), roads).select("path_id.origin_id", "path_id.path_id", "pts")
+    start = fx.origins(spark, sf_dir).select("origin_id", geo.point(F.col("lng"), F.col("lat")).alias("start"))
+    sites = fx.sites(spark, sf_dir).select(F.col("name").alias("site"), geo.point(F.col("lng"), F.col("lat")).alias("target"))
+    ends = geometry.connectors(pts.join(paths.select("origin_id", "path_id", "site"), ["origin_id", "path_id"]).join(start, "origin_id").join(sites, "site"))
+    gap = lambda line: F.hypot(F.col(line)[0]["x"] - F.col(line)[1]["x"], F.col(line)[0]["y"] - F.col(line)[1]["y"])
+    return ends.select("origin_id", "path_id", F.size("pts").alias("n_points"), r6("label_point.x", "label_x"), r6("label_point.y", "label_y"), r6(gap("from_start"), "start_gap"), r6(gap("to_target"), "target_gap"))

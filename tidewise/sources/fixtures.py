@@ -74,9 +74,24 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def origins(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """(origin_id, lat, lng): points beside the first nodes."""
-    return road_nodes(spark, sf_dir).filter(F.col("node") < n).selectExpr("node as origin_id", "lat + 0.001D as lat", "lon - 0.002D as lng")
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origin_id, lat, lng): a point beside every node."""
+    return road_nodes(spark, sf_dir).selectExpr("node as origin_id", "lat + 0.001D as lat", "lon - 0.002D as lng")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origin_id, src, target): a trip for every supplier, to the node one row up and nine columns on."""
+    m = table(spark, sf_dir, "customer").count()
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as origin_id", f"(s_suppkey * 13) % {m} as src", f"(s_suppkey * 13 + 49) % {m} as target")
+
+
+def jagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, ring): the floods with a vertex in the middle of each side, pushed out by 0.00002 or 0.0003 in turn."""
+    f = flood(spark, sf_dir).selectExpr("ord", "ring[0].x as x0", "ring[0].y as y0", "ring[2].x as x1", "ring[2].y as y1")
+    d = [f"(case when (ord + {k}) % 2 = 0 then 0.0003D else 0.00002D end)" for k in range(4)]
+    at = ["x0, y0", f"(x0 + x1) / 2, y0 - {d[0]}", "x1, y0", f"x1 + {d[1]}, (y0 + y1) / 2", "x1, y1", f"(x0 + x1) / 2, y1 + {d[2]}", "x0, y1", f"x0 - {d[3]}, (y0 + y1) / 2", "x0, y0"]
+    points = ", ".join("struct({} as x, {} as y)".format(*p.rsplit(", ", 1)) for p in at)
+    return f.selectExpr("ord", f"array({points}) as ring")
 
 
 def rain(spark: SparkSession, sf_dir: str, half_hours: bool = False) -> DataFrame:

@@ -119,4 +119,9 @@ def publish_latest(cells: DataFrame, path: str) -> None:
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The published cells, or, where nothing is published yet, one row with an ``error``."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.range(1).select(F.lit("no rain published").alias("error"))
     return spark.read.parquet(path)

@@ -19,6 +19,12 @@ def read_stream(spark: SparkSession, root: str, box: tuple[int, int, int, int] |
     return cells.withWatermark("snap", watermark).dropDuplicatesWithinWatermark(["snap", "r", "c"])
 
 
+def read_cell_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Cells (snap, r, c, v) of decoded snapshots that land as Parquet."""
+    cells = spark.readStream.schema("snap timestamp, r int, c int, v double").parquet(root)
+    return cells.select("snap", "r", "c", clean_intensity(F.col("v")).alias("v"))
+
+
 def newest(cells: DataFrame) -> DataFrame:
     """(snap, r, c, v) -> the value of the latest snapshot of each cell."""
     return cells.groupBy("r", "c").agg(F.max(F.struct("snap", "v")).alias("b")).select("b.snap", "r", "c", "b.v")
@@ -53,6 +59,11 @@ def read_latest(spark: SparkSession, table_path: str, before: int | None = None)
 
 
 def run(spark: SparkSession, root: str, table_path: str, checkpoint: str, box: tuple[int, int, int, int] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the job; with available_now it ends when all files are read."""
-    writer = read_stream(spark, root, box).writeStream.foreachBatch(upsert(table_path)).option("checkpointLocation", checkpoint)
+    """Start the job on rasters; with available_now it ends when all files are read."""
+    return publish(read_stream(spark, root, box), table_path, checkpoint, available_now)
+
+
+def publish(cells: DataFrame, table_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the newest value of each cell of a stream in a table."""
+    writer = cells.writeStream.foreachBatch(upsert(table_path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
