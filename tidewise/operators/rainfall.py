@@ -103,11 +103,24 @@ def scan_archive(
     """
     files = sample_files(choose_days(listing, start, end, descending, max_days), sampling, every)
     hits = region_max(grid.join(files.select("snap").distinct(), "snap", "left_semi"), region)
-    hits = files.join(hits.filter(exceeds(F.col("max_v"), threshold)), "snap")
-    out = hits.orderBy("day_rank", "path").select("day", "hhmm", "path", "max_v")
+    return _hits(files, hits, threshold, all_hits)
+
+
+def _hits(files: DataFrame, maxima: DataFrame, threshold: float, all_hits: bool) -> DataFrame:
+    out = files.join(maxima.filter(exceeds(F.col("max_v"), threshold)), "snap").orderBy("day_rank", "path").select("day", "hhmm", "path", "max_v")
     return out if all_hits else out.limit(1)
 
 
+def region_maxima(grid: DataFrame, regions: list[tuple[float, float, float, float]]) -> DataFrame:
+    """(snap, m0, m1, ...): the maxima of several regions in one pass, for several searches of one archive."""
+    return grid.groupBy("snap").agg(*[F.max(F.when(in_region(x), F.col("v").cast("double"))).alias(f"m{i}") for i, x in enumerate(regions)])
+
+
+def scan_maxima(listing: DataFrame, maxima: DataFrame, start: str, end: str, threshold: float, sampling: tuple[str, ...] = ("all",), every: int = 1, descending: bool = False, max_days: int | None = None, all_hits: bool = False) -> DataFrame:
+    """``scan_archive`` over maxima (snap, max_v) that are there already."""
+    return _hits(sample_files(choose_days(listing, start, end, descending, max_days), sampling, every), maxima, threshold, all_hits)
+
+
 def region_with_fallback(grid: DataFrame, region: tuple[float, float, float, float] = CITY, wider: tuple[float, float, float, float] = WIDER) -> DataFrame:
     """(snap, where, max_v): the region's maximum if it is above 0, else that of the wider region; both in one pass."""
     v = F.col("v").cast("double")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo, rain, styles
 from tidewise.operators import classify, geometry, graph, mcda, rainfall
 from tidewise.plans.scratch import Scratch
+from tidewise.sources import features, grids
 from tidewise.sources import fixtures as fx
-from tidewise.sources import grids
+from tidewise.streaming import latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,18 +177,20 @@ def q_rain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.date_format("snap", "yyyy-MM-dd").alias("day"), "n_cells", r6("max_v"), r6("mean_v"))
 
 
-#: Archive searches: name, region, threshold, sampling, every, descending, days, all hits.
+#: Archive searches: name, region, threshold, sampling, every, descending, days, all hits, and the period.
+ALL_DAYS, ONE_WEEK = ("1900-01-01", "2999-12-31"), ("2024-01-08", "2024-01-14")
 SCANS = [
-    ("middle-of-last-days", rainfall.ARCHIPELAGO, 0.5, ("middle",), 1, True, 5, False),
-    ("three-a-day", rainfall.CITY, 0.5, ("first", "middle", "last"), 1, True, None, True),
-    ("middle-of-ten-days", rainfall.SCAN_V2, 1.0, ("middle",), 1, True, 10, True),
-    ("every-second", rainfall.CITY, 1.0, ("every",), 2, False, None, True),
-    ("even-hours", rainfall.CITY, 0.0, ("even_hours",), 1, False, None, True),
-    ("every-fourth-north", rainfall.NORTH, 0.5, ("every",), 4, False, 2, True),
-    ("every-fourth-south", rainfall.SOUTH, 2.0, ("every",), 4, False, 2, True),
-    ("every-sixth", rainfall.CITY, 5.0, ("every",), 6, False, None, True),
-    ("first-and-middle", rainfall.CITY, 0.3, ("first", "middle"), 1, True, None, False),
-    ("all", rainfall.CITY, 30.0, ("all",), 1, False, None, True),
+    ("middle-of-last-days", rainfall.ARCHIPELAGO, 0.5, ("middle",), 1, True, 5, False, ALL_DAYS),
+    ("three-a-day", rainfall.CITY, 0.5, ("first", "middle", "last"), 1, True, None, True, ALL_DAYS),
+    ("middle-of-ten-days", rainfall.SCAN_V2, 1.0, ("middle",), 1, True, 10, True, ALL_DAYS),
+    ("every-second", rainfall.CITY, 1.0, ("every",), 2, False, None, True, ALL_DAYS),
+    ("even-hours", rainfall.CITY, 0.0, ("even_hours",), 1, False, None, True, ALL_DAYS),
+    ("every-fourth-north", rainfall.NORTH, 0.5, ("every",), 4, False, 2, True, ALL_DAYS),
+    ("every-fourth-south", rainfall.SOUTH, 2.0, ("every",), 4, False, 2, True, ALL_DAYS),
+    ("every-sixth", rainfall.CITY, 5.0, ("every",), 6, False, None, True, ALL_DAYS),
+    ("first-and-middle", rainfall.CITY, 0.3, ("first", "middle"), 1, True, None, False, ALL_DAYS),
+    ("all", rainfall.CITY, 30.0, ("all",), 1, False, None, True, ALL_DAYS),
+    ("one-week", rainfall.CITY, 1.0, ("every",), 2, False, None, True, ONE_WEEK),
 ]
 _TESTS = {"all": "true", "first": "k = 0", "middle": "k = n // 2", "last": "k = n - 1", "even_hours": "substr(hhmm, 1, 2)::INT % 2 = 0"}
 _ARCHIVE = """archive AS (SELECT snap, 'now/half_hour_G' AS product, snap::DATE AS day, strftime(snap, '%H%M') AS hhmm,
@@ -193,21 +200,26 @@ _PLACED = """placed AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p
     dense_rank() OVER (ORDER BY day) AS up, dense_rank() OVER (ORDER BY day DESC) AS down FROM archive)"""
 
 
-def _scan_sql(name: str, region: tuple, threshold: float, sampling: tuple, every: int, descending: bool, days: int | None, all_hits: bool) -> str:
+def _scan_sql(name: str, region: tuple, threshold: float, sampling: tuple, every: int, descending: bool, days: int | None, all_hits: bool, period: tuple) -> str:
     rank = "down" if descending else "up"
+    placed = _PLACED.removeprefix("placed AS ").replace("FROM archive", f"FROM archive WHERE day BETWEEN DATE '{period[0]}' AND DATE '{period[1]}'")
     keep = " OR ".join(f"k % {every} = 0" if s == "every" else _TESTS[s] for s in sampling)
-    body = f"""SELECT '{name}' AS scan, strftime(p.day, '%Y-%m-%d') AS day, hhmm, round(max(v), 6) AS max_v, {rank} AS day_rank, path FROM placed p JOIN rain USING (snap)
+    body = f"""SELECT '{name}' AS scan, strftime(p.day, '%Y-%m-%d') AS day, hhmm, round(max(v), 6) AS max_v, {rank} AS day_rank, path FROM {placed} p JOIN rain USING (snap)
         WHERE ({keep}) AND {f'{rank} <= {days}' if days else 'true'} AND {_box(region)} GROUP BY ALL HAVING max(v) > {threshold}"""
     return f"SELECT scan, day, hhmm, max_v FROM ({body} ORDER BY day_rank, path{'' if all_hits else ' LIMIT 1'})"
 
 
-@query(_sql(" UNION ALL ".join(f"({_scan_sql(*s)})" for s in SCANS), _HALVES, _ARCHIVE, _PLACED))
+@query(_sql(" UNION ALL ".join(f"({_scan_sql(*s)})" for s in SCANS), _HALVES, _ARCHIVE))
 def q_rain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "scan")
-    grid, listing = scratch.write(fx.rain(spark, sf_dir, half_hours=True), "rain"), scratch.write(fx.archive(spark, sf_dir), "listing")
+    grid, listing = fx.rain(spark, sf_dir, half_hours=True), scratch.write(fx.archive(spark, sf_dir), "listing")
+    # The searches share few regions: the grid is summed by region once.
+    regions = sorted({s[1] for s in SCANS})
+    grid = scratch.write(rainfall.region_maxima(grid, regions), "maxima")
     out = None
-    for name, region, threshold, sampling, every, descending, days, all_hits in SCANS:
-        hits = rainfall.scan_archive(listing, grid, region, "1900-01-01", "2999-12-31", threshold, sampling, every, descending, days, all_hits)
+    for name, region, threshold, sampling, every, descending, days, all_hits, period in SCANS:
+        maxima = grid.select("snap", F.col(f"m{regions.index(region)}").alias("max_v")).filter("max_v is not null")
+        hits = rainfall.scan_maxima(listing, maxima, *period, threshold, sampling, every, descending, days, all_hits)
         hits = hits.select(F.lit(name).alias("scan"), F.date_format("day", "yyyy-MM-dd").alias("day"), "hhmm", r6("max_v"))
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -243,6 +255,15 @@ def q_grid_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rainfall.grid_or_fallback(cells, cells.select(-F.col("ord"), F.lit(0.0)).toDF("ord", "intensity"))
 
 
+@query(_sql("SELECT ord, 'flood' AS kind, round(intensity, 6) AS intensity FROM cells WHERE intensity > 400 UNION ALL SELECT node, 'node', 0.5::DOUBLE FROM road_nodes WHERE NOT EXISTS (SELECT 1 FROM cells WHERE intensity > 1000)", _NODES, _DAYS, _CELLS))
+def q_fallback_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A primary grid that has rows, and one that has none and is replaced."""
+    cells = rainfall.cells_of(fx.cells(spark, sf_dir)).select("ord", F.lit("flood").alias("kind"), r6("intensity"))
+    nodes = fx.road_nodes(spark, sf_dir).select(F.col("node").alias("ord"), F.lit("node").alias("kind"), F.lit(0.5).alias("intensity"))
+    some, none = cells.filter("intensity > 400"), cells.filter("intensity > 1000")
+    return some.unionByName(rainfall.grid_or_fallback(none, nodes))
+
+
 @query(_sql("SELECT ord, round(rain, 6) AS rain FROM mid_rain", _ROADS, _DAYS, _CELLS, _MID))
 def q_intensity_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rainfall.intensity_at(mcda.mid_points(fx.roads(spark, sf_dir)), rainfall.cells_of(fx.cells(spark, sf_dir)))
@@ -269,6 +290,21 @@ def q_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.select_snapshot(fx.archive(spark, sf_dir)).select("name", F.date_format("snap", "yyyy-MM-dd HH:mm").alias("snap"))
 
 
+@query(
+    _sql(
+        """SELECT * FROM (SELECT 'day' AS asked, max(name) AS name FROM named WHERE day = (SELECT max(day) - 3 FROM named) UNION ALL SELECT 'hour', max(name) FROM named WHERE day = (SELECT max(day) - 3 FROM named) AND hhmm LIKE '07%'
+        UNION ALL SELECT 'hour of no day', max(name) FROM named WHERE hhmm LIKE '07%' UNION ALL SELECT 'hour alone', max(name) FROM named) WHERE name IS NOT NULL""", _ARCHIVE, "named AS (SELECT *, split_part(path, '/', 7) AS name FROM archive)",
+    )
+)
+def q_snapshot_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last file of a day, of an hour of it, and with a malformed or missing date."""
+    listing = Scratch(spark, "choice").write(fx.archive(spark, sf_dir), "listing")
+    day = listing.agg(F.date_format(F.date_sub(F.max("day"), 3), "yyyy-MM-dd")).first()[0]
+    asked = {"day": (day, None), "hour": (day, "07"), "hour of no day": ("latest", "07"), "hour alone": (None, "07")}
+    parts = [grids.select_snapshot(listing, *x).select(F.lit(name).alias("asked"), "name") for name, x in asked.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- geometry ----------------------------------------------------------------------------------------------------------------
 
 _SEGS = "segs AS (SELECT ord, u, v, key, xu AS ax, yu AS ay, xm AS bx, ym AS q FROM roads UNION ALL SELECT ord, u, v, key, xm, ym, xv, yv FROM roads)"
@@ -497,6 +533,93 @@ def q_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.extent(fx.roads(spark, sf_dir)).select(*[r6(c) for c in ("min_x", "max_x", "min_y", "max_y")])
 
 
+@query(_sql("SELECT ord, 5 AS n_points, round(min_lon, 6) AS x0, round(max_lat, 6) AS y0, round(min_lon, 6) AS min_lon, round(max_lon, 6) AS max_lon, round(min_lat, 6) AS min_lat, round(max_lat, 6) AS max_lat, round(max_lon - 0.05, 6) AS half_lon FROM cells", _DAYS, _CELLS))
+def q_cell_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of grid cells from their top left corner, the bounds found back from them, and a cell of a surface of half the step."""
+    t = rainfall.cells_of(fx.cells(spark, sf_dir)).withColumn("ring", geometry.cell_polygon(F.col("r"), F.col("c")))
+    t = t.select("ord", "ring", geometry.cell_bounds(F.col("ring")).alias("b"), geometry.surface_polygon(F.col("min_lat"), F.col("min_lon")).alias("half"))
+    return t.select("ord", F.size("ring").alias("n_points"), r6(F.col("ring")[0]["x"], "x0"), r6(F.col("ring")[0]["y"], "y0"), *[r6(f"b.{c}", c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")], r6(F.col("half")[2]["x"], "half_lon"))
+
+
+# --- files ---------------------------------------------------------------------------------------------------------------------
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the days of rain as gzip rasters; of every fourth day only half a raster."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((1200, 3600), "<f4")
+        grid[pdf["r"], pdf["c"]] = pdf["v"]
+        raw, name = grid.tobytes(), pdf["name"].iloc[0]
+        return pd.DataFrame({"path": [f"/{name}"], "content": [gzip.compress(raw[: len(raw) // 2] if int(name[22:24]) % 4 == 0 else raw, 1)]})
+
+    name = F.concat(F.lit("gsmap_gauge_now."), F.date_format("snap", "yyyyMMdd"), F.lit(".0000.dat.gz"))
+    return fx.rain(spark, sf_dir).withColumn("name", name).groupBy("name").applyInPandas(run, "path string, content binary")
+
+
+_BAD_DAY = "day(snap) % 4 = 0"
+
+
+@query(_sql(f"SELECT strftime(snap, '%Y-%m-%d') AS day, r, c, round(v::FLOAT::DOUBLE, 3) AS v FROM rain WHERE NOT {_BAD_DAY} AND {_box(rainfall.CITY)}", _DAYS))
+def q_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters made from the rain, decoded in the city's window."""
+    r0, r1, c0, c1 = rainfall.region_box(rainfall.CITY)
+    t = grids.decode(_rasters(spark, sf_dir), (r0, r1, c0, c1), inclusive=False).filter("is_valid and v <> 0")
+    return t.select(F.date_format(grids.snapshot_time(grids.file_name(F.col("path"))), "yyyy-MM-dd").alias("day"), "r", "c", F.round(F.col("v").cast("double"), 3).alias("v"))
+
+
+@query(_sql(f"SELECT DISTINCT '/gsmap_gauge_now.' || strftime(snap, '%Y%m%d') || '.0000.dat.gz' AS path FROM rain WHERE {_BAD_DAY}", _DAYS))
+def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.quarantine(grids.decode(_rasters(spark, sf_dir), (452, 453, 1210, 1212)))
+
+
+@query(_sql("SELECT ord, 'Polygon' AS geom_type, var, 5 AS n_points, round(cx - h, 6) AS x, round(cy + h, 6) AS y FROM flood", _FLOOD))
+def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flood polygons written as features, one a line, and read again."""
+    path = f"{Scratch(spark, 'features').path}/flood"
+    features.write_features(fx.flood_polygons(spark, sf_dir), path, F.lit("Polygon"), features.coordinates(F.col("geom"))[0], ["ord", "var"])
+    t = features.read_features(spark, path, lines=True).withColumn("p", F.from_json("properties", "ord long, var string"))
+    ring = F.flatten(F.flatten("geom"))
+    return t.select("p.ord", "geom_type", "p.var", F.size(ring).alias("n_points"), r6(ring[0]["x"], "x"), r6(ring[2]["y"], "y"))
+
+
+@query(_sql("SELECT ord, var FROM masked", _FLOOD, _MASK_SIDES, _MASKED))
+def q_masked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer with box columns, of which a mask's box prunes row groups before the exact test."""
+    layer = fx.flood_polygons(spark, sf_dir).withColumn("box", geo.bounds(F.flatten(F.flatten("geom"))))
+    path = f"{Scratch(spark, 'layer').path}/flood"
+    layer.select("ord", "var", "geom", "box.min_x", "box.max_x", "box.min_y", "box.max_y").write.parquet(path)
+    return features.read_masked(spark, path, _mask(spark)).select("ord", "var")
+
+
+@query(_sql("SELECT var, count(*) AS n FROM flood GROUP BY 1", _FLOOD))
+def q_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer by one of its public names."""
+    fx.flood(spark, sf_dir).createOrReplaceTempView("flood_hazard")
+    return features.layer(spark, "flood_clipped").groupBy("var").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_sql("SELECT 0 AS place, NULL::BIGINT AS ord, NULL::DOUBLE AS intensity, 'no rain published' AS error UNION ALL SELECT 1, ord, round(intensity, 6), NULL FROM cells", _DAYS, _CELLS))
+def q_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells before and after they are published."""
+    path = f"{Scratch(spark, 'published').path}/rain_latest"
+    before = grids.read_latest(spark, path)
+    grids.publish_latest(rainfall.cells_of(fx.cells(spark, sf_dir)).withColumns({"snap": F.lit("last"), "source_file": F.lit("events")}), path)
+    after = grids.read_latest(spark, path).filter("processed_at <= current_timestamp()").select(F.lit(1).alias("place"), "ord", r6("intensity"))
+    return before.select(F.lit(0).alias("place"), "error").unionByName(after, allowMissingColumns=True)
+
+
+@query(_sql(f"SELECT r, c, strftime(max(snap), '%Y-%m-%d') AS day, round(arg_max({_CLEAN}, snap), 6) AS v FROM rain GROUP BY 1, 2", _DAYS))
+def q_newest_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots land in two deliveries, the later days first; a stream keeps the newest value of each cell."""
+    base = Scratch(spark, "stream").path
+    rain_ = fx.rain(spark, sf_dir).selectExpr("snap", "cast(r as int) as r", "cast(c as int) as c", "v")
+    for half in (1, 0):
+        rain_.filter(F.dayofmonth("snap") % 2 == half).write.mode("append").parquet(f"{base}/landing")
+        latest.publish(latest.read_cell_stream(spark, f"{base}/landing"), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return latest.read_latest(spark, f"{base}/table").select("r", "c", F.date_format("snap", "yyyy-MM-dd").alias("day"), r6("v"))
+
+
 # --- classes ------------------------------------------------------------------------------------------------------------------
 
 
