@@ -80,6 +80,20 @@ def test_exclusions_and_edge_cases(spark):
         graph.shortest_to_targets(spark.createDataFrame([(1, 0)], "problem_id long, src long"), spark.createDataFrame([(1, 1)], "problem_id long, target long"), spark.createDataFrame([(0, 1, -1.0, 0)], E))
 
 
+def test_shared_targets_and_steps(spark):
+    """One set of targets for all problems is the same as that set for each, however many steps a round has."""
+    rng = random.Random(9)
+    edges = spark.createDataFrame(random_graph(rng, 25, 45), E)
+    starts = spark.createDataFrame([(i, rng.randrange(25)) for i in range(8)], "problem_id long, src long")
+    goals = spark.createDataFrame([(3,), (17,), (21,)], "target long")
+    each = starts.select("problem_id").crossJoin(goals)
+    key = lambda df: sorted((r.problem_id, r.target, round(r.total_cost, 9), tuple(r.nodes)) for r in df.collect())
+    want = key(graph.shortest_to_targets(starts, each, edges, steps=1))
+    assert want and key(graph.shortest_to_targets(starts, goals, edges, steps=3)) == want
+    with pytest.raises(RuntimeError):
+        graph.shortest_to_targets(starts, goals, edges, max_rounds=1, steps=1)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_k_paths_against_enumeration(spark, seed):
     rng = random.Random(seed)

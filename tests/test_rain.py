@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewise.functions import rain
 from tidewise.operators import rainfall
+from tidewise.sources import fixtures as fx
 from tidewise.sources import grids
 from tidewise.streaming import latest
 
@@ -124,3 +125,17 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     run()
     assert {(r.c, r.snap.hour, r.v) for r in latest.read_latest(spark, table).collect()} == {(1205, 3, 5.0), (1206, 3, 0.0)}
     assert latest.read_latest(spark, str(tmp_path / "none")) is None
+
+
+def test_searches_that_share_maxima(spark, sf):
+    """Maxima of several regions in one pass give the hits of a search of its own."""
+    grid, listing = fx.rain(spark, sf, half_hours=True), fx.archive(spark, sf)
+    shared = rainfall.region_maxima(grid, [rainfall.CITY, rainfall.ARCHIPELAGO])
+    for i, region in enumerate((rainfall.CITY, rainfall.ARCHIPELAGO)):
+        ask = ("2024-01-03", "2024-01-28", 0.0, ("every",), 2, True, 20, True)
+        want = rainfall.scan_archive(listing, grid, region, *ask).collect()
+        assert (want or i == 0) and rainfall.scan_maxima(listing, shared.select("snap", F.col(f"m{i}").alias("max_v")).filter("max_v is not null"), *ask).collect() == want
+
+
+def test_nothing_published(spark, tmp_path):
+    assert [r.error for r in grids.read_latest(spark, f"{tmp_path}/none").collect()] == ["no rain published"]

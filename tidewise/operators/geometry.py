@@ -7,6 +7,8 @@ through, joined on the bin and tested exactly; whether a line lies inside is ask
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -199,16 +201,24 @@ def ring_area(ring: Column) -> Column:
 
 
 def clip(polygons: DataFrame, mask_rings: DataFrame, size: float = BIN) -> DataFrame:
-    """(ord, ring, ...) clipped to the outer rings (ring) of a mask: pieces (ord, triangle, piece, area), exact in area.
+    """(ord, ring, ...) clipped to a mask (ring, and hole or not): pieces (ord, triangle, piece, area), exact in area.
 
-    A mask is a single boundary, so its rings are triangulated on the driver; the pieces are made by joining
-    polygons to triangles on bins and cutting each at three lines.
+    Rings of the mask are cut into triangles in tasks; pieces are made by joining polygons to triangles on bins and cutting
+    each at three lines. Pieces of holes have a negative area, so that areas add up.
     """
-    rings = [[(p["x"], p["y"]) for p in r["ring"]] for r in mask_rings.select("ring").collect()]
-    rows = [(i, *[float(v) for p in t for v in p]) for i, t in enumerate(t for r in rings for t in triangulate(r))]
-    tri = polygons.sparkSession.createDataFrame(rows, "triangle long, ax double, ay double, bx double, by double, cx double, cy double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, xs, ys, hole in zip(b["i"], b["xs"], b["ys"], b["hole"], strict=True):
+                found = triangulate(list(zip(map(float, xs), map(float, ys), strict=True)))
+                yield pd.DataFrame([(f"{i}/{k}", -1.0 if hole else 1.0, *(float(v) for p in t for v in p)) for k, t in enumerate(found)], columns=["triangle", "sign", "ax", "ay", "bx", "by", "cx", "cy"])
+
+    hole = F.coalesce(F.col("hole"), F.lit(False)) if "hole" in mask_rings.columns else F.lit(False)
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    rings = mask_rings.select(F.monotonically_increasing_id().alias("i"), xs.alias("xs"), ys.alias("ys"), hole.alias("hole"))
+    tri = Scratch(polygons.sparkSession, "clip").write(rings.mapInPandas(run, "triangle string, sign double, ax double, ay double, bx double, by double, cx double, cy double"), "triangles")
     corners = F.array(*[geo.point(F.col(f"{k}x"), F.col(f"{k}y")) for k in "abc"])
-    tri = tri.select("triangle", F.struct("ax", "ay", "bx", "by", "cx", "cy").alias("t"), geo.bounds(corners).alias("box")).select("triangle", "t", F.inline(geo.bins(F.col("box"), size)))
+    tri = tri.select("triangle", "sign", F.struct("ax", "ay", "bx", "by", "cx", "cy").alias("t"), geo.bounds(corners).alias("box")).select("triangle", "sign", "t", F.inline(geo.bins(F.col("box"), size)))
     open_ring = F.slice("ring", F.lit(1), F.greatest(F.size("ring") - 1, F.lit(0)))
     src = polygons.select("ord", open_ring.alias("open"), F.inline(geo.bins(geo.bounds(F.col("ring")), size)))
     # A pair that shares several bins counts once; a ring is as good as any other copy of it.
@@ -217,7 +227,7 @@ def clip(polygons: DataFrame, mask_rings: DataFrame, size: float = BIN) -> DataF
     out = pairs.withColumn("piece", piece)
     out = out.withColumn("piece", _clip_edge(F.col("piece"), F.col("t.bx"), F.col("t.by"), F.col("t.cx"), F.col("t.cy")))
     out = out.withColumn("piece", _clip_edge(F.col("piece"), F.col("t.cx"), F.col("t.cy"), F.col("t.ax"), F.col("t.ay")))
-    return out.filter(F.size("piece") > 2).select("ord", "triangle", "piece", ring_area(F.col("piece")).alias("area"))
+    return out.filter(F.size("piece") > 2).select("ord", "triangle", "piece", (F.col("sign") * ring_area(F.col("piece"))).alias("area"))
 
 
 def _perpendicular_keep(xy: np.ndarray, tolerance: float) -> np.ndarray:
