@@ -93,7 +93,8 @@ def disclosure(entities: DataFrame, docs: DataFrame, scratch: Scratch, min_docs:
     """
     n = docs.count()
     kinds = F.concat(*[F.when(F.size(k) > 0, F.array(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in KINDS])
-    values = F.array_distinct(F.concat(*[F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS]))
+    named = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
+    values = F.array_distinct(F.concat(*map(named, KINDS)))
     held = scratch.write(entities.select("rid", F.explode(values).alias("entity")), "values")
     often = scratch.write(held.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).filter(F.col("de") >= min_docs), "often")
     terms = scratch.write(entities.select("rid", kinds.alias("kinds"), F.explode(_terms(F.col("text"))).alias("term")), "terms")
@@ -138,7 +139,8 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 def _replaced(text: Column) -> Column:
     """The text with its spans replaced; spans that overlap are one, with the tag of the first."""
-    every = F.array_sort(F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(tag).alias("tag"))) for k, tag in TAGS.items()]))
+    tagged = lambda k, tag: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(tag).alias("tag")))
+    every = F.array_sort(F.concat(*[tagged(k, tag) for k, tag in TAGS.items()]))
     upto = _running(F.transform(every, lambda s: s["end"]), F.greatest)
     prior = F.slice(F.concat(F.array(F.lit(0)), upto), F.lit(1), F.size(every))
     laid = F.zip_with(every, prior, lambda s, b: F.struct(s["start"].alias("start"), s["tag"].alias("tag"), b.alias("before")))
