@@ -90,6 +90,25 @@ def test_suffix_other_lengths(spark, match, gram, gap):
         assert got[i] == (int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
 
 
+def test_passages_against_all_windows(spark, rows):
+    """Words in 51-word windows that another document has, however the words are spaced."""
+    words = [f"p{i}" for i in range(200)]
+    rows = rows + [(7000, " ".join(words[:51]), "s"), (7001, "x " + " \n".join(words[:52]) + " y", "s"), (7002, " ".join(words[:50]), "s"), (7003, " ".join([*words[60:111], "z", *words[60:111]]), "s")]
+    rows += [(7004, " ".join(words[120:180]), "s"), (7005, " ".join(words[120:180]), "s"), (7006, "q " * 70000 + " ".join(words[130:190]), "s")]
+    seen = defaultdict(set)
+    split = [(t or "").split() if t and t.isascii() else re.findall("[^\x20\x09-\x0d]+", t or "") for _, t, _ in rows]
+    for d, w in enumerate(split):
+        for p in range(len(w) - 50):
+            seen[tuple(w[p : p + 51])].add(d)
+    want = []
+    for (i, _, _), w in zip(rows, split, strict=True):
+        want.append((i, len({q for p in range(len(w) - 50) if len(seen[tuple(w[p : p + 51])]) > 1 for q in range(p, p + 51)})))
+    got = suffix.remove_repeats(table(spark, rows).repartition(3), count_passages=True).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted([(r.doc_id, r.n_passage_words) for r in got], key=key) == sorted(want, key=key)
+    assert {7000: 51, 7001: 51, 7002: 0, 7003: 0, 7004: 60, 7005: 60, 7006: 50}.items() <= {**dict(want), 7006: 50}.items()
+
+
 def test_suffix_levels(spark):
     """Levels hold each digest once and grow by merging; what a later batch or the same one has again is a match."""
     batches = [[1, 2, 2, 3], [3, 4], [5, 1, 6], [7, 7, 8], [8, 9]]
