@@ -30,7 +30,8 @@ def _vertices(geom: str = "geom") -> Column:
 def dissolve_outline(parts: DataFrame) -> DataFrame:
     """(ord, geom, ...) -> edges (ax, ay, bx, by) of the outline of the union.
 
-    Neighbours share whole edges, so an inner edge occurs an even number of times; null parts are skipped.
+    Neighbours share whole edges, so an inner edge occurs an even number of times; null parts are skipped. For parts that
+    overlap or share only pieces of edges see ``union_outline``.
     """
     edges = parts.filter("geom is not null").select(F.explode(F.flatten("geom")).alias("ring")).select(F.explode(geo.segments(F.col("ring"))).alias("s"))
     one = edges.select(F.least("s.a", "s.b").alias("p"), F.greatest("s.a", "s.b").alias("q")).filter("p <> q")
@@ -38,6 +39,44 @@ def dissolve_outline(parts: DataFrame) -> DataFrame:
     return odd.select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 
+def union_outline(parts: DataFrame, size: float = BIN, eps: float = 1e-9) -> DataFrame:
+    """(ord, geom) -> edges (ax, ay, bx, by) of the outline of the union, also where parts overlap or share pieces of edges.
+
+    Edges are cut where other edges cross or touch them.  A piece is outline if just one of the points ``eps`` beside its middle lies in
+    a part; pieces that several parts have are taken once.
+    """
+    scratch, part = Scratch(parts.sparkSession, "union"), parts.filter("geom is not null").select("ord", "geom")
+    ends = [F.col(f"s.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"]
+    edges = part.select(F.explode(F.flatten(geo.edges_of(F.col("geom")))).alias("s")).select(*ends).filter("ax <> bx or ay <> by").distinct()
+    edges = scratch.write(edges.withColumn("e", F.monotonically_increasing_id()), "edges")
+    whole = F.array(F.struct(geo.point(F.col("ax"), F.col("ay")).alias("a"), geo.point(F.col("bx"), F.col("by")).alias("b")))
+    binned = scratch.write(_pieces(edges, "e", whole, size), "binned")
+    other = binned.select(F.col("e").alias("f"), "gx", "gy", *[F.col(c).alias(n) for c, n in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)])
+    p = lambda x, y: {"x": F.col(x), "y": F.col(y)}
+    met = join_checked(binned, other, ["gx", "gy"], max_rows=1_000_000).filter(F.col("e") != F.col("f")).filter(geo.segments_meet(p("ax", "ay"), p("bx", "by"), p("cx", "cy"), p("dx", "dy")))
+    ux, uy, vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy")
+    turn = ux * vy - uy * vx
+    along = lambda x, y: ((F.col(x) - F.col("ax")) * ux + (F.col(y) - F.col("ay")) * uy) / (ux * ux + uy * uy)
+    crossed = F.array(((F.col("cx") - F.col("ax")) * vy - (F.col("cy") - F.col("ay")) * vx) / F.when(turn != 0, turn))
+    at = met.select("e", F.explode(F.when(turn != 0, crossed).otherwise(F.array(along("cx", "cy"), along("dx", "dy")))).alias("t")).filter("t > 0 and t < 1")
+    cuts = scratch.write(at.groupBy("e").agg(F.array_sort(F.collect_set("t")).alias("ts")), "cuts")
+    none = F.array().cast("array<double>")
+    places = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", none), F.array(F.lit(1.0)))
+    steps = join_checked(edges, cuts, "e", "left").withColumn("ts", places).select("ax", "ay", "bx", "by", F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda t, u: F.struct(t.alias("t"), u.alias("u")))).alias("p"))
+    point = lambda t: F.struct(F.round(F.col("ax") + F.col(t) * (F.col("bx") - F.col("ax")), 9).alias("x"), F.round(F.col("ay") + F.col(t) * (F.col("by") - F.col("ay")), 9).alias("y"))
+    pieces = steps.select(point("p.t").alias("p"), point("p.u").alias("q")).filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    pieces = scratch.write(pieces.withColumn("k", F.monotonically_increasing_id()), "pieces")
+    length = F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y"))
+    beside = lambda sign: F.struct(
+        F.struct("k", F.lit(sign).alias("side")).alias("id"),
+        ((F.col("p.x") + F.col("q.x")) / 2 - F.lit(sign * eps) * (F.col("q.y") - F.col("p.y")) / length).alias("x"),
+        ((F.col("p.y") + F.col("q.y")) / 2 + F.lit(sign * eps) * (F.col("q.x") - F.col("p.x")) / length).alias("y"),
+    )
+    inside = point_in_polygons(pieces.select(F.inline(F.array(beside(1), beside(-1)))), part, size).select("id.k", "id.side").distinct()
+    one = inside.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("k")
+    return pieces.join(one, "k", "left_semi").select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+
+
 def dissolve_attributes(parts: DataFrame, columns: list[str]) -> DataFrame:
     """One row with the attributes of the first part."""
     return parts.agg(*[F.min_by(c, "ord").alias(c) for c in columns])

@@ -426,6 +426,32 @@ def q_dissolve_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.dissolve_outline(_unit_squares(spark, sf_dir))
 
 
+def _whole_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floods in whole units of 0.0004 degrees: squares that overlap at will."""
+    t = fx.table(spark, sf_dir, "part").selectExpr("p_partkey as ord", "((p_partkey * 37) % 80) * 30 - p_size as x0", "((p_partkey * 53) % 80) * 30 - p_size as y0", "2 * p_size as w")
+    corner = lambda a, b: geo.point(F.col("x0") + F.col("w") * a, F.col("y0") + F.col("w") * b)
+    return t.select("ord", F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))).alias("geom"))
+
+
+def _bars_sql(axis: str, across: str, along: str) -> str:
+    """Length of the outline along one axis: two unit edges for each run of squares in each unit strip."""
+    return f"""SELECT '{axis}' AS axis, sum(2 * runs)::DOUBLE AS length FROM (SELECT strip, count(*) FILTER (lo > coalesce(upto, -1e9)) AS runs
+        FROM (SELECT strip, lo, max(hi) OVER (PARTITION BY strip ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
+            FROM (SELECT unnest(range({across}0, {across}0 + w)) AS strip, {along}0 AS lo, {along}0 + w AS hi FROM squares)) GROUP BY 1)"""
+
+
+@query(
+    _sql(
+        f"{_bars_sql('x', 'x', 'y')} UNION ALL {_bars_sql('y', 'y', 'x')}", "squares AS (SELECT ((p_partkey * 37) % 80) * 30 - p_size AS x0, ((p_partkey * 53) % 80) * 30 - p_size AS y0, 2 * p_size AS w FROM part)",
+    )
+)
+def q_union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the outline of overlapping squares along either axis."""
+    t = geometry.union_outline(_whole_squares(spark, sf_dir), size=25.0, eps=1e-6)
+    axis = F.when(F.col("ay") == F.col("by"), "x").otherwise("y")
+    return t.groupBy(axis.alias("axis")).agg(F.round(F.sum(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))), 3).alias("length"))
+
+
 def _district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of many parts: all floods."""
     return fx.flood_polygons(spark, sf_dir).select("ord", "geom")
