@@ -6,17 +6,22 @@ that just improved to the edges and keeps the cheaper paths; a round is several
 is written, so that plans stay short and executors may be lost.  Rounds end when nothing improves.  Nodes not cheaper than
 a problem's best target are not followed.
 
+Alternatives first ask for the way from every node to its targets, in one relaxation from all targets at once.  It tells how far the rest
+of a path is at least, and three paths that each problem has anyhow tell how far it may be at most, so that searches keep to
+the nodes that can lie on an answer.
+
 Ties are settled by cost, then the node sequence.  Costs must not be negative.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewise.operators.geometry import nearest_node
 from tidewise.operators.mcda import or_value
-from tidewise.plans.scratch import Scratch, hinted
+from tidewise.plans.scratch import Scratch, hinted, join_checked
 
 MAX_ROUNDS = 10_000
 #: Relaxation steps a round, between two written states.
@@ -58,14 +63,19 @@ def shortest_to_targets(
     scratch: Scratch | None = None,
     max_rounds: int = MAX_ROUNDS,
     steps: int = STEPS,
+    rest: DataFrame | None = None,
 ) -> DataFrame:
     """(problem_id, src), (target) or (problem_id, target), edges -> (problem_id, target, total_cost, nodes, edge_ords, cum).
 
     The cheapest target of each problem; problems without a path have no row.  Exclusions are (problem_id, node)
     and (problem_id, src, dst), the latter for all parallels.  A source that is excluded has no path; one that is a
     target has a path of length 0.
+
+    ``rest`` (node, rest), or (of, node, rest) if problems have a column ``of``: the least cost from a node to a target; nodes without it reach
+    none. With it, problems may have ``most``: paths of a higher cost are not asked for.
     """
     scratch = scratch or Scratch(problems.sparkSession, "routes")
+    problems = scratch.write(problems, "problems")
     edges = scratch.write(cheapest_parallel(edges), "edges")
     if edges.filter("weight < 0").limit(1).count():
         raise ValueError("negative costs")
@@ -75,6 +85,8 @@ def shortest_to_targets(
     near, marked = hinted(edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")), hinted(goals.withColumn("goal", F.lit(True)))
     no_nodes = None if excluded_nodes is None else hinted(excluded_nodes.select("problem_id", "node"))
     no_edges = None if excluded_edges is None else hinted(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")))
+    limits = hinted(problems.select("problem_id", *[c for c in ("of", "most") if c in problems.columns]))
+    left = None if rest is None else hinted(scratch.write(rest, "rest"))
     is_goal = lambda t: t.join(marked, of, "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
     no = F.array().cast("array<bigint>")
     start = problems.select("problem_id", F.col("src").cast("long").alias("node"))
@@ -86,6 +98,10 @@ def shortest_to_targets(
     def relaxed(state: DataFrame, best: DataFrame) -> DataFrame:
         front = state.filter("new and not goal").join(best, "problem_id", "left").filter("bound is null or path.cost < bound")
         step = front.select("problem_id", "node", "path", "bound").join(near, "node").filter("bound is null or path.cost + weight <= bound").filter("not array_contains(path.nodes, dst)")
+        if left is not None:
+            step = step.join(limits, "problem_id").join(left.withColumnRenamed("node", "dst"), [c if c == "of" else "dst" for c in left.columns if c != "rest"])
+            most = F.least("bound", "most") if "most" in problems.columns else F.col("bound")
+            step = step.filter(most.isNull() | (F.col("path.cost") + F.col("weight") + F.col("rest") <= most * (1 + 1e-9) + 1e-9))
         step = step.select(
             "problem_id",
             F.col("node").alias("src"),
@@ -148,6 +164,33 @@ def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = No
             return state.select("problem_id", "node", "dist")
 
 
+def ways(targets: DataFrame, edges: DataFrame, scratch: Scratch | None = None, steps: int = 2 * STEPS) -> DataFrame:
+    """(of, target) -> (of, node, rest, way) for every node that reaches a target: the least cost, and the nodes from it to the target."""
+    scratch = scratch or Scratch(targets.sparkSession, "ways")
+    # Edges are walked backwards.
+    near = hinted(scratch.write(cheapest_parallel(edges).select(F.col("dst").alias("node"), F.col("src").alias("to"), "weight"), "edges"))
+    path = lambda rest, way: F.struct(rest.alias("rest"), way.alias("way")).alias("path")
+    start = targets.select("of", F.col("target").cast("long").alias("node")).distinct()
+    state = scratch.write(start.select("of", "node", path(F.lit(0.0), F.array("node")), F.lit(True).alias("new")), "state")
+
+    def relaxed(state: DataFrame) -> DataFrame:
+        step = state.filter("new").join(near, "node").filter("not array_contains(path.way, to)")
+        step = step.select("of", F.col("to").alias("node"), path(F.col("path.rest") + F.col("weight"), F.concat(F.array("to"), F.col("path.way"))))
+        both = state.select("of", "node", "path", F.col("path").alias("was")).unionByName(step.withColumn("was", F.lit(None).cast(state.schema["path"].dataType)))
+        merged = both.groupBy("of", "node").agg(F.min("path").alias("path"), F.min("was").alias("was"))
+        return merged.select("of", "node", "path", F.coalesce(F.col("path") < F.col("was"), F.lit(True)).alias("new"))
+
+    while True:
+        grown = state
+        for _ in range(steps):
+            grown = relaxed(grown)
+        grown = scratch.write(grown, "state")
+        scratch.drop(state)
+        state = grown
+        if state.filter("new").isEmpty():
+            return state.select("of", "node", "path.rest", "path.way")
+
+
 def route_pairs(pairs: DataFrame, roads: DataFrame) -> DataFrame:
     """(problem_id, src, target) -> the shortest path of each pair in plain metres; pairs without one have a null cost."""
     found = shortest_to_targets(pairs.select("problem_id", "src"), pairs.select("problem_id", "target"), undirected_edges(roads))
@@ -159,6 +202,22 @@ def path_edges(paths: DataFrame, keys: list[str]) -> DataFrame:
     return paths.select(*keys, F.posexplode("edge_ords").alias("seq", "edge_ord"))
 
 
+def _at_most(accepted: DataFrame, edges: DataFrame, rest: DataFrame, of: list[str], k: int) -> DataFrame:
+    """(origin_id, most): a cost that k paths of an origin do not exceed; null if it is not known.
+
+    Beside the best path there is, for each of its nodes and each other neighbour of it, the path that turns off there and takes the neighbour's
+    way, if that way avoids the nodes before.
+    """
+    at = accepted.select("origin_id", "nodes", "cum", F.explode(F.expr("sequence(0, size(nodes) - 2)")).alias("i"))
+    at = at.select("origin_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("next"), F.expr("slice(nodes, 1, i + 1)").alias("root"), F.expr("cum[i]").alias("done"))
+    turned = join_checked(at, edges.select("src", "dst", "weight"), "src").filter("dst <> next")
+    ways_ = rest.withColumnRenamed("node", "dst").withColumnRenamed("of", "origin_id") if of else rest.drop("of").withColumnRenamed("node", "dst")
+    turned = join_checked(turned, ways_, [*of, "dst"]).filter(~F.arrays_overlap("root", "way")).select("origin_id", (F.col("done") + F.col("weight") + F.col("rest")).alias("cost"))
+    costs = turned.unionByName(accepted.select("origin_id", F.col("total_cost").alias("cost")))
+    ranked = costs.withColumn("k", F.row_number().over(W.partitionBy("origin_id").orderBy("cost"))).filter(F.col("k") == k)
+    return accepted.select("origin_id").join(ranked.select("origin_id", F.col("cost").alias("most")), "origin_id", "left")
+
+
 def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """(origin_id, src), and (target) or (origin_id, target) -> up to k loopless paths an origin: origin_id, path_id, target, total_cost, nodes, edge_ords.
 
@@ -169,9 +228,15 @@ def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k
     edges = scratch.write(cheapest_parallel(edges), "edges")
     shared = "origin_id" not in targets.columns
     goals = scratch.write(targets.select("target" if shared else F.struct("origin_id", "target").alias("t")).distinct().select("target" if shared else "t.*"), "targets")
+    of = [] if shared else ["origin_id"]
+    rest = scratch.write(ways(goals.select((F.lit(0) if shared else F.col("origin_id")).alias("of"), "target"), edges, scratch), "ways")
+    left = rest.select("node", "rest") if shared else rest.select("of", "node", "rest")
+    own = lambda t: t if shared else t.withColumn("of", F.col("origin_id"))
     cols = ["origin_id", "target", "total_cost", "nodes", "edge_ords", "cum"]
-    first = shortest_to_targets(origins.select(F.col("origin_id").alias("problem_id"), "src"), goals.withColumnRenamed("origin_id", "problem_id"), edges, scratch=scratch)
+    start = own(origins.select("origin_id", F.col("src").cast("long").alias("src"))).join(left.withColumnsRenamed({"node": "src", "rest": "most"}), ["src", *(() if shared else ("of",))])
+    first = shortest_to_targets(start.withColumnRenamed("origin_id", "problem_id"), goals.withColumnRenamed("origin_id", "problem_id"), edges, scratch=scratch, rest=left)
     accepted = scratch.write(first.withColumnRenamed("problem_id", "origin_id").select(*cols, F.lit(1).alias("path_id")), "accepted")
+    most = scratch.write(_at_most(accepted.filter(F.size("nodes") > 1), edges, rest, of, k), "most")
     pool = scratch.write(accepted.select(*cols).limit(0), "pool")
     for round_ in range(2, k + 1):
         last = accepted.filter(F.col("path_id") == round_ - 1)
@@ -187,8 +252,9 @@ def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k
         hops = same_root.select("problem_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("dst"))
         no_edges = scratch.write(hops.unionByName(hops.select("problem_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "no_edges")
         no_nodes = scratch.write(spurs.filter("i > 0").select("problem_id", F.explode(F.expr("slice(root, 1, i)")).alias("node")), "no_nodes")
+        left_over = spurs.join(most, "origin_id", "left").select("origin_id", "problem_id", "src", (F.col("most") - F.element_at("root_cum", -1)).alias("most"))
         asked = goals if shared else spurs.select("origin_id", "problem_id").join(goals, "origin_id").select("problem_id", "target")
-        found = shortest_to_targets(spurs.select("problem_id", "src"), asked, edges, no_nodes, no_edges, scratch)
+        found = shortest_to_targets(own(left_over).drop("origin_id"), asked, edges, no_nodes, no_edges, scratch, rest=left)
         base = F.element_at("root_cum", -1)
         new = found.join(spurs.select("origin_id", "problem_id", "root", "root_edges", "root_cum"), "problem_id").select(
             "origin_id", "target", (base + F.col("total_cost")).alias("total_cost"), F.concat("root", F.expr("slice(nodes, 2, size(nodes))")).alias("nodes"), F.concat("root_edges", "edge_ords").alias("edge_ords"),

@@ -676,7 +676,7 @@ def q_road_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- routes -------------------------------------------------------------------------------------------------------------------
 
-_PAIR_SQL = "ps AS (SELECT s_suppkey AS problem_id, (s_suppkey * 13) % (SELECT count(*) FROM customer) AS src, (s_suppkey * 13 + 49) % (SELECT count(*) FROM customer) AS target FROM supplier)"
+_PAIR_SQL = "ps AS (SELECT n_nationkey::BIGINT AS problem_id, (n_nationkey * 613 + 7) % (SELECT count(*) FROM customer) AS src, (n_nationkey * 613 + 56) % (SELECT count(*) FROM customer) AS target FROM nation)"
 _CHEAP = "cheap AS (SELECT src, dst, min(w) AS w FROM edges WHERE src <> dst GROUP BY 1, 2)"
 _RELAX = """reach(problem_id, node, dist) USING KEY (problem_id, node) AS (SELECT problem_id, src, 0.0::DOUBLE FROM ({start})
     UNION (SELECT d.problem_id, e.dst, min(d.dist + e.w) FROM reach d JOIN cheap e ON d.node = e.src LEFT JOIN recurring.reach k ON k.problem_id = d.problem_id AND k.node = e.dst

@@ -80,9 +80,9 @@ def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(origin_id, src, target): a trip for every supplier, to the node one row up and nine columns on."""
+    """(origin_id, src, target): a trip for every nation, one row up and nine columns on."""
     m = table(spark, sf_dir, "customer").count()
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as origin_id", f"(s_suppkey * 13) % {m} as src", f"(s_suppkey * 13 + 49) % {m} as target")
+    return table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as long) as origin_id", f"cast(n_nationkey * 613 + 7 as long) % {m} as src", f"cast(n_nationkey * 613 + 56 as long) % {m} as target")
 
 
 def jagged(spark: SparkSession, sf_dir: str) -> DataFrame:
