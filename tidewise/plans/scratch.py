@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes (unpacked) up to which a table counts as small enough to broadcast.
+#: Rows and bytes (as rows in memory) up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 96 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,12 +59,12 @@ class Scratch:
 def _width(kind: T.DataType, c: Column) -> Column:
     """About how many bytes a value takes unpacked."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 12
     if isinstance(kind, T.StructType):
         return reduce(operator.add, [_width(f.dataType, c[f.name]) for f in kind], F.lit(8))
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _width(kind.elementType, x)), F.lit(16))
-    return F.lit(16)
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _width(kind.elementType, x)), F.lit(8))
+    return F.lit(8)
 
 
 def small(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> bool:
