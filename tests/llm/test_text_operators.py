@@ -94,6 +94,8 @@ def test_passages_against_all_windows(spark, rows):
     """Words in 51-word windows that another document has, however the words are spaced."""
     words = [f"p{i}" for i in range(200)]
     rows = rows + [(7000, " ".join(words[:51]), "s"), (7001, "x " + " \n".join(words[:52]) + " y", "s"), (7002, " ".join(words[:50]), "s"), (7003, " ".join([*words[60:111], "z", *words[60:111]]), "s")]
+    # A text with a run that others share as a whole, and part of that run again.
+    rows += [(7010 + i, " ".join([*words[10:90], f"e{i}"]), "s") for i in range(2)] + [(7020, " ".join([*words[10:90], "e9", "k", *words[30:82], "j"]), "s")]
     rows += [(7004, " ".join(words[120:180]), "s"), (7005, " ".join(words[120:180]), "s"), (7006, "q " * 70000 + " ".join(words[130:190]), "s")]
     seen = defaultdict(set)
     split = [(t or "").split() if t and t.isascii() else re.findall("[^\x20\x09-\x0d]+", t or "") for _, t, _ in rows]

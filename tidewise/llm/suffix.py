@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidewise.plans.scratch import Scratch, join_checked
 
 MATCH, GRAM, GAP = 400, 160, 16
-BATCHES = 4
+BATCHES = 3
 _PIECE = 1 << 22
 #: Rows an Arrow batch of entries, gaps or windows goes out with.
 _ROWS = 200_000
@@ -135,14 +135,14 @@ class SuffixLevels:
         self.scratch, self.levels, self.matches = scratch, {}, []
 
     def add(self, entries: DataFrame) -> None:
-        """Scan the array of a batch of entries against the levels, and flush what is new as a level."""
-        array = self.scratch.write(entries.groupBy(*U).agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions(*U), "array")
-        found = [array.filter("n > 1").select(*U)]
-        for level in self.levels.values():
-            found.append(self.scratch.write(join_checked(level, array.select(*U), U, "left_semi", 1_000_000), "known"))
-        self.matches += found
-        known = reduce(DataFrame.unionByName, found[1:]) if self.levels else array.select(*U).limit(0)
-        new, size = self.scratch.write(join_checked(array.select(*U), known, U, "left_anti", 1_000_000).sortWithinPartitions(*U), "level"), 0
+        """Scan the array of a batch against the levels, and flush what is new as a level."""
+        array = entries.groupBy(*U).agg(F.count(F.lit(1)).alias("n"))
+        for i, level in self.levels.items():  # a merge of sorted tables: the array moves once, for its sums and for all levels
+            array = array.join(level.withColumn(f"in{i}", F.lit(True)), U, "left")
+        known = reduce(lambda a, b: a | b, [F.coalesce(f"in{i}", F.lit(False)) for i in self.levels], F.lit(False))
+        scanned = self.scratch.write(array.select(*U, "n", known.alias("known")), "scanned")
+        self.matches.append(scanned.filter("n > 1 or known").select(*U))
+        new, size = self.scratch.write(scanned.filter("not known").select(*U).sortWithinPartitions(*U), "level"), 0
         while (other := self.levels.pop(size, None)) is not None:
             merged = self.scratch.write(new.unionByName(other).repartition(*U).sortWithinPartitions(*U), "level")
             self.scratch.drop(new)
