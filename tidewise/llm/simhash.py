@@ -254,16 +254,23 @@ def wide_node(f: np.ndarray) -> np.ndarray:
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    """Differing bits over all words (rows)."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(0, dtype=np.int64)
+
+
+def _limit(words: np.ndarray) -> int:
+    """Bits up to which rows are candidates: of one word, or of all."""
+    return FAR if len(words) == 1 else int(ALL_BITS * 64 * len(words))
 
 
 def bucket_forest(word: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket, or of pairs between its first ``first`` rows and the others: a forest (i, j) of near words, and the rows that
     have a candidate in another tree."""
-    n, out = len(word), []
+    word = np.atleast_2d(word)
+    n, out = word.shape[1], []
     label, free = np.arange(n), np.zeros(n, bool)
     for i in range(1 if first is None else first, n):
-        bits = _differ(word[: i if first is None else first], word[i])
+        bits = _differ(word[:, : i if first is None else first], word[:, i : i + 1])
         at = np.flatnonzero(bits <= FAR)
         if not len(at):
             continue
@@ -279,23 +286,24 @@ def bucket_forest(word: np.ndarray, first: int | None = None) -> tuple[np.ndarra
 
 def bucket_pairs(word: np.ndarray, root: np.ndarray, first: int | None = None) -> np.ndarray:
     """The candidates (i, j) of different roots of one bucket, or between its first ``first`` rows and the others."""
-    out = []
-    for i in range(1 if first is None else first, len(word)):
+    word, out = np.atleast_2d(word), []
+    for i in range(1 if first is None else first, word.shape[1]):
         upto = i if first is None else first
-        at = np.flatnonzero((_differ(word[:upto], word[i]) <= FAR) & (root[:upto] != root[i]))
+        at = np.flatnonzero((_differ(word[:, :upto], word[:, i : i + 1]) <= _limit(word)) & (root[:upto] != root[i]))
         out.append(np.stack([at, np.full(len(at), i)], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def _small_buckets(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forest and rows with other candidates (or, with roots, pairs and no rows) of all small buckets of sorted rows at once."""
+    word = np.atleast_2d(word)
     up, found = np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
     for shift in range(1, min(int(size.max(initial=1)), _DENSE)):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (size[:-shift] <= _DENSE))
         if root is not None:
             i = i[root[i] != root[i + shift]]
-        bits = _differ(word[i], word[i + shift])
-        i, bits = i[bits <= FAR], bits[bits <= FAR]
+        bits = _differ(word[:, i], word[:, i + shift])
+        i, bits = i[bits <= _limit(word)], bits[bits <= _limit(word)]
         found.append(np.stack([i, i + shift]))
         if root is None:  # a tree's row hangs on the nearest row before it
             new = i[(bits <= NEAR) & (up[i + shift] == i + shift)]
@@ -316,8 +324,8 @@ def _named(nodes: np.ndarray, pairs: list[np.ndarray], rows: list[np.ndarray]) -
 
 
 def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates (u, v) of sorted rows (key, node, word, root or not) in whole buckets of at most BLOCK rows."""
-    keys, nodes, word, root = t[0], t[1], t[2], t[3] if len(t) > 3 else None
+    """Candidates (u, v) of sorted rows (key, node, word; or key, node, root, all words) in whole buckets of at most BLOCK rows."""
+    keys, nodes, root, word = t[0], t[1], t[2] if len(t) > 3 else None, t[3:] if len(t) > 3 else t[2:]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.diff(edge)
     few, rows = _small_buckets(keys, word, root, np.repeat(size, size))
@@ -325,10 +333,10 @@ def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
     for g in np.flatnonzero(size > _DENSE):
         a, b = edge[g], edge[g + 1]
         if root is None:
-            p, r = bucket_forest(word[a:b])
+            p, r = bucket_forest(word[:, a:b])
             rows.append(r + a)
         else:
-            p = bucket_pairs(word[a:b], root[a:b])
+            p = bucket_pairs(word[:, a:b], root[a:b])
         pairs.append(p + a)
         if sum(map(len, pairs)) + sum(map(len, rows)) > 100_000:
             yield _named(nodes, pairs, rows)
@@ -340,15 +348,17 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
     """(node, f0, ..., and root or not), one row a node -> (u, v, far): candidate pairs of nodes, far if all bits rule them out; and (node)
     with candidates that are not listed.
 
-    Without roots the pairs are a forest in every bucket; with roots they are all candidates of different roots.
+    Without roots the pairs are a forest in every bucket, and an entry carries one word.  With roots they are all candidates of different
+    roots; as these entries are few, they carry all words.
     """
-    columns = ["key", "node", "word", *(["root"] if "root" in prints.columns else [])]
-    names = ["key", "a", "b", "c"]
+    words, rooted = [f"f{i}" for i in range(words64)], "root" in prints.columns
+    columns = ["key", "node", *(["root", *words] if rooted else ["word"])]
+    names = ["key", *(f"x{i}" for i in range(max(2, len(columns) - 1)))]
 
     def batch(cols: list[np.ndarray], key: np.ndarray | None = None) -> pa.RecordBatch:
         none = pa.nulls(len(cols[0]), pa.int64())
         long = lambda c: pa.array(np.ascontiguousarray(c))
-        return pa.RecordBatch.from_arrays([none if key is None else long(key), *map(long, cols), *[none] * (3 - len(cols))], names)
+        return pa.RecordBatch.from_arrays([none if key is None else long(key), *map(long, cols), *[none] * (len(names) - 1 - len(cols))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, large = np.zeros((len(columns), 0), np.int64), None
@@ -380,8 +390,8 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
     of = F.floor(F.shiftright("key", 48) / 64).cast("int")
     index = index.withColumn("word", F.get(F.array(*[F.col(f"f{(i + 1) % words64}") for i in range(words64)]), of)).select(*columns)
     found = scratch.write(index.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "candidates")
-    out = found.filter("key is null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    large = found.filter("key is not null").select("key", *[F.col(x).alias(c) for x, c in zip("abc", columns[1:], strict=False)])
+    out = found.filter("key is null").select(F.col("x0").alias("u"), F.col("x1").alias("v"))
+    large = found.filter("key is not null").select("key", *[F.col(f"x{i}").alias(c) for i, c in enumerate(columns[1:])])
     if not large.isEmpty():
         counts = scratch.write(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
         cut = join_checked(large, counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -390,15 +400,16 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("block")
-            block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["word"].to_numpy()
+            block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), np.ascontiguousarray(pdf[words if rooted else ["word"]].to_numpy(np.int64).T)
             first = None if i == j else int((block == i).sum())
-            p, rows = (bucket_pairs(word, pdf["root"].to_numpy(), first), np.zeros(0, np.int64)) if "root" in columns else bucket_forest(word, first)
+            p, rows = (bucket_pairs(word, pdf["root"].to_numpy(), first), np.zeros(0, np.int64)) if rooted else bucket_forest(word, first)
             return pd.DataFrame(dict(zip("uv", _named(pdf["node"].to_numpy(), [p], [rows]), strict=True)))
 
         out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long"))
     out = scratch.write(out.distinct(), "near")
+    if rooted:
+        return out.withColumn("far", F.lit(False)), out.select(F.col("u").alias("node")).limit(0)
     # All bits of both ends.
-    words = [f"f{i}" for i in range(words64)]
     left = out.filter("u <> v").join(prints.select(F.col("node").alias("u"), *[F.col(w).alias(f"a_{w}") for w in words]), "u")
     both = left.join(prints.select(F.col("node").alias("v"), *words), "v")
     bits = reduce(operator.add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words])
