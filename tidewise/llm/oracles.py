@@ -62,6 +62,21 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id
 """
 
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, t, len(t)::BIGINT AS n FROM dt WHERE len(t) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, d.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * docs) // words)))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d ON tf.r = d.r, total GROUP BY 1, 2, 3),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_sharding": OP3, "op6_chat": OP6, "op8_exact_dedup": OP8, "op10_decontaminate": OP10}
+    return {"op1_mixing": OP1, "op3_sharding": OP3, "op6_chat": OP6, "op8_exact_dedup": OP8, "op10_decontaminate": OP10, "op11_lexical_search": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import chat, decontaminate, exact_dedup, langid, mixing, pii, quality, sharding, simhash, suffix
+from tidewise.llm import chat, decontaminate, exact_dedup, langid, lexical, licenses, mixing, periodic, pii, quality, sharding, simhash, suffix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.Index(_t(spark, sf_dir, "documents")), _t(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(_t(spark, sf_dir, "documents"), tail=True).drop("collapsed")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_t(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.array_join("spans", ","))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,5 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_pii, op3_sharding, op4_suffix_dedup, op5_quality, op6_chat, op7_simhash, op8_exact_dedup, op9_langid, op10_decontaminate, pipeline]
+    found = [op1_mixing, op2_pii, op3_sharding, op4_suffix_dedup, op5_quality, op6_chat, op7_simhash, op8_exact_dedup, op9_langid, op10_decontaminate, op11_lexical_search, op12_periodic_runs, op13_license_scan, pipeline]
     return {f.__name__: f for f in found}
