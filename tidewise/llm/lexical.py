@@ -40,7 +40,7 @@ from tidewise.plans.scratch import Scratch, join_checked
 
 TOP = 50
 #: Slices of a key, bits of a signature for each key (between this and twice this), documents and bits of a block.
-HASHES, BITS_A_KEY, BLOCK_DOCS, BLOCK_BITS = 4, 12, 1024, 1 << 25
+HASHES, BITS_A_KEY, BLOCK_DOCS, BLOCK_BITS = 6, 18, 1024, 1 << 25
 #: Terms that a task gathers before it gives them to the dictionary.
 VOCABULARY = 500_000
 #: Bytes of items that are broadcast at once, and terms whose bitmaps are unpacked at once.
@@ -95,8 +95,8 @@ class _Blocks:
         width = -(-len(mine) // 8)
         flat = np.zeros(m * width, np.uint8)
         for i, (_, _, at) in enumerate(mine):
-            at = np.unique(at) * width + i // 8
-            flat[at] |= np.uint8(128 >> i % 8)
+            at = at * width + i // 8
+            flat[at] |= np.uint8(128 >> i % 8)  # a slice that stands twice is set twice to the same
         return m, flat.tobytes(), [d for d, _, _ in mine], [n for _, n, _ in mine], None, None
 
     def rest(self) -> list[tuple]:
