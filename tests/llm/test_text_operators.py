@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewise.llm import decontaminate, exact_dedup, langid, mixing, pii, quality, sharding, simhash, suffix
+from tidewise.llm.passages import passages
 from tidewise.plans import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, u0 long"
@@ -105,7 +106,9 @@ def test_passages_against_all_windows(spark, rows):
     want = []
     for (i, _, _), w in zip(rows, split, strict=True):
         want.append((i, len({q for p in range(len(w) - 50) if len(seen[tuple(w[p : p + 51])]) > 1 for q in range(p, p + 51)})))
-    got = suffix.remove_repeats(table(spark, rows).repartition(3), count_passages=True).collect()
+    docs = table(spark, rows).repartition(3).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"t0": F.xxhash64("text"), "t1": F.xxhash64(F.lit(1), "text")})
+    counted = passages(docs.select("t0", "t1", "text"), scratch.Scratch(spark, "passages"))
+    got = docs.join(counted, ["t0", "t1"], "left").select("doc_id", F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words")).collect()
     key = lambda r: (str(r[0]), r[1])
     assert sorted([(r.doc_id, r.n_passage_words) for r in got], key=key) == sorted(want, key=key)
     assert {7000: 51, 7001: 51, 7002: 0, 7003: 0, 7004: 60, 7005: 60, 7006: 50}.items() <= {**dict(want), 7006: 50}.items()

@@ -214,13 +214,9 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, gap: int = GAP, batches: int = BATCHES, keep_text: bool = False, count_passages: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, gap: int = GAP, batches: int = BATCHES, keep_text: bool = False
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text's bytes, with keep_text).
-
-    With count_passages also n_passage_words: words in passages of over 50 words that another document has too, often fewer bytes than
-    ``match``; they are counted, not removed.
-    """
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text's bytes, with keep_text)."""
     scratch = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"))
@@ -267,9 +263,4 @@ def remove_repeats(
     cols = ["doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")]
     if keep_text:
         cols.append(F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
-    if count_passages:
-        from tidewise.llm.passages import passages
-
-        out = join_checked(out, passages(src.select(*T, "text"), scratch), T, "left")
-        cols.append(F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words"))
     return out.select(*cols)
