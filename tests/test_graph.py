@@ -123,3 +123,80 @@ def test_nodes_edges_and_sites(spark):
     assert [(r.origin_id, r.path_id, r.target, r.site, r.nodes) for r in got] == [(1, 1, 3, "early", [1, 2, 3])]
     pairs = graph.route_pairs(spark.createDataFrame([(1, 1, 3), (2, 1, 5)], "problem_id long, src long, target long"), roads).collect()
     assert {r.problem_id: r.total_cost for r in pairs} == {1: 11.0, 2: None}
+
+
+def test_a_round_writes_what_improved(spark, monkeypatch):
+    """Every table of a search holds rows that are better than all before, and no others; few or many, merged or not."""
+    from tidewise.plans.scratch import Scratch
+
+    rng = random.Random(12)
+    edges = random_graph(rng, 60, 110)
+    rows, write = [], Scratch.write
+
+    def kept(self, df, name="t", **options):
+        out = write(self, df, name, **options)
+        if name == "improved":
+            rows.append([(r.of, r.node, r.dist) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(Scratch, "write", kept)
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    for few, front in ((graph.FEW, graph.FRONT), (-1, graph.FRONT), (-1, 4)):
+        monkeypatch.setattr(graph, "FEW", few)
+        rows.clear()
+        scratch = Scratch(spark, "t")
+        goals = spark.createDataFrame([(0, 3), (0, 40)], "of long, target long")
+        chains = graph.contracted(graph.prepared(spark.createDataFrame(edges, E), scratch), goals.selectExpr("target as node"), scratch)
+        got = {r.node: r.dist for r in graph.nearest(goals, chains, scratch, steps=1, front_rows=front).collect()}
+        best = {}
+        for table in rows:
+            for of, node, dist in table:
+                assert dist < best.get(node, float("inf"))
+            best.update({node: dist for _, node, dist in table})
+        assert got == best
+        a, b = dijkstra(edges, 3), dijkstra(edges, 40)
+        inner = {r.src for r in chains.filter("inner").collect()}
+        assert got == {n: min(a.get(n, 1e9), b.get(n, 1e9)) for n in (a.keys() | b.keys()) - inner}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """5,000 hops between two junctions, a closed chain, and a ladder at the end."""
+    from tidewise.plans.scratch import Scratch
+
+    n, names, write = 5000, [], Scratch.write
+
+    def named(self, df, name="t", **options):
+        names.append(name)
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", named)
+    rng = random.Random(3)
+    rows = [(i, i + 1, float(rng.randint(1, 9))) for i in range(n)] + [(n, n + 1, 2.0), (n, n + 2, 3.0), (n + 1, n + 2, 2.0), (n + 2, n + 3, 1.0), (9001, 9002, 1.0), (9002, 9003, 1.0), (9003, 9001, 1.0)]
+    edges = both(rows)
+    far = {r.node: r.dist for r in graph.distances(spark.createDataFrame([(0, n + 3)], "problem_id long, src long"), spark.createDataFrame(edges, E)).collect()}
+    assert far == dijkstra(edges, n + 3)
+    assert names.count("improved") < 10 and names.count("chains") < 20
+    names.clear()
+    got = graph.shortest_to_targets(spark.createDataFrame([(1, 0), (2, 2500)], "problem_id long, src long"), spark.createDataFrame([(n + 3,)], "target long"), spark.createDataFrame(edges, E)).collect()
+    assert {r.problem_id: (r.total_cost, len(r.nodes)) for r in got} == {1: (far[0], n + 3), 2: (far[2500], n - 2500 + 3)}
+    for r in got:
+        assert r.nodes[:2] == ([0, 1] if r.problem_id == 1 else [2500, 2501]) and r.nodes[-3:] == [n, n + 2, n + 3] and r.cum[-1] == r.total_cost and len(r.edge_ords) == len(r.nodes) - 1
+    assert len(names) < 60
+
+
+def test_edges_without_cost_and_ties(spark):
+    edges = both([(0, 1, 0.0), (1, 2, 0.0), (2, 0, 0.0), (2, 3, 1.0), (3, 4, 0.0), (1, 5, 1.0), (5, 4, 0.0), (4, 6, 0.0)])
+    got = graph.shortest_to_targets(spark.createDataFrame([(i, i) for i in range(7)], "problem_id long, src long"), spark.createDataFrame([(6,)], "target long"), spark.createDataFrame(edges, E)).collect()
+    assert {r.problem_id: r.total_cost for r in got} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert all(len(set(r.nodes)) == len(r.nodes) and r.nodes[-1] == 6 for r in got)
+    tie = both([(0, 2, 1.0), (2, 3, 1.0), (0, 1, 1.0), (1, 3, 1.0)])
+    run = lambda **kw: graph.shortest_to_targets(spark.createDataFrame([(1, 0)], "problem_id long, src long"), spark.createDataFrame([(1, 3)], "problem_id long, target long"), spark.createDataFrame(tie, E), **kw).collect()[0].nodes
+    assert run() == [0, 1, 3]
+    assert run(excluded_nodes=spark.createDataFrame([(1, 9)], "problem_id long, node long")) == [0, 1, 3]
+
+
+def test_negative_costs_raise_everywhere(spark):
+    bad, one = spark.createDataFrame(both([(0, 1, -1.0)]), E), spark.createDataFrame([(1, 0)], "problem_id long, src long")
+    for run in (lambda: graph.distances(one, bad), lambda: graph.k_shortest_paths(one.toDF("origin_id", "src"), one.toDF("origin_id", "target"), bad), lambda: graph.shortest_to_targets(one, one.toDF("problem_id", "target"), bad)):
+        with pytest.raises(ValueError):
+            run()

@@ -59,6 +59,9 @@ def test_surface(spark):
     near = {(r.lat, r.lon): r.intensity for r in rainfall.decay_surface(points, grid, reach=2.0).collect()}
     for (a, b), v in plain.items():
         assert v == pytest.approx(25 * np.exp(-20 * np.hypot(a - 14.68, b - 121.05))) and near[a, b] == pytest.approx(v)
+    # A place whose points in the bins around it all lie out of reach.
+    far = rainfall.decay_surface(spark.createDataFrame([(1.9, 1.9, 5.0)], "lat double, lon double, intensity double"), spark.createDataFrame([(0.0, 0.0), (10.0, 10.0)], "lat double, lon double"), reach=1.0)
+    assert sorted(map(tuple, far.collect())) == [(0.0, 0.0, 0.0), (10.0, 10.0, 0.0)]
     negative = points.withColumn("intensity", F.lit(-1.0))
     assert {r.intensity for r in rainfall.decay_surface(negative, grid).collect()} == {0.0}
     assert rainfall.grid_or_fallback(grid.limit(0), grid).count() == 16 and rainfall.grid_or_fallback(grid.limit(3), grid).count() == 3

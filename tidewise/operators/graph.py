@@ -1,16 +1,21 @@
 """Road graphs and routing: whole tables of origins are solved at once by batched relaxation.
 
-A problem is an origin with its targets and exclusions; targets are one set shared by all problems, or a set a problem.  The state
-holds, for each problem and node reached, the cheapest known path (cost, node sequence, edges).  A step joins the nodes
-that just improved to the edges and keeps the cheaper paths; a round is several steps in one plan, after which the state
-is written, so that plans stay short and executors may be lost.  Rounds end when nothing improves.  Nodes not cheaper than
-a problem's best target are not followed.
-
-Alternatives first ask for the way from every node to its targets, in one relaxation from all targets at once.  It tells how far the rest
-of a path is at least, and three paths that each problem has anyhow tell how far it may be at most, so that searches keep to
-the nodes that can lie on an answer.
-
-Ties are settled by cost, then the node sequence.  Costs must not be negative.
+Costs.  A search asks, for every group (``of``) of goals, what the way from each node to its cheapest goal costs (``nearest``).  Chains of nodes with two
+neighbours are first contracted: doubling pointers along the chains turn each into an edge between the junctions at its
+ends, so that a search takes as many rounds as a way has junctions, not vertices.  What is known is a family of
+written tables, each holding only the rows that a round improved.  A round follows the rows that improved last, up to a cost when they are
+many (the others wait, where they are), some steps in one plan, and writes what is better than all before; the family is merged when it has
+grown.  A group may name a node until which it searches: rows beyond a multiple of that node's cost are neither followed nor kept.
+
+Ways.  Costs say which edge to take from each node (the cheapest; of equal ones that to the smallest node), so no path rides in the
+rows of a search.  Ways are read off by doubling such pointers: tables of 1, 2, 4, ... edges ahead, in as many joins as the number of edges has bits.
+
+Alternatives of a path (``k_shortest_paths``) turn off at one of its nodes.  The way on from each neighbour is known already: where the cheapest of
+these avoids the nodes before the turn, it is the answer.  Only the other turns are searched (``detours``), with the
+known rest of the way as a lower bound and a cost that k paths do not exceed as an upper one.
+
+Ties are settled by cost, then the node sequence (between alternatives: cost, target, node sequence); edges that cost nothing are taken only where no other
+edge will do, towards fewer of them.  Negative costs raise.
 """
 
 from __future__ import annotations
@@ -24,8 +29,14 @@ from tidewise.operators.mcda import or_value
 from tidewise.plans.scratch import Scratch, hinted, join_checked
 
 MAX_ROUNDS = 10_000
-#: Relaxation steps a round, between two written states.
-STEPS = 2
+#: Relaxation steps a round, between two written tables.
+STEPS = 4
+#: Tables of improved rows that are kept before they are merged, and rows that are followed in one round without regard to their cost.
+LEVELS, FRONT = 8, 2_000_000
+#: Rows up to which a round is one task without a shuffle, and takes so many times the steps.
+FEW, MORE_STEPS = 20_000, 2
+#: How far beyond the cheapest path alternatives are looked for at first.
+REACH = 2.0
 
 
 def nodes_from_edges(roads: DataFrame) -> DataFrame:
@@ -54,143 +65,336 @@ def cheapest_parallel(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("weight", "edge_ord")).alias("e")).select("src", "dst", "e.weight", "e.edge_ord")
 
 
+def prepared(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The cheapest parallels, written; negative costs raise, as nothing would ever settle."""
+    out = scratch.write(cheapest_parallel(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"), "edge_ord")), "edges")
+    if not out.filter("weight < 0").isEmpty():
+        raise ValueError("negative costs")
+    return out
+
+
+# --- costs ------------------------------------------------------------------------------------------------------------
+
+
+def contracted(edges: DataFrame, fixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Prepared edges -> (src, dst, weight, edge_ord, end, total, hops, inner): the end of the chain that each edge begins, and the cost to it.
+
+    A node is inside a chain if it has two neighbours, each with an edge to and from it, and is not ``fixed`` (node).  ``inner`` tells whether the edge
+    begins at such a node.  Edges of closed chains without an end are dropped, as nothing leads to or from them.
+    """
+    ends = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("a"), F.max("dst").alias("b"))
+    back = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("m"), F.min("src").alias("c"), F.max("src").alias("d"))
+    inner = ends.join(back, "node").filter("n = 2 and m = 2 and a = c and b = d").select("node", "a", "b")
+    inner = scratch.write(inner.join(fixed.select("node").distinct(), "node", "left_anti"), "inner")
+    plain = edges.select("*", F.col("dst").alias("end"), F.col("weight").alias("total"), F.lit(1).cast("long").alias("hops"))
+    n_inner = inner.count()
+    if not n_inner:
+        return plain.withColumn("inner", F.lit(False))
+    mark = inner.select(F.col("node").alias("src"), F.lit(True).alias("inner"))
+    # An edge into a chain goes on with the edge to the other neighbour: (at, next) is the last edge so far.
+    state = plain.select("src", "dst", "weight", "edge_ord", F.col("src").alias("at"), F.col("dst").alias("end"), "total", "hops")
+    inside = inner.select(F.col("node").alias("end"), "a", "b")
+    while True:
+        # An edge with more hops than nodes inside goes round a closed chain for ever.
+        state = scratch.write(state.drop("a", "b").filter(F.col("hops") <= n_inner + 1).join(inside, "end", "left"), "chains")
+        if state.filter("a is not null").isEmpty():
+            break
+        # The next edge of one that ends inside, with all that it leads to by now.
+        more = state.select(F.col("src").alias("end"), F.col("dst").alias("onto"), F.col("at").alias("at2"), F.col("end").alias("end2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
+        going = state.filter("a is not null").withColumn("onto", F.when(F.col("a") == F.col("at"), F.col("b")).otherwise(F.col("a")))
+        gone = going.join(more, ["end", "onto"]).select("src", "dst", "weight", "edge_ord", F.col("at2").alias("at"), F.col("end2").alias("end"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"))
+        state = state.filter("a is null").select(*gone.columns).unionByName(gone)
+    return scratch.write(state.select("src", "dst", "weight", "edge_ord", "end", "total", "hops").join(mark, "src", "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "contracted")
+
+
+class _Known:
+    """The family of written tables of improved rows: (of, node, dist)."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.levels, self.upto = scratch, [], []
+        #: Rows written, and rows that the last front was taken from.
+        self.rows = self.waiting = 0
+
+    def add(self, rows: DataFrame) -> int:
+        table = self.scratch.write(rows, "improved")
+        self.rows += (n := table.count())
+        self.levels.append((table, n))
+        self.upto.append(None)
+        return n
+
+    def all(self) -> DataFrame:
+        out = self.levels[0][0]
+        for t, _ in self.levels[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def best(self) -> DataFrame:
+        return self.all().groupBy("of", "node").agg(F.min("dist").alias("dist"))
+
+    def front(self, most: int) -> DataFrame | None:
+        """Rows that have not been followed yet: all, or the cheaper half while they are over ``most``."""
+        left = [i for i, (_, n) in enumerate(self.levels) if n and self.upto[i] != float("inf")]
+        if not left:
+            return None
+        parts = [self.levels[i][0] if self.upto[i] is None else self.levels[i][0].filter(F.col("dist") > self.upto[i]) for i in left]
+        front = parts[0]
+        for p in parts[1:]:
+            front = front.unionByName(p)
+        cut = float("inf")
+        self.waiting = sum(self.levels[i][1] for i in left)
+        if self.waiting > most:
+            n, half = front.agg(F.count(F.lit(1)), F.percentile_approx("dist", 0.5, 1000)).first()
+            cut = cut if n <= most else half
+        for i in left:
+            self.upto[i] = cut
+        return front if cut == float("inf") else front.filter(F.col("dist") <= cut)
+
+    def merge(self) -> None:
+        """One table of the family, if all its rows have been followed but the last ones."""
+        done = [i for i in range(len(self.levels) - 1) if self.upto[i] == float("inf")]
+        if len(done) < LEVELS:
+            return
+        old = self.levels[done[0]][0]
+        for i in done[1:]:
+            old = old.unionByName(self.levels[i][0])
+        whole = self.scratch.write(old.groupBy("of", "node").agg(F.min("dist").alias("dist")), "merged")
+        for i in done:
+            self.scratch.drop(self.levels[i][0])
+        keep = [i for i in range(len(self.levels)) if i not in done]
+        n = sum(self.levels[i][1] for i in done)
+        self.levels, self.upto = [(whole, n), *[self.levels[i] for i in keep]], [float("inf"), *[self.upto[i] for i in keep]]
+
+
+def nearest(
+    goals: DataFrame, chains: DataFrame, scratch: Scratch, until: DataFrame | None = None, reach: float = 1.0, max_rounds: int = MAX_ROUNDS, steps: int = STEPS, front_rows: int = FRONT
+) -> DataFrame:
+    """(of, target), contracted edges -> (of, node, dist) of the ends of chains from which a goal is reached, written.
+
+    ``until`` (of, node): a group that reaches it keeps only what costs at most ``reach`` times as much.  Goals and these nodes must not lie inside chains.
+    """
+    # Edges are walked backwards, from an end to where the chain begins; each node also leads to itself, so that a step keeps what it had.
+    step = chains.filter("not inner").filter(F.col("src") != F.col("end")).groupBy(F.col("end").alias("node"), F.col("src").alias("to")).agg(F.min("total").alias("total"))
+    stay = step.select("node").unionByName(step.select(F.col("to").alias("node"))).distinct()
+    step = scratch.write(step.unionByName(stay.select("node", F.col("node").alias("to"), F.lit(0.0).alias("total"))), "steps")
+    back = hinted(step)
+    known = _Known(scratch)
+    start = goals.select("of", F.col("target").cast("long").alias("node")).distinct()
+    known.add(start.select("of", "node", F.lit(0.0).alias("dist")))
+    marked = None if until is None else hinted(scratch.write(until.select("of", "node").distinct(), "until"))
+    bound = None
+    for _ in range(max_rounds):
+        front = known.front(front_rows)
+        if front is None:
+            return scratch.write(known.best(), "known") if len(known.levels) > 1 else known.levels[0][0]
+        if marked is not None:
+            bound = known.all().join(marked, ["of", "node"], "left_semi").groupBy("of").agg((F.min("dist") * reach).alias("most"))
+
+        def within(t: DataFrame, bound=bound) -> DataFrame:
+            return t if bound is None else t.join(bound, "of", "left").filter("most is null or dist <= most").drop("most")
+
+        few = known.waiting <= FEW and known.rows <= 10 * FEW
+        rows = within(front.coalesce(1) if few else front)
+        for _ in range(steps * MORE_STEPS if few else steps):
+            far = rows.join(back, "node").select("of", F.col("to").alias("node"), (F.col("dist") + F.col("total")).alias("dist"))
+            rows = far.groupBy("of", "node").agg(F.min("dist").alias("dist"))
+        rows = within(rows)
+        was = known.all().coalesce(1) if few else known.all()
+        if known.rows > 200_000:
+            # Only what stands for the nodes reached is compared, so that what is known stays in place.
+            rows = scratch.write(rows, "reached")
+            was = join_checked(was, rows.select("of", "node"), ["of", "node"], "left_semi", max_rows=1_000_000)
+        none = F.lit(None).cast("double")
+        both = rows.select("of", "node", "dist", none.alias("old")).unionByName(was.select("of", "node", none.alias("dist"), F.col("dist").alias("old")))
+        better = (both.coalesce(1) if few else both).groupBy("of", "node").agg(F.min("dist").alias("dist"), F.min("old").alias("old")).filter("dist is not null and (old is null or dist < old)")
+        known.add(better.select("of", "node", "dist"))
+        known.merge()
+    raise RuntimeError(f"costs still improve after {max_rounds} rounds")
+
+
+def _onward(goals: DataFrame, known: DataFrame, chains: DataFrame, scratch: Scratch) -> DataFrame:
+    """(of, node, dist, next, edge_ord, weight), written: the cost of every node that reaches a goal, and the edge to take from it; null at goals."""
+    ahead = known.select("of", F.col("node").alias("end"), F.col("dist").alias("rest"))
+    at_goal = goals.select("of", F.col("target").cast("long").alias("node")).distinct().withColumn("goal", F.lit(True))
+    option = F.struct((F.col("rest") + F.col("total")).alias("dist"), F.col("dst").alias("next"), "edge_ord", "weight")
+    options = chains.join(ahead, "end").select("of", F.col("src").alias("node"), option.alias("o"), (F.col("total") > 0).alias("costs"))
+    # Where an edge that costs nothing is among the cheapest, one that costs something goes before it.
+    best = options.groupBy("of", "node").agg(F.min("o.dist").alias("dist"), F.min(F.when(F.col("costs"), F.col("o"))).alias("o"))
+    both = best.join(at_goal, ["of", "node"], "full").withColumns({"goal": F.coalesce("goal", F.lit(False))})
+    taken = F.when(~F.col("goal") & (F.col("o.dist") == F.col("dist")), F.col("o"))
+    both = scratch.write(both.select("of", "node", "goal", F.when(F.col("goal"), F.lit(0.0)).otherwise(F.col("dist")).alias("dist"), taken.alias("o")), "onward")
+    free = chains.filter("total = 0").select(F.col("src").alias("node"), "dst", "end", "edge_ord", "weight")
+    open_ = both.filter("not goal and o is null")
+    # Layers of nodes that only an edge without cost leads on from, towards those that are settled.
+    while not open_.isEmpty():
+        settled = both.filter("goal or o is not null").select("of", F.col("node").alias("end"), F.col("dist").alias("rest"))
+        step = open_.select("of", "node", "dist").join(free, "node").join(settled, ["of", "end"]).filter(F.col("rest") == F.col("dist"))
+        step = step.groupBy("of", "node").agg(F.min(F.struct("dist", F.col("dst").alias("next"), "edge_ord", "weight")).alias("p"))
+        both = scratch.write(both.join(step, ["of", "node"], "left").select("of", "node", "goal", "dist", F.coalesce("o", "p").alias("o")), "onward")
+        open_ = both.filter("not goal and o is null")
+    return both.select("of", "node", "dist", "o.next", "o.edge_ord", "o.weight")
+
+
+def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = None, steps: int = STEPS) -> DataFrame:
+    """(problem_id, src) -> (problem_id, node, dist) for every node reached.
+
+    As edges run both ways, one problem with all sites as sources gives every node's distance from its nearest site.
+    """
+    scratch = scratch or Scratch(sources.sparkSession, "distances")
+    sources = scratch.write(sources.select(F.col("problem_id").alias("of"), F.col("src").cast("long").alias("target")).distinct(), "sources")
+    # From the sources outwards: the same as towards them, with all edges turned round.
+    turned = prepared(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "edge_ord"), scratch)
+    chains = contracted(turned, sources.select(F.col("target").alias("node")), scratch)
+    known = nearest(sources, chains, scratch, steps=steps)
+    inside = chains.filter("inner")
+    if inside.isEmpty():
+        return known.select(F.col("of").alias("problem_id"), "node", "dist")
+    every = known.unionByName(inside.join(known.select("of", F.col("node").alias("end"), "dist"), "end").select("of", F.col("src").alias("node"), (F.col("dist") + F.col("total")).alias("dist")))
+    return every.groupBy(F.col("of").alias("problem_id"), "node").agg(F.min("dist").alias("dist"))
+
+
+# --- ways -------------------------------------------------------------------------------------------------------------
+
+
+class Ways:
+    """Pointers of 1, 2, 4, ... edges ahead, over a written (of, node, dist, next, edge_ord, weight)."""
+
+    def __init__(self, onward: DataFrame, scratch: Scratch):
+        self.scratch, self.onward = scratch, onward
+        self.jumps = [self.onward.filter("next is not null").select("of", "node", F.col("next").alias("to"))]
+        while True:
+            last = self.jumps[-1]
+            further = scratch.write(last.join(last.select("of", F.col("node").alias("to"), F.col("to").alias("beyond")), ["of", "to"]).select("of", "node", F.col("beyond").alias("to")), "jumps")
+            if further.isEmpty():
+                break
+            self.jumps.append(further)
+
+    def read(self, asked: DataFrame) -> DataFrame:
+        """(of, node) -> (of, node, target, rest, way, edge_ords, cum) of nodes that reach a goal: the nodes from there to it, the edges, and costs so far."""
+        own = asked.select("of", "node").distinct()
+        places = own.select("of", "node", F.col("node").alias("at"), F.lit(0).cast("long").alias("pos"))
+        for k in range(len(self.jumps) - 1, -1, -1):
+            ahead = self.jumps[k].select("of", F.col("node").alias("at"), "to")
+            places = places.unionByName(places.join(ahead, ["of", "at"]).select("of", "node", F.col("to").alias("at"), (F.col("pos") + F.lit(1 << k)).alias("pos")))
+            if k % 2 == 0:
+                places = self.scratch.write(places, "places")
+        rows = places.join(self.onward.withColumnsRenamed({"node": "at", "dist": "left"}), ["of", "at"])
+        one = W.partitionBy("of", "node").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.select("of", "node", "pos", "at", "left", "edge_ord", F.coalesce(F.sum("weight").over(one), F.lit(0.0)).alias("done"))
+        whole = rows.groupBy("of", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "edge_ord", "done"))).alias("w"), F.min(F.struct("pos", "left")).alias("first"))
+        return self.scratch.write(
+            whole.select("of", "node", F.element_at("w.at", -1).alias("target"), F.col("first.left").alias("rest"), F.col("w.at").alias("way"), F.filter("w.edge_ord", lambda e: e.isNotNull()).alias("edge_ords"), F.col("w.done").alias("cum")), "ways"
+        )
+
+
 def shortest_to_targets(
-    problems: DataFrame,
-    targets: DataFrame,
-    edges: DataFrame,
-    excluded_nodes: DataFrame | None = None,
-    excluded_edges: DataFrame | None = None,
-    scratch: Scratch | None = None,
-    max_rounds: int = MAX_ROUNDS,
-    steps: int = STEPS,
-    rest: DataFrame | None = None,
+    problems: DataFrame, targets: DataFrame, edges: DataFrame, excluded_nodes: DataFrame | None = None, excluded_edges: DataFrame | None = None, scratch: Scratch | None = None, max_rounds: int = MAX_ROUNDS, steps: int = STEPS
 ) -> DataFrame:
     """(problem_id, src), (target) or (problem_id, target), edges -> (problem_id, target, total_cost, nodes, edge_ords, cum).
 
     The cheapest target of each problem; problems without a path have no row.  Exclusions are (problem_id, node)
     and (problem_id, src, dst), the latter for all parallels.  A source that is excluded has no path; one that is a
     target has a path of length 0.
+    """
+    scratch = scratch or Scratch(problems.sparkSession, "routes")
+    if excluded_nodes is not None or excluded_edges is not None:
+        return detours(problems, targets, prepared(edges, scratch), excluded_nodes, excluded_edges, scratch, max_rounds, max(1, steps // 2))
+    edges = prepared(edges, scratch)
+    shared = "problem_id" not in targets.columns
+    own = scratch.write(problems.select("problem_id", F.col("src").cast("long").alias("node"), (F.lit(0) if shared else F.col("problem_id")).alias("of")), "problems")
+    goals = scratch.write(targets.select((F.lit(0) if shared else F.col("problem_id")).alias("of"), F.col("target").cast("long").alias("target")).distinct(), "targets")
+    fixed = goals.select(F.col("target").alias("node")) if shared else goals.select(F.col("target").alias("node")).unionByName(own.select("node"))
+    chains = contracted(edges, fixed, scratch)
+    known = nearest(goals, chains, scratch, None if shared else own, max_rounds=max_rounds, steps=steps)
+    found = Ways(_onward(goals, known, chains, scratch), scratch).read(own)
+    return own.join(found, ["of", "node"]).select("problem_id", "target", F.element_at("cum", -1).alias("total_cost"), F.col("way").alias("nodes"), "edge_ords", "cum")
+
+
+def detours(
+    problems: DataFrame,
+    targets: DataFrame,
+    edges: DataFrame,
+    excluded_nodes: DataFrame | None,
+    excluded_edges: DataFrame | None,
+    scratch: Scratch,
+    max_rounds: int = MAX_ROUNDS,
+    steps: int = 2,
+    rest: DataFrame | None = None,
+) -> DataFrame:
+    """As ``shortest_to_targets``, over prepared edges and with exclusions: a search from the sources, whose rows carry their short paths.
 
     ``rest`` (node, rest), or (of, node, rest) if problems have a column ``of``: the least cost from a node to a target; nodes without it reach
-    none. With it, problems may have ``most``: paths of a higher cost are not asked for.
+    none. With it, problems may have ``most``: paths of a higher cost are not asked for.  Only rows that improved are written.
     """
-    scratch = scratch or Scratch(problems.sparkSession, "routes")
     problems = scratch.write(problems, "problems")
-    edges = scratch.write(cheapest_parallel(edges), "edges")
-    if edges.filter("weight < 0").limit(1).count():
-        raise ValueError("negative costs")
     of = ["problem_id", "node"] if "problem_id" in targets.columns else ["node"]
     goals = scratch.write(targets.withColumnRenamed("target", "node").select(*of).distinct(), "targets")
     # Sizes are looked at once, before the loop.
-    near, marked = hinted(edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")), hinted(goals.withColumn("goal", F.lit(True)))
-    no_nodes = None if excluded_nodes is None else hinted(excluded_nodes.select("problem_id", "node"))
-    no_edges = None if excluded_edges is None else hinted(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")))
+    near = edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")
+    # Each node also leads to itself, so that a step keeps what it had.
+    stay = near.select("node").unionByName(near.select(F.col("dst").alias("node"))).distinct()
+    near = near.unionByName(stay.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("weight"), F.lit(None).cast(near.schema["edge_ord"].dataType).alias("edge_ord")))
+    near, marked = hinted(scratch.write(near, "near")), hinted(goals.withColumn("goal", F.lit(True)))
+    no_nodes = None if excluded_nodes is None else hinted(scratch.write(excluded_nodes.select("problem_id", "node"), "no_nodes"))
+    no_edges = None if excluded_edges is None else hinted(scratch.write(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")), "no_edges"))
     limits = hinted(problems.select("problem_id", *[c for c in ("of", "most") if c in problems.columns]))
-    left = None if rest is None else hinted(scratch.write(rest, "rest"))
+    left = None if rest is None else hinted(rest)
     is_goal = lambda t: t.join(marked, of, "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
     no = F.array().cast("array<bigint>")
     start = problems.select("problem_id", F.col("src").cast("long").alias("node"))
     if no_nodes is not None:
         start = start.join(no_nodes, ["problem_id", "node"], "left_anti")
     first = F.struct(F.lit(0.0).alias("cost"), F.array("node").alias("nodes"), no.alias("edge_ords"), F.array(F.lit(0.0)).alias("cum"))
-    state = scratch.write(is_goal(start.distinct()).select("problem_id", "node", "goal", first.alias("path"), F.lit(True).alias("new")), "state")
+    new = scratch.write(is_goal(start.distinct()).select("problem_id", "node", "goal", first.alias("path")), "improved")
+    state, n_new = [new], new.count()
+    n_all = n_new
 
-    def relaxed(state: DataFrame, best: DataFrame) -> DataFrame:
-        front = state.filter("new and not goal").join(best, "problem_id", "left").filter("bound is null or path.cost < bound")
-        step = front.select("problem_id", "node", "path", "bound").join(near, "node").filter("bound is null or path.cost + weight <= bound").filter("not array_contains(path.nodes, dst)")
+    def stepped(front: DataFrame) -> DataFrame:
+        step = front.join(near, "node").filter("dst = node or (not goal and not array_contains(path.nodes, dst))")
         if left is not None:
             step = step.join(limits, "problem_id").join(left.withColumnRenamed("node", "dst"), [c if c == "of" else "dst" for c in left.columns if c != "rest"])
-            most = F.least("bound", "most") if "most" in problems.columns else F.col("bound")
-            step = step.filter(most.isNull() | (F.col("path.cost") + F.col("weight") + F.col("rest") <= most * (1 + 1e-9) + 1e-9))
-        step = step.select(
-            "problem_id",
-            F.col("node").alias("src"),
-            F.col("dst").alias("node"),
-            F.struct(
-                (F.col("path.cost") + F.col("weight")).alias("cost"),
-                F.concat("path.nodes", F.array("dst")).alias("nodes"),
-                F.concat("path.edge_ords", F.array("edge_ord")).alias("edge_ords"),
-                F.concat("path.cum", F.array(F.col("path.cost") + F.col("weight"))).alias("cum"),
-            ).alias("path"),
-        )
+            if "most" in problems.columns:
+                step = step.filter("most is null or path.cost + weight + rest <= most * (1 + 1e-9) + 1e-9")
+        cost = F.col("path.cost") + F.col("weight")
+        path = F.struct(cost.alias("cost"), F.concat("path.nodes", F.array("dst")).alias("nodes"), F.concat("path.edge_ords", F.array("edge_ord")).alias("edge_ords"), F.concat("path.cum", F.array(cost)).alias("cum"))
+        step = step.select("problem_id", F.col("node").alias("src"), F.col("dst").alias("node"), F.when(F.col("dst") == F.col("node"), F.col("path")).otherwise(path).alias("path"))
         if no_edges is not None:
             step = step.join(no_edges, ["problem_id", "src", "node"], "left_anti")
         if no_nodes is not None:
             step = step.join(no_nodes, ["problem_id", "node"], "left_anti")
-        old = state.select("problem_id", "node", "goal", "path", F.col("path").alias("was"))
-        both = old.unionByName(is_goal(step.select("problem_id", "node", "path")).withColumn("was", F.lit(None).cast(old.schema["was"].dataType)))
-        merged = both.groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min("path").alias("path"), F.min("was").alias("was"))
-        return merged.select("problem_id", "node", "goal", "path", F.coalesce(F.col("path") < F.col("was"), F.lit(True)).alias("new"))
+        return is_goal(step.groupBy("problem_id", "node").agg(F.min("path").alias("path"))).select("problem_id", "node", "goal", "path")
+
+    def every() -> DataFrame:
+        out = state[0]
+        for t in state[1:]:
+            out = out.unionByName(t)
+        return out
 
     for _ in range(max_rounds):
-        best = state.filter("goal").groupBy("problem_id").agg(F.min("path.cost").alias("bound"))
-        grown = state
+        # What costs more than the best target so far is not followed.
+        few = n_new <= FEW and n_all <= FEW
+        one = lambda t, few=few: t.coalesce(1) if few else t
+        best = one(every()).filter("goal").groupBy("problem_id").agg(F.min("path.cost").alias("bound"))
+        reached = one(new).filter("not goal").join(best, "problem_id", "left").filter("bound is null or path.cost < bound").select("problem_id", "node", "goal", "path")
         for _ in range(steps):
-            grown = relaxed(grown, best)
-        grown = scratch.write(grown, "state")
-        scratch.drop(state)
-        state = grown
-        if state.filter("new and not goal").isEmpty():
+            reached = stepped(reached)
+        reached = reached.join(best, "problem_id", "left").filter("bound is null or path.cost <= bound")
+        both = reached.select("problem_id", "node", "goal", "path", F.lit(True).alias("fresh")).unionByName(one(every()).select("problem_id", "node", "goal", "path", F.lit(False).alias("fresh")))
+        path = F.col("path")
+        merged = one(both).groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min(F.when(F.col("fresh"), path)).alias("path"), F.min(F.when(~F.col("fresh"), path)).alias("was"))
+        new = scratch.write(merged.filter("path is not null and (was is null or path < was)").drop("was"), "improved")
+        n_new = new.count()
+        if not n_new:
             break
+        state.append(new)
+        n_all += n_new
+        if len(state) > LEVELS:
+            state = [scratch.write(every().groupBy("problem_id", "node").agg(F.first("goal").alias("goal"), F.min("path").alias("path")), "merged")]
     else:
         raise RuntimeError(f"paths still improve after {max_rounds} rounds")
-    found = state.filter("goal").groupBy("problem_id").agg(F.min(F.struct("path.cost", F.col("node").alias("target"), "path")).alias("b"))
+    found = every().filter("goal").groupBy("problem_id").agg(F.min(F.struct("path.cost", F.col("node").alias("target"), "path")).alias("b"))
     return found.select("problem_id", "b.target", F.col("b.cost").alias("total_cost"), "b.path.nodes", "b.path.edge_ords", "b.path.cum")
 
 
-def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = None, steps: int = 2 * STEPS) -> DataFrame:
-    """(problem_id, src) -> (problem_id, node, dist) for every node reached.
-
-    As edges run both ways, one problem with all sites as sources gives every node's distance from its nearest site.
-    """
-    scratch = scratch or Scratch(sources.sparkSession, "distances")
-    near = hinted(scratch.write(cheapest_parallel(edges).select(F.col("src").alias("node"), "dst", "weight"), "edges"))
-    state = scratch.write(sources.select("problem_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")).distinct(), "state")
-
-    def relaxed(state: DataFrame) -> DataFrame:
-        step = state.filter("new").join(near, "node").select("problem_id", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(None).cast("double").alias("was"))
-        both = state.select("problem_id", "node", "dist", F.col("dist").alias("was")).unionByName(step)
-        merged = both.groupBy("problem_id", "node").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
-        return merged.select("problem_id", "node", "dist", F.coalesce(F.col("dist") < F.col("was"), F.lit(True)).alias("new"))
-
-    while True:
-        grown = state
-        for _ in range(steps):
-            grown = relaxed(grown)
-        grown = scratch.write(grown, "state")
-        scratch.drop(state)
-        state = grown
-        if state.filter("new").isEmpty():
-            return state.select("problem_id", "node", "dist")
-
-
-def ways(targets: DataFrame, edges: DataFrame, scratch: Scratch | None = None, steps: int = 2 * STEPS) -> DataFrame:
-    """(of, target) -> (of, node, rest, way) for every node that reaches a target: the least cost, and the nodes from it to the target."""
-    scratch = scratch or Scratch(targets.sparkSession, "ways")
-    # Edges are walked backwards.
-    near = hinted(scratch.write(cheapest_parallel(edges).select(F.col("dst").alias("node"), F.col("src").alias("to"), "weight"), "edges"))
-    path = lambda rest, way: F.struct(rest.alias("rest"), way.alias("way")).alias("path")
-    start = targets.select("of", F.col("target").cast("long").alias("node")).distinct()
-    state = scratch.write(start.select("of", "node", path(F.lit(0.0), F.array("node")), F.lit(True).alias("new")), "state")
-
-    def relaxed(state: DataFrame) -> DataFrame:
-        step = state.filter("new").join(near, "node").filter("not array_contains(path.way, to)")
-        step = step.select("of", F.col("to").alias("node"), path(F.col("path.rest") + F.col("weight"), F.concat(F.array("to"), F.col("path.way"))))
-        both = state.select("of", "node", "path", F.col("path").alias("was")).unionByName(step.withColumn("was", F.lit(None).cast(state.schema["path"].dataType)))
-        merged = both.groupBy("of", "node").agg(F.min("path").alias("path"), F.min("was").alias("was"))
-        return merged.select("of", "node", "path", F.coalesce(F.col("path") < F.col("was"), F.lit(True)).alias("new"))
-
-    while True:
-        grown = state
-        for _ in range(steps):
-            grown = relaxed(grown)
-        grown = scratch.write(grown, "state")
-        scratch.drop(state)
-        state = grown
-        if state.filter("new").isEmpty():
-            return state.select("of", "node", "path.rest", "path.way")
-
-
 def route_pairs(pairs: DataFrame, roads: DataFrame) -> DataFrame:
     """(problem_id, src, target) -> the shortest path of each pair in plain metres; pairs without one have a null cost."""
     found = shortest_to_targets(pairs.select("problem_id", "src"), pairs.select("problem_id", "target"), undirected_edges(roads))
@@ -202,68 +406,101 @@ def path_edges(paths: DataFrame, keys: list[str]) -> DataFrame:
     return paths.select(*keys, F.posexplode("edge_ords").alias("seq", "edge_ord"))
 
 
-def _at_most(accepted: DataFrame, edges: DataFrame, rest: DataFrame, of: list[str], k: int) -> DataFrame:
-    """(origin_id, most): a cost that k paths of an origin do not exceed; null if it is not known.
+# --- alternatives ------------------------------------------------------------------------------------------------------
 
-    Beside the best path there is, for each of its nodes and each other neighbour of it, the path that turns off there and takes the neighbour's
-    way, if that way avoids the nodes before.
+
+def _turns(spurs: DataFrame, edges: DataFrame, ways: DataFrame) -> DataFrame:
+    """(problem_id, of, src, root) -> each edge that leaves src for a node outside of the root, with the way on: dst, weight, edge_ord, lower, free.
+
+    ``lower``: the least that a path over this edge costs; ``free``: the known way avoids the root, so that it is such a path.
     """
-    at = accepted.select("origin_id", "nodes", "cum", F.explode(F.expr("sequence(0, size(nodes) - 2)")).alias("i"))
-    at = at.select("origin_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("next"), F.expr("slice(nodes, 1, i + 1)").alias("root"), F.expr("cum[i]").alias("done"))
-    turned = join_checked(at, edges.select("src", "dst", "weight"), "src").filter("dst <> next")
-    ways_ = rest.withColumnRenamed("node", "dst").withColumnRenamed("of", "origin_id") if of else rest.drop("of").withColumnRenamed("node", "dst")
-    turned = join_checked(turned, ways_, [*of, "dst"]).filter(~F.arrays_overlap("root", "way")).select("origin_id", (F.col("done") + F.col("weight") + F.col("rest")).alias("cost"))
-    costs = turned.unionByName(accepted.select("origin_id", F.col("total_cost").alias("cost")))
-    ranked = costs.withColumn("k", F.row_number().over(W.partitionBy("origin_id").orderBy("cost"))).filter(F.col("k") == k)
-    return accepted.select("origin_id").join(ranked.select("origin_id", F.col("cost").alias("most")), "origin_id", "left")
+    out = join_checked(spurs, edges.select("src", "dst", "weight", "edge_ord"), "src").filter(~F.array_contains("root", F.col("dst")))
+    out = out.join(ways.select("of", F.col("node").alias("dst"), "target", "rest", "way", F.col("edge_ords").alias("way_edges"), F.col("cum").alias("way_cum")), ["of", "dst"])
+    return out.withColumns({"lower": F.col("weight") + F.col("rest"), "free": ~F.arrays_overlap("root", "way")})
 
 
-def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+def k_shortest_paths(origins: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3, reach: float = REACH) -> DataFrame:
     """(origin_id, src), and (target) or (origin_id, target) -> up to k loopless paths an origin: origin_id, path_id, target, total_cost, nodes, edge_ords.
 
-    Yen's method, with the spurs of all origins of a round solved in one relaxation: from each node of the last
-    accepted path, next hops of accepted paths with the same root are excluded in both directions, and so are the root's nodes.
+    Yen's method, with the spurs of all origins of a round solved at once: from each node of the last accepted path, next hops of
+    accepted paths with the same root are excluded in both directions, and so are the root's nodes.  Targets of an origin's own are searched up to
+    ``reach`` times its cheapest cost; where k paths do not lie within that, again without a limit.
     """
     scratch = Scratch(origins.sparkSession, "yen")
-    edges = scratch.write(cheapest_parallel(edges), "edges")
+    edges = prepared(edges, scratch)
     shared = "origin_id" not in targets.columns
-    goals = scratch.write(targets.select("target" if shared else F.struct("origin_id", "target").alias("t")).distinct().select("target" if shared else "t.*"), "targets")
-    of = [] if shared else ["origin_id"]
-    rest = scratch.write(ways(goals.select((F.lit(0) if shared else F.col("origin_id")).alias("of"), "target"), edges, scratch), "ways")
-    left = rest.select("node", "rest") if shared else rest.select("of", "node", "rest")
-    own = lambda t: t if shared else t.withColumn("of", F.col("origin_id"))
-    cols = ["origin_id", "target", "total_cost", "nodes", "edge_ords", "cum"]
-    start = own(origins.select("origin_id", F.col("src").cast("long").alias("src"))).join(left.withColumnsRenamed({"node": "src", "rest": "most"}), ["src", *(() if shared else ("of",))])
-    first = shortest_to_targets(start.withColumnRenamed("origin_id", "problem_id"), goals.withColumnRenamed("origin_id", "problem_id"), edges, scratch=scratch, rest=left)
-    accepted = scratch.write(first.withColumnRenamed("problem_id", "origin_id").select(*cols, F.lit(1).alias("path_id")), "accepted")
-    most = scratch.write(_at_most(accepted.filter(F.size("nodes") > 1), edges, rest, of, k), "most")
+    group = lambda: F.lit(0) if shared else F.col("origin_id")
+    goals = scratch.write(targets.select(group().alias("of"), F.col("target").cast("long").alias("target")).distinct(), "targets")
+    start = scratch.write(origins.select("origin_id", F.col("src").cast("long").alias("node"), group().alias("of")), "start")
+    if shared:
+        return _alternatives(start, goals, True, edges, scratch, k, None).drop("cum")
+    near = scratch.write(_alternatives(start, goals, False, edges, scratch, k, reach), "near")
+    full = near.groupBy("origin_id").agg(F.count(F.lit(1)).alias("n"), F.min("total_cost").alias("least"), F.max("total_cost").alias("most"), F.max(F.size("nodes")).alias("size"))
+    full = full.filter(((F.col("n") == k) & (F.col("most") <= F.col("least") * reach)) | (F.col("size") == 1)).select("origin_id")
+    # A second search only for those that have fewer paths, or paths that the limit may have hidden.
+    again = scratch.write(start.join(near.select("origin_id").distinct(), "origin_id", "left_semi").join(full, "origin_id", "left_anti"), "again")
+    if again.isEmpty():
+        return near.drop("cum")
+    more = _alternatives(again, goals.join(again.select("of").distinct(), "of", "left_semi"), False, edges, scratch, k, None)
+    return near.join(full, "origin_id", "left_semi").unionByName(more).drop("cum")
+
+
+def _alternatives(start: DataFrame, goals: DataFrame, shared: bool, edges: DataFrame, scratch: Scratch, k: int, reach: float | None) -> DataFrame:
+    """(origin_id, node, of), (of, target) -> the paths, with ``cum``; what costs over ``reach`` times the cheapest may be missing."""
+    fixed = goals.select(F.col("target").alias("node"))
+    chains = contracted(edges, fixed if reach is None else fixed.unionByName(start.select("node")), scratch)
+    known = nearest(goals, chains, scratch, None if reach is None else start, reach or 1.0)
+    ways = Ways(_onward(goals, known, chains, scratch), scratch)
+    rest = ways.onward.select("of", "node", F.col("dist").alias("rest"))
+    cols = ["origin_id", "of", "target", "total_cost", "nodes", "edge_ords", "cum"]
+    first = start.join(ways.read(start), ["of", "node"]).select("origin_id", "of", "target", F.element_at("cum", -1).alias("total_cost"), F.col("way").alias("nodes"), "edge_ords", "cum")
+    accepted = scratch.write(first.select(*cols, F.lit(1).alias("path_id")), "accepted")
     pool = scratch.write(accepted.select(*cols).limit(0), "pool")
     for round_ in range(2, k + 1):
         last = accepted.filter(F.col("path_id") == round_ - 1)
-        spurs = last.filter(F.size("nodes") > 1).select("origin_id", "nodes", "edge_ords", "cum", F.explode(F.expr("sequence(0, size(nodes) - 2)")).alias("i"))
+        spurs = last.filter(F.size("nodes") > 1).select("origin_id", "of", "nodes", "edge_ords", "cum", F.explode(F.expr("sequence(0, size(nodes) - 2)")).alias("i"))
         spurs = spurs.select(
-            "origin_id", "i", F.get("nodes", F.col("i")).alias("src"), F.expr("slice(nodes, 1, i + 1)").alias("root"), F.expr("slice(edge_ords, 1, i)").alias("root_edges"), F.expr("slice(cum, 1, i + 1)").alias("root_cum"),
+            "origin_id", "of", "i", F.get("nodes", F.col("i")).alias("src"), F.expr("slice(nodes, 1, i + 1)").alias("root"), F.expr("slice(edge_ords, 1, i)").alias("root_edges"), F.expr("slice(cum, 1, i + 1)").alias("root_cum"),
             F.concat_ws("/", F.col("origin_id").cast("string"), F.col("i").cast("string")).alias("problem_id"),
         )
         spurs = scratch.write(spurs, "spurs")
         if spurs.isEmpty():
             break
         same_root = spurs.select("origin_id", "problem_id", "i", "root").join(accepted.select("origin_id", "nodes"), "origin_id").filter(F.expr("slice(nodes, 1, i + 1) = root and size(nodes) > i + 1"))
-        hops = same_root.select("problem_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("dst"))
-        no_edges = scratch.write(hops.unionByName(hops.select("problem_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "no_edges")
-        no_nodes = scratch.write(spurs.filter("i > 0").select("problem_id", F.explode(F.expr("slice(root, 1, i)")).alias("node")), "no_nodes")
-        left_over = spurs.join(most, "origin_id", "left").select("origin_id", "problem_id", "src", (F.col("most") - F.element_at("root_cum", -1)).alias("most"))
-        asked = goals if shared else spurs.select("origin_id", "problem_id").join(goals, "origin_id").select("problem_id", "target")
-        found = shortest_to_targets(own(left_over).drop("origin_id"), asked, edges, no_nodes, no_edges, scratch, rest=left)
+        hops = scratch.write(same_root.select("problem_id", F.expr("nodes[i]").alias("src"), F.expr("nodes[i + 1]").alias("dst")).distinct(), "hops")
+        asked = join_checked(spurs.select("of", "src"), edges.select("src", "dst"), "src").select("of", F.col("dst").alias("node"))
+        turns = _turns(spurs.select("problem_id", "origin_id", "of", "src", "root", F.element_at("root_cum", -1).alias("base")), edges, ways.read(asked))
+        turns = scratch.write(turns.join(hops, ["problem_id", "src", "dst"], "left_anti"), "turns")
+        # A cost that the paths still asked for do not exceed: that of so many free turns and of paths that wait.
+        waiting = pool.select("origin_id", "nodes", F.col("total_cost").alias("cost")).unionByName(turns.filter("free").select("origin_id", F.concat("root", "way").alias("nodes"), (F.col("base") + F.col("lower")).alias("cost")))
+        most = waiting.dropDuplicates(["origin_id", "nodes"]).join(accepted.select("origin_id", "nodes"), ["origin_id", "nodes"], "left_anti").withColumn("n", F.row_number().over(W.partitionBy("origin_id").orderBy("cost"))).filter(F.col("n") == k - round_ + 1).select("origin_id", F.col("cost").alias("most"))
+        turns = turns.join(scratch.write(most, "most"), "origin_id", "left").withColumn("most", F.col("most") - F.col("base")).filter("most is null or lower <= most * (1 + 1e-9) + 1e-9")
+        option = F.struct("lower", "target", "way", "edge_ord", "weight", "way_edges", "way_cum")
+        by_spur = turns.groupBy("problem_id").agg(F.min(F.when(F.col("free"), option)).alias("b"), F.min(F.when(~F.col("free"), F.col("lower"))).alias("blocked"), F.first("most").alias("most"))
+        by_spur = scratch.write(by_spur, "by_spur")
+        solved = by_spur.filter("b is not null and (blocked is null or b.lower < blocked)").select(
+            "problem_id", "b.target", F.concat(F.array(F.lit(None).cast("long")), "b.way").alias("nodes"), F.concat(F.array("b.edge_ord"), "b.way_edges").alias("edge_ords"),
+            F.concat(F.array(F.lit(0.0)), F.transform("b.way_cum", lambda c: c + F.col("b.weight"))).alias("cum"),
+        )
+        open_ = by_spur.filter("blocked is not null and (b is null or b.lower >= blocked)").select("problem_id", F.least("most", "b.lower").alias("most"))
+        open_ = scratch.write(spurs.join(open_, "problem_id").select("problem_id", "of", "src", "root", "i", "most"), "open")
+        found = solved.select("problem_id", "target", F.col("nodes"), "edge_ords", "cum")
+        if not open_.isEmpty():
+            both_ways = hops.join(open_.select("problem_id"), "problem_id", "left_semi")
+            both_ways = both_ways.unionByName(both_ways.select("problem_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+            no_nodes = open_.filter("i > 0").select("problem_id", F.explode(F.expr("slice(root, 1, i)")).alias("node"))
+            own = goals.select("target") if shared else join_checked(open_.select("of", "problem_id"), goals, "of").select("problem_id", "target")
+            searched = detours(open_.select("problem_id", "of", "src", "most"), own, edges, no_nodes, both_ways, scratch, rest=rest)
+            found = found.unionByName(searched.select("problem_id", "target", "nodes", "edge_ords", "cum"))
         base = F.element_at("root_cum", -1)
-        new = found.join(spurs.select("origin_id", "problem_id", "root", "root_edges", "root_cum"), "problem_id").select(
-            "origin_id", "target", (base + F.col("total_cost")).alias("total_cost"), F.concat("root", F.expr("slice(nodes, 2, size(nodes))")).alias("nodes"), F.concat("root_edges", "edge_ords").alias("edge_ords"),
+        new = found.join(spurs.select("origin_id", "of", "problem_id", "root", "root_edges", "root_cum"), "problem_id").select(
+            "origin_id", "of", "target", (base + F.element_at("cum", -1)).alias("total_cost"), F.concat("root", F.expr("slice(nodes, 2, size(nodes))")).alias("nodes"), F.concat("root_edges", "edge_ords").alias("edge_ords"),
             F.concat("root_cum", F.transform(F.expr("slice(cum, 2, size(cum))"), lambda c: base + c)).alias("cum"),
         )
         pool = scratch.write(pool.unionByName(new.select(*cols)).dropDuplicates(["origin_id", "nodes"]).join(accepted.select("origin_id", "nodes"), ["origin_id", "nodes"], "left_anti").select(*cols), "pool")
-        best = pool.groupBy("origin_id").agg(F.min(F.struct("total_cost", "target", "nodes", "edge_ords", "cum")).alias("b")).select("origin_id", "b.*")
+        best = pool.groupBy("origin_id").agg(F.min(F.struct("total_cost", "target", "nodes", "edge_ords", "cum", "of")).alias("b")).select("origin_id", "b.*")
         accepted = scratch.write(accepted.unionByName(best.select(*cols, F.lit(round_).alias("path_id"))), "accepted")
-    return accepted.drop("cum")
+    return accepted.drop("of")
 
 
 def snap(points: DataFrame, nodes: DataFrame, keys: list[str], x: str = "lng", y: str = "lat") -> DataFrame:

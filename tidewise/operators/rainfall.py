@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewise.functions.rain import clean_intensity, lat_to_row, lon_to_col, rain_risk
-from tidewise.plans.scratch import join_checked
+from tidewise.plans.scratch import join_checked, small
 
 #: Regions as (south, north, west, east) in degrees.
 CITY = (14.6, 14.8, 121.0, 121.2)
@@ -165,19 +165,24 @@ def surface_grid(spark, lat0: float = 14.60, lon0: float = 121.00, lat1: float =
 def decay_surface(points: DataFrame, grid: DataFrame, k: float = 20.0, reach: float | None = None) -> DataFrame:
     """(lat, lon) of a grid and (lat, lon, intensity) of points -> intensity: the sum of intensity * exp(-k * distance), at least 0.
 
-    Both sides are small tables in the plain form; ``reach`` joins points to cells within that distance on bins instead,
-    for many points (a reach of 2 leaves out less than exp(-40) of a point).
+    The plain form lets every point act on every place: the points are a small table (checked), and go to the grid by
+    broadcast.  ``reach`` joins points to places within that distance on bins instead, for many points (a reach of 2 leaves out less than
+    exp(-40) of a point); places without a point in reach have 0.
     """
     p = points.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "intensity")
     d = F.hypot(F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon"))
     if reach is None:
-        pairs = grid.join(p, F.lit(True), "left")
+        if not small(p):
+            raise ValueError("too many points for the plain form: give a reach")
+        pairs = grid.join(F.broadcast(p), F.lit(True), "left")
     else:
         at = lambda c: F.floor(F.col(c) / reach).cast("long")
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         near = p.select("*", F.inline(around)).withColumns({"bi": at("plat") + F.col("i"), "bj": at("plon") + F.col("j")})
-        pairs = grid.withColumns({"bi": at("lat"), "bj": at("lon")}).join(near, ["bi", "bj"], "left").filter(F.col("plat").isNull() | (d <= reach))
-    return pairs.groupBy("lat", "lon").agg(F.greatest(F.lit(0.0), F.coalesce(F.sum(F.col("intensity") * F.exp(-F.lit(k) * d)), F.lit(0.0))).alias("intensity"))
+        pairs = grid.withColumns({"bi": at("lat"), "bj": at("lon")}).join(near, ["bi", "bj"], "left")
+    part = F.col("intensity") * F.exp(-F.lit(k) * d)
+    part = part if reach is None else F.when(d <= reach, part)
+    return pairs.groupBy("lat", "lon").agg(F.greatest(F.lit(0.0), F.coalesce(F.sum(part), F.lit(0.0))).alias("intensity"))
 
 
 def grid_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -249,6 +249,21 @@ def q_decay_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(surface, ["lat", "lon"]).select("node", r6("intensity"))
 
 
+@query(
+    _sql(
+        """SELECT g.node, round(greatest(0, coalesce(sum(intensity * exp(-20 * sqrt((g.lat - p.lat) ** 2 + (g.lon - p.lon) ** 2))), 0)), 6) AS intensity
+        FROM road_nodes g LEFT JOIN (SELECT (min_lat + max_lat) / 2 AS lat, (min_lon + max_lon) / 2 AS lon, intensity FROM cells WHERE intensity > 300) p
+        ON (g.lat - p.lat) ** 2 + (g.lon - p.lon) ** 2 <= 0.01::DOUBLE GROUP BY 1""", _NODES, _DAYS, _CELLS,
+    )
+)
+def q_decay_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest rain only, and only so far around it: most nodes have none."""
+    cells = rainfall.cells_of(fx.cells(spark, sf_dir)).filter("intensity > 300").select(((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat"), ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon"), "intensity")
+    nodes = fx.road_nodes(spark, sf_dir)
+    surface = rainfall.decay_surface(cells, nodes.select("lat", "lon").distinct(), reach=0.1)
+    return nodes.join(surface, ["lat", "lon"]).select("node", r6("intensity"))
+
+
 @query(_sql("SELECT ord, intensity FROM (SELECT ord, round(intensity, 6) AS intensity FROM cells)", _DAYS, _CELLS))
 def q_grid_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rainfall.cells_of(fx.cells(spark, sf_dir)).select("ord", r6("intensity"))
