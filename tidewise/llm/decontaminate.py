@@ -4,7 +4,7 @@ Words of the benchmark get numbers; a window is ``n`` consecutive word numbers o
 of fewer words, but not none, is one window).  Items are measured before anything is broadcast: a benchmark of at most
 ``BLOCK_BYTES`` is one broadcast set and one pass.  A larger one is dealt into blocks of that size, and each block is a pass
 of its own over the documents; hits of all passes are then united by document, so that no task and not the
-driver ever holds more than one block.  Tasks scan the windows of each whole text, verify each hash hit on the word numbers, and
+driver ever holds more than one block.  The set of a block is built once, as sorted arrays, and broadcast as such.  Tasks scan the windows of each whole text, verify each hash hit on the word numbers, and
 mark the words inside it.  Documents are reported (``scan``), dropped (``remove_contaminated``) or relieved of the marked
 spans (``remove_spans``).
 
@@ -47,25 +47,48 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Windows of some items: by length, hash -> windows, and window -> item ids."""
+    """Windows of some items, as arrays: by length, the sorted hashes of distinct windows, where each stands in the items, and its items."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N_WORDS):
         self.vocab: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
+        self.names = sorted({item for item, _ in items})
+        name, number = {item: i for i, item in enumerate(self.names)}, self.vocab.setdefault
+        rows = [(name[item], np.fromiter((number(w, len(self.vocab)) for w in words(text)), np.int32)) for item, text in items]
+        rows = [(item, ids) for item, ids in rows if len(ids)]
+        self.flat = np.concatenate([ids for _, ids in rows]) if rows else np.zeros(0, np.int32)
+        starts = np.cumsum([0, *[len(ids) for _, ids in rows]])
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for (item, ids), at in zip(rows, starts, strict=False):
             k = min(n, len(ids))
-            for i in range(len(ids) - k + 1 if k else 0):
-                self.items.setdefault(tuple(ids[i : i + k]), set()).add(item)
-        lengths = {len(w) for w in self.items}
-        self.hashes = {k: np.unique(np.concatenate([_hashes(np.array(w, np.int64), k) for w in self.items if len(w) == k])) for k in sorted(lengths)}
+            h = _hashes(ids, k)
+            parts.setdefault(k, []).append((h, np.arange(len(h)) + at, np.full(len(h), item, np.int32)))
+        self.known = {k: self._distinct(k, *map(np.concatenate, zip(*p, strict=True))) for k, p in sorted(parts.items())}
+
+    def _distinct(self, k: int, hashes: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and places of distinct windows, and the items of each (bounds into a list)."""
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        if not new.all():  # equal hashes of windows that differ would be windows of their own
+            first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            for i in np.flatnonzero(~self._equal(first, self.flat, at, k)).tolist():
+                new[i : i + 2] = True
+        start = np.flatnonzero(new)
+        return hashes[start], at[start], np.append(start, len(item)), item
+
+    def _equal(self, at: np.ndarray, ids: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+        """Whether the k words of the items from each place on are those of ``ids`` from the other place on."""
+        same = np.ones(len(at), bool)
+        for i in range(k):
+            same &= self.flat[at + i] == ids[other + i]
+        return same
 
     def scan(self, tokens: list[bytes], hit: np.ndarray, found: set[str]) -> None:
         """Mark words inside windows and gather the items of these."""
         get = self.vocab.get
-        ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+        ids = np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens))
         gaps = np.concatenate([[0], np.cumsum(ids < 0)])
-        for k, known in self.hashes.items():
+        for k, (hashes, at, bounds, items) in self.known.items():
             if len(ids) < k:
                 continue
             starts = np.flatnonzero(gaps[k:] == gaps[:-k])
@@ -74,11 +97,18 @@ class WindowSet:
             h = np.zeros(len(starts), np.uint64)
             for i in range(k):
                 h = h * _BASE + ids[starts + i].astype(np.uint64) + np.uint64(1)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for s in starts[known[at] == h]:
-                if (of := self.items.get(tuple(ids[s : s + k].tolist()))) is not None:
-                    hit[s : s + k] = True
-                    found |= of
+            place = np.searchsorted(hashes, h)
+            while len(place):  # once, but where hashes of distinct windows are equal
+                ok = place < len(hashes)
+                starts, h, place = starts[ok], h[ok], place[ok]
+                ok = hashes[place] == h
+                starts, h, place = starts[ok], h[ok], place[ok]
+                same = self._equal(at[place], ids, starts, k)
+                for i in range(k):
+                    hit[starts[same] + i] = True
+                for w in np.unique(place[same]).tolist():
+                    found.update(self.names[i] for i in items[bounds[w] : bounds[w + 1]].tolist())
+                place = place + 1
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,12 +127,12 @@ def _block(items: DataFrame, i: int, n: int) -> list[tuple[str, bytes]]:
 
 def _hits(docs: DataFrame, block: list[tuple[str, bytes]], n: int, keep: list[str], text: str) -> DataFrame:
     """(keep, ..., n_words, items, spans) of every document for one block: spans are pairs of a first word and the word after the last."""
-    shared, n_kept = docs.sparkSession.sparkContext.broadcast(block), len(keep)
+    shared, n_kept = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n)), len(keep)
     src = docs.select(*keep, *([] if text in keep else [text]))
     at = src.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(shared.value, n)
+        known = shared.value
         for b in batches:
             n_words, items, spans = [], [], []
             for raw in b.column(at).cast(pa.binary()).to_pylist():

@@ -104,15 +104,16 @@ def _fixed_bits(c: Column | str, width: int) -> Column:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """The columns of ``docs`` with shard_id, shard_depth, shard_bytes and shard_docs (replacing columns of these names)."""
     scratch = Scratch(docs.sparkSession, "shard")
-    added = ("shard_id", "shard_depth", "shard_bytes", "shard_docs")
-    docs = docs.drop(*added)
-    # The rows are written once: their places must not change between the count and the join.
-    placed = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "input")
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = placed.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), shard_key(F.col(id_col)).alias("key"), F.col("__row").alias("row"))
+    docs = docs.drop("shard_id", "shard_depth", "shard_bytes", "shard_docs")
+    # The rows are written once: their places must not change between the count and the join. The columns go by place, whatever their names.
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    at = lambda c: F.col(cols[docs.columns.index(c)])
+    placed = scratch.write(docs.toDF(*cols).withColumn("row", F.monotonically_increasing_id()), "input")
+    size = F.coalesce(F.octet_length(at(text_col)), F.lit(0)).cast("long")
+    rows = placed.select(at(id_col).alias("doc_id"), size.alias("n_bytes"), shard_key(at(id_col)).alias("key"), "row")
     where = _assign(scratch.write(rows, "rows"), scratch, max_bytes)
-    shards = where.select(F.col("row").alias("__row"), "shard_id", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs")
-    return placed.join(shards, "__row").drop("__row")
+    shards = where.select("row", "shard_id", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs")
+    return placed.join(shards, "row").drop("row").toDF(*docs.columns, "shard_id", "shard_depth", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, **kw) -> None:

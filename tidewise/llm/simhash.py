@@ -482,10 +482,12 @@ def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of similar rows stays, that of the smallest id (of equal ids, one row); the columns of ``docs``."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    # Rows are numbered in a table, so that a number means the same row whenever it is read.
-    rows = scratch.write(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    ids, roots = similar_links(rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, scratch)
+    # Rows are numbered in a table, so that a number means the same row whenever it is read; the columns go by place, whatever their names.
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    at = lambda c: F.col(cols[docs.columns.index(c)])
+    rows = scratch.write(docs.toDF(*cols).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    ids, roots = similar_links(rows.select("rid", at(id_col).alias("doc_id"), at(text_col).alias("text")), shingle, scratch)
     groups = scratch.write(join_checked(ids, roots, "id", "left", max_rows=2_000_000).select("rid", "doc_id", F.coalesce("root", "id").alias("root")).filter("doc_id is not null"), "groups")
     best = scratch.write(groups.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best")).select("best.rid"), "best")
-    drop = scratch.write(groups.select("rid").join(best, "rid", "left_anti").select(F.col("rid").alias("__rid")), "drop")
-    return join_checked(rows, drop, "__rid", "left_anti", max_rows=2_000_000).select(*docs.columns)
+    drop = scratch.write(groups.select("rid").join(best, "rid", "left_anti"), "drop")
+    return join_checked(rows, drop, "rid", "left_anti", max_rows=2_000_000).select(*cols).toDF(*docs.columns)
