@@ -43,12 +43,11 @@ def test_stages(spark, folder):
     assert all(5000 + i not in ids for i in range(10))
 
     clean = stages["decontaminate"](spark, docs, folder).collect()
-    bench = decontaminate.WindowSet([(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()])
-    windows = {w for w in bench.items}
-    words = {w: i for w, i in bench.vocab.items()}
+    items = [decontaminate.words((r.text or "").encode()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    windows = {tuple(t[i : i + 10]) for t in items if t for i in range(max(1, len(t) - 9))}
 
     def dirty(text):
-        t = [words.get(w, -1) for w in decontaminate.words((text or "").encode())]
+        t = decontaminate.words((text or "").encode())
         return any(tuple(t[i : i + k]) in windows for k in {len(w) for w in windows} for i in range(len(t) - k + 1))
 
     assert {r.doc_id for r in clean} == {r.doc_id for r in docs.collect() if not dirty(r.text)} and 5100 not in {r.doc_id for r in clean}
@@ -112,13 +111,13 @@ def test_near_dedup_against_all_pairs(spark):
 
 
 def test_buckets_leave_nothing_out():
-    """The ends of every pair within the limit are in one tree of the forest, or both are listed; with roots all pairs are."""
+    """The ends of every pair within the limit are in one tree of the forest, or both are listed; families span all pairs."""
     rng = np.random.default_rng(4)
     centres = rng.integers(-(2**63), 2**63 - 1, 9, np.int64)
     flips = np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 12), replace=False)) for _ in range(300)], np.int64)
     word = rng.choice(centres, 300) ^ flips
     bits = np.bitwise_count((word[:, None] ^ word[None]).view(np.uint64))
-    buckets, root = np.sort(np.repeat(np.arange(30), 10)), np.arange(300) % 7
+    buckets = np.sort(np.repeat(np.arange(30), 10))
     within = lambda i, j: bits[i, j] <= simhash.FAR
 
     def check(found, near):
@@ -138,16 +137,47 @@ def test_buckets_leave_nothing_out():
     pairs = [(i, j) for j in range(300) for i in range(j) if within(i, j)]
     check(simhash.bucket_forest(word), pairs)
     same = [(i, j) for i, j in pairs if buckets[i] == buckets[j]]
-    check(simhash._small_buckets(buckets, word, None, np.full(300, 10)), same)
-    assert {tuple(p) for p in simhash.bucket_pairs(word, root)} == {(i, j) for i, j in pairs if root[i] != root[j]}
-    assert {tuple(p) for p in simhash._small_buckets(buckets, word, root, np.full(300, 10))[0]} == {(i, j) for i, j in same if root[i] != root[j]}
+    check(simhash._small_buckets(buckets, word, False, np.full(300, 10)), same)
+    assert {tuple(p) for p in simhash._small_buckets(buckets, word, True, np.full(300, 10))[0]} == set(same)
+
+    def parts(found):
+        label = list(range(300))
+        for i, j in found:
+            label = [label[i] if x == label[j] else x for x in label]
+        return [label.index(x) for x in label]
+
+    forest = simhash.bucket_families(word)
+    assert set(map(tuple, forest)) <= set(pairs) and parts(forest) == parts(pairs) and len(forest) == 300 - len(set(parts(pairs)))
     halves = np.concatenate([np.arange(0, 300, 2), np.arange(1, 300, 2)])
     across = [(i, j) for i in range(150) for j in range(150, 300) if within(halves[i], halves[j])]
-    assert {tuple(p) for p in simhash.bucket_pairs(word[halves], root[halves], 150)} == {(i, j) for i, j in across if root[halves[i]] != root[halves[j]]}
+    assert parts(simhash.bucket_families(word[halves], 150)) == parts(across)
     trees, free = simhash.bucket_forest(word[halves], 150)
     assert all((i < 150) != (j < 150) for i, j in trees) and len(free)
 
 
+def test_families_of_similar_sets():
+    """Links of a family join the roots that similar pairs join, in one block and in pairs of blocks; no more than one link a root."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63 - 1, 200, np.int64)
+    sets = [np.unique(np.where(rng.random(200) < c, rng.integers(-(2**63), 2**63 - 1, 200, np.int64), base)) for c in rng.uniform(0, 0.15, 60)]
+    word = np.zeros((4, 60), np.int64)
+    root, nodes = np.arange(60) // 2, np.arange(60)
+    alike = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+
+    def parts(links):
+        label = root.copy()
+        for i, j in links:
+            label[label == label[i]] = label[j]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    want = parts([(i, j) for j in range(60) for i in range(j) if alike(i, j)])
+    found = simhash.similar_forest(nodes, root, word, sets)
+    assert parts(found) == want and len(found) == 30 - len(want) and 1 < len(want) < 30
+    first = simhash.similar_forest(nodes[:20], root[:20], word[:, :20], sets[:20])
+    last = simhash.similar_forest(nodes[20:], root[20:], word[:, 20:], sets[20:])
+    assert parts([*first, *last, *simhash.similar_forest(nodes, root, word, sets, 20)]) == want
+
+
 def test_near_dedup_in_blocks_and_again(spark, monkeypatch):
     """Buckets cut into blocks, and a forest of which many pairs are not similar."""
     for name, value in (("BLOCK", 12), ("_DENSE", 4), ("NEAR", 14)):

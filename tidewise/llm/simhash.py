@@ -52,6 +52,8 @@ WIDE_WORDS, WIDE_SEGMENTS = 4, 16
 #: the share of all bits up to which sets are compared (similar pairs differ in 15 %, with a deviation of 2 %).
 FAR, NEAR, ALL_BITS = 14, 9, 0.21
 BLOCK = 4096
+#: Bytes of shingle sets that a block of a family holds about.
+BLOCK_BYTES = 32 << 20
 _DENSE = 32
 
 
@@ -284,32 +286,32 @@ def bucket_forest(word: np.ndarray, first: int | None = None) -> tuple[np.ndarra
     return np.array(out, np.int64).reshape(-1, 2), np.flatnonzero(free)
 
 
-def bucket_pairs(word: np.ndarray, root: np.ndarray, first: int | None = None) -> np.ndarray:
-    """The candidates (i, j) of different roots of one bucket, or between its first ``first`` rows and the others."""
+def bucket_families(word: np.ndarray, first: int | None = None) -> np.ndarray:
+    """A spanning forest (i, j) of the candidates of one bucket, or of those between its first ``first`` rows and the others."""
     word, out = np.atleast_2d(word), []
+    label = np.arange(word.shape[1])
     for i in range(1 if first is None else first, word.shape[1]):
-        upto = i if first is None else first
-        at = np.flatnonzero((_differ(word[:, :upto], word[:, i : i + 1]) <= _limit(word)) & (root[:upto] != root[i]))
-        out.append(np.stack([at, np.full(len(at), i)], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        at = np.flatnonzero(_differ(word[:, : i if first is None else first], word[:, i : i + 1]) <= _limit(word))[::-1]
+        trees, where = np.unique(label[at], return_index=True)
+        out += [(int(j), i) for j in at[where]]
+        label[np.isin(label, trees)] = label[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _small_buckets(keys: np.ndarray, word: np.ndarray, root: np.ndarray | None, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forest and rows with other candidates (or, with roots, pairs and no rows) of all small buckets of sorted rows at once."""
+def _small_buckets(keys: np.ndarray, word: np.ndarray, families: bool, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest and rows with other candidates (or, for families, all pairs and no rows) of all small buckets of sorted rows at once."""
     word = np.atleast_2d(word)
     up, found = np.arange(len(keys)), [np.zeros((2, 0), np.int64)]
     for shift in range(1, min(int(size.max(initial=1)), _DENSE)):
         i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (size[:-shift] <= _DENSE))
-        if root is not None:
-            i = i[root[i] != root[i + shift]]
         bits = _differ(word[:, i], word[:, i + shift])
         i, bits = i[bits <= _limit(word)], bits[bits <= _limit(word)]
         found.append(np.stack([i, i + shift]))
-        if root is None:  # a tree's row hangs on the nearest row before it
+        if not families:  # a tree's row hangs on the nearest row before it
             new = i[(bits <= NEAR) & (up[i + shift] == i + shift)]
             up[new + shift] = new
     pairs, tree = np.concatenate(found, 1), up
-    if root is not None:
+    if families:
         return pairs.T, np.zeros(0, np.int64)
     while (tree[tree] != tree).any():
         tree = tree[tree]
@@ -323,20 +325,20 @@ def _named(nodes: np.ndarray, pairs: list[np.ndarray], rows: list[np.ndarray]) -
     return np.unique(np.sort(nodes[p], axis=1), axis=0).T
 
 
-def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
-    """Candidates (u, v) of sorted rows (key, node, word; or key, node, root, all words) in whole buckets of at most BLOCK rows."""
-    keys, nodes, root, word = t[0], t[1], t[2] if len(t) > 3 else None, t[3:] if len(t) > 3 else t[2:]
+def _bucket_rows(t: np.ndarray, families: bool) -> Iterator[np.ndarray]:
+    """Candidates (u, v) of sorted rows (key, node, word; or key, node, all words) in whole buckets of at most BLOCK rows."""
+    keys, nodes, word = t[0], t[1], t[2:]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.diff(edge)
-    few, rows = _small_buckets(keys, word, root, np.repeat(size, size))
+    few, rows = _small_buckets(keys, word, families, np.repeat(size, size))
     pairs, rows = [few], [rows]
     for g in np.flatnonzero(size > _DENSE):
         a, b = edge[g], edge[g + 1]
-        if root is None:
+        if families:
+            p = bucket_families(word[:, a:b])
+        else:
             p, r = bucket_forest(word[:, a:b])
             rows.append(r + a)
-        else:
-            p = bucket_pairs(word[:, a:b], root[a:b])
         pairs.append(p + a)
         if sum(map(len, pairs)) + sum(map(len, rows)) > 100_000:
             yield _named(nodes, pairs, rows)
@@ -344,15 +346,15 @@ def _bucket_rows(t: np.ndarray) -> Iterator[np.ndarray]:
     yield _named(nodes, pairs, rows)
 
 
-def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int) -> tuple[DataFrame, DataFrame]:
-    """(node, f0, ..., and root or not), one row a node -> (u, v, far): candidate pairs of nodes, far if all bits rule them out; and (node)
-    with candidates that are not listed.
+def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int, families: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, f0, ...), one row a node -> (u, v, far): candidate pairs of nodes, far if all bits rule them out; and (node) with candidates
+    that are not listed.
 
-    Without roots the pairs are a forest in every bucket, and an entry carries one word.  With roots they are all candidates of different
-    roots; as these entries are few, they carry all words.
+    The pairs are a forest in every bucket, never all of it.  An entry carries one word, and trees hang on near words; for ``families`` it
+    carries all words (these entries are few), and the forest spans all candidates.
     """
-    words, rooted = [f"f{i}" for i in range(words64)], "root" in prints.columns
-    columns = ["key", "node", *(["root", *words] if rooted else ["word"])]
+    words = [f"f{i}" for i in range(words64)]
+    columns = ["key", "node", *(words if families else ["word"])]
     names = ["key", *(f"x{i}" for i in range(max(2, len(columns) - 1)))]
 
     def batch(cols: list[np.ndarray], key: np.ndarray | None = None) -> pa.RecordBatch:
@@ -379,10 +381,10 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
                     large, cut = int(t[0, -1]), t.shape[1]
             whole = t[:, :cut][:, ~wide[:cut]]
             if whole.shape[1]:
-                yield from (batch(list(p)) for p in _bucket_rows(whole))
+                yield from (batch(list(p)) for p in _bucket_rows(whole, families))
             left = t[:, cut:]
         if left.shape[1]:
-            yield from (batch(list(p)) for p in _bucket_rows(left))
+            yield from (batch(list(p)) for p in _bucket_rows(left, families))
 
     # The rows are few and the index is large: they are spread before it is made.
     index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), words64, segments)
@@ -400,14 +402,14 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("block")
-            block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), np.ascontiguousarray(pdf[words if rooted else ["word"]].to_numpy(np.int64).T)
+            block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), np.ascontiguousarray(pdf[columns[2:]].to_numpy(np.int64).T)
             first = None if i == j else int((block == i).sum())
-            p, rows = (bucket_pairs(word, pdf["root"].to_numpy(), first), np.zeros(0, np.int64)) if rooted else bucket_forest(word, first)
+            p, rows = (bucket_families(word, first), np.zeros(0, np.int64)) if families else bucket_forest(word, first)
             return pd.DataFrame(dict(zip("uv", _named(pdf["node"].to_numpy(), [p], [rows]), strict=True)))
 
         out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long"))
     out = scratch.write(out.distinct(), "near")
-    if rooted:
+    if families:
         return out.withColumn("far", F.lit(False)), out.select(F.col("u").alias("node")).limit(0)
     # All bits of both ends.
     left = out.filter("u <> v").join(prints.select(F.col("node").alias("u"), *[F.col(w).alias(f"a_{w}") for w in words]), "u")
@@ -416,18 +418,22 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int)
     return scratch.write(both.select("u", "v", (bits > int(ALL_BITS * 64 * words64)).alias("far")), "pairs"), out.filter("u = v").select(F.col("u").alias("node"))
 
 
-def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough; places: (id, rid) of one row of each set."""
+def _sets(wanted: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(id, rid) of one row of each set -> (id, hashes): whole shingle sets, sorted as unsigned numbers."""
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
 
+    texts = join_checked(rows.select("rid", "text"), scratch.write(wanted, "wanted"), "rid", max_rows=2_000_000)
+    return scratch.write(texts.select("id", "text").mapInArrow(set_rows, "id long, hashes array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough; places: (id, rid) of one row of each set."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = scratch.write(places.join(wanted, "id"), "wanted")
-    texts = join_checked(rows.select("rid", "text"), wanted, "rid", max_rows=2_000_000)
-    sets = scratch.write(texts.select("id", "text").mapInArrow(set_rows, "id long, hashes array<long>"), "sets")
+    sets = _sets(places.join(wanted, "id"), rows, shingle, scratch)
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -436,6 +442,49 @@ def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, shingle: int
     return scratch.write(both.filter((p + q) * common >= p * (F.size("a") + F.size("b"))).select("u", "v"), "verified")
 
 
+def similar_forest(nodes: np.ndarray, root: np.ndarray, word: np.ndarray, sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """Links (u, v) of similar sets that join roots: of all rows, or between the first ``first`` and the others.
+
+    A pair is compared if all bits allow it and its roots are not joined yet, so at most one link a root is returned.
+    """
+    (p, q), out, size = SIMILAR, [], np.array([len(x) for x in sets])
+    label = np.unique(root, return_inverse=True)[1]
+    for i in range(1 if first is None else first, len(nodes)):
+        upto = i if first is None else first
+        less, both = np.minimum(size[:upto], size[i]), size[:upto] + size[i]
+        for j in np.flatnonzero((_differ(word[:, :upto], word[:, i : i + 1]) <= _limit(word)) & (label[:upto] != label[i]) & ((p + q) * less >= p * both)):
+            if label[i] != label[j] and (p + q) * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= p * both[j]:
+                out.append((nodes[j], nodes[i]))
+                label[label == label[j]] = label[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _within_families(prints: DataFrame, families: DataFrame, sets: DataFrame, words: list[str], scratch: Scratch) -> DataFrame:
+    """(node, root, words), (node, root: family) and (id, hashes) -> links (u, v) of similar sets that join different roots of a family.
+
+    A family is cut into blocks of bounded rows and bytes; a task compares two of them, each set held once, and returns a forest, so no
+    join lists the pairs of a family.
+    """
+    size = F.size("hashes").cast("long") * 8 + 64
+    named = prints.join(families.select("node", F.col("root").alias("family")), "node").join(sets.withColumnRenamed("id", "node"), "node")
+    named = scratch.write(named, "family-rows")
+    counts = named.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    counts = scratch.write(counts.filter("lo <> hi").select("family", "blocks"), "families")
+    cut = join_checked(named, counts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "root", "node"])
+        i, j, sets = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), [np.asarray(h, np.int64) for h in pdf["hashes"]]
+        word = np.ascontiguousarray(pdf[words].to_numpy(np.int64).T)
+        found = similar_forest(pdf["node"].to_numpy(), pdf["root"].to_numpy(), word, sets, None if i == j else int((pdf["block"] == i).sum()))
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    found = pairs.select("family", "i", "j", "block", "node", "root", *words, "hashes").groupBy("family", "i", "j").applyInPandas(compare, "u long, v long")
+    return scratch.write(found, "within")
+
+
 def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int = WIDE_WORDS, segments: int = WIDE_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id, text) -> (rid, doc_id, id) of every row, and (id, root) of the components of similar sets.
 
@@ -472,8 +521,11 @@ def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int
     free = scratch.write(free.distinct(), "free")
     if not free.isEmpty():
         again = first.join(free, "node", "left_semi").join(roots, "node", "left").select("node", *words, F.coalesce("root", "node").alias("root"))
-        more = candidates(scratch.write(again, "again"), scratch, words64, segments)[0].filter("not far").select("u", "v").join(tested, ["u", "v"], "left_anti")
-        found = found.unionByName(_verified(scratch.write(more, "more"), places, rows, shingle, scratch))
+        again = scratch.write(again, "again")
+        families = components(candidates(again, scratch, words64, segments, families=True)[0].select("u", "v"), scratch)
+        families = scratch.write(families, "named-families")
+        asked = places.join(families.select(F.col("node").alias("id")), "id", "left_semi")
+        found = found.unionByName(_within_families(again, families, _sets(asked, rows, shingle, scratch), words, scratch))
         roots = components(found, scratch)
     ids = join_checked(prints, mates.select("own", F.lit(True).alias("mate")), "own", "left").select("rid", "doc_id", F.when(F.col("mate"), F.col("own")).otherwise(F.col("node")).alias("id"))
     return ids, scratch.write(roots.select(F.col("node").alias("id"), "root"), "roots")
