@@ -62,15 +62,15 @@ def edges_of(multi: Column) -> Column:
     return F.transform(multi, lambda p: F.flatten(F.transform(p, segments)))
 
 
-def in_edges(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over the edges of each part."""
+def hits(edges: Column, x: Column, y: Column) -> Column:
+    """How many of the edges a ray from (x, y) to the right crosses."""
 
     def hit(s: Column) -> Column:
         a, b = s["a"], s["b"]
         cross = x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
         return F.when((a["y"] > y) != (b["y"] > y), cross).otherwise(F.lit(False))
 
-    return F.exists(edges, lambda part: F.size(F.filter(part, hit)) % 2 == 1)
+    return F.size(F.filter(edges, hit))
 
 
 def segment_distance(x: Column, y: Column, s: Column) -> Column:

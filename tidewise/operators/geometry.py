@@ -90,12 +90,47 @@ def in_dissolved(points: DataFrame, parts: DataFrame, size: float = BIN) -> Data
 # --- joins on bins -------------------------------------------------------------------------------------------------
 
 
+def polygon_bins(polygons: DataFrame, size: float = BIN) -> DataFrame:
+    """(ord, geom) -> (ord, bx, by, parts): in each bin, of each part that is not wholly elsewhere, the edges that pass through it and the
+    heights at which the number of edges to the right of it becomes odd or even.
+
+    Edges are cut to rows of bins.  Two edges that meet to the right of a bin cancel at their common height, so what a bin holds does not
+    grow with the polygon, but with what lies in the bin.
+    """
+    cell = lambda c: F.floor(c / size).cast("long")
+    scratch = Scratch(polygons.sparkSession, "bins")
+    # Rows are numbered in a table, so that a number means the same row in both branches.
+    rows = polygons.filter("geom is not null").select("ord", "geom", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("row", "ord", F.posexplode(geo.edges_of(F.col("geom"))).alias("part", "edges"))
+    ends = rows.select("row", "ord", "part", F.explode("edges").alias("s")).select("row", "ord", "part", *[F.col(f"s.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"]).filter("ay <> by")
+    strips = ends.withColumns({"lo": F.least("ay", "by"), "hi": F.greatest("ay", "by")}).withColumn("gy", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    at = lambda y: F.col("ax") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("ay")) / (F.col("by") - F.col("ay")))) * (F.col("bx") - F.col("ax"))
+    x0, x1, slack = at(F.col("gy") * size), at((F.col("gy") + 1) * size), F.lit(1e-9)
+    strips = strips.withColumns({"first": cell(F.least(x0, x1) - slack), "last": cell(F.greatest(x0, x1) + slack)})
+    strips = scratch.write(strips, "strips")
+
+    begins = F.when(cell(F.col("lo")) < F.col("gy"), F.lit(float("-inf"))).otherwise(F.col("lo"))
+    turns = F.array_compact(F.array(begins, F.when(cell(F.col("hi")) == F.col("gy"), F.col("hi"))))
+    odd = strips.select("row", "part", "gy", "first", F.explode(turns).alias("y")).groupBy("row", "part", "gy", "first", "y").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    turned = odd.groupBy("row", "part", "gy").agg(F.collect_list(F.struct("first", "y")).alias("turns"))
+    spans = strips.groupBy("row", "ord", "part", "gy").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).join(turned, ["row", "part", "gy"], "left")
+    bins = spans.select("row", "ord", "part", "gy", "turns", F.explode(F.sequence("lo", "hi")).alias("gx"))
+    right = F.transform(F.filter("turns", lambda t: t["first"] > F.col("gx")), lambda t: t["y"])
+    ends = strips.withColumn("gx", F.explode(F.sequence("first", "last"))).groupBy("row", "part", "gy", "gx").agg(F.collect_list(F.struct(geo.point(F.col("ax"), F.col("ay")).alias("a"), geo.point(F.col("bx"), F.col("by")).alias("b"))).alias("edges"))
+    own = F.struct(F.coalesce(right, F.array().cast("array<double>")).alias("turns"), F.coalesce("edges", F.array().cast(f"array<struct<a:{geo.POINT},b:{geo.POINT}>>")).alias("edges")).alias("own")
+    held = bins.join(ends, ["row", "part", "gy", "gx"], "left").select("row", "ord", F.col("gx").alias("bx"), F.col("gy").alias("by"), own)
+    held = held.filter("size(own.turns) > 0 or size(own.edges) > 0")
+    return held.groupBy("row", "ord", "bx", "by").agg(F.collect_list("own").alias("parts")).drop("row")
+
+
 def point_in_polygons(points: DataFrame, polygons: DataFrame, size: float = BIN) -> DataFrame:
-    """(id, x, y) and (ord, geom) -> (id, ord) for each polygon that a point lies in."""
+    """(id, x, y) and (ord, geom) -> (id, ord) for each polygon that a point lies in (even-odd rule in each part).
+
+    A point reads its bin only, see ``polygon_bins``.
+    """
     p = points.select("id", "x", "y", F.floor(F.col("x") / size).cast("long").alias("bx"), F.floor(F.col("y") / size).cast("long").alias("by"))
-    g = polygons.select("ord", geo.edges_of(F.col("geom")).alias("edges"), geo.bounds(_vertices()).alias("box")).select("ord", "edges", "box", F.inline(geo.bins(F.col("box"), size)))
-    near = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
-    return p.join(g, ["bx", "by"]).filter(near).filter(geo.in_edges(F.col("edges"), F.col("x"), F.col("y"))).select("id", "ord")
+    inside = F.exists("parts", lambda o: (F.size(F.filter(o["turns"], lambda t: t <= F.col("y"))) + geo.hits(o["edges"], F.col("x"), F.col("y"))) % 2 == 1)
+    return p.join(polygon_bins(polygons, size), ["bx", "by"]).filter(inside).select("id", "ord")
 
 
 def _pieces(rows: DataFrame, ident: str, parts: Column, size: float) -> DataFrame:
