@@ -142,3 +142,60 @@ def test_searches_that_share_maxima(spark, sf):
 
 def test_nothing_published(spark, tmp_path):
     assert [r.error for r in grids.read_latest(spark, f"{tmp_path}/none").collect()] == ["no rain published"]
+
+
+def test_search_stops_at_the_first_hit(spark, tmp_path):
+    """Real rasters of 20 days with a hit on the fifth and the last: files are read in batches of 1, 2 and 4 days."""
+    for d in range(1, 21):
+        raster(tmp_path / f"gsmap_gauge_now.202602{d:02d}.0130.dat.gz", {(452, 1211): 9.0 + d if d in (5, 20) else 0.5})
+    listing = grids.list_archive(spark, str(tmp_path)).withColumn("snap", grids.snapshot_time(grids.file_name(F.col("path"))))
+    asked = []
+
+    def read(files):
+        paths = [r.path for r in files.select("path").collect()]
+        asked.append(len(paths))
+        loaded = spark.read.format("binaryFile").load(paths)
+        return grids.decode(loaded, rainfall.region_box(rainfall.CITY)).filter("is_valid").select(grids.snapshot_time(grids.file_name(F.col("path"))).alias("snap"), "r", "c", "v")
+
+    search = lambda limit, **k: [(r.day.day, r.max_v) for r in rainfall.search_archive(listing, read, rainfall.CITY, "2026-02-01", "2026-02-28", limit, **k).collect()]
+    assert search(5.0) == [(5, 14.0)] and asked == [1, 2, 4]
+    asked.clear()
+    assert search(5.0, descending=True) == [(20, 29.0)] and asked == [1]
+    asked.clear()
+    assert search(100.0) == [] and asked == [1, 2, 4, 8, 5]
+    asked.clear()
+    assert search(5.0, max_days=4, first_days=3) == [] and asked == [3, 1]
+    assert rainfall.search_archive(listing.limit(0), read, rainfall.CITY, "2026-02-01", "2026-02-28", 1.0).collect() == []
+
+
+def test_ingestion_of_rasters(spark, tmp_path):
+    """Late, repeated, broken and misnamed files; a batch that is run again changes nothing; old versions go."""
+    land, out, box = tmp_path / "land", str(tmp_path / "out"), (450, 450, 1205, 1206)
+    run = lambda ck="ck": latest.ingest(latest.read_files(spark, str(land)), out, str(tmp_path / ck), box).awaitTermination()
+    cells = lambda: sorted((r.c, r.snap.hour, r.v) for r in latest.read_latest(spark, f"{out}/cells").collect())
+    aside = lambda: sorted(r.path.split("/")[-1] for r in latest.read_quarantine(spark, out).collect())
+    name = "gsmap_gauge_now.20260204.{}.dat.gz"
+    raster(land / name.format("0200"), {(450, 1205): 2, (450, 1206): 700})
+    raster(land / name.format("0400"), {(450, 1205): 8}, cut=500)
+    run()
+    assert cells() == [(1205, 2, 2.0), (1206, 2, 0.0)] and aside() == [name.format("0400")]
+    raster(land / name.format("0130"), {(450, 1205): 1})
+    raster(land / "nameless.gz", {(450, 1205): 3})
+    run()
+    assert cells() == [(1205, 2, 2.0), (1206, 2, 0.0)] and aside() == [name.format("0400"), "nameless.gz"]
+    for h in (3, 5, 6):
+        raster(land / name.format(f"0{h}00"), {(450, 1205): h})
+        run()
+    assert cells() == [(1205, 6, 6.0), (1206, 6, 0.0)] and grids.versions(spark, f"{out}/cells") == [2, 3, 4]
+    run("again")  # without its checkpoint the job reads all files again, as batch 0
+    assert (1205, 6, 6.0) in cells() and sorted(set(aside())) == [name.format("0400"), "nameless.gz"]
+
+
+def test_published_versions(spark, tmp_path):
+    """Readers of a version go on while the next ones are written; parts of a version that is not whole do not count."""
+    path = str(tmp_path / "latest")
+    for i in range(4):
+        grids.publish_latest(spark.range(i + 1).selectExpr("id", "'s' as snap", "'f' as source_file"), path)
+        held = grids.read_latest(spark, path) if i == 1 else held if i else None
+    (tmp_path / "latest" / "version=9").mkdir()
+    assert grids.versions(spark, path) == [1, 2, 3] and held.count() == 2 and grids.read_latest(spark, path).count() == 4

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewise.functions.rain import clean_intensity, lat_to_row, lon_to_col, rain_risk
-from tidewise.plans.scratch import join_checked, small
+from tidewise.plans.scratch import Scratch, join_checked, small
 
 #: Regions as (south, north, west, east) in degrees.
 CITY = (14.6, 14.8, 121.0, 121.2)
@@ -106,6 +108,36 @@ def scan_archive(
     return _hits(files, hits, threshold, all_hits)
 
 
+def search_archive(
+    listing: DataFrame,
+    read: Callable[[DataFrame], DataFrame],
+    region: tuple[float, float, float, float],
+    start: str,
+    end: str,
+    threshold: float,
+    sampling: tuple[str, ...] = ("all",),
+    every: int = 1,
+    descending: bool = False,
+    max_days: int | None = None,
+    first_days: int = 1,
+) -> DataFrame:
+    """The first hit of ``scan_archive``, reading no more of the archive than twice what lies before it.
+
+    ``read`` makes the grid (snap, r, c, v) of some files of the listing.  Days are searched in batches of 1, 2, 4, ... (``first_days`` at
+    first), each batch in parallel, until one has a hit; only the largest day rank and the found row reach the driver.
+    """
+    scratch = Scratch(listing.sparkSession, "search")
+    files = scratch.write(sample_files(choose_days(listing, start, end, descending, max_days), sampling, every), "files")
+    last, done, step = files.agg(F.max("day_rank")).first()[0] or 0, 0, first_days
+    while done < last:
+        some = files.filter(F.col("day_rank").between(done + 1, done + step))
+        hits = scratch.write(_hits(some, region_max(read(some), region), threshold, False), "hits")
+        if not hits.isEmpty():
+            return hits
+        done, step = done + step, step * 2
+    return _hits(files, files.limit(0).select("snap", F.lit(None).cast("double").alias("max_v")), threshold, False)
+
+
 def _hits(files: DataFrame, maxima: DataFrame, threshold: float, all_hits: bool) -> DataFrame:
     out = files.join(maxima.filter(exceeds(F.col("max_v"), threshold)), "snap").orderBy("day_rank", "path").select("day", "hhmm", "path", "max_v")
     return out if all_hits else out.limit(1)

@@ -661,6 +661,63 @@ def q_newest_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.read_latest(spark, f"{base}/table").select("r", "c", F.date_format("snap", "yyyy-MM-dd").alias("day"), r6("v"))
 
 
+@query(
+    _sql(
+        f"""SELECT 'cell' AS kind, g.r, g.c, strftime(last, '%Y-%m-%d') AS day, round(coalesce({_CLEAN}, 0), 3) AS v, NULL::VARCHAR AS path FROM
+            (SELECT 450 + a.range AS r, 1205 + b.range AS c, last FROM range(11) a, range(11) b, (SELECT max(snap) AS last FROM rain WHERE NOT {_BAD_DAY})) g
+            LEFT JOIN (SELECT snap, r, c, v::FLOAT::DOUBLE AS v FROM rain) x ON x.snap = last AND x.r = g.r AND x.c = g.c
+        UNION ALL SELECT DISTINCT 'file', NULL, NULL, NULL, NULL, '/gsmap_gauge_now.' || strftime(snap, '%Y%m%d') || '.0000.dat.gz' FROM rain WHERE {_BAD_DAY}""", _DAYS,
+    )
+)
+def q_raster_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job on rasters that land in two deliveries, the later days first: newest cells, and the files set aside."""
+    scratch = Scratch(spark, "sync")
+    base, files = scratch.path, scratch.write(_rasters(spark, sf_dir), "rasters")
+    for half in (1, 0):
+        files.filter(F.dayofmonth(grids.snapshot_time(grids.file_name(F.col("path")))) % 2 == half).write.mode("append").parquet(f"{base}/landing")
+        landed = spark.readStream.schema("path string, content binary").parquet(f"{base}/landing")
+        latest.ingest(landed, f"{base}/out", f"{base}/checkpoint", rainfall.region_box(rainfall.SYNC)).awaitTermination()
+    cells = latest.read_latest(spark, f"{base}/out/cells").select(F.lit("cell").alias("kind"), "r", "c", F.date_format("snap", "yyyy-MM-dd").alias("day"), F.round("v", 3).alias("v"))
+    return cells.unionByName(latest.read_quarantine(spark, f"{base}/out").select(F.lit("file").alias("kind"), "path"), allowMissingColumns=True)
+
+
+_SEARCHES = [(False, 50.0), (True, 50.0), (False, 1e9)]
+
+
+@query(
+    _sql(
+        " UNION ALL ".join(
+            f"""SELECT * FROM (SELECT {i} AS search, strftime(snap, '%Y-%m-%d') AS day, strftime(snap, '%H%M') AS hhmm, round(m, 6) AS max_v FROM maxima WHERE m > {limit}
+            ORDER BY snap::DATE {'DESC' if down else 'ASC'}, snap LIMIT 1)""" for i, (down, limit) in enumerate(_SEARCHES)
+        ), _HALVES, f"maxima AS (SELECT snap, max(v) AS m FROM rain WHERE {_box(rainfall.CITY)} GROUP BY 1)",
+    )
+)
+def q_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches from both ends, in growing batches of days up to the first hit, and one without a hit."""
+    listing, rain_ = fx.archive(spark, sf_dir), Scratch(spark, "hits").write(fx.rain(spark, sf_dir, half_hours=True))
+    read = lambda files: rain_.join(files.select("snap").distinct(), "snap", "left_semi")
+    found = [rainfall.search_archive(listing, read, rainfall.CITY, "2000-01-01", "2100-01-01", limit, descending=down).withColumn("search", F.lit(i)) for i, (down, limit) in enumerate(_SEARCHES)]
+    return reduce(DataFrame.unionByName, found).select("search", F.date_format("day", "yyyy-MM-dd").alias("day"), "hhmm", r6("max_v"))
+
+
+def _text(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+_DIMENSIONS = (
+    "sites(ord, name, barangay, lat, lng) AS (VALUES " + ", ".join("({}, {}, {}, {}::DOUBLE, {}::DOUBLE)".format(i, *map(_text, x.split(",")[:2]), *x.split(",")[2:]) for i, x in enumerate(features.dimension_lines("sites.csv"))) + ")",
+    "barangays(name) AS (VALUES " + ", ".join(f"({_text(x)})" for x in features.dimension_lines("barangays.csv")) + ")",
+)
+
+
+@query(_sql("SELECT ord, name, barangay, node, round(distance, 6) AS distance, barangay IN (SELECT name FROM barangays) AS listed FROM snapped JOIN sites USING (ord)", _NODES, *_DIMENSIONS, _SNAP))
+def q_site_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest road node of each evacuation site, and whether its barangay is of the district."""
+    sites, listed = features.evacuation_sites(spark), features.barangays(spark).select(F.col("name").alias("barangay"), F.lit(True).alias("listed"))
+    near = graph.snap(sites, fx.road_nodes(spark, sf_dir), ["ord"]).select("ord", "node", r6("distance"))
+    return sites.join(near, "ord").join(listed, "barangay", "left").select("ord", "name", "barangay", "node", "distance", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 # --- classes ------------------------------------------------------------------------------------------------------------------
 
 

@@ -82,10 +82,14 @@ def layer(spark: SparkSession, name: str, jdbc: dict[str, str] | None = None) ->
     return spark.table(target)
 
 
-def _dimension(spark: SparkSession, name: str, schema: str) -> DataFrame:
+def dimension_lines(name: str) -> list[str]:
+    """The lines of a file of fixed values."""
     text = importlib.resources.files("tidewise.sources").joinpath("data", name).read_text(encoding="utf-8")
-    rows = [x for x in text.splitlines() if x and not x.startswith("#")]
-    lines = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "ord long, value string")
+    return [x for x in text.splitlines() if x and not x.startswith("#")]
+
+
+def _dimension(spark: SparkSession, name: str, schema: str) -> DataFrame:
+    lines = spark.createDataFrame(list(enumerate(dimension_lines(name))), "ord long, value string")
     return lines.select("ord", F.from_csv("value", schema, {"sep": ","}).alias("r")).select("ord", "r.*")
 
 

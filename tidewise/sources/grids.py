@@ -113,15 +113,44 @@ def snapshots(spark: SparkSession, root: str, box: tuple[int, int, int, int] | N
     return decode(files, box, inclusive).filter("is_valid").select(snapshot_time(file_name(F.col("path"))).alias("snap"), "r", "c", "v")
 
 
-def publish_latest(cells: DataFrame, path: str) -> None:
-    """Replace the published cells; they carry snap, source_file and the time of processing."""
-    cells.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, fs = _path(spark, path)
+    fs.delete(place, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a table that are whole, in order."""
+    place, fs = _path(spark, path)
+    found = [s.getPath() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def write_version(table: DataFrame, path: str, version: int, keep: int) -> None:
+    """Write a version in a folder of its own and delete all but the newest ``keep`` whole ones.
+
+    A version counts once it is whole, so readers go from one to the next without a gap; a reader must end before ``keep`` more versions
+    are written.
+    """
+    table.write.mode("overwrite").parquet(f"{path}/version={version}")
+    for old in versions(table.sparkSession, path)[:-keep]:
+        delete(table.sparkSession, f"{path}/version={old}")
+
+
+def publish_latest(cells: DataFrame, path: str, keep: int = 3) -> None:
+    """Publish cells (they carry snap, source_file and the time of processing) as the next version; one publisher at a time."""
+    version = max(versions(cells.sparkSession, path), default=-1) + 1
+    write_version(cells.withColumn("processed_at", F.current_timestamp()), path, version, keep)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The published cells, or, where nothing is published yet, one row with an ``error``."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    found = versions(spark, path)
+    if not found:
         return spark.range(1).select(F.lit("no rain published").alias("error"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/version={found[-1]}")
