@@ -2,7 +2,8 @@
 
 Base spans are found by four patterns (email, ip, card, phone), each from left to right without overlap.
 Beyond these, words can give an entity away.  Protected entities are the four kinds, and every single value (an address, a number) that
-at least ``MIN_DOCS`` documents hold; a value of fewer documents cannot reach the joint minimum with any term.  Corpus counts
+at least ``MIN_DOCS`` documents hold; a value of fewer documents cannot reach the joint minimum with any term, and values (or terms) that stand
+in the same documents are counted once.  Corpus counts
 of documents estimate how strongly a term t reveals an entity e: disclosure = PMI(t; e) / IC(e), with PMI = log2(p(t,e) / (p(t) p(e)))
 and IC = -log2 p(e); it is 1 for a term that only stands in documents with e.  Terms with at least ``MIN_DOCS``
 joint documents are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand: also in documents without the
@@ -96,14 +97,27 @@ def disclosure(entities: DataFrame, docs: DataFrame, scratch: Scratch, min_docs:
     named = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
     values = F.array_distinct(F.concat(*map(named, KINDS)))
     held = scratch.write(entities.select("rid", F.explode(values).alias("entity")), "values")
-    often = scratch.write(held.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).filter(F.col("de") >= min_docs), "often")
+    # Entities with the same documents reveal the same: one of them stands for all. Terms with the same documents have the same joint counts.
+    # Sets of documents are told apart by their size and two sums of hashes.
+    signed = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("t")]
+    often = held.groupBy("entity").agg(*signed).filter(F.col("n") >= min_docs).groupBy("n", "s", "t").agg(F.min("entity").alias("entity"))
+    often = scratch.write(often.select("entity", F.col("n").alias("de")), "often")
     terms = scratch.write(entities.select("rid", kinds.alias("kinds"), F.explode(_terms(F.col("text"))).alias("term")), "terms")
 
     by_kind = terms.groupBy("term").agg(*[F.count_if(F.array_contains("kinds", k)).alias(k) for k in KINDS])
     by_kind = by_kind.select("term", F.inline(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).alias("joint")) for k in KINDS])))
+    by_kind = scratch.write(by_kind.filter(F.col("joint") >= min_docs), "by-kind")
+    # A term has no more documents in common with a value than with the value's kind.
+    able = scratch.write(by_kind.select("term").distinct(), "able")
+    named = scratch.write(join_checked(terms.select("rid", "term"), able, "term", "left_semi", max_rows=500_000), "named")
+    alike = scratch.write(named.groupBy("term").agg(*signed), "alike")
+    heads = scratch.write(alike.groupBy("n", "s", "t").agg(F.min("term").alias("head")), "heads")
+    classes = scratch.write(join_checked(alike, heads, ["n", "s", "t"], max_rows=500_000).select("term", "head"), "classes")
     valued = join_checked(held, often.select("entity"), "entity", "left_semi")
-    by_value = terms.select("rid", "term").join(valued, "rid").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("joint"))
-    joint = scratch.write(by_kind.unionByName(by_value.select("term", "entity", "joint")).filter(F.col("joint") >= min_docs), "joint")
+    of_heads = join_checked(named, heads.select(F.col("head").alias("term")), "term", "left_semi", max_rows=500_000)
+    by_value = of_heads.select("rid", F.col("term").alias("head")).join(valued, "rid").groupBy("head", "entity").agg(F.count(F.lit(1)).alias("joint"))
+    by_value = scratch.write(by_value.filter(F.col("joint") >= min_docs), "by-value").join(classes, "head")
+    joint = scratch.write(by_kind.unionByName(by_value.select("term", "entity", "joint")), "joint")
     sizes = entities.agg(*[F.count_if(F.size(k) > 0).alias(k) for k in KINDS]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).alias("de")) for k in KINDS])))
 
     asked = scratch.write(joint.select("term").distinct(), "asked")
