@@ -27,23 +27,31 @@ def _vertices(geom: str = "geom") -> Column:
 # --- dissolve -----------------------------------------------------------------------------------------------------
 
 
-def dissolve_outline(parts: DataFrame) -> DataFrame:
+def dissolve_outline(parts: DataFrame, directed: bool = False) -> DataFrame:
     """(ord, geom, ...) -> edges (ax, ay, bx, by) of the outline of the union.
 
     Neighbours share whole edges, so an inner edge occurs an even number of times; null parts are skipped. For parts that
-    overlap or share only pieces of edges see ``union_outline``.
+    overlap or share only pieces of edges see ``union_outline``. ``directed`` edges have the union on their left; others go from their
+    smaller end.
     """
-    edges = parts.filter("geom is not null").select(F.explode(F.flatten("geom")).alias("ring")).select(F.explode(geo.segments(F.col("ring"))).alias("s"))
-    one = edges.select(F.least("s.a", "s.b").alias("p"), F.greatest("s.a", "s.b").alias("q")).filter("p <> q")
-    odd = one.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    rings = parts.filter("geom is not null").select(F.explode("geom").alias("part")).select(F.posexplode("part").alias("at", "ring"))
+    # A first ring that runs counterclockwise has the inside on its left, and so has a hole that runs clockwise.
+    x0, y0 = F.col("ring")[0]["x"], F.col("ring")[0]["y"]
+    turn = F.aggregate(geo.segments(F.col("ring")), F.lit(0.0), lambda s, e: s + (e["a"]["x"] - x0) * (e["b"]["y"] - y0) - (e["b"]["x"] - x0) * (e["a"]["y"] - y0))
+    left = (turn > 0) == (F.col("at") == 0) if directed else F.lit(True)
+    edges = rings.select(left.alias("left"), F.explode(geo.segments(F.col("ring"))).alias("s"))
+    one = edges.select(F.least("s.a", "s.b").alias("p"), F.greatest("s.a", "s.b").alias("q"), F.when((F.col("s.a") < F.col("s.b")) == F.col("left"), 1).otherwise(-1).alias("way")).filter("p <> q")
+    odd = one.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("way").alias("way")).filter("n % 2 = 1")
+    if directed:
+        odd = odd.select(F.when(F.col("way") > 0, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(F.col("way") > 0, F.col("q")).otherwise(F.col("p")).alias("q"))
     return odd.select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 
-def union_outline(parts: DataFrame, size: float = BIN, eps: float = 1e-9) -> DataFrame:
+def union_outline(parts: DataFrame, size: float = BIN, eps: float = 1e-9, directed: bool = False) -> DataFrame:
     """(ord, geom) -> edges (ax, ay, bx, by) of the outline of the union, also where parts overlap or share pieces of edges.
 
     Edges are cut where other edges cross or touch them.  A piece is outline if just one of the points ``eps`` beside its middle lies in
-    a part; pieces that several parts have are taken once.
+    a part; pieces that several parts have are taken once. ``directed`` pieces have the union on their left.
     """
     scratch, part = Scratch(parts.sparkSession, "union"), parts.filter("geom is not null").select("ord", "geom")
     ends = [F.col(f"s.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"]
@@ -73,8 +81,11 @@ def union_outline(parts: DataFrame, size: float = BIN, eps: float = 1e-9) -> Dat
         ((F.col("p.y") + F.col("q.y")) / 2 + F.lit(sign * eps) * (F.col("q.x") - F.col("p.x")) / length).alias("y"),
     )
     inside = point_in_polygons(pieces.select(F.inline(F.array(beside(1), beside(-1)))), part, size).select("id.k", "id.side").distinct()
-    one = inside.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("k")
-    return pieces.join(one, "k", "left_semi").select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+    one = inside.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("side")).filter("n = 1").select("k", "side")
+    pieces = pieces.join(one, "k")
+    if directed:
+        pieces = pieces.select(F.when(F.col("side") > 0, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(F.col("side") > 0, F.col("q")).otherwise(F.col("p")).alias("q"))
+    return pieces.select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
 
 def dissolve_attributes(parts: DataFrame, columns: list[str]) -> DataFrame:

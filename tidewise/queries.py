@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo, rain, styles
-from tidewise.operators import classify, geometry, graph, mcda, rainfall
+from tidewise.operators import classify, geometry, graph, mcda, rainfall, rings
 from tidewise.plans.scratch import Scratch
 from tidewise.sources import features, grids
 from tidewise.sources import fixtures as fx
@@ -467,6 +467,39 @@ def q_union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(axis.alias("axis")).agg(F.round(F.sum(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))), 3).alias("length"))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, name, geom): unit squares of a grid that the orders cover to five eighths, in parts with many holes."""
+    orders = fx.table(spark, sf_dir, "orders")
+    side = int(orders.count() ** 0.5)
+    at = orders.selectExpr(f"o_orderkey * 7919 % 10007 % {side} as i", f"o_orderkey * 104729 % 10009 % {side} as j", "o_orderkey as ord", "o_orderpriority as name")
+    cells = at.groupBy("i", "j").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"))
+    corner = lambda a, b: geo.point(F.col("i") + a, F.col("j") + b)
+    return cells.select("ord", "name", F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))).alias("geom"))
+
+
+#: Parts are cells joined by edges; the holes of a part follow from its corners, sides and cells (Euler).
+_PARTS = """WITH RECURSIVE side AS (SELECT floor(sqrt(count(*)))::BIGINT AS m FROM orders),
+    cells AS (SELECT DISTINCT o_orderkey * 7919 % 10007 % m AS i, o_orderkey * 104729 % 10009 % m AS j FROM orders, side),
+    lab AS (SELECT i, j, i * 1000000 + j AS l FROM cells),
+    reach(i, j, l) USING KEY (i, j) AS (SELECT i, j, l FROM lab
+        UNION SELECT k.i, k.j, min(n.l) FROM (SELECT i + dx AS i, j + dy AS j, l FROM reach, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)) n JOIN recurring.reach k ON k.i = n.i AND k.j = n.j WHERE n.l < k.l GROUP BY k.i, k.j),
+    corners AS (SELECT l, count(DISTINCT (i + dx) * 1000000 + j + dy) AS v FROM reach, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy) GROUP BY 1),
+    sides AS (SELECT l, count(*) AS e, count(*) FILTER (n = 1) AS n_points FROM (SELECT l, i + dx AS i, j + dy AS j, k, count(*) AS n FROM reach, (VALUES (0, 0, 'h'), (0, 1, 'h'), (0, 0, 'v'), (1, 0, 'v')) d(dx, dy, k) GROUP BY ALL) GROUP BY 1),
+    part AS (SELECT l, count(*) AS f, min(i) AS min_x, max(i) + 1 AS max_x, min(j) AS min_y, max(j) + 1 AS max_y FROM reach GROUP BY 1)"""
+
+
+@query(
+    _PARTS + """ SELECT min_x::DOUBLE AS min_x, max_x::DOUBLE AS max_x, min_y::DOUBLE AS min_y, max_y::DOUBLE AS max_y, f::DOUBLE AS area, (1 - v + e - f)::BIGINT AS n_holes, n_points::BIGINT AS n_points
+    FROM part JOIN corners USING (l) JOIN sides USING (l)"""
+)
+def q_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons of a dissolved layer with their holes."""
+    t = rings.polygons(geometry.dissolve_outline(_blocks(spark, sf_dir), directed=True), size=8.0)
+    ring = F.col("geom")[0]
+    points = F.aggregate(ring, F.lit(0).cast("long"), lambda n, r: n + F.size(r) - 1)
+    return t.select(F.inline(F.array(geo.bounds(ring[0]))), F.round("area", 6).alias("area"), F.col("n_holes").cast("long").alias("n_holes"), points.alias("n_points"))
+
+
 def _district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of many parts: all floods."""
     return fx.flood_polygons(spark, sf_dir).select("ord", "geom")
