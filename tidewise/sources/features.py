@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewise.functions import geo
 from tidewise.operators.geometry import intersecting
+from tidewise.sources import collections
 
 #: Public layer names and the tables behind them.
 LAYERS = {
@@ -21,6 +22,7 @@ LAYERS = {
     "project8_roads": "roads",
     "evacuation_sites": "evacuation_sites",
 }
+_PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 _FEATURE = "struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>>"
 
 
@@ -38,11 +40,18 @@ def _parsed(features: DataFrame) -> DataFrame:
     return features.select("ord", F.col("f.properties").alias("properties"), kind.alias("geom_type"), geom.alias("geom"), line.alias("line"))
 
 
-def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of a FeatureCollection (or of one feature a line, the form for large data), with their order."""
+def read_features(spark: SparkSession, path: str, lines: bool = False, range_bytes: int = collections.RANGE_BYTES) -> DataFrame:
+    """Features of FeatureCollections, or of one feature a line, with their order.
+
+    A collection is read in ranges of bytes, a task each, and a feature belongs to the range that it begins in; packed files
+    (``.gz``) cannot be read from the middle and are one task each.
+    """
     if lines:
         rows = spark.read.schema("type string, properties string, geometry struct<type:string,coordinates:string>").json(path)
         features = rows.filter("type = 'Feature'").select(F.monotonically_increasing_id().alias("ord"), F.struct("type", "properties", "geometry").alias("f"))
+    elif not path.endswith(_PACKED):
+        texts = collections.feature_texts(spark, path, range_bytes).select("ord", F.from_json("value", _FEATURE).alias("f"))
+        features = texts.filter("f.type = 'Feature'")
     else:
         features = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path).select(F.posexplode("features").alias("ord", "f"))
     return _parsed(features.select(F.col("ord").cast("long").alias("ord"), "f"))
