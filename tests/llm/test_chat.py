@@ -6,21 +6,25 @@ from tidewise.llm import chat
 
 
 def brute(rows, max_turns):
-    parts = defaultdict(list)
+    """Whole renderings with their spans, and then the parts that they are cut to."""
+    clean = lambda s: s.replace("<|", "< |")
+    whole = defaultdict(list)
     for conv, turn, role, text in rows:
-        clean = lambda s: s.replace("<|", "< |")
-        parts[conv, (turn or 0) // max_turns].append((turn is not None, turn or 0, clean(role or "unknown"), clean(text or "")))
+        whole[conv].append((turn is not None, turn or 0, clean(role or "unknown"), clean(text or "")))
     out = {}
-    for (conv, part), turns in parts.items():
+    for conv, turns in whole.items():
         turns.sort()
         for me in {t[2] for t in turns} - {"system"}:
-            text, spans = "", []
-            for _, _, who, words in turns:
-                text += "<|assistant|>\n" if who == me else "<|system|>\n" if who == "system" else f"<|user name={who}|>\n"
-                if who == me:
-                    spans.append(f"{len(text)}:{len(text) + len(words) + 7}")
-                text += words + "<|end|>\n"
-            out[conv, part, me] = (len(turns), len(spans), text, ",".join(spans))
+            at = 0
+            for first in range(0, len(turns), max_turns):
+                text, spans, begin, part = "", [], at, turns[first : first + max_turns]
+                for _, _, who, words in part:
+                    text += "<|assistant|>\n" if who == me else "<|system|>\n" if who == "system" else f"<|user name={who}|>\n"
+                    if who == me:
+                        spans.append(f"{at + len(text)}:{at + len(text) + len(words) + 7}")
+                    text += words + "<|end|>\n"
+                at += len(text)
+                out[conv, first // max_turns, me] = (len(part), len(spans), begin, text, ",".join(spans))
     return out
 
 
@@ -28,12 +32,12 @@ def test_rotation(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(9001, i, "anna bo cy".split()[i % 3], f"turn é😀 {i}") for i in range(40)]
     rows += [(9002, 0, None, None), (9002, None, "x", "first"), (9003, 0, "system", "alone"), (None, 1, "user", "<|end|> forged"), (9004, 1, "a", "tie"), (9004, 1, "a", "tie"), (9005, 0, "a", "")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as part", "'z' as speaker", "2 as turns")
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as part", "'z' as speaker", "2 as turns", "7 as begin", "8 as p")
     for max_turns in (512, 8):
-        got = {(r.conv_id, r.part, r.speaker): (r.n_turns, r.n_own, r.rendered, r["mask"]) for r in chat.rotate(turns, max_turns).collect()}
+        got = {(r.conv_id, r.part, r.speaker): (r.n_turns, r.n_own, r.begin, r.rendered, r["mask"]) for r in chat.rotate(turns, max_turns).collect()}
         assert got == brute(rows, max_turns)
-        for _, _, text, mask in got.values():
-            assert all(text[int(a) : int(b)].endswith("<|end|>") for a, b in (s.split(":") for s in mask.split(",")))
+        for _, _, begin, text, mask in got.values():
+            assert all(text[int(a) - begin : int(b) - begin].endswith("<|end|>") for a, b in (s.split(":") for s in mask.split(",")))
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
@@ -46,12 +50,8 @@ def test_every_participant_gets_every_part(spark):
     who = {1: ("early", "late"), 2: ("a",), 3: ("b",), None: ("c",)}
     assert set(got) == {(c, p, s) for c, names in who.items() for s in names for p in range(3)}
     assert all(r.n_turns == (8, 8, 4)[p] for (_, p, _), r in got.items())
-    whole = {(c, s): v[2] for (c, _, s), v in brute(rows, 10**6).items()}
-    masks = {(c, s): v[3] for (c, _, s), v in brute(rows, 10**6).items()}
+    assert {k: (r.n_turns, r.n_own, r.begin, r.rendered, r["mask"]) for k, r in got.items()} == brute(rows, 8)
+    whole = {(c, s): v for (c, _, s), v in brute(rows, 10**6).items()}
     for c, s in whole:
-        parts, spans, at = [got[c, p, s] for p in range(3)], [], 0
-        assert "".join(r.rendered for r in parts) == whole[c, s]
-        for r in parts:
-            spans += [f"{int(a) + at}:{int(b) + at}" for a, b in (x.split(":") for x in r["mask"].split(",") if x)]
-            at += len(r.rendered)
-        assert ",".join(spans) == masks[c, s]
+        parts = [got[c, p, s] for p in range(3)]
+        assert "".join(r.rendered for r in parts) == whole[c, s][3] and ",".join(r["mask"] for r in parts if r["mask"]) == whole[c, s][4]

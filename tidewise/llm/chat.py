@@ -4,9 +4,10 @@ For every participant of a conversation the dialogue is rendered with that speak
 the other speakers as named users, and system turns as they are; the mask lists the spans (code points,
 end exclusive) of the assistant's words and end marks, on which a model would be trained.
 
-A conversation is rendered in parts of ``max_turns`` turns by a running number, so no task gathers an unbounded dialogue. Every
-participant of the whole conversation gets every part; the parts of a speaker, joined in order, are the whole dialogue.
-Spans count from the start of their part: a part's place in the whole is the length of the parts before it.
+A rendering may be longer than a row can be, so it is laid out in rows of ``max_turns`` turns by a running number. Every participant
+of the whole conversation gets every part; the parts of a speaker, joined in order, are the whole dialogue. ``begin`` is the place of a
+part in the whole rendering, and spans count from the start of the whole, so neither depends on where it was cut. These places come from
+lengths, summed over narrow rows.
 
 Defined results: a null role is the speaker "unknown"; a null text is empty; null turns come first; equal turns are ordered by
 speaker, then text; conversations of system turns alone give no rows; repeated rows are turns of their own; a null conversation
@@ -36,8 +37,24 @@ def _numbered(base: DataFrame, scratch: Scratch) -> DataFrame:
     return found.select("conv_id", "t", (F.col("row") + F.col("shift")).alias("at"))
 
 
+def _begins(numbered: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(c, p, s, begin): where each part begins in the rendering of each speaker, from lengths alone."""
+    who = F.col("t.speaker")
+    # With all turns as a user's or the system's; each own turn then differs by the length of its head.
+    size = F.length(F.when(who == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), who, F.lit("|>\n")))) + F.length("t.text") + F.length(F.lit(END)) + 1
+    narrow = numbered.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), who.alias("s"), size.cast("long").alias("size"))
+    parts = narrow.groupBy("c", "p").agg(F.sum("size").alias("size"))
+    own = narrow.groupBy(F.col("c").alias("oc"), F.col("p").alias("op"), F.col("s").alias("os")).agg(F.count(F.lit(1)).alias("n"))
+    each = parts.join(speakers, F.col("c").eqNullSafe(F.col("conv")))
+    each = each.join(own, F.col("c").eqNullSafe(F.col("oc")) & (F.col("p") == F.col("op")) & (F.col("speaker") == F.col("os")), "left")
+    change = F.length(F.lit("<|assistant|>\n")) - F.length(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
+    before = Window.partitionBy("c", "speaker").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.col("size") + F.coalesce("n", F.lit(0)) * change).over(before), F.lit(0))
+    return each.select("c", "p", F.col("speaker").alias("s"), begin.cast("long").alias("begin"))
+
+
 def rotate(turns: DataFrame, max_turns: int = MAX_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation, part and participant: conv_id, part, speaker, n_turns, n_own, rendered, mask."""
+    """One row per conversation, participant and part: conv_id, part, speaker, n_turns, n_own, begin, rendered, mask."""
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     base = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -51,15 +68,17 @@ def rotate(turns: DataFrame, max_turns: int = MAX_TURNS, conv_col: str = "conv_i
     dialogue = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     speakers = numbered.select(F.col("conv_id").alias("conv"), F.col("t.speaker").alias("speaker")).filter("speaker <> 'system'").distinct()
     each = dialogue.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "part", "turns", "speaker")
+    begins = _begins(numbered, speakers)
+    each = each.join(begins, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("speaker") == F.col("s"))).drop("c", "p", "s")
 
     me = F.col("speaker")
     head = lambda t: (
         F.when(t["speaker"] == me, F.lit("<|assistant|>\n")).when(t["speaker"] == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), t["speaker"], F.lit("|>\n")))
     )
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["speaker"] == me).alias("own")))
-    laid = each.select("conv_id", "part", "speaker", F.size("turns").cast("long").alias("n_turns"), pieces.alias("pieces"))
+    laid = each.select("conv_id", "part", "speaker", "begin", F.size("turns").cast("long").alias("n_turns"), pieces.alias("pieces"))
     # Prefix lengths are folded along the pieces; own pieces leave a span.
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.col("begin").alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def step(acc, p):
         begin = acc["at"] + F.length(p["head"])
@@ -73,6 +92,7 @@ def rotate(turns: DataFrame, max_turns: int = MAX_TURNS, conv_col: str = "conv_i
         "speaker",
         "n_turns",
         F.size(F.filter("pieces", lambda p: p["own"])).cast("long").alias("n_own"),
+        "begin",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("rendered"),
         F.array_join(spans, ",").alias("mask"),
     )

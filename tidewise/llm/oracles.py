@@ -36,9 +36,9 @@ p AS (SELECT DISTINCT s.conv_id, part, speaker FROM s JOIN t ON s.conv_id IS NOT
 r AS (SELECT p.conv_id, p.part, speaker, turn, who, t.text, speaker = who AS own,
     CASE WHEN speaker = who THEN '<|assistant|>' || chr(10) WHEN who = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || who || '|>' || chr(10) END AS head
     FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.part = t.part),
-o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
-    FROM r WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, who, text))
-SELECT conv_id, part::BIGINT AS part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.END}' || chr(10), '' ORDER BY n) AS rendered,
+o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, upto + length(head) AS pos
+    FROM r WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, text))
+SELECT conv_id, part::BIGINT AS part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, min(upto)::BIGINT AS begin, string_agg(head || text || '{chat.END}' || chr(10), '' ORDER BY n) AS rendered,
     coalesce(string_agg(pos::BIGINT || ':' || (pos + length(text) + 7)::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
 FROM o GROUP BY 1, 2, 3
 """
