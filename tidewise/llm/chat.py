@@ -37,16 +37,20 @@ def _numbered(base: DataFrame, scratch: Scratch) -> DataFrame:
     return found.select("conv_id", "t", (F.col("row") + F.col("shift")).alias("at"))
 
 
-def _begins(numbered: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(c, p, s, begin): where each part begins in the rendering of each speaker, from lengths alone."""
+def _shares(numbered: DataFrame) -> DataFrame:
+    """(c, p, s, n, size): turns of each speaker in each part, and how long they are as a user's or the system's."""
     who = F.col("t.speaker")
-    # With all turns as a user's or the system's; each own turn then differs by the length of its head.
-    size = F.length(F.when(who == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), who, F.lit("|>\n")))) + F.length("t.text") + F.length(F.lit(END)) + 1
-    narrow = numbered.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), who.alias("s"), size.cast("long").alias("size"))
-    parts = narrow.groupBy("c", "p").agg(F.sum("size").alias("size"))
-    own = narrow.groupBy(F.col("c").alias("oc"), F.col("p").alias("op"), F.col("s").alias("os")).agg(F.count(F.lit(1)).alias("n"))
-    each = parts.join(speakers, F.col("c").eqNullSafe(F.col("conv")))
+    head = F.when(who == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), who, F.lit("|>\n")))
+    size = F.length(head) + F.length("t.text") + F.length(F.lit(END)) + 1
+    return numbered.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p"), who.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("size"))
+
+
+def _begins(shares: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(c, p, s, begin): where each part begins in the rendering of each speaker, from lengths alone."""
+    own = shares.select(F.col("c").alias("oc"), F.col("p").alias("op"), F.col("s").alias("os"), "n")
+    each = shares.groupBy("c", "p").agg(F.sum("size").alias("size")).join(speakers, F.col("c").eqNullSafe(F.col("conv")))
     each = each.join(own, F.col("c").eqNullSafe(F.col("oc")) & (F.col("p") == F.col("op")) & (F.col("speaker") == F.col("os")), "left")
+    # An own turn differs by the length of its head.
     change = F.length(F.lit("<|assistant|>\n")) - F.length(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
     before = Window.partitionBy("c", "speaker").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.col("size") + F.coalesce("n", F.lit(0)) * change).over(before), F.lit(0))
@@ -64,11 +68,13 @@ def rotate(turns: DataFrame, max_turns: int = MAX_TURNS, conv_col: str = "conv_i
             clean(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
         ).alias("t"),
     )
-    numbered = _numbered(base, Scratch(turns.sparkSession, "chat")).withColumn("part", F.floor(F.col("at") / max_turns).cast("long"))
+    scratch = Scratch(turns.sparkSession, "chat")
+    numbered = _numbered(base, scratch).withColumn("part", F.floor(F.col("at") / max_turns).cast("long"))
     dialogue = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    speakers = numbered.select(F.col("conv_id").alias("conv"), F.col("t.speaker").alias("speaker")).filter("speaker <> 'system'").distinct()
+    shares = scratch.write(_shares(numbered), "shares")
+    speakers = shares.select(F.col("c").alias("conv"), F.col("s").alias("speaker")).filter("speaker <> 'system'").distinct()
     each = dialogue.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "part", "turns", "speaker")
-    begins = _begins(numbered, speakers)
+    begins = _begins(shares, speakers)
     each = each.join(begins, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("speaker") == F.col("s"))).drop("c", "p", "s")
 
     me = F.col("speaker")
