@@ -2,9 +2,10 @@
 
 Costs.  A search asks, for every group (``of``) of goals, what the way from each node to its cheapest goal costs (``nearest``).  Chains of nodes with two
 neighbours are first contracted: doubling pointers along the chains turn each into an edge between the junctions at its
-ends, so that a search takes as many rounds as a way has junctions, not vertices.  What is known is a family of
-written tables, each holding only the rows that a round improved.  A round follows the rows that improved last, up to a cost when they are
-many (the others wait, where they are), some steps in one plan, and writes what is better than all before; the family is merged when it has
+ends.  Junctions are dealt into blocks of neighbouring numbers; a round follows the rows that improved last to the end of their blocks, one task a block,
+and hands what leads out of a block to the next round.  So a search takes about as many rounds as a way has changes of block, with any
+numbering, and fewest where numbers that are close lie close.  What is known is a family of written tables, each holding only the rows that a round
+improved.  A round follows rows up to a cost when they are many (the others wait, where they are); the family is merged when it has
 grown.  A group may name a node until which it searches: rows beyond a multiple of that node's cost are neither followed nor kept.
 
 Ways.  Costs say which edge to take from each node (the cheapest; of equal ones that to the smallest node), so no path rides in the
@@ -20,6 +21,10 @@ edge will do, towards fewer of them.  Negative costs raise.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +34,10 @@ from tidewise.operators.mcda import or_value
 from tidewise.plans.scratch import Scratch, hinted, join_checked
 
 MAX_ROUNDS = 10_000
-#: Relaxation steps a round, between two written tables.
+#: Relaxation steps a round of ``detours``, between two written tables.
 STEPS = 4
+#: Nodes of a block, and groups that a task searches in one.
+BLOCK_NODES, BLOCK_GROUPS = 1 << 16, 64
 #: Tables of improved rows that are kept before they are merged, and rows that are followed in one round without regard to their cost.
 LEVELS, FRONT = 8, 2_000_000
 #: Rows up to which a round is one task without a shuffle, and takes so many times the steps.
@@ -108,19 +115,19 @@ def contracted(edges: DataFrame, fixed: DataFrame, scratch: Scratch) -> DataFram
 
 
 class _Known:
-    """The family of written tables of improved rows: (of, node, dist)."""
+    """The family of written tables of improved rows: (of, node, dist, block, open), open if they lead out of what was searched."""
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.levels, self.upto = scratch, [], []
-        #: Rows written, and rows that the last front was taken from.
-        self.rows = self.waiting = 0
+        #: Rows written.
+        self.rows = 0
 
-    def add(self, rows: DataFrame) -> int:
+    def add(self, rows: DataFrame) -> None:
         table = self.scratch.write(rows, "improved")
-        self.rows += (n := table.count())
-        self.levels.append((table, n))
-        self.upto.append(None)
-        return n
+        n, n_open = table.agg(F.count(F.lit(1)), F.count_if("open")).first()
+        self.rows += n
+        self.levels.append((table, n_open))
+        self.upto.append(None if n_open else float("inf"))
 
     def all(self) -> DataFrame:
         out = self.levels[0][0]
@@ -132,17 +139,17 @@ class _Known:
         return self.all().groupBy("of", "node").agg(F.min("dist").alias("dist"))
 
     def front(self, most: int) -> DataFrame | None:
-        """Rows that have not been followed yet: all, or the cheaper half while they are over ``most``."""
-        left = [i for i, (_, n) in enumerate(self.levels) if n and self.upto[i] != float("inf")]
+        """Open rows that have not been followed yet: all, or the cheaper half while they are over ``most``."""
+        left = [i for i in range(len(self.levels)) if self.upto[i] != float("inf")]
         if not left:
             return None
         parts = [self.levels[i][0] if self.upto[i] is None else self.levels[i][0].filter(F.col("dist") > self.upto[i]) for i in left]
         front = parts[0]
         for p in parts[1:]:
             front = front.unionByName(p)
+        front = front.filter("open").drop("open")
         cut = float("inf")
-        self.waiting = sum(self.levels[i][1] for i in left)
-        if self.waiting > most:
+        if sum(self.levels[i][1] for i in left) > most:
             n, half = front.agg(F.count(F.lit(1)), F.percentile_approx("dist", 0.5, 1000)).first()
             cut = cut if n <= most else half
         for i in left:
@@ -157,12 +164,74 @@ class _Known:
         old = self.levels[done[0]][0]
         for i in done[1:]:
             old = old.unionByName(self.levels[i][0])
-        whole = self.scratch.write(old.groupBy("of", "node").agg(F.min("dist").alias("dist")), "merged")
+        whole = old.groupBy("of", "node").agg(F.min("dist").alias("dist"), F.first("block").alias("block")).withColumn("open", F.lit(False))
+        whole = self.scratch.write(whole, "merged")
         for i in done:
             self.scratch.drop(self.levels[i][0])
         keep = [i for i in range(len(self.levels)) if i not in done]
-        n = sum(self.levels[i][1] for i in done)
-        self.levels, self.upto = [(whole, n), *[self.levels[i] for i in keep]], [float("inf"), *[self.upto[i] for i in keep]]
+        self.levels, self.upto = [(whole, 0), *[self.levels[i] for i in keep]], [float("inf"), *[self.upto[i] for i in keep]]
+
+
+def _block_steps(chains: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Contracted edges -> (node, block), and the edges walked backwards, from an end to where the chain begins: (node, to, total, block, to_block).
+
+    Nodes are dealt by ranges of their numbers.
+    """
+    step = chains.filter("not inner").filter(F.col("src") != F.col("end")).groupBy(F.col("end").alias("node"), F.col("src").alias("to")).agg(F.min("total").alias("total"))
+    step = scratch.write(step, "steps")
+    nodes = scratch.write(step.select("node").unionByName(step.select(F.col("to").alias("node"))).distinct(), "nodes")
+    blocks = max(1, -(-nodes.count() // BLOCK_NODES))
+    nodes = scratch.write(nodes.repartitionByRange(blocks, "node").withColumn("block", F.spark_partition_id()), "blocks")
+    step = join_checked(join_checked(step, nodes, "node"), nodes.select(F.col("node").alias("to"), F.col("block").alias("to_block")), "to")
+    return nodes, scratch.write(step.select("node", "to", "total", "to_block", "block").repartition(blocks, "block"), "block_steps", by="block")
+
+
+def _search_block(rows: pd.DataFrame, steps: pd.DataFrame, reach: float) -> pd.DataFrame:
+    """Known rows (of, node, dist, fresh, most) and marked nodes (dist null), and edges of a block -> what the fresh rows improve in it and at the nodes
+    that its edges lead out to."""
+    columns = ["of", "node", "dist", "block", "open"]
+    if rows.empty or steps.empty:
+        return pd.DataFrame(columns=columns)
+    steps = steps.sort_values("node")
+    block, to, to_block, total = steps["block"].iloc[0], steps["to"].to_numpy(), steps["to_block"].to_numpy(), steps["total"].tolist()
+    names, first = np.unique(steps["node"].to_numpy(), return_index=True)
+    first = [*first.tolist(), len(total)]
+    # Ends inside the block by their place in it; ends outside, and ends that lead nowhere, after these.
+    outer, place = np.unique(to, return_inverse=True)
+    at = np.searchsorted(names, outer).clip(max=len(names) - 1)
+    inside, n = names[at] == outer, len(names)
+    ends = np.where(inside, at, n + np.arange(len(outer)))[place].tolist()
+    every = np.concatenate([names, outer])
+    where = np.full(len(every), block)
+    where[n + place] = to_block
+    out = []
+    for of, own in rows.groupby("of", sort=False):
+        spot = np.searchsorted(names, own["node"].to_numpy()).clip(max=n - 1)
+        own = own.assign(spot=spot)[names[spot] == own["node"].to_numpy()]
+        limit = own["most"].min() if own["most"].notna().any() else np.inf
+        marked, old = set(own["spot"][own["dist"].isna()].tolist()), own[own["dist"].notna()]
+        dist = dict(old.groupby("spot")["dist"].min())
+        heap = [(d, i) for d, i, f in zip(old["dist"].tolist(), old["spot"].tolist(), old["fresh"].tolist(), strict=True) if f and d <= min(limit, dist[i])]
+        heapq.heapify(heap)
+        better = set()
+        while heap:
+            d, i = heapq.heappop(heap)
+            if d > limit:
+                break
+            if d > dist[i] or i >= n:
+                continue
+            if i in marked:
+                limit = min(limit, d * reach)
+            for e in range(first[i], first[i + 1]):
+                j, far = ends[e], d + total[e]
+                if far <= limit and far < dist.get(j, np.inf):
+                    dist[j] = far
+                    better.add(j)
+                    heapq.heappush(heap, (far, j))
+        found = np.array(sorted(better), np.int64)
+        found = found[[dist[i] <= limit for i in found.tolist()]] if len(found) else found
+        out.append(pd.DataFrame({"of": of, "node": every[found], "dist": [dist[i] for i in found.tolist()], "block": where[found], "open": where[found] != block}))
+    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
 def nearest(
@@ -171,42 +240,42 @@ def nearest(
     """(of, target), contracted edges -> (of, node, dist) of the ends of chains from which a goal is reached, written.
 
     ``until`` (of, node): a group that reaches it keeps only what costs at most ``reach`` times as much.  Goals and these nodes must not lie inside chains.
+    A round has no steps of its own (``steps`` is not used): blocks are searched to their end.
     """
-    # Edges are walked backwards, from an end to where the chain begins; each node also leads to itself, so that a step keeps what it had.
-    step = chains.filter("not inner").filter(F.col("src") != F.col("end")).groupBy(F.col("end").alias("node"), F.col("src").alias("to")).agg(F.min("total").alias("total"))
-    stay = step.select("node").unionByName(step.select(F.col("to").alias("node"))).distinct()
-    step = scratch.write(step.unionByName(stay.select("node", F.col("node").alias("to"), F.lit(0.0).alias("total"))), "steps")
-    back = hinted(step)
+    nodes, step = _block_steps(chains, scratch)
     known = _Known(scratch)
     start = goals.select("of", F.col("target").cast("long").alias("node")).distinct()
-    known.add(start.select("of", "node", F.lit(0.0).alias("dist")))
-    marked = None if until is None else hinted(scratch.write(until.select("of", "node").distinct(), "until"))
+    start = join_checked(start, nodes, "node", "left").select("of", "node", F.lit(0.0).alias("dist"), "block", F.col("block").isNotNull().alias("open"))
+    known.add(start)
+    groups = start.select("of").distinct().count()
+    part = F.pmod(F.xxhash64("of"), F.lit(-(-groups // BLOCK_GROUPS) or 1)).cast("int")
+    marked = None if until is None else hinted(scratch.write(join_checked(until.select("of", "node").distinct(), nodes, "node"), "until"))
+    schema, none = f"of {start.schema['of'].dataType.simpleString()}, node long, dist double, block int, open boolean", F.lit(None).cast("double")
     bound = None
     for _ in range(max_rounds):
         front = known.front(front_rows)
         if front is None:
-            return scratch.write(known.best(), "known") if len(known.levels) > 1 else known.levels[0][0]
-        if marked is not None:
-            bound = known.all().join(marked, ["of", "node"], "left_semi").groupBy("of").agg((F.min("dist") * reach).alias("most"))
-
-        def within(t: DataFrame, bound=bound) -> DataFrame:
-            return t if bound is None else t.join(bound, "of", "left").filter("most is null or dist <= most").drop("most")
-
-        few = known.waiting <= FEW and known.rows <= 10 * FEW
-        rows = within(front.coalesce(1) if few else front)
-        for _ in range(steps * MORE_STEPS if few else steps):
-            far = rows.join(back, "node").select("of", F.col("to").alias("node"), (F.col("dist") + F.col("total")).alias("dist"))
-            rows = far.groupBy("of", "node").agg(F.min("dist").alias("dist"))
-        rows = within(rows)
-        was = known.all().coalesce(1) if few else known.all()
-        if known.rows > 200_000:
-            # Only what stands for the nodes reached is compared, so that what is known stays in place.
-            rows = scratch.write(rows, "reached")
-            was = join_checked(was, rows.select("of", "node"), ["of", "node"], "left_semi", max_rows=1_000_000)
-        none = F.lit(None).cast("double")
-        both = rows.select("of", "node", "dist", none.alias("old")).unionByName(was.select("of", "node", none.alias("dist"), F.col("dist").alias("old")))
-        better = (both.coalesce(1) if few else both).groupBy("of", "node").agg(F.min("dist").alias("dist"), F.min("old").alias("old")).filter("dist is not null and (old is null or dist < old)")
-        known.add(better.select("of", "node", "dist"))
+            return scratch.write(known.best(), "known") if len(known.levels) > 1 else known.levels[0][0].select("of", "node", "dist")
+        # The numbers of blocks that rows wait in, so that only these are read.
+        active = [r.block for r in front.select("block").distinct().collect()]
+        here = F.col("block").isin(active)
+        rows = front.withColumn("fresh", F.lit(True)).unionByName(known.all().filter(here).select("of", "node", "dist", "block", F.lit(False).alias("fresh")))
+        if marked is None:
+            rows = rows.withColumn("most", none)
+        else:
+            rows = rows.unionByName(marked.filter(here).select("of", "node", none.alias("dist"), "block", F.lit(False).alias("fresh")))
+            bound = known.all().join(marked.select("of", "node"), ["of", "node"], "left_semi").groupBy("of").agg((F.min("dist") * reach).alias("most"))
+            rows = rows.join(bound, "of", "left")
+        rows = rows.withColumn("part", part)
+        edges = step.filter(here).join(F.broadcast(front.select("block", part.alias("part")).distinct()), "block")
+        found = rows.groupBy("block", "part").cogroup(edges.groupBy("block", "part")).applyInPandas(lambda a, b: _search_block(a, b, reach), schema)
+        # Of equal costs the one that was searched on from stands.
+        found = found.groupBy("of", "node").agg(F.min(F.struct("dist", "open", "block")).alias("b")).select("of", "node", "b.*")
+        found = scratch.write(found if bound is None else found.join(bound, "of", "left").filter("most is null or dist <= most").drop("most"), "reached")
+        # Only what stands for the nodes reached is compared, so that what is known stays in place.
+        was = join_checked(known.all().select("of", "node", F.col("dist").alias("old")), found.select("of", "node"), ["of", "node"], "left_semi", max_rows=1_000_000)
+        was = was.groupBy("of", "node").agg(F.min("old").alias("old"))
+        known.add(found.join(was, ["of", "node"], "left").filter("old is null or dist < old").select("of", "node", "dist", "block", "open"))
         known.merge()
     raise RuntimeError(f"costs still improve after {max_rounds} rounds")
 
