@@ -399,6 +399,11 @@ def detours(
     goals = scratch.write(targets.withColumnRenamed("target", "node").select(*of).distinct(), "targets")
     # Sizes are looked at once, before the loop.
     near = edges.select(F.col("src").alias("node"), "dst", "weight", "edge_ord")
+    if rest is not None:
+        # Edges to nodes beyond the costs that are asked for are never taken.
+        most, without = problems.agg(F.max("most"), F.count_if(F.col("most").isNull())).first() if "most" in problems.columns else (None, 1)
+        within = rest if without or most is None else rest.filter(F.col("rest") <= most * (1 + 1e-9) + 1e-9)
+        near = near.join(within.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("node", "dst", "weight", "edge_ord")
     # Each node also leads to itself, so that a step keeps what it had.
     stay = near.select("node").unionByName(near.select(F.col("dst").alias("node"))).distinct()
     near = near.unionByName(stay.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("weight"), F.lit(None).cast(near.schema["edge_ord"].dataType).alias("edge_ord")))
@@ -579,16 +584,23 @@ def snap(points: DataFrame, nodes: DataFrame, keys: list[str], x: str = "lng", y
     return points.withColumn("id", F.struct(*keys)).join(near, "id").drop("id")
 
 
-def evacuation_routes(origins: DataFrame, sites: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
-    """(origin_id, lat, lng) and (ord, name, lat, lng) -> k routes an origin to the cheapest sites: origin_id, path_id, target, site, ...
+def evacuation_paths(origins: DataFrame, sites: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(origin_id, lat, lng) and (ord, name, lat, lng) -> (origin_id, src), and the k routes of each src: src, path_id, target, site, site_lat, site_lng, ...
 
-    Several sites may share a node: the first names it. Targets without a name are "Evacuation Site".
+    Origins that snap to one node share its routes.  Several sites may share a node: the first names it. Targets without a name are "Evacuation Site".
     """
     snapped = snap(sites.select("ord", "name", "lat", "lng"), nodes, ["ord"]).filter("node is not null")
-    at = snapped.groupBy("node").agg(F.min_by("name", "ord").alias("site"))
+    at = snapped.groupBy("node").agg(F.min_by(F.struct(F.col("name").alias("site"), F.col("lat").alias("site_lat"), F.col("lng").alias("site_lng")), "ord").alias("s")).select("node", "s.*")
     at = Scratch(origins.sparkSession, "sites").write(at, "sites")
     start = snap(origins.select("origin_id", "lat", "lng"), nodes, ["origin_id"]).filter("node is not null").select("origin_id", F.col("node").alias("src"))
     start = Scratch(origins.sparkSession, "origins").write(start, "origins")
     # All sites are targets of every origin: one set, shared.
-    paths = k_shortest_paths(start, at.select(F.col("node").alias("target")), edges, k)
-    return paths.join(at, paths["target"] == at["node"], "left").select("origin_id", "path_id", "target", F.coalesce("site", F.lit("Evacuation Site")).alias("site"), "total_cost", "nodes", "edge_ords")
+    paths = k_shortest_paths(start.select(F.col("src").alias("origin_id"), "src").distinct(), at.select(F.col("node").alias("target")), edges, k)
+    paths = paths.join(at, paths["target"] == at["node"], "left")
+    return start, paths.select(F.col("origin_id").alias("src"), "path_id", "target", F.coalesce("site", F.lit("Evacuation Site")).alias("site"), "site_lat", "site_lng", "total_cost", "nodes", "edge_ords")
+
+
+def evacuation_routes(origins: DataFrame, sites: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """As ``evacuation_paths``, a row for each origin and route: origin_id, path_id, target, site, total_cost, nodes, edge_ords."""
+    start, paths = evacuation_paths(origins, sites, nodes, edges, k)
+    return start.join(paths, "src").select("origin_id", "path_id", "target", "site", "total_cost", "nodes", "edge_ords")

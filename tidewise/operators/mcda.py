@@ -104,6 +104,7 @@ def edge_costs(scored: DataFrame) -> DataFrame:
 def path_metrics(path_edges: DataFrame, roads: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of length, risk and rain at mid vertices over the edges (keys, seq, edge_ord) of each path; rain is always the grid's."""
     zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    roads = join_checked(roads, path_edges.select(F.col("edge_ord").alias("ord")).distinct(), "ord", "left_semi")
     r = roads.select(F.col("ord").alias("edge_ord"), zero("length").alias("len"), zero("risk_level").alias("risk_"))
     r = r.join(intensity_at(mid_points(roads), cells).select(F.col("id").alias("edge_ord"), "rain"), "edge_ord")
     return path_edges.join(r, "edge_ord").groupBy(*keys).agg(F.sum("len").alias("length"), F.sum("risk_").alias("risk"), F.sum("rain").alias("rainfall"))
@@ -125,7 +126,7 @@ def rank_paths(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFra
 
 def path_summary(path_edges: DataFrame, scored: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
     """Per path: mean edge wsm (null without edges), and display kilometres (physical, or total cost if 0)."""
-    mean = path_edges.join(scored.select(F.col("ord").alias("edge_ord"), "wsm"), "edge_ord").groupBy(*keys).agg(F.avg("wsm").alias("mean_wsm"), F.count(F.lit(1)).alias("n_edges"))
+    mean = join_checked(scored.select(F.col("ord").alias("edge_ord"), "wsm"), path_edges, "edge_ord").groupBy(*keys).agg(F.avg("wsm").alias("mean_wsm"), F.count(F.lit(1)).alias("n_edges"))
     km = F.when(F.coalesce(F.col("length"), F.lit(0.0)) == 0, F.col("total_cost")).otherwise(F.col("length")) / 1000
     return paths.join(mean, keys, "left").withColumn("km", F.round(F.round(km, 6), 2))
 
@@ -140,7 +141,7 @@ def decision_ranks(summary: DataFrame, keys: list[str]) -> DataFrame:
 
 def edge_breakdown(path_edges: DataFrame, scored: DataFrame, keys: list[str], page_rows: int = 8) -> DataFrame:
     """Steps of each path with raw criteria, scores to four places, and their page."""
-    t = path_edges.join(scored.select(F.col("ord").alias("edge_ord"), *CRITERIA, "wsm", "closeness"), "edge_ord")
+    t = join_checked(scored.select(F.col("ord").alias("edge_ord"), *CRITERIA, "wsm", "closeness"), path_edges, "edge_ord")
     step = F.row_number().over(W.partitionBy(*keys).orderBy("seq"))
     t = t.withColumn("step", step)
     text = lambda c: F.when(F.col(c) == 0, "N/A").otherwise(F.format_string("%.4f", F.col(c)))
