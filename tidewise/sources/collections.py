@@ -153,7 +153,9 @@ def feature_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").cast("long").alias("length"))
     ranges = files.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"), "length")
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("end"))
-    tasks = max(1, min(10_000, ranges.count()))
+    # Small ranges share a task.
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(10_000, n, max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))))
     seen = ranges.repartition(tasks, "path", "start").mapInPandas(_summaries, "path string, start long, end long, change array<long>, then array<int>, depths array<array<long>>, counts array<array<long>>")
     # A few numbers a range: the ranges of a file are one group, the files one window.
     known = Scratch(spark, "collection").write(seen.groupBy("path").applyInPandas(_followed, "path string, start long, end long, depth long, state int, before long, total long"), "ranges")
