@@ -200,3 +200,12 @@ def test_negative_costs_raise_everywhere(spark):
     for run in (lambda: graph.distances(one, bad), lambda: graph.k_shortest_paths(one.toDF("origin_id", "src"), one.toDF("origin_id", "target"), bad), lambda: graph.shortest_to_targets(one, one.toDF("problem_id", "target"), bad)):
         with pytest.raises(ValueError):
             run()
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    """Ways that leave their block and come back cost the same."""
+    monkeypatch.setattr(graph, "BLOCK_NODES", 8)
+    rng = random.Random(21)
+    edges = both([(i, (i + 1) % 24, float(rng.randrange(1, 9))) for i in range(24)] + [(rng.randrange(24), rng.randrange(24), float(rng.randrange(9, 30))) for _ in range(14)])
+    got = {r.node: r.dist for r in graph.distances(spark.createDataFrame([(0, 5)], "problem_id long, src long"), spark.createDataFrame(edges, E)).collect()}
+    assert got == dijkstra(edges, 5)
