@@ -82,3 +82,27 @@ def test_long_ring_in_few_rounds(spark):
 def test_open_edges_raise(spark):
     with pytest.raises(ValueError, match="do not close"):
         rings.assemble(spark.createDataFrame([(0.0, 0.0, 1.0, 0.0)], "ax double, ay double, bx double, by double"))
+
+
+def test_rounds_move_pieces_and_not_edges(spark, monkeypatch):
+    """Rings run over many tiles: results stay, and rounds hold the pieces between borders of tiles only."""
+    for name, n in (("TILE", 256), ("CHUNK", 64), ("LARGE", 500)):
+        monkeypatch.setattr(rings, name, n, raising=False)
+    written, write = [], rings.Scratch.write
+    monkeypatch.setattr(rings.Scratch, "write", lambda self, df, name="t", **more: written.append((name, write(self, df, name, **more))) or written[-1][1])
+    monkeypatch.setattr(rings.Scratch, "drop", lambda self, table: None)
+    rng, m = random.Random(7), 48
+    cells = {(i, j) for i in range(m) for j in range(m) if rng.random() < 0.64}
+    outline = geometry.dissolve_outline(layer(spark, [[[square(i, j)]] for i, j in sorted(cells)]), directed=True)
+    got = rings.polygons(outline, 8.0).collect()
+    near = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    assert sorted((r.area, r.n_holes) for r in got) == sorted((float(len(p)), holes_of(p, m)) for p in parts_of(cells, near))
+    moved = [t.count() for name, t in written if name == "pointers"]
+    assert 0 < max(moved) < outline.count() / 3
+
+
+def test_parts_as_rows_of_rings(spark):
+    src = layer(spark, [[[square(0, 0, 9), square(1, 1, 3), square(5, 5, 3)]], [[square(2, 2)]]])
+    got = rings.nested(geometry.dissolve_outline(src, directed=True), 2.0).collect()
+    assert sorted((r.hole, r.area, len(r.ring)) for r in got) == [(False, 1.0, 5), (False, 81.0, 5), (True, -9.0, 5), (True, -9.0, 5)]
+    assert sorted(len({r.part for r in got if r.hole == h}) for h in (True, False)) == [1, 2]
