@@ -196,3 +196,25 @@ def test_near_dedup_keeps_rows_of_equal_ids(spark):
     rows = [(1, one), (2, one), (2, two), (2, three), (None, one)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([rows[0], *rows[2:]], "doc_id long, text string").collect())
+
+
+def test_pairs_of_families_grow_with_rows(spark):
+    """Near copies share hundreds of buckets, and yet a task returns one pair a row and family."""
+    rng = np.random.default_rng(5)
+    for n in (300, 600):
+        centre = rng.integers(-(2**63), 2**63, (4, 3), dtype=np.int64)  # three groups of near copies
+        word = centre[:, np.arange(n) % 3]
+        for _ in range(6):
+            word[rng.integers(0, 4, n), np.arange(n)] ^= np.int64(1) << rng.integers(0, 63, n)
+        node = rng.permutation(10**6)[:n]
+        prints = spark.createDataFrame([(int(v), *map(int, w)) for v, w in zip(node, word.T, strict=True)], "node long, f0 long, f1 long, f2 long, f3 long")
+        pairs = [(r.u, r.v) for r in simhash.candidates(prints, simhash.Scratch(spark, "grow"), 4, 16, families=True)[0].collect()]
+        u, v = np.searchsorted(np.sort(node), np.array(pairs).T)
+        label = np.arange(n)
+        for _ in range(n):
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, u, low)
+            np.minimum.at(label, v, low)
+        group = (np.arange(n) % 3)[np.argsort(node)]
+        assert [set(group[label == r]) for r in np.unique(label)] == [{g} for g in group[np.unique(label)]] and len(np.unique(label)) == 3
+        assert len(pairs) <= 4 * n  # four tasks

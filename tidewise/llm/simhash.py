@@ -55,6 +55,8 @@ BLOCK = 4096
 #: Bytes of shingle sets that a block of a family holds about.
 BLOCK_BYTES = 32 << 20
 _DENSE = 32
+#: Pairs of families that a task merges before it returns them.
+HELD = 100_000
 
 
 def fingerprint(text: bytes | None, shingle: int, words64: int = 1) -> list[int]:
@@ -325,6 +327,21 @@ def _named(nodes: np.ndarray, pairs: list[np.ndarray], rows: list[np.ndarray]) -
     return np.unique(np.sort(nodes[p], axis=1), axis=0).T
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of nodes (n, 2) -> (least node, node) for each other node of their components, as two columns."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = a[x != y], b[x != y]
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[label[own]], ids[own]])
+
+
 def _bucket_rows(t: np.ndarray, families: bool) -> Iterator[np.ndarray]:
     """Candidates (u, v) of sorted rows (key, node, word; or key, node, all words) in whole buckets of at most BLOCK rows."""
     keys, nodes, word = t[0], t[1], t[2:]
@@ -332,6 +349,8 @@ def _bucket_rows(t: np.ndarray, families: bool) -> Iterator[np.ndarray]:
     size = np.diff(edge)
     few, rows = _small_buckets(keys, word, families, np.repeat(size, size))
     pairs, rows = [few], [rows]
+    # Families are named by their components, so buckets are merged: each node hangs on one other.
+    told = (lambda: stars(nodes[np.concatenate(pairs)])) if families else (lambda: _named(nodes, pairs, rows))
     for g in np.flatnonzero(size > _DENSE):
         a, b = edge[g], edge[g + 1]
         if families:
@@ -341,9 +360,9 @@ def _bucket_rows(t: np.ndarray, families: bool) -> Iterator[np.ndarray]:
             rows.append(r + a)
         pairs.append(p + a)
         if sum(map(len, pairs)) + sum(map(len, rows)) > 100_000:
-            yield _named(nodes, pairs, rows)
-            pairs, rows = [], []
-    yield _named(nodes, pairs, rows)
+            yield told()
+            pairs, rows = [np.zeros((0, 2), np.int64)], []
+    yield told()
 
 
 def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int, families: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -351,7 +370,8 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int,
     that are not listed.
 
     The pairs are a forest in every bucket, never all of it.  An entry carries one word, and trees hang on near words; for ``families`` it
-    carries all words (these entries are few), and the forest spans all candidates.
+    carries all words (these entries are few), and the pairs are no candidates themselves, but have the components of all candidates: the
+    buckets of a task are merged, and each node hangs on the least one of its component.
     """
     words = [f"f{i}" for i in range(words64)]
     columns = ["key", "node", *(words if families else ["word"])]
@@ -363,7 +383,7 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int,
         return pa.RecordBatch.from_arrays([none if key is None else long(key), *map(long, cols), *[none] * (len(names) - 1 - len(cols))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, large = np.zeros((len(columns), 0), np.int64), None
+        left, large, held = np.zeros((len(columns), 0), np.int64), None, np.zeros((2, 0), np.int64)
         for b in batches:
             t = np.concatenate([left, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])], 1)
             if large is not None:  # goes on with a bucket that is set aside
@@ -381,10 +401,19 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int,
                     large, cut = int(t[0, -1]), t.shape[1]
             whole = t[:, :cut][:, ~wide[:cut]]
             if whole.shape[1]:
-                yield from (batch(list(p)) for p in _bucket_rows(whole, families))
+                for p in _bucket_rows(whole, families):
+                    if families:
+                        held = stars(np.concatenate([held, p], 1).T)
+                    else:
+                        yield batch(list(p))
+            if held.shape[1] > HELD:
+                yield batch(list(held))
+                held = held[:, :0]
             left = t[:, cut:]
         if left.shape[1]:
             yield from (batch(list(p)) for p in _bucket_rows(left, families))
+        if held.shape[1]:
+            yield batch(list(held))
 
     # The rows are few and the index is large: they are spread before it is made.
     index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), words64, segments)
@@ -405,7 +434,8 @@ def candidates(prints: DataFrame, scratch: Scratch, words64: int, segments: int,
             block, i, j, word = pdf["block"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), np.ascontiguousarray(pdf[columns[2:]].to_numpy(np.int64).T)
             first = None if i == j else int((block == i).sum())
             p, rows = (bucket_families(word, first), np.zeros(0, np.int64)) if families else bucket_forest(word, first)
-            return pd.DataFrame(dict(zip("uv", _named(pdf["node"].to_numpy(), [p], [rows]), strict=True)))
+            nodes = pdf["node"].to_numpy()
+            return pd.DataFrame(dict(zip("uv", stars(nodes[p]) if families else _named(nodes, [p], [rows]), strict=True)))
 
         out = out.unionByName(pairs.select("i", "j", "block", *columns).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long"))
     out = scratch.write(out.distinct(), "near")
@@ -525,8 +555,9 @@ def similar_links(rows: DataFrame, shingle: int, scratch: Scratch, words64: int
         families = components(candidates(again, scratch, words64, segments, families=True)[0].select("u", "v"), scratch)
         families = scratch.write(families, "named-families")
         asked = places.join(families.select(F.col("node").alias("id")), "id", "left_semi")
-        found = found.unionByName(_within_families(again, families, _sets(asked, rows, shingle, scratch), words, scratch))
-        roots = components(found, scratch)
+        within = _within_families(again, families, _sets(asked, rows, shingle, scratch), words, scratch)
+        # Of the links found before only the components count.
+        roots = components(within.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), scratch)
     ids = join_checked(prints, mates.select("own", F.lit(True).alias("mate")), "own", "left").select("rid", "doc_id", F.when(F.col("mate"), F.col("own")).otherwise(F.col("node")).alias("id"))
     return ids, scratch.write(roots.select(F.col("node").alias("id"), "root"), "roots")
 
