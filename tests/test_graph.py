@@ -209,3 +209,28 @@ def test_search_over_many_blocks(spark, monkeypatch):
     edges = both([(i, (i + 1) % 24, float(rng.randrange(1, 9))) for i in range(24)] + [(rng.randrange(24), rng.randrange(24), float(rng.randrange(9, 30))) for _ in range(14)])
     got = {r.node: r.dist for r in graph.distances(spark.createDataFrame([(0, 5)], "problem_id long, src long"), spark.createDataFrame(edges, E)).collect()}
     assert got == dijkstra(edges, 5)
+
+
+def test_large_tables_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """Where no table counts as small, none goes through the driver because it is packed in few bytes; the routes stay the same."""
+    from tidewise.plans import scratch as plans
+
+    rng = random.Random(4)
+    roads = [(i, i + 1, 1.0 + rng.random()) for i in range(40)] + [(i, i + 5, 6.0 + rng.random()) for i in range(35)]
+    edges = spark.createDataFrame([(a, b, w, k) for k, (u, v, w) in enumerate(roads) for a, b in ((u, v), (v, u))], "src long, dst long, weight double, edge_ord long")
+    problems, targets = spark.createDataFrame([(i, i) for i in range(0, 41, 4)], "problem_id long, src long"), spark.createDataFrame([(7,), (33,)], "target long")
+    want = {i: min((d, t) for t, d in dijkstra([tuple(e) for e in edges.collect()], i).items() if t in (7, 33)) for i in range(0, 41, 4)}
+    seen, write = set(), plans.Scratch.write
+
+    def looked_at(self, df, name="t", *args, **kwargs):
+        seen.add((name, "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name, *args, **kwargs)
+
+    monkeypatch.setattr(plans.Scratch, "write", looked_at)
+    for module in (plans, graph):
+        monkeypatch.setattr(module, "small", lambda *a, **k: False, raising=False)
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1, raising=False)
+    found = graph.shortest_to_targets(problems, targets, edges).collect()
+    assert {r.problem_id: (pytest.approx(r.total_cost), r.target) for r in found} == want
+    assert {(n, False) for n in ("block_steps", "onward", "jumps", "places", "ways")} <= seen
+    assert not {n for n, sent in seen if sent} & {"block_steps", "onward", "jumps", "places", "ways"}

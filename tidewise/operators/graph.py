@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewise.operators.geometry import nearest_node
 from tidewise.operators.mcda import or_value
-from tidewise.plans.scratch import Scratch, hinted, join_checked
+from tidewise.plans.scratch import BROADCAST_ROWS, Scratch, hinted, join_checked, sized, small
 
 MAX_ROUNDS = 10_000
 #: Relaxation steps a round of ``detours``, between two written tables.
@@ -97,6 +97,7 @@ def contracted(edges: DataFrame, fixed: DataFrame, scratch: Scratch) -> DataFram
     n_inner = inner.count()
     if not n_inner:
         return plain.withColumn("inner", F.lit(False))
+    inner = F.broadcast(inner) if n_inner <= BROADCAST_ROWS else inner.hint("merge")
     mark = inner.select(F.col("node").alias("src"), F.lit(True).alias("inner"))
     # An edge into a chain goes on with the edge to the other neighbour: (at, next) is the last edge so far.
     state = plain.select("src", "dst", "weight", "edge_ord", F.col("src").alias("at"), F.col("dst").alias("end"), "total", "hops")
@@ -182,7 +183,7 @@ def _block_steps(chains: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     nodes = scratch.write(step.select("node").unionByName(step.select(F.col("to").alias("node"))).distinct(), "nodes")
     blocks = max(1, -(-nodes.count() // BLOCK_NODES))
     nodes = scratch.write(nodes.repartitionByRange(blocks, "node").withColumn("block", F.spark_partition_id()), "blocks")
-    step = join_checked(join_checked(step, nodes, "node"), nodes.select(F.col("node").alias("to"), F.col("block").alias("to_block")), "to")
+    step = step.join(sized(nodes), "node").join(sized(nodes.select(F.col("node").alias("to"), F.col("block").alias("to_block"))), "to")
     return nodes, scratch.write(step.select("node", "to", "total", "to_block", "block").repartition(blocks, "block"), "block_steps", by="block")
 
 
@@ -245,11 +246,11 @@ def nearest(
     nodes, step = _block_steps(chains, scratch)
     known = _Known(scratch)
     start = goals.select("of", F.col("target").cast("long").alias("node")).distinct()
-    start = join_checked(start, nodes, "node", "left").select("of", "node", F.lit(0.0).alias("dist"), "block", F.col("block").isNotNull().alias("open"))
+    start = start.join(sized(nodes), "node", "left").select("of", "node", F.lit(0.0).alias("dist"), "block", F.col("block").isNotNull().alias("open"))
     known.add(start)
     groups = start.select("of").distinct().count()
     part = F.pmod(F.xxhash64("of"), F.lit(-(-groups // BLOCK_GROUPS) or 1)).cast("int")
-    marked = None if until is None else hinted(scratch.write(join_checked(until.select("of", "node").distinct(), nodes, "node"), "until"))
+    marked = None if until is None else hinted(scratch.write(until.select("of", "node").distinct().join(sized(nodes), "node"), "until"))
     schema, none = f"of {start.schema['of'].dataType.simpleString()}, node long, dist double, block int, open boolean", F.lit(None).cast("double")
     bound = None
     for _ in range(max_rounds):
@@ -273,7 +274,7 @@ def nearest(
         found = found.groupBy("of", "node").agg(F.min(F.struct("dist", "open", "block")).alias("b")).select("of", "node", "b.*")
         found = scratch.write(found if bound is None else found.join(bound, "of", "left").filter("most is null or dist <= most").drop("most"), "reached")
         # Only what stands for the nodes reached is compared, so that what is known stays in place.
-        was = join_checked(known.all().select("of", "node", F.col("dist").alias("old")), found.select("of", "node"), ["of", "node"], "left_semi", max_rows=1_000_000)
+        was = known.all().select("of", "node", F.col("dist").alias("old")).join(sized(found.select("of", "node"), 1_000_000), ["of", "node"], "left_semi")
         was = was.groupBy("of", "node").agg(F.min("old").alias("old"))
         known.add(found.join(was, ["of", "node"], "left").filter("old is null or dist < old").select("of", "node", "dist", "block", "open"))
         known.merge()
@@ -285,7 +286,7 @@ def _onward(goals: DataFrame, known: DataFrame, chains: DataFrame, scratch: Scra
     ahead = known.select("of", F.col("node").alias("end"), F.col("dist").alias("rest"))
     at_goal = goals.select("of", F.col("target").cast("long").alias("node")).distinct().withColumn("goal", F.lit(True))
     option = F.struct((F.col("rest") + F.col("total")).alias("dist"), F.col("dst").alias("next"), "edge_ord", "weight")
-    options = chains.join(ahead, "end").select("of", F.col("src").alias("node"), option.alias("o"), (F.col("total") > 0).alias("costs"))
+    options = chains.join(sized(ahead), "end").select("of", F.col("src").alias("node"), option.alias("o"), (F.col("total") > 0).alias("costs"))
     # Where an edge that costs nothing is among the cheapest, one that costs something goes before it.
     best = options.groupBy("of", "node").agg(F.min("o.dist").alias("dist"), F.min(F.when(F.col("costs"), F.col("o"))).alias("o"))
     both = best.join(at_goal, ["of", "node"], "full").withColumns({"goal": F.coalesce("goal", F.lit(False))})
@@ -317,7 +318,7 @@ def distances(sources: DataFrame, edges: DataFrame, scratch: Scratch | None = No
     inside = chains.filter("inner")
     if inside.isEmpty():
         return known.select(F.col("of").alias("problem_id"), "node", "dist")
-    every = known.unionByName(inside.join(known.select("of", F.col("node").alias("end"), "dist"), "end").select("of", F.col("src").alias("node"), (F.col("dist") + F.col("total")).alias("dist")))
+    every = known.unionByName(inside.join(sized(known.select("of", F.col("node").alias("end"), "dist")), "end").select("of", F.col("src").alias("node"), (F.col("dist") + F.col("total")).alias("dist")))
     return every.groupBy(F.col("of").alias("problem_id"), "node").agg(F.min("dist").alias("dist"))
 
 
@@ -330,23 +331,38 @@ class Ways:
     def __init__(self, onward: DataFrame, scratch: Scratch):
         self.scratch, self.onward = scratch, onward
         self.jumps = [self.onward.filter("next is not null").select("of", "node", F.col("next").alias("to"))]
+        #: No table of pointers has more rows than this one.
+        self.large = not small(self.onward.select("of", "node"))
         while True:
             last = self.jumps[-1]
-            further = scratch.write(last.join(last.select("of", F.col("node").alias("to"), F.col("to").alias("beyond")), ["of", "to"]).select("of", "node", F.col("beyond").alias("to")), "jumps")
+            further = scratch.write(last.join(self._shuffled(last.select("of", F.col("node").alias("to"), F.col("to").alias("beyond"))), ["of", "to"]).select("of", "node", F.col("beyond").alias("to")), "jumps")
             if further.isEmpty():
                 break
             self.jumps.append(further)
 
+    def _shuffled(self, table: DataFrame) -> DataFrame:
+        return table.hint("merge") if self.large else table
+
+    def _met(self, places: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+        """Places with their rows of a table of all nodes, which stays where it is while they are few."""
+        return table.join(F.broadcast(places), ["of", "at"]) if few else places.join(self._shuffled(table), ["of", "at"])
+
     def read(self, asked: DataFrame) -> DataFrame:
         """(of, node) -> (of, node, target, rest, way, edge_ords, cum) of nodes that reach a goal: the nodes from there to it, the edges, and costs so far."""
         own = asked.select("of", "node").distinct()
         places = own.select("of", "node", F.col("node").alias("at"), F.lit(0).cast("long").alias("pos"))
+        few = False
+        if self.large:
+            places = self.scratch.write(places, "places")
+            few = small(places, BROADCAST_ROWS // 4)
         for k in range(len(self.jumps) - 1, -1, -1):
             ahead = self.jumps[k].select("of", F.col("node").alias("at"), "to")
-            places = places.unionByName(places.join(ahead, ["of", "at"]).select("of", "node", F.col("to").alias("at"), (F.col("pos") + F.lit(1 << k)).alias("pos")))
+            places = places.unionByName(self._met(places, ahead, few).select("of", "node", F.col("to").alias("at"), (F.col("pos") + F.lit(1 << k)).alias("pos")))
             if k % 2 == 0:
                 places = self.scratch.write(places, "places")
-        rows = places.join(self.onward.withColumnsRenamed({"node": "at", "dist": "left"}), ["of", "at"])
+                # Before they are looked at again they can double twice.
+                few = self.large and small(places, BROADCAST_ROWS // 4)
+        rows = self._met(places, self.onward.withColumnsRenamed({"node": "at", "dist": "left"}), few)
         one = W.partitionBy("of", "node").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
         rows = rows.select("of", "node", "pos", "at", "left", "edge_ord", F.coalesce(F.sum("weight").over(one), F.lit(0.0)).alias("done"))
         whole = rows.groupBy("of", "node").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "edge_ord", "done"))).alias("w"), F.min(F.struct("pos", "left")).alias("first"))
@@ -402,8 +418,9 @@ def detours(
     if rest is not None:
         # Edges to nodes beyond the costs that are asked for are never taken.
         most, without = problems.agg(F.max("most"), F.count_if(F.col("most").isNull())).first() if "most" in problems.columns else (None, 1)
-        within = rest if without or most is None else rest.filter(F.col("rest") <= most * (1 + 1e-9) + 1e-9)
-        near = near.join(within.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("node", "dst", "weight", "edge_ord")
+        if not without and most is not None:
+            rest = scratch.write(rest.filter(F.col("rest") <= most * (1 + 1e-9) + 1e-9), "within")
+        near = near.join(sized(rest.select(F.col("node").alias("dst"))), "dst", "left_semi").select("node", "dst", "weight", "edge_ord")
     # Each node also leads to itself, so that a step keeps what it had.
     stay = near.select("node").unionByName(near.select(F.col("dst").alias("node"))).distinct()
     near = near.unionByName(stay.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("weight"), F.lit(None).cast(near.schema["edge_ord"].dataType).alias("edge_ord")))
@@ -411,7 +428,7 @@ def detours(
     no_nodes = None if excluded_nodes is None else hinted(scratch.write(excluded_nodes.select("problem_id", "node"), "no_nodes"))
     no_edges = None if excluded_edges is None else hinted(scratch.write(excluded_edges.select("problem_id", "src", F.col("dst").alias("node")), "no_edges"))
     limits = hinted(problems.select("problem_id", *[c for c in ("of", "most") if c in problems.columns]))
-    left = None if rest is None else hinted(rest)
+    left = None if rest is None else sized(rest)
     is_goal = lambda t: t.join(marked, of, "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
     no = F.array().cast("array<bigint>")
     start = problems.select("problem_id", F.col("src").cast("long").alias("node"))
@@ -603,4 +620,4 @@ def evacuation_paths(origins: DataFrame, sites: DataFrame, nodes: DataFrame, edg
 def evacuation_routes(origins: DataFrame, sites: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """As ``evacuation_paths``, a row for each origin and route: origin_id, path_id, target, site, total_cost, nodes, edge_ords."""
     start, paths = evacuation_paths(origins, sites, nodes, edges, k)
-    return start.join(paths, "src").select("origin_id", "path_id", "target", "site", "total_cost", "nodes", "edge_ords")
+    return start.join(sized(paths), "src").select("origin_id", "path_id", "target", "site", "total_cost", "nodes", "edge_ords")
